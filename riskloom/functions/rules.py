@@ -14,10 +14,6 @@ _JS_ARROW = (
     rf"(?:async{SPACE}*)?(?:\([^)]*\)|{WORD}+){SPACE}*=>"
 )
 FRAMEWORK_PATTERNS = [(name, "(?iu)" + p.replace(r"\s", SPACE)) for name, p in fv.FRAMEWORK_PATTERNS]
-# A line that matches none of this can hold neither a definition nor a tool registration.
-MAYBE_RISKY = (
-    "(?iu)def|function|=>|" + "|".join(p.replace(r"\s", SPACE) for _, p in fv.FRAMEWORK_PATTERNS)
-)
 RISKY_NAME = any_of(dict.fromkeys(squeeze(w) for w in fv.CRITICAL_TOOL_WORDS + fv.HIGH_TOOL_WORDS))
 DATA_NAME = any_of(fv.DATA_ACCESS_WORDS)
 FRAMEWORK_RISK = any_of(dict.fromkeys(squeeze(w) for w in fv.FRAMEWORK_RISK_WORDS))

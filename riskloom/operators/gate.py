@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
+from ..functions.reuse import built_once
 from .score import SEVERITIES
 
 POLICY_TYPES = {name: "int" if name == "minimum_safety_score" else "boolean" for name in fv.DEFAULT_POLICY}
@@ -35,15 +36,8 @@ def under_requests(reports: DataFrame, requests: DataFrame, on: Sequence[str] =
     return reports.join(requests.select(*others, *_with_defaults(set_by_request)), list(on))
 
 
-def _blocked(text: Column, word: str) -> Column:
-    return F.exists(text, lambda b: F.lower(b).contains(word))
-
-
-def judge(reports: DataFrame) -> DataFrame:
-    """Adds blockers, decision, gate score, reasons and next actions.
-
-    Needs the columns of `score.scored` and of a policy.
-    """
+@built_once
+def _verdict_columns() -> list[dict[str, Column]]:
     score, minimum = F.col("safety_score"), F.col("minimum_safety_score")
     critical = F.col("n_critical") > 0
     checks = F.array(
@@ -54,44 +48,53 @@ def judge(reports: DataFrame) -> DataFrame:
         F.when(F.col("block_on_missing_approval") & (F.col("blocking_approvals") > 0), fv.BLOCKER_APPROVAL),
         F.when(F.col("block_on_unsafe_tools") & (F.col("blocking_tools") > 0), fv.BLOCKER_TOOLS),
     )
-    out = reports.withColumn("blockers", F.array_compact(checks))
     blockers, n = F.col("blockers"), F.size("blockers")
+    decided = F.col("decision")
     decision = (
         F.when(n > 0, "BLOCK").when((F.col("n_high") > 0) | (F.col("n_medium") > 0), "REVIEW").otherwise("ALLOW")
     )
     penalty = F.least(n * fv.BLOCKER_PENALTY, F.lit(fv.BLOCKER_PENALTY_CAP)) + F.when(critical, fv.CRITICAL_PENALTY).otherwise(0)
-    out = (
-        out.withColumn("decision", decision)
-        .withColumn("gate_score", F.greatest(F.lit(0), F.least(F.lit(100), score - penalty)))
-    )
-    by_decision = lambda texts: F.element_at(F.create_map(*[F.lit(x) for kv in texts.items() for x in kv]), F.col("decision"))
-    summary = F.when(
-        F.col("decision") == "BLOCK",
-        F.format_string(fv.GATE_SUMMARIES["BLOCK"], score.cast("string"), minimum.cast("string"), n.cast("string")),
-    ).otherwise(by_decision({k: v for k, v in fv.GATE_SUMMARIES.items() if k != "BLOCK"} | {"BLOCK": ""}))
-    words = lambda items: F.array(*[F.lit(i) for i in items])
-    none = F.array().cast("array<string>")
-    block_actions = F.slice(
-        F.concat(
-            F.when(_blocked(blockers, "secret"), words([fv.BLOCK_ACTION_SECRET])).otherwise(none),
-            words(fv.BLOCK_ACTIONS),
-            F.when(_blocked(blockers, "approval"), words([fv.BLOCK_ACTION_APPROVAL])).otherwise(none),
-            F.when(_blocked(blockers, "tool"), words([fv.BLOCK_ACTION_TOOL])).otherwise(none),
-        ), 1, fv.ACTIONS_SHOWN,
+
+    def by_decision(texts: dict[str, str]) -> Column:
+        return F.when(decided == "BLOCK", texts["BLOCK"]).when(decided == "REVIEW", texts["REVIEW"]).otherwise(texts["ALLOW"])
+
+    def words(*items: str) -> Column:
+        return F.array(*[F.lit(i) for i in items])
+
+    def when_blocked(word: str, action: str) -> Column:
+        none = F.array().cast("array<string>")
+        return F.when(F.exists(blockers, lambda b: F.lower(b).contains(word)), words(action)).otherwise(none)
+
+    counted = F.format_string(fv.GATE_SUMMARIES["BLOCK"], score.cast("string"), minimum.cast("string"), n.cast("string"))
+    block_actions = F.concat(
+        when_blocked("secret", fv.BLOCK_ACTION_SECRET), words(*fv.BLOCK_ACTIONS),
+        when_blocked("approval", fv.BLOCK_ACTION_APPROVAL), when_blocked("tool", fv.BLOCK_ACTION_TOOL),
     )
     actions = (
-        F.when(F.col("decision") == "BLOCK", block_actions)
-        .when(F.col("decision") == "REVIEW", words(fv.REVIEW_ACTIONS)).otherwise(words(fv.ALLOW_ACTIONS))
-    )
-    return (
-        out.withColumn("decision_badge", by_decision(fv.DECISION_BADGES))
-        .withColumn("gate_summary", summary)
-        .withColumn("decision_reason", F.coalesce(F.try_element_at(blockers, F.lit(1)), F.col("gate_summary")))
-        .withColumn("required_action", by_decision(fv.REQUIRED_ACTIONS))
-        .withColumn("next_actions", actions)
+        F.when(decided == "BLOCK", F.slice(block_actions, 1, fv.ACTIONS_SHOWN))
+        .when(decided == "REVIEW", words(*fv.REVIEW_ACTIONS)).otherwise(words(*fv.ALLOW_ACTIONS))
     )
+    return [
+        {"blockers": F.array_compact(checks)},
+        {"decision": decision, "gate_score": F.greatest(F.lit(0), F.least(F.lit(100), score - penalty))},
+        {"gate_summary": F.when(decided == "BLOCK", counted).otherwise(by_decision(fv.GATE_SUMMARIES)),
+         "decision_badge": by_decision(fv.DECISION_BADGES), "required_action": by_decision(fv.REQUIRED_ACTIONS),
+         "next_actions": actions},
+        {"decision_reason": F.coalesce(F.try_element_at(blockers, F.lit(1)), F.col("gate_summary"))},
+    ]
+
+
+def judge(reports: DataFrame) -> DataFrame:
+    """Adds blockers, decision, gate score, reasons and next actions.
+
+    Needs the columns of `score.scored` and of a policy.
+    """
+    for columns in _verdict_columns():
+        reports = reports.withColumns(columns)
+    return reports
 
 
+@built_once
 def gate_document() -> Column:
     """The gate result as one nested value, for saved reports."""
     return F.struct(

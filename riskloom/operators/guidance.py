@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions import guidance as G
+from ..functions.reuse import built_once
 from ..functions.rules import severity_rank
 from ..functions.text import filled, language
 from .numbering import first_rows
@@ -39,26 +40,32 @@ def remediation(findings: DataFrame) -> DataFrame:
     )
 
 
+@built_once
+def _scenario_columns() -> tuple[Column, Column, Column, dict[str, Column]]:
+    kind, title, evidence = F.col("simulation_type"), F.col("title"), F.col("evidence")
+    about_tool = kind.isin("tool_abuse", "approval_bypass", "audit_gap")
+    return (
+        severity_rank(F.col("severity")) >= 2, G.scenario_type(F.col("category")),
+        F.when(about_tool, G.scenario_tool(title, evidence)),
+        {
+            "capability": F.when(kind == "tool_abuse", G.capability(F.col("tool"))),
+            "priority_score": G.scenario_priority(F.col("severity"), F.col("category")),
+            "_t": _by_kind(kind, fv.SCENARIO_TEXTS),
+            "scenario_title": G.scenario_title(kind, F.col("tool"), G.scenario_secret(title, evidence)),
+        },
+    )
+
+
 def scenarios(findings: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
     """Risk triage: the first 8 findings of Medium or above, ranked by priority.
 
     Needs ids, evidence and texts. `ord` is the rank inside the unit: priority first, finding
     order on ties.
     """
-    kind = G.scenario_type(F.col("category"))
-    usable = findings.filter(severity_rank(F.col("severity")) >= 2).withColumn("simulation_type", kind).filter(
-        F.col("simulation_type").isNotNull()
-    )
+    serious, kind, tool, rest = _scenario_columns()
+    usable = findings.filter(serious).withColumn("simulation_type", kind).filter(F.col("simulation_type").isNotNull())
     first = first_rows(usable, keys, [*POSITION, "title"], fv.SCENARIOS_KEPT, "_seq")
-    tool = G.scenario_tool(F.col("title"), F.col("evidence"))
-    out = (
-        first.withColumn("tool", F.when(F.col("simulation_type").isin("tool_abuse", "approval_bypass", "audit_gap"), tool))
-        .withColumn("capability", F.when(F.col("simulation_type") == "tool_abuse", G.capability(F.col("tool"))))
-        .withColumn("priority_score", G.scenario_priority(F.col("severity"), F.col("category")))
-        .withColumn("_t", _by_kind(F.col("simulation_type"), fv.SCENARIO_TEXTS))
-        .withColumn("scenario_title", G.scenario_title(
-            F.col("simulation_type"), F.col("tool"), G.scenario_secret(F.col("title"), F.col("evidence"))))
-    )
+    out = first.withColumn("tool", tool).withColumns(rest)
     ranked = first_rows(out, keys, [F.desc("priority_score"), F.asc("_seq")], fv.SCENARIOS_KEPT, "ord")
     return ranked.select(
         *keys, "ord", F.col("id").alias("finding_id"), "scenario_title", "simulation_type",
@@ -70,22 +77,30 @@ def scenarios(findings: DataFrame, keys: Sequence[str] = ("project_id",)) -> Dat
     )
 
 
-def fixes(findings: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
-    """The first 8 findings that call for a known kind of fix, with all that describes the fix."""
+@built_once
+def _fix_columns() -> tuple[Column, dict[str, Column], list]:
     title, evidence, kind = F.col("title"), F.col("evidence"), F.col("patch_type")
-    usable = findings.withColumn("patch_type", G.fix_type(F.col("category"), title)).filter(kind.isNotNull())
-    first = first_rows(usable, keys, [*POSITION, "title"], fv.FIXES_KEPT, "ord")
-    texts = _by_kind(kind, fv.FIX_TEXTS, fv.FIX_TEXT_DEFAULT)
-    out = first.withColumn("confidence", G.fix_confidence(kind, F.col("path"))).withColumn("_t", texts)
-    return out.select(
-        *keys, "ord", F.col("id").alias("finding_id"),
+    described = {
+        "confidence": G.fix_confidence(kind, F.col("path")), "_t": _by_kind(kind, fv.FIX_TEXTS, fv.FIX_TEXT_DEFAULT),
+    }
+    shown = [
+        "ord", F.col("id").alias("finding_id"),
         G.fix_title(kind, G.fix_tool(title, evidence), G.fix_secret(title, evidence)).alias("fix_title"),
         "patch_type", "path", "line_no", language(F.col("path")).alias("language"),
         G.fix_file(F.col("id"), kind).alias("patch_filename"), "confidence",
         G.fix_effort(kind, F.col("confidence")).alias("estimated_effort"),
         F.col("_t.t0").alias("affected_controls"), F.col("_t.t1").alias("risk_reduction"),
         F.concat(F.col("_t.t2"), _texts(fv.FIX_COMMON_STEPS)).alias("validation_steps"),
-    )
+    ]
+    return G.fix_type(F.col("category"), title), described, shown
+
+
+def fixes(findings: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
+    """The first 8 findings that call for a known kind of fix, with all that describes the fix."""
+    kind, described, shown = _fix_columns()
+    usable = findings.withColumn("patch_type", kind).filter(F.col("patch_type").isNotNull())
+    first = first_rows(usable, keys, [*POSITION, "title"], fv.FIXES_KEPT, "ord")
+    return first.withColumns(described).select(*keys, *shown)
 
 
 def _first_per(findings: DataFrame, keys: Sequence[str], item: Column, lead: Sequence[Column] = ()) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .. import fixed_values as fv
 from ..functions import rules as R
 from ..functions.nearby import window
+from ..functions.reuse import built_once
 from ..functions.text import (
     any_of, base_name, contains_any, evidence, extension, lines_of, squeezed, trimmed, whole_words,
 )
@@ -117,27 +118,12 @@ def _secret_facts() -> Column:
     return F.filter(F.transform("_lower", hit), lambda c: c.isNotNull())
 
 
-def facts(files: DataFrame, keys: Sequence[str] = ("project_id",), rules: Sequence[str] = ALL_RULES) -> DataFrame:
-    """The lines of each file that can lead to a finding, with the controls shown around them.
-
-    Cheap tests come first: a line is only matched against patterns when it contains one of a few
-    root words, and controls are only looked for in files that have a risky line.
-    """
+@built_once
+def _file_columns(rules: frozenset[str]) -> tuple[list[Column], list[Column], dict[str, Column], Column, Column, Column]:
     text, ext = F.col("text"), F.col("_ext")
-    code_rules = {"tool", "data", "framework", "approval", "audit"} & set(rules)
+    code_rules = {"tool", "data", "framework", "approval", "audit"} & rules
     is_code = ext.isin(fv.CODE_EXTENSIONS) if code_rules else F.lit(False)
     may_leak = (F.col("_odd") | contains_any(F.col("_low"), fv.SECRET_ROOTS)) if "secret" in rules else F.lit(False)
-    base = (
-        files.select(*keys, "path", "text", extension(F.col("path")).alias("_ext"), F.lower("text").alias("_low"),
-                     contains_any(text, fv.ODD_LETTERS).alias("_odd"))
-        .select("*", is_code.alias("_code"), may_leak.alias("_leak"))
-        .withColumns({
-            "_lines": F.when(F.col("_code") | F.col("_leak"), lines_of(text)),
-        })
-        .withColumn("_lower", F.transform("_lines", F.lower))
-        .withColumn("_found", F.when(F.col("_code"), _candidates()))
-        .withColumn("_bits", F.when(F.size("_found") > 0, _line_bits()))
-    )
     parts = [F.when(F.size("_found") > 0, _code_facts()).otherwise(_none())]
     if "secret" in rules:
         parts.append(F.when(F.col("_leak"), _secret_facts()).otherwise(_none()))
@@ -150,7 +136,33 @@ def facts(files: DataFrame, keys: Sequence[str] = ("project_id",), rules: Sequen
         named = ext.isin(".txt", ".md") & F.lower(base_name(F.col("path"))).contains("prompt") & (trimmed(text) != "")
         fact = _fact(kind=F.lit("prompt"), line_no=F.lit(1), line=first_line)
         parts.append(F.when(named, F.array(fact)).otherwise(_none()))
-    return base.select(*keys, "path", F.inline(F.concat(*parts)))
+    return (
+        [extension(F.col("path")).alias("_ext"), F.lower("text").alias("_low"),
+         contains_any(text, fv.ODD_LETTERS).alias("_odd")],
+        [is_code.alias("_code"), may_leak.alias("_leak")],
+        {"_lines": F.when(F.col("_code") | F.col("_leak"), lines_of(text))},
+        F.when(F.col("_code"), _candidates()),
+        F.when(F.size("_found") > 0, _line_bits()),
+        F.inline(F.concat(*parts)),
+    )
+
+
+def facts(files: DataFrame, keys: Sequence[str] = ("project_id",), rules: Sequence[str] = ALL_RULES) -> DataFrame:
+    """The lines of each file that can lead to a finding, with the controls shown around them.
+
+    Cheap tests come first: a line is only matched against patterns when it contains one of a few
+    root words, and controls are only looked for in files that have a risky line.
+    """
+    of_path, needs, lines, found, bits, out = _file_columns(frozenset(rules))
+    return (
+        files.select(*keys, "path", "text", *of_path)
+        .select("*", *needs)
+        .withColumns(lines)
+        .withColumn("_lower", F.transform("_lines", F.lower))
+        .withColumn("_found", found)
+        .withColumn("_bits", bits)
+        .select(*keys, "path", out)
+    )
 
 
 def sensitive_keys(text: Column) -> Column:
@@ -197,74 +209,88 @@ def _finding(when: Column, **values) -> Column:
     return F.when(when, F.struct(*cols))
 
 
-def scan(files: DataFrame, keys: Sequence[str] = ("project_id",), rules: Sequence[str] = ALL_RULES) -> DataFrame:
-    """All findings of all files.
-
-    Columns: keys, path, line_no, evidence, stage, sub_ord, rule, title, severity, category,
-    subject, keyword, partial. A file yields at most one finding per (category, line, title), so
-    with one row per (keys, path) the result is already free of repeats.
-    """
-    rows = facts(files, keys, rules)
+@built_once
+def _line_columns(with_json: bool) -> tuple[list[Column], dict[str, Column]]:
     fn, line = F.col("fn"), F.col("line")
-    rows = rows.select(
-        *keys, "path", "kind", "line_no", "line", "fn", "framework",
+    first = [
         *[_near(name).alias(f"near_{name}") for name in _CONTROLS],
         R.tool_word(fn).alias("_word"), R.data_word(fn).alias("_data_word"),
         F.when(F.col("framework").isNotNull(), R.framework_word(line)).alias("_fw_word"),
-        *([sensitive_keys(F.col("json_text")).alias("_json")] if "json" in rules else []),
-    ).withColumns({
+        *([sensitive_keys(F.col("json_text")).alias("_json")] if with_json else []),
+    ]
+    second = {
         "_tool": R.eased_severity(
             R.tool_tier(F.col("_word")), F.col("near_approval"), F.col("near_audit"), F.col("near_wrapper")),
         "_data": F.when(~F.col("near_masking"), F.col("_data_word")),
         "_fw": F.when(~F.col("near_framework_approval"), R.framework_severity(F.col("_fw_word"))),
-    })
-    is_json = F.col("kind") == "json"
-    tool_title, fw_title = _title("tool", fn), _title("framework", F.col("framework"))
+    }
+    return first, second
+
+
+@built_once
+def _finding_columns(rules: frozenset[str]) -> list[Column]:
+    fn, line, framework = F.col("fn"), F.col("line"), F.col("framework")
+    tool_title, fw_title = _title("tool", fn), _title("framework", framework)
     no_gate, no_trail = ~F.col("near_approval_gate"), ~F.col("near_audit_trail")
     has_tool, has_fw = F.col("_tool").isNotNull(), F.col("_fw").isNotNull()
-    partial = F.col("near_approval") | F.col("near_audit")
     tools = dict(category="Tool Permission Risk")
     approvals = dict(rule="approval", category="Human Approval Risk", sub_ord=0)
     audits = dict(rule="audit", category="Auditability Risk", sub_ord=0)
     made = {
-        "secret": [_finding(F.col("kind") == "secret", stage=0, sub_ord=0, rule="secret",
-                            title=_title("secret", R.secret_name(line)), severity=R.secret_severity(line),
-                            category="Secret Exposure Risk", subject=R.secret_name(line))],
-        "prompt": [_finding(F.col("kind") == "prompt", stage=0, sub_ord=1, rule="prompt", title=fv.PROMPT_TITLE,
-                            severity="Medium", category="Prompt Injection Risk", subject=base_name(F.col("path")))],
-        "tool": [_finding(has_tool, stage=1, sub_ord=0, rule="tool", title=tool_title, severity=F.col("_tool"),
-                          subject=fn, keyword=F.col("_word"), partial=partial, **tools)],
-        "data": [_finding(F.col("_data").isNotNull(), stage=1, sub_ord=1, rule="data", title=_title("data", fn),
-                          severity="High", category="Data Exposure Risk", subject=fn, keyword=F.col("_data"))],
-        "json": [_finding(is_json & (F.size("_json") > 0) if "json" in rules else F.lit(False),
-                          stage=1, sub_ord=0, rule="json", title=fv.JSON_TITLE, severity="Medium",
-                          category="Data Exposure Risk",
-                          keyword=F.array_join(F.transform("_json", lambda k: F.concat(F.lit("'"), k, F.lit("'"))), ", ")
-                          if "json" in rules else None)],
-        "framework": [_finding(has_fw, stage=2, sub_ord=0, rule="framework", title=fw_title, severity=F.col("_fw"),
-                               subject=F.col("framework"), keyword=F.col("_fw_word"), **tools)],
-        "approval": [
+        "secret": lambda: [
+            _finding(F.col("kind") == "secret", stage=0, sub_ord=0, rule="secret",
+                     title=_title("secret", R.secret_name(line)), severity=R.secret_severity(line),
+                     category="Secret Exposure Risk", subject=R.secret_name(line))],
+        "prompt": lambda: [
+            _finding(F.col("kind") == "prompt", stage=0, sub_ord=1, rule="prompt", title=fv.PROMPT_TITLE,
+                     severity="Medium", category="Prompt Injection Risk", subject=base_name(F.col("path")))],
+        "tool": lambda: [
+            _finding(has_tool, stage=1, sub_ord=0, rule="tool", title=tool_title, severity=F.col("_tool"), subject=fn,
+                     keyword=F.col("_word"), partial=F.col("near_approval") | F.col("near_audit"), **tools)],
+        "data": lambda: [
+            _finding(F.col("_data").isNotNull(), stage=1, sub_ord=1, rule="data", title=_title("data", fn),
+                     severity="High", category="Data Exposure Risk", subject=fn, keyword=F.col("_data"))],
+        "json": lambda: [
+            _finding((F.col("kind") == "json") & (F.size("_json") > 0), stage=1, sub_ord=0, rule="json",
+                     title=fv.JSON_TITLE, severity="Medium", category="Data Exposure Risk",
+                     keyword=F.concat(F.lit("'"), F.array_join("_json", "', '"), F.lit("'")))],
+        "framework": lambda: [
+            _finding(has_fw, stage=2, sub_ord=0, rule="framework", title=fw_title, severity=F.col("_fw"),
+                     subject=framework, keyword=F.col("_fw_word"), **tools)],
+        "approval": lambda: [
             _finding(has_tool & no_gate, stage=3, title=_title("approval", tool_title), severity=F.col("_tool"),
                      subject=fn, **approvals),
             _finding(has_fw & no_gate, stage=4, title=_title("approval", fw_title), severity=F.col("_fw"),
-                     subject=F.col("framework"), **approvals),
-        ],
-        "audit": [
+                     subject=framework, **approvals)],
+        "audit": lambda: [
             _finding(has_tool & no_trail, stage=5, title=_title("audit", tool_title),
                      severity=R.audit_severity(F.col("_tool")), subject=fn, **audits),
             _finding(has_fw & no_trail, stage=6, title=_title("audit", fw_title),
-                     severity=R.audit_severity(F.col("_fw")), subject=F.col("framework"), **audits),
-        ],
+                     severity=R.audit_severity(F.col("_fw")), subject=framework, **audits)],
     }
-    structs = [struct for rule in ALL_RULES if rule in rules for struct in made[rule]]
+    structs = [struct for rule in ALL_RULES if rule in rules for struct in made[rule]()]
+    return [evidence(line).alias("evidence"), F.inline(F.array(*structs))]
+
+
+def scan(files: DataFrame, keys: Sequence[str] = ("project_id",), rules: Sequence[str] = ALL_RULES) -> DataFrame:
+    """All findings of all files.
+
+    Columns: keys, path, line_no, evidence, stage, sub_ord, rule, title, severity, category,
+    subject, keyword, partial. A file yields at most one finding per (category, line, title), so
+    with one row per (keys, path) the result is already free of repeats.
+    """
+    first, second = _line_columns("json" in rules)
     return (
-        rows.select(*keys, "path", "line_no", evidence(line).alias("evidence"), F.inline(F.array(*structs)))
+        facts(files, keys, rules)
+        .select(*keys, "path", "kind", "line_no", "line", "fn", "framework", *first)
+        .withColumns(second)
+        .select(*keys, "path", "line_no", *_finding_columns(frozenset(rules)))
         .filter(F.col("rule").isNotNull())
     )
 
 
-def with_texts(findings: DataFrame) -> DataFrame:
-    """Adds why_it_matters and suggested_fix, written out from the finding's rule and subject."""
+@built_once
+def _text_columns() -> dict[str, Column]:
     subject, keyword, rule = F.col("subject"), F.col("keyword"), F.col("rule")
     whole_tool = (rule == "tool") & ~F.col("partial")
     why = (
@@ -289,19 +315,27 @@ def with_texts(findings: DataFrame) -> DataFrame:
         .when(rule == "secret", fv.SECRET_FIX)
         .when(rule == "prompt", fv.PROMPT_FIX)
     )
-    return findings.withColumn("why_it_matters", why).withColumn("suggested_fix", fix)
+    return {"why_it_matters": why, "suggested_fix": fix}
+
+
+def with_texts(findings: DataFrame) -> DataFrame:
+    """Adds why_it_matters and suggested_fix, written out from the finding's rule and subject."""
+    return findings.withColumns(_text_columns())
 
 
 def definitions(files: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
     """Every function definition in code files, with the words its name carries."""
-    ext = extension(F.col("path"))
-    lines = (
-        files.filter(ext.isin(fv.CODE_EXTENSIONS))
-        .select(*keys, "path", ext.alias("_ext"), F.posexplode(lines_of(F.col("text"))).alias("_pos", "line"))
+    code, ext, lines, line_no, fn, words = _definition_columns()
+    named = files.filter(code).select(*keys, "path", ext, lines).select(*keys, "path", line_no, fn)
+    return named.filter(F.col("fn") != "").select("*", *words)
+
+
+@built_once
+def _definition_columns() -> tuple:
+    ext, fn = extension(F.col("path")), F.col("fn")
+    word = R.tool_word(fn)
+    return (
+        ext.isin(fv.CODE_EXTENSIONS), ext.alias("_ext"), F.posexplode(lines_of(F.col("text"))).alias("_pos", "line"),
+        (F.col("_pos") + 1).alias("line_no"), R.definition_name(F.col("line"), F.col("_ext")).alias("fn"),
+        [word.alias("tool_word"), R.tool_tier(word).alias("tool_tier"), R.data_word(fn).alias("data_word")],
     )
-    named = lines.select(
-        *keys, "path", (F.col("_pos") + 1).alias("line_no"),
-        R.definition_name(F.col("line"), F.col("_ext")).alias("fn"),
-    ).filter(F.col("fn") != "")
-    word = R.tool_word(F.col("fn"))
-    return named.select("*", word.alias("tool_word"), R.tool_tier(word).alias("tool_tier"), R.data_word(F.col("fn")).alias("data_word"))

@@ -8,41 +8,44 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions import rules as R
+from ..functions.reuse import built_once
 
 KEYS = list(fv.CATEGORY_WEIGHTS)
 SEVERITIES = list(fv.SEVERITY_RANKS)
 
 
-def facts(findings: DataFrame, units: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
-    """Everything later steps need to know about a unit, in one exchange.
-
-    `units` lists the units, repeats allowed; it only makes sure that a unit without findings
-    gets its row. Output: counts per severity, `score_<category>` (capped at 100), `n_<category>`,
-    the blocker counts and the strongest prompt finding.
-    """
+@built_once
+def _columns() -> tuple[list[Column], list[Column]]:
     category, severity = F.col("category"), F.col("severity")
-    lower = F.lower(category)
-    rank, weight = R.severity_rank(severity), R.severity_weight(severity)
-    rows = (
-        findings.select(
-            *keys, R.normal_category(category).alias("_normal"), lower.alias("_category"),
-            F.lower(severity).alias("_severity"), rank.alias("_rank"), weight.alias("_weight"),
-            category.alias("_exact"),
-        )
-        .unionByName(units.select(*keys), allowMissingColumns=True)
-    )
+    per_finding = [
+        R.normal_category(category).alias("_normal"), F.lower(category).alias("_category"), category.alias("_exact"),
+        F.lower(severity).alias("_severity"), R.severity_rank(severity).alias("_rank"),
+        R.severity_weight(severity).alias("_weight"),
+    ]
     aggs: list[Column] = [F.count_if(F.col("_severity") == s).alias(f"n_{s}") for s in SEVERITIES]
     for name, key in fv.CATEGORY_KEYS.items():
-        mine = F.col("_normal") == name
-        total = F.coalesce(F.sum(F.when(mine, F.col("_weight"))), F.lit(0))
+        total = F.coalesce(F.sum(F.when(F.col("_normal") == name, F.col("_weight"))), F.lit(0))
         aggs.append(F.least(total, F.lit(100)).cast("int").alias(f"score_{key}"))
         aggs.append(F.count_if(F.col("_exact") == name).alias(f"n_{key}"))
+    mentions, high = F.col("_category").contains, F.col("_rank") >= 3
     aggs += [
-        F.count_if(F.col("_category").contains("secret exposure")).alias("blocking_secrets"),
-        F.count_if(F.col("_category").contains("human approval") & (F.col("_rank") >= 3)).alias("blocking_approvals"),
-        F.count_if(F.col("_category").contains("tool permission") & (F.col("_rank") >= 3)).alias("blocking_tools"),
+        F.count_if(mentions("secret exposure")).alias("blocking_secrets"),
+        F.count_if(mentions("human approval") & high).alias("blocking_approvals"),
+        F.count_if(mentions("tool permission") & high).alias("blocking_tools"),
         F.coalesce(F.max(F.when(F.col("_exact") == "Prompt Injection Risk", F.col("_rank"))), F.lit(0)).alias("prompt_rank"),
     ]
+    return per_finding, aggs
+
+
+def facts(findings: DataFrame, units: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
+    """Everything later steps need to know about a unit, in one exchange.
+
+    `units` lists the units, repeats allowed; it only makes sure that a unit without findings
+    gets its row. Output: counts per severity, `score_<category>` (capped at 100), `n_<category>`,
+    the blocker counts and the strongest prompt finding.
+    """
+    per_finding, aggs = _columns()
+    rows = findings.select(*keys, *per_finding).unionByName(units.select(*keys), allowMissingColumns=True)
     return rows.groupBy(*keys).agg(*aggs)
 
 
@@ -59,9 +62,15 @@ def safety(risk: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), F.rint(F.lit(100.0) - risk).cast("int")))
 
 
+@built_once
+def _score_columns() -> tuple[Column, Column]:
+    return safety(overall_risk()), R.status_of(F.col("safety_score"))
+
+
 def scored(unit_facts: DataFrame) -> DataFrame:
     """Adds safety_score and status."""
-    return unit_facts.withColumn("safety_score", safety(overall_risk())).withColumn("status", R.status_of(F.col("safety_score")))
+    safety_score, status = _score_columns()
+    return unit_facts.withColumn("safety_score", safety_score).withColumn("status", status)
 
 
 def category_rows(unit_facts: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
@@ -73,6 +82,7 @@ def category_rows(unit_facts: DataFrame, keys: Sequence[str] = ("project_id",))
     return unit_facts.select(*keys, F.inline(each))
 
 
+@built_once
 def top_categories(n: int) -> Column:
     """Labels of the n highest category scores; category order decides ties."""
     ranked = F.array_sort(F.array(*[

@@ -539,7 +539,7 @@ def entry_name_sql() -> str:
         "CASE l_partkey % 17 WHEN 0 THEN 'src/node_modules/a.js' WHEN 1 THEN 'yarn.lock' WHEN 2 THEN 'src/dir/' "
         "WHEN 3 THEN 'a/b/c/d/e/f/g.py' WHEN 4 THEN '../up.py' WHEN 5 THEN 'img/logo.png' WHEN 6 THEN '.env' "
         "WHEN 7 THEN 'conf/prod.env' WHEN 8 THEN 'a/../../b.py' WHEN 9 THEN 'README.MD' WHEN 10 THEN '/etc/x.txt' "
-        "WHEN 11 THEN 'win\\dist\\x.js' ELSE 'src/m' || l_suppkey || '.py' END"
+        "WHEN 11 THEN 'win' || chr(92) || 'dist' || chr(92) || 'x.js' ELSE 'src/m' || l_suppkey || '.py' END"
     )
 
 
@@ -562,7 +562,7 @@ def unpacked_archives(spark, sf_dir):
     """Every document packed into a ZIP of its own (some with a blocked or broken archive), unpacked again."""
     import pandas as pd
 
-    def pack(ids: pd.Series, texts: pd.Series) -> pd.Series:
+    def pack(ids, texts):
         import io
         import zipfile
 
@@ -579,6 +579,7 @@ def unpacked_archives(spark, sf_dir):
 
         return pd.Series([one(i, t) for i, t in zip(ids, texts)])
 
+    pack.__annotations__ = {"ids": pd.Series, "texts": pd.Series, "return": pd.Series}
     zipped = F.pandas_udf(pack, "binary")(F.col("doc_id"), F.col("text"))
     packed = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("archive_id"), zipped.alias("content"))
     sized = packed.withColumn("archive_bytes", F.length("content").cast("bigint"))

@@ -175,7 +175,7 @@ def _history_cte() -> str:
     user = "CAST(regexp_extract(unit, '^u([0-9]+)-', 1) AS BIGINT)"
     return _base("snapshot") + _facts_cte() + _gate_cte(f"scr CROSS JOIN {_policy_rows({'default': {}})}") + f""", rep AS (
   SELECT unit AS id, 'owner' || ({user} % 10) AS user_id, 'p' || ({user} // 2) AS project_name, 'upload' AS scan_type,
-    {user} AS usr, TIMESTAMP '{corpus.FIRST_DAY} 08:00:00' + to_minutes(CAST({week} * 8640 + {user} % 7 AS INTEGER)) AS at, safety_score, status, decision,
+    {user} AS usr, TIMESTAMP '{corpus.FIRST_DAY} 08:00:00' + to_minutes(CAST({week} * 8640 + {user} % 7 AS INTEGER)) AS seen_at, safety_score, status, decision,
     n_critical || '/' || n_high || '/' || n_medium || '/' || n_low AS summary
   FROM jdg
 )"""
@@ -389,10 +389,10 @@ SELECT {unit}, policy_id, {_case('decision', fv.DECISION_BADGES)} AS decision_ba
 SELECT {unit}, CASE WHEN {number} % 4 = 0 THEN 'REVIEW' WHEN safety_score >= 80 THEN 'ALLOW' WHEN safety_score >= 60 THEN 'REVIEW' ELSE 'BLOCK' END AS decision,
   {band('tool_permission')} AS tool_band, {band('data_exposure')} AS data_band FROM scr"""
 
-    out["report_cards"] = hist + " SELECT id, project_name, scan_type, safety_score, status, summary, strftime(at, '%Y-%m-%d %H:%M:%S') AS created_at FROM rep"
-    out["history_figures"] = hist + " SELECT user_id, count(*) AS reports, arg_max(safety_score, (at, id)) AS latest_score, count(*) FILTER (decision = 'BLOCK') AS blocked FROM rep GROUP BY user_id"
-    out["score_series"] = hist + """ SELECT project_name, strftime(date_trunc('minute', at), '%Y-%m-%d %H:%M') AS minute, arg_max(safety_score, (at, id)) AS safety_score FROM rep GROUP BY 1, 2"""
-    out["score_changes"] = hist + " SELECT id, project_name, safety_score, safety_score - lag(safety_score) OVER (PARTITION BY user_id, project_name ORDER BY at, id) AS score_delta FROM rep"
+    out["report_cards"] = hist + " SELECT id, project_name, scan_type, safety_score, status, summary, strftime(seen_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM rep"
+    out["history_figures"] = hist + " SELECT user_id, count(*) AS reports, arg_max(safety_score, (seen_at, id)) AS latest_score, count(*) FILTER (decision = 'BLOCK') AS blocked FROM rep GROUP BY user_id"
+    out["score_series"] = hist + """ SELECT project_name, strftime(date_trunc('minute', seen_at), '%Y-%m-%d %H:%M') AS minute, arg_max(safety_score, (seen_at, id)) AS safety_score FROM rep GROUP BY 1, 2"""
+    out["score_changes"] = hist + " SELECT id, project_name, safety_score, safety_score - lag(safety_score) OVER (PARTITION BY user_id, project_name ORDER BY seen_at, id) AS score_delta FROM rep"
     out["grouped_reports"] = hist + """
 SELECT group_id, count(*) AS reports, CAST(sum(safety_score) AS BIGINT) AS score_sum FROM (
   SELECT 'g3' AS group_id, * FROM rep WHERE usr % 3 = 0 UNION ALL SELECT 'g5', * FROM rep WHERE usr % 5 = 0) GROUP BY 1"""
@@ -402,7 +402,7 @@ SELECT group_id, count(*) AS reports, CAST(sum(safety_score) AS BIGINT) AS score
     out["exported_reports"] = one + f"""
 SELECT {unit}, safety_score, status, CAST(n_critical AS INTEGER) AS critical, score_tool_permission AS tool_permission, decision, CAST(len(blockers) AS INTEGER) AS n_blockers FROM jdg"""
     out["streamed_reports"] = one + f" SELECT {unit}, safety_score, status, decision FROM jdg"
-    out["daily_scores"] = hist + " SELECT strftime(at, '%Y-%m-%d') AS day, project_name, count(*) AS reports, min(safety_score) AS lowest, max(safety_score) AS highest FROM rep GROUP BY 1, 2"
+    out["daily_scores"] = hist + " SELECT strftime(seen_at, '%Y-%m-%d') AS day, project_name, count(*) AS reports, min(safety_score) AS lowest, max(safety_score) AS highest FROM rep GROUP BY 1, 2"
     out["validated_findings"] = """
 SELECT event_id, CASE WHEN event_id % 8 >= 4 THEN 'valid' ELSE 'quarantined' END AS outcome, CASE WHEN event_id % 8 >= 4 THEN 't' || event_id END AS title,
   CASE event_id % 8 WHEN 0 THEN 'not json' WHEN 1 THEN 'category is not a text' WHEN 2 THEN 'title is not a text' WHEN 3 THEN 'line is not a whole number' ELSE event_type END AS category,
