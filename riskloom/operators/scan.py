@@ -12,6 +12,7 @@ not matter here, and the same code runs on a streaming DataFrame.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -196,95 +197,107 @@ def _title(kind: str, *parts: Column) -> Column:
     return F.format_string(fv.TITLES[kind], *parts)
 
 
-def _finding(when: Column, **values) -> Column:
+_FINDING = {
+    "stage": "int", "sub_ord": "int", "rule": "string", "severity": "string", "category": "string",
+    "title": "string", "subject": "string", "keyword": "string", "partial": "boolean",
+}
+# What scores, counts and gates need; leaving the rest out keeps their plans small.
+_BRIEF = ("stage", "sub_ord", "rule", "severity", "category")
+
+
+def _finding(fields: Sequence[str], when: Column, **values) -> Column:
     """A finding as a struct, null unless `when` holds."""
-    types = {
-        "stage": "int", "sub_ord": "int", "rule": "string", "title": "string", "severity": "string",
-        "category": "string", "subject": "string", "keyword": "string", "partial": "boolean",
-    }
-    cols = [
-        (v if isinstance(v, Column) else F.lit(v)).cast(types[k]).alias(k)
-        for k, v in ((k, values.get(k)) for k in types)
-    ]
+    cols = []
+    for k in fields:
+        v = values.get(k)
+        v = v if isinstance(v, Column) else F.lit(v)
+        cols.append((v.cast(_FINDING[k]) if values.get(k) is None else v).alias(k))
     return F.when(when, F.struct(*cols))
 
 
 @built_once
-def _line_columns(with_json: bool) -> tuple[list[Column], dict[str, Column]]:
-    fn, line = F.col("fn"), F.col("line")
-    first = [
-        *[_near(name).alias(f"near_{name}") for name in _CONTROLS],
-        R.tool_word(fn).alias("_word"), R.data_word(fn).alias("_data_word"),
-        F.when(F.col("framework").isNotNull(), R.framework_word(line)).alias("_fw_word"),
-        *([sensitive_keys(F.col("json_text")).alias("_json")] if with_json else []),
-    ]
+def _line_columns(with_json: bool, brief: bool) -> list[dict[str, Column]]:
+    fn, line, framework, is_secret = F.col("fn"), F.col("line"), F.col("framework"), F.col("kind") == "secret"
+    first = {f"near_{name}": _near(name) for name in _CONTROLS} | {
+        "_word": R.tool_word(fn), "_data_word": R.data_word(fn),
+        "_fw_word": F.when(framework.isNotNull(), R.framework_word(line)),
+        "_secret": F.when(is_secret, R.secret_severity(line)),
+    }
     second = {
         "_tool": R.eased_severity(
             R.tool_tier(F.col("_word")), F.col("near_approval"), F.col("near_audit"), F.col("near_wrapper")),
         "_data": F.when(~F.col("near_masking"), F.col("_data_word")),
         "_fw": F.when(~F.col("near_framework_approval"), R.framework_severity(F.col("_fw_word"))),
     }
-    return first, second
+    if with_json:
+        first["_json"] = sensitive_keys(F.col("json_text"))
+    if not brief:
+        first["_secret_name"] = F.when(is_secret, R.secret_name(line))
+        second["_tool_title"] = _title("tool", fn)
+        second["_fw_title"] = _title("framework", framework)
+    return [first, second]
 
 
 @built_once
-def _finding_columns(rules: frozenset[str]) -> list[Column]:
-    fn, line, framework = F.col("fn"), F.col("line"), F.col("framework")
-    tool_title, fw_title = _title("tool", fn), _title("framework", framework)
+def _finding_columns(rules: frozenset[str], brief: bool) -> Column:
+    fn, framework = F.col("fn"), F.col("framework")
+    tool_title, fw_title = F.col("_tool_title"), F.col("_fw_title")
     no_gate, no_trail = ~F.col("near_approval_gate"), ~F.col("near_audit_trail")
     has_tool, has_fw = F.col("_tool").isNotNull(), F.col("_fw").isNotNull()
+    name, sensitive = F.col("_secret_name"), F.concat(F.lit("'"), F.array_join("_json", "', '"), F.lit("'"))
     tools = dict(category="Tool Permission Risk")
     approvals = dict(rule="approval", category="Human Approval Risk", sub_ord=0)
     audits = dict(rule="audit", category="Auditability Risk", sub_ord=0)
+    make = partial(_finding, _BRIEF if brief else tuple(_FINDING))
     made = {
         "secret": lambda: [
-            _finding(F.col("kind") == "secret", stage=0, sub_ord=0, rule="secret",
-                     title=_title("secret", R.secret_name(line)), severity=R.secret_severity(line),
-                     category="Secret Exposure Risk", subject=R.secret_name(line))],
+            make(F.col("_secret").isNotNull(), stage=0, sub_ord=0, rule="secret", title=_title("secret", name),
+                 severity=F.col("_secret"), category="Secret Exposure Risk", subject=name)],
         "prompt": lambda: [
-            _finding(F.col("kind") == "prompt", stage=0, sub_ord=1, rule="prompt", title=fv.PROMPT_TITLE,
-                     severity="Medium", category="Prompt Injection Risk", subject=base_name(F.col("path")))],
+            make(F.col("kind") == "prompt", stage=0, sub_ord=1, rule="prompt", title=fv.PROMPT_TITLE,
+                 severity="Medium", category="Prompt Injection Risk", subject=base_name(F.col("path")))],
         "tool": lambda: [
-            _finding(has_tool, stage=1, sub_ord=0, rule="tool", title=tool_title, severity=F.col("_tool"), subject=fn,
-                     keyword=F.col("_word"), partial=F.col("near_approval") | F.col("near_audit"), **tools)],
+            make(has_tool, stage=1, sub_ord=0, rule="tool", title=tool_title, severity=F.col("_tool"), subject=fn,
+                 keyword=F.col("_word"), partial=F.col("near_approval") | F.col("near_audit"), **tools)],
         "data": lambda: [
-            _finding(F.col("_data").isNotNull(), stage=1, sub_ord=1, rule="data", title=_title("data", fn),
-                     severity="High", category="Data Exposure Risk", subject=fn, keyword=F.col("_data"))],
+            make(F.col("_data").isNotNull(), stage=1, sub_ord=1, rule="data", title=_title("data", fn),
+                 severity="High", category="Data Exposure Risk", subject=fn, keyword=F.col("_data"))],
         "json": lambda: [
-            _finding((F.col("kind") == "json") & (F.size("_json") > 0), stage=1, sub_ord=0, rule="json",
-                     title=fv.JSON_TITLE, severity="Medium", category="Data Exposure Risk",
-                     keyword=F.concat(F.lit("'"), F.array_join("_json", "', '"), F.lit("'")))],
+            make((F.col("kind") == "json") & (F.size("_json") > 0), stage=1, sub_ord=0, rule="json",
+                 title=fv.JSON_TITLE, severity="Medium", category="Data Exposure Risk", keyword=sensitive)],
         "framework": lambda: [
-            _finding(has_fw, stage=2, sub_ord=0, rule="framework", title=fw_title, severity=F.col("_fw"),
-                     subject=framework, keyword=F.col("_fw_word"), **tools)],
+            make(has_fw, stage=2, sub_ord=0, rule="framework", title=fw_title, severity=F.col("_fw"),
+                 subject=framework, keyword=F.col("_fw_word"), **tools)],
         "approval": lambda: [
-            _finding(has_tool & no_gate, stage=3, title=_title("approval", tool_title), severity=F.col("_tool"),
-                     subject=fn, **approvals),
-            _finding(has_fw & no_gate, stage=4, title=_title("approval", fw_title), severity=F.col("_fw"),
-                     subject=framework, **approvals)],
+            make(has_tool & no_gate, stage=3, title=_title("approval", tool_title), severity=F.col("_tool"),
+                 subject=fn, **approvals),
+            make(has_fw & no_gate, stage=4, title=_title("approval", fw_title), severity=F.col("_fw"),
+                 subject=framework, **approvals)],
         "audit": lambda: [
-            _finding(has_tool & no_trail, stage=5, title=_title("audit", tool_title),
-                     severity=R.audit_severity(F.col("_tool")), subject=fn, **audits),
-            _finding(has_fw & no_trail, stage=6, title=_title("audit", fw_title),
-                     severity=R.audit_severity(F.col("_fw")), subject=framework, **audits)],
+            make(has_tool & no_trail, stage=5, title=_title("audit", tool_title),
+                 severity=R.audit_severity(F.col("_tool")), subject=fn, **audits),
+            make(has_fw & no_trail, stage=6, title=_title("audit", fw_title),
+                 severity=R.audit_severity(F.col("_fw")), subject=framework, **audits)],
     }
-    structs = [struct for rule in ALL_RULES if rule in rules for struct in made[rule]()]
-    return [evidence(line).alias("evidence"), F.inline(F.array(*structs))]
+    return F.inline(F.array(*[struct for rule in ALL_RULES if rule in rules for struct in made[rule]()]))
 
 
-def scan(files: DataFrame, keys: Sequence[str] = ("project_id",), rules: Sequence[str] = ALL_RULES) -> DataFrame:
+def scan(
+    files: DataFrame, keys: Sequence[str] = ("project_id",), rules: Sequence[str] = ALL_RULES, brief: bool = False
+) -> DataFrame:
     """All findings of all files.
 
-    Columns: keys, path, line_no, evidence, stage, sub_ord, rule, title, severity, category,
-    subject, keyword, partial. A file yields at most one finding per (category, line, title), so
-    with one row per (keys, path) the result is already free of repeats.
+    Columns: keys, path, line_no, evidence, stage, sub_ord, rule, severity, category, title,
+    subject, keyword, partial; the last four are left out when `brief`, which is enough for scores.
+    A file yields at most one finding per (category, line, title), so with one row per (keys, path)
+    the result is already free of repeats.
     """
-    first, second = _line_columns("json" in rules)
+    rows = facts(files, keys, rules)
+    for columns in _line_columns("json" in rules, brief):
+        rows = rows.withColumns(columns)
+    shown = [] if brief else [evidence(F.col("line")).alias("evidence")]
     return (
-        facts(files, keys, rules)
-        .select(*keys, "path", "kind", "line_no", "line", "fn", "framework", *first)
-        .withColumns(second)
-        .select(*keys, "path", "line_no", *_finding_columns(frozenset(rules)))
+        rows.select(*keys, "path", "line_no", *shown, _finding_columns(frozenset(rules), brief))
         .filter(F.col("rule").isNotNull())
     )
 

@@ -46,16 +46,16 @@ def _joined(items: Column) -> Column:
     return F.array_join(items, " | ")
 
 
-def _findings(spark: SparkSession, sf_dir: str, rules=ALL_RULES) -> DataFrame:
-    return scan(corpus.files(spark, sf_dir), rules=rules)
+def _findings(spark: SparkSession, sf_dir: str, rules=ALL_RULES, brief: bool = False) -> DataFrame:
+    return scan(corpus.files(spark, sf_dir), rules=rules, brief=brief)
 
 
-def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(corpus.files(spark, sf_dir, "snapshot"), keys=["report_id"])
+def _snapshot(spark: SparkSession, sf_dir: str, brief: bool = False) -> DataFrame:
+    return scan(corpus.files(spark, sf_dir, "snapshot"), keys=["report_id"], brief=brief)
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.facts(_findings(spark, sf_dir), corpus.units(spark, sf_dir))
+    return score.facts(_findings(spark, sf_dir, brief=True), corpus.units(spark, sf_dir))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored_snapshots(spark: SparkSession, sf_dir: str, findings: DataFrame | None = None) -> DataFrame:
-    rows = findings if findings is not None else _snapshot(spark, sf_dir)
+    rows = findings if findings is not None else _snapshot(spark, sf_dir, brief=True)
     return score.scored(score.facts(rows, corpus.units(spark, sf_dir, "snapshot"), ["report_id"]))
 
 

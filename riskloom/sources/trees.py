@@ -18,7 +18,8 @@ def decoded(content: Column) -> Column:
 def read_trees(spark: SparkSession, root: str) -> DataFrame:
     """files(project_id, path, text) below root/<project_id>/...
 
-    Unreadable and vanished files are passed over. The extension test runs on the listed path and
+    Unreadable and vanished files are passed over, and so are files of no bytes (the source does not
+    list them; they can hold no finding). The extension test runs on the listed path and
     the content column is the only one that is read.
     """
     found = (
@@ -31,7 +32,7 @@ def read_trees(spark: SparkSession, root: str) -> DataFrame:
 def from_binary(found: DataFrame, root: str) -> DataFrame:
     """Project, relative path and text of rows of the binaryFile source (batch or stream)."""
     base = root.split("://", 1)[-1].removeprefix("file:").rstrip("/")
-    path = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
+    path = F.col("path")
     below = F.substring_index(path, base + "/", -1)
     return (
         found.filter(extension(path).isin(fv.SCANNED_EXTENSIONS))

@@ -48,7 +48,7 @@ def report_batches(
     """
 
     def step(files: DataFrame, batch: int) -> None:
-        unit_facts = score.facts(scan(files), files)
+        unit_facts = score.facts(scan(files, brief=True), files)
         judged = gate.judge(gate.under_policies(score.scored(unit_facts), {"default": policy or {}}))
         rows = store_of.build(judged).withColumn("project_name", F.col("project_id"))
         rows = user(rows) if user else rows.withColumn("user_id", F.lit("stream"))

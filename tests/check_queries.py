@@ -1,18 +1,21 @@
 """Run registered queries next to their SQL twins and report differences.
 
-usage: python tools_check.py [sf_dir] [name ...]
+usage: python tests/check_queries.py [sf_dir] [name ...]
 """
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 import traceback
 
 import duckdb
 
-import __spark_entry__ as entry
-from riskloom.session import build_session
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+import __spark_entry__ as entry  # noqa: E402
+from riskloom.session import build_session  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
