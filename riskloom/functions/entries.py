@@ -15,11 +15,18 @@ def leaves_target(name: Column) -> Column:
         F.split(name, "/"), F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")),
         lambda acc, p: F.struct((acc["d"] + step(p)).alias("d"), F.least(acc["low"], acc["d"] + step(p)).alias("low")),
     )
-    return name.startswith("/") | (walk["low"] < 0) | (walk["d"] == 0)
+    # Only a name with '..' in it has to be walked part by part.
+    return (
+        F.when(name.startswith("/"), True)
+        .when(name.contains(".."), (walk["low"] < 0) | (walk["d"] == 0))
+        .otherwise(name.rlike("^[./]*$"))
+    )
 
 
 def depth(name: Column) -> Column:
-    return F.size(F.split(F.regexp_replace(name, "/+$", ""), "/"))
+    """Number of path parts; trailing slashes do not count."""
+    trimmed = F.rtrim(name, F.lit("/"))
+    return F.length(trimmed) - F.length(F.replace(trimmed, F.lit("/"), F.lit(""))) + 1
 
 
 def skip_reason(name: Column, file_size: Column, external_attr: Column) -> Column:

@@ -121,7 +121,8 @@ def fix_phrase(category: Column, title: Column) -> Column:
 
 
 def _mentions(text: Column, words: list[str], whole_word: bool) -> Column:
-    return text.rlike(whole_words(words)) if whole_word else contains_any(text, words)
+    found = contains_any(text, words)
+    return found & text.rlike(whole_words(words)) if whole_word else found
 
 
 def question_route(question: Column, whole_word: bool = False) -> Column:

@@ -16,7 +16,7 @@ from ..functions.text import extension, language, lines_of, masked
 from ..functions.urls import repository
 from ..operators import compare, controls, findings as found, gate, graph, guidance, history, lines as L, score
 from ..operators.scan import ALL_RULES, definitions, scan, with_texts
-from ..session import scratch_path, settle
+from ..session import scratch_path, settle, spread
 from ..sources import archives, reports as store_of, schema, trees
 from ..streaming import scan_stream as streams
 from . import corpus
@@ -76,7 +76,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def document_lines(spark, sf_dir):
     """Lines of every document: how many, how many blank, the longest."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", lines_of(F.col("text")).alias("l"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", lines_of(F.col("text")).alias("l"))
     return docs.select(
         "doc_id", F.size("l").alias("n_lines"), F.size(F.filter("l", lambda x: x == "")).alias("n_empty"),
         F.coalesce(F.array_max(F.transform("l", F.length)), F.lit(0)).alias("longest"),
@@ -122,7 +122,7 @@ def secret_findings(spark, sf_dir):
 @query
 def document_secrets(spark, sf_dir):
     """Secrets in free text: one project per source, one file per document; values are blanked out."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text")).select(
         F.col("source").alias("project_id"), F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("path"), "text")
     return scan(docs, rules=["secret"]).select(*PLACE, "title", "severity", masked(F.col("evidence")).alias("evidence"))
 
@@ -526,7 +526,8 @@ def case_coverage(spark, sf_dir):
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as archive entries: an order is an archive."""
     name = F.expr(entry_name_sql())
-    return table(spark, sf_dir, "lineitem").select(
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return spread(items).select(
         F.col("l_orderkey").alias("archive_id"), "l_linenumber", name.alias("name"),
         F.floor(F.col("l_extendedprice") * 8).cast("bigint").alias("file_size"),
         F.expr("CASE WHEN l_partkey % 29 = 0 THEN 2716663808 ELSE 2175008768 END").cast("bigint").alias("external_attr"),
@@ -581,7 +582,8 @@ def unpacked_archives(spark, sf_dir):
 
     pack.__annotations__ = {"ids": pd.Series, "texts": pd.Series, "return": pd.Series}
     zipped = F.pandas_udf(pack, "binary")(F.col("doc_id"), F.col("text"))
-    packed = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("archive_id"), zipped.alias("content"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    packed = docs.select(F.col("doc_id").cast("string").alias("archive_id"), zipped.alias("content"))
     sized = packed.withColumn("archive_bytes", F.length("content").cast("bigint"))
     files = archives.files_of(archives.judged(archives.expand(sized)))
     return files.select(F.col("project_id").alias("archive_id"), "path", F.md5(F.encode("text", "UTF-8")).alias("digest"))
@@ -590,7 +592,7 @@ def unpacked_archives(spark, sf_dir):
 @query
 def decoded_texts(spark, sf_dir):
     """Documents as bytes, every third in Latin-1, turned back into text."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id",
         F.when(F.col("doc_id") % 3 == 0, F.encode(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), "ISO-8859-1"))
         .otherwise(F.encode("text", "UTF-8")).alias("content"))
@@ -617,7 +619,7 @@ def repository_addresses(spark, sf_dir):
 
 @query
 def question_routes(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select(
+    return spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select(
         "conv_id", "turn", G.question_route(F.col("text")).alias("route"),
         G.question_route(F.col("text"), whole_word=True).alias("route_whole_word"))
 

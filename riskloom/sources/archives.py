@@ -30,35 +30,51 @@ def expand(archives: DataFrame) -> DataFrame:
 
     The size limit is applied first, so an oversized archive is never sent to Python. Listing comes
     before reading: entry contents are read only when the list is within the entry limit, and only
-    for entries within the file limit, so a row stays bounded. One archive is worked on at a time.
+    for entries within the file limit, so a row stays bounded. Results leave
+    Python as soon as 32 MB of contents are held.
     """
     max_entries, max_bytes = fv.MAX_ENTRIES, fv.MAX_FILE_BYTES
+    flush_bytes, flush_rows = 32 * 1024 * 1024, 1000
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
         import zipfile
         import zlib
 
+        unreadable = (
+            zipfile.BadZipFile, OSError, KeyError, ValueError, RuntimeError, NotImplementedError, zlib.error)
+
+        def entries_of(content):
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                infos = z.infolist()
+                listed = []
+                for i, info in enumerate(infos if len(infos) <= max_entries else []):
+                    fits = info.file_size <= max_bytes and not info.filename.endswith("/")
+                    listed.append({
+                        "ord": i, "name": info.filename, "file_size": info.file_size,
+                        "external_attr": info.external_attr, "content": z.read(info) if fits else None,
+                    })
+                return len(infos), listed
+
+        def table(rows):
+            return pd.DataFrame(rows, columns=["archive_id", "archive_bytes", "readable", "n_entries", "entries"])
+
+        done, held = [], 0
         for batch in batches:
             for archive_id, size, content in zip(batch["archive_id"], batch["archive_bytes"], batch["content"]):
-                entries, readable, count = [], True, 0
-                try:
-                    if content is not None:
-                        with zipfile.ZipFile(io.BytesIO(content)) as z:
-                            infos = z.infolist()
-                            count = len(infos)
-                            for i, info in enumerate(infos if count <= max_entries else []):
-                                fits = info.file_size <= max_bytes and not info.filename.endswith("/")
-                                entries.append({
-                                    "ord": i, "name": info.filename, "file_size": info.file_size,
-                                    "external_attr": info.external_attr, "content": z.read(info) if fits else None,
-                                })
-                except (zipfile.BadZipFile, OSError, KeyError, ValueError, RuntimeError, NotImplementedError, zlib.error):
-                    entries, readable = [], False
-                yield pd.DataFrame({
-                    "archive_id": [archive_id], "archive_bytes": [size], "readable": [readable],
-                    "n_entries": [count], "entries": [entries],
-                })
+                readable, count, entries = True, 0, []
+                if content is not None:
+                    try:
+                        count, entries = entries_of(content)
+                    except unreadable:
+                        readable = False
+                done.append((archive_id, size, readable, count, entries))
+                held += sum(len(e["content"] or b"") for e in entries)
+                if held > flush_bytes or len(done) >= flush_rows:
+                    yield table(done)
+                    done, held = [], 0
+        if done:
+            yield table(done)
 
     small = F.when(F.col("archive_bytes") <= fv.MAX_ARCHIVE_BYTES, F.col("content"))
     return archives.select("archive_id", "archive_bytes", small.alias("content")).mapInPandas(unpack, _EXPANDED)
