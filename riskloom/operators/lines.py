@@ -35,22 +35,23 @@ def near_by_window(
     block + 2k lines of a file. `keep` chooses the lines to return; all others only serve as context.
     """
     reach = max(k for _, k in flags.values())
-    held = lines.withColumns({f"_{name}": flag.cast("int") for name, (flag, _) in flags.items()})
-    if keep is not None:
-        # Context lines that carry no flag cannot change a result.
-        carries = F.lit(False)
-        for name in flags:
-            carries = carries | (F.col(f"_{name}") == 1)
-        held = held.withColumn("_keep", keep).filter(F.col("_keep") | carries)
-    held = held.withColumn("_block", _blocks_in_reach(F.col("line_no"), reach, block))
+    held = lines.withColumns(
+        {f"_{name}": flag.cast("int") for name, (flag, _) in flags.items()}
+        | {"_keep": F.lit(True) if keep is None else keep}
+    )
+    # A context line that carries no flag cannot change a result, so it gets no block and drops out
+    # here. (As a filter this test would be pushed down and match every pattern a second time.)
+    matters = F.col("_keep")
+    for name in flags:
+        matters = matters | (F.col(f"_{name}") == 1)
+    blocks = F.sequence(_block(F.col("line_no") - reach, block), _block(F.col("line_no") + reach, block))
+    held = held.withColumn("_block", F.explode(F.when(matters, blocks)))
     part = W.partitionBy(*keys, "path", "_block").orderBy("line_no")
     for name, (_, k) in flags.items():
         held = held.withColumn(
             f"near_{name}", F.coalesce(F.max(f"_{name}").over(part.rangeBetween(-k, k)), F.lit(0)) == 1
         )
-    own = F.col("_block") == _block(F.col("line_no"), block)
-    if keep is not None:
-        own = own & F.col("_keep")
+    own = (F.col("_block") == _block(F.col("line_no"), block)) & F.col("_keep")
     return held.filter(own).drop("_block", "_keep", *[f"_{name}" for name in flags])
 
 

@@ -312,7 +312,7 @@ def score_series(spark, sf_dir):
 
 @query
 def score_changes(spark, sf_dir):
-    rows = _reports(spark, sf_dir).withColumn("created_at", F.col("timestamp"))
+    rows = settle(_reports(spark, sf_dir).withColumn("created_at", F.col("timestamp")))
     return history.score_changes(rows).select("id", "project_name", "safety_score", "score_delta")
 
 
