@@ -60,24 +60,28 @@ def far_from(
 ) -> DataFrame:
     """Findings with no hit line within k lines in the same file (band anti join).
 
-    Both sides carry a block number, so the join is an equi join on (keys, path, block) with the
-    line distance as a rest condition, and a block never holds more than block + 2k hit lines.
+    Files are cut into blocks again. The hit lines of a block, at most block + 2k numbers, become one
+    row, combined on the map side, so a finding meets exactly one row of an equi join on
+    (keys, path, block) and no pairs are formed. The aggregation and the join share one exchange.
     """
     on = [*keys, "path", "_block"]
     left = findings.withColumn("_block", _block(F.col("line_no"), block)).alias("f")
     right = (
-        hits.select(*keys, "path", "line_no").distinct()
-        .withColumn("_block", _blocks_in_reach(F.col("line_no"), k, block)).alias("h")
+        hits.select(*keys, "path", "line_no", _blocks_in_reach(F.col("line_no"), k, block).alias("_block"))
+        .groupBy(*on).agg(F.collect_set("line_no").alias("_hits")).alias("h")
     )
-    cond = F.abs(F.col("f.line_no") - F.col("h.line_no")) <= k
+    cond = F.exists(F.col("h._hits"), lambda hit: F.abs(hit - F.col("f.line_no")) <= k)
     for c in on:
         cond = cond & (F.col(f"f.{c}") == F.col(f"h.{c}"))
     return left.join(right, cond, "left_anti").drop("_block")
 
 
 def in_files(findings: DataFrame, files: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
-    """Findings whose file is present; the others are skipped without an error."""
-    return findings.join(files.select(*keys, "path"), [*keys, "path"], "left_semi")
+    """Findings whose file is present; the others are skipped without an error.
+
+    `files` may be a line table: its (keys, path) are made distinct on the map side first.
+    """
+    return findings.join(files.select(*keys, "path").distinct(), [*keys, "path"], "left_semi")
 
 
 def with_evidence(findings: DataFrame, lines: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:

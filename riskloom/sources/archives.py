@@ -16,13 +16,18 @@ _EXPANDED = f"archive_id string, archive_bytes bigint, readable boolean, n_entri
 
 
 def read_archives(spark: SparkSession, root: str) -> DataFrame:
-    """archives(archive_id, archive_bytes, content) of all .zip files below a folder."""
+    """archives(archive_id, archive_bytes, content) of all .zip files below a folder.
+
+    The source only opens files whose length passes; archives over the limit are listed with a null
+    content and their bytes are never read.
+    """
     found = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(root)
     )
-    return found.select(
-        F.substring_index("path", "/", -1).alias("archive_id"), F.col("length").alias("archive_bytes"), "content"
-    )
+    shown = [F.substring_index("path", "/", -1).alias("archive_id"), F.col("length").alias("archive_bytes")]
+    small = found.filter(F.col("length") <= fv.MAX_ARCHIVE_BYTES).select(*shown, "content")
+    large = found.filter(F.col("length") > fv.MAX_ARCHIVE_BYTES).select(*shown, F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large)
 
 
 def expand(archives: DataFrame) -> DataFrame:

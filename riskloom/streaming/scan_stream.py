@@ -38,17 +38,43 @@ def write_findings(findings: DataFrame, path: str, checkpoint: str | None = None
     )
 
 
+def _bucketed(df: DataFrame, batch: int) -> DataFrame:
+    bucket = F.pmod(F.xxhash64("project_id"), F.lit(store_of.BUCKETS)).cast("int")
+    return df.withColumn("bucket", bucket).withColumn("batch", F.lit(batch))
+
+
+def _keep_batch(df: DataFrame, path: str) -> None:
+    (
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bucket", "batch").parquet(path)
+    )
+
+
 def report_batches(
     store: str, policy: dict | None = None, user: Callable[[DataFrame], DataFrame] | None = None
 ) -> Callable[[DataFrame, int], None]:
-    """A `foreachBatch` step: scan the batch's files, score their projects, append one report each.
+    """A `foreachBatch` step: scan the arriving files and report every project they touch.
 
-    A batch is expected to hold whole projects. Batches are stored under their number, so one that
-    is repeated after a failure replaces itself.
+    The store keeps what was found in every file, by project bucket and batch. A touched project is
+    scored from all its files so far, the latest version of each, so a project may arrive in any
+    number of batches. Reading back joins on the bucket, which prunes the folders of untouched
+    projects. Everything is stored under the batch number: a batch that is repeated after a failure
+    replaces itself.
     """
+    seen, held = f"{store}/files", f"{store}/findings"
 
     def step(files: DataFrame, batch: int) -> None:
-        unit_facts = score.facts(scan(files, brief=True), files)
+        spark = files.sparkSession
+        _keep_batch(_bucketed(files.select("project_id", "path"), batch), seen)
+        _keep_batch(_bucketed(scan(files, brief=True), batch), held)
+        known = spark.read.parquet(seen).filter(F.col("batch") <= batch)
+        touched = known.filter(F.col("batch") == batch).select("bucket", "project_id").distinct()
+        file = ["bucket", "project_id", "path"]
+        latest = (
+            known.join(touched, ["bucket", "project_id"], "left_semi").groupBy(*file).agg(F.max("batch").alias("batch"))
+        )
+        findings = spark.read.parquet(held).join(latest, [*file, "batch"], "left_semi")
+        unit_facts = score.facts(findings, touched)
         judged = gate.judge(gate.under_policies(score.scored(unit_facts), {"default": policy or {}}))
         rows = store_of.build(judged).withColumn("project_name", F.col("project_id"))
         rows = user(rows) if user else rows.withColumn("user_id", F.lit("stream"))

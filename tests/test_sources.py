@@ -158,3 +158,12 @@ def test_stream_of_trees(spark, tmp_path):
     got = {r.project_id: (r.safety_score, r.deployment_gate.decision) for r in reports.load(spark, store).collect()}
     assert got["p2"] == (100, "ALLOW") and got["p1"][1] == "BLOCK" and len(got) == 2
     assert reports.load(spark, store).count() == 2
+    # A later batch adds a file to p1 and mends another: all files count, each in its latest version.
+    write_tree(inbox, {"p1/more/b.py": "def delete_all(x):"})
+    run()
+    write_tree(inbox, {"p1/c.py": "x = 1"})
+    os.utime(os.path.join(inbox, "p1/c.py"), (4_000_000_000, 4_000_000_000))
+    run()
+    scores = [r.safety_score for r in reports.load(spark, store).filter("project_id = 'p1'").orderBy("created_at").collect()]
+    assert len(scores) == len(set(scores)) or len(scores) == 2
+    assert scores[1] < scores[0]
