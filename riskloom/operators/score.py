@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed_values as fv
 from ..functions import rules as R
 from ..functions.reuse import built_once
+from .numbering import first_rows
+from .scan import POSITION
 
 KEYS = list(fv.CATEGORY_WEIGHTS)
 SEVERITIES = list(fv.SEVERITY_RANKS)
@@ -90,3 +92,10 @@ def top_categories(n: int) -> Column:
         for i, key in enumerate(KEYS)
     ]))
     return F.transform(F.slice(ranked, 1, n), lambda c: c["label"])
+
+
+def common_categories(findings: DataFrame, n: int, keys: Sequence[str] = ("project_id",)) -> DataFrame:
+    """Without scores: the n categories with most findings, the one seen first on ties."""
+    counted = findings.groupBy(*keys, "category").agg(F.count("*").alias("findings"), F.min(F.struct(*POSITION)).alias("_seen"))
+    top = first_rows(counted, keys, [F.desc("findings"), F.asc("_seen")], n, "ord")
+    return top.select(*keys, "ord", "category", "findings")

@@ -387,6 +387,57 @@ def validated_findings(spark, sf_dir):
     return ok.unionByName(ko)
 
 
+def report_json_sql() -> str:
+    """Report documents made from customers, five of six kinds broken in one place."""
+    numbers = lambda names: "{" + ", ".join(f'"{n}": 0' for n in names) + "}"
+    whole = numbers(fv.SEVERITY_RANKS)
+    parts = {
+        "head": '{"project_name": "', "mid": '", "scan_type": "upload", ', "status": '"status": "Strong", ', "score": '"safety_score": ',
+        "summary": ', "summary": ' + whole, "short": ', "summary": ' + numbers(["critical", "high", "medium"]),
+        "scores": ', "category_scores": ' + numbers(fv.CATEGORY_WEIGHTS) + ', "graph": {"nodes": [], "edges": []}, "attack_replay": [], "remediation_checklist": ["x"], "extra": 1',
+        "good": ', "findings": [{"title": "t", "severity": "Low", "category": "c", "file": "f", "line": 1, "why_it_matters": "w", "suggested_fix": "s"}]}',
+        "bad": ', "findings": [{"severity": "Low", "category": "c", "file": "f", "line": 1, "why_it_matters": "w", "suggested_fix": "s"}]}',
+    }
+    q = {k: "'" + v + "'" for k, v in parts.items()}
+    kind = "c_custkey % 6"
+    return (
+        f"{q['head']} || c_name || {q['mid']} || CASE WHEN {kind} = 1 THEN '' ELSE {q['status']} END || {q['score']} || "
+        f"CASE WHEN {kind} = 2 THEN '\"high\"' ELSE '' || (c_custkey % 101) END || CASE WHEN {kind} = 3 THEN {q['short']} ELSE {q['summary']} END || "
+        f"{q['scores']} || CASE WHEN {kind} = 4 THEN {q['bad']} WHEN {kind} = 5 THEN '' ELSE {q['good']} END"
+    )
+
+
+@query
+def validated_reports(spark, sf_dir):
+    docs = table(spark, sf_dir, "customer").select("c_custkey", F.expr(report_json_sql()).alias("body"))
+    valid, bad = schema.validate_reports(docs)
+    ok = valid.select("c_custkey", F.lit("valid").alias("outcome"), F.col("project_name").alias("detail"), "safety_score", "n_findings")
+    none = F.lit(None).cast("int")
+    return ok.unionByName(bad.select(
+        "c_custkey", F.lit("quarantined").alias("outcome"), F.col("reason").alias("detail"), none.alias("safety_score"), none.alias("n_findings")))
+
+
+@query
+def full_reports(spark, sf_dir):
+    """Everything a report shows, nested per project."""
+    rows, facts = _with_facts(spark, sf_dir, ids=True)
+    judged = gate.judge(gate.under_policies(score.scored(facts), {"default": {}}))
+    lists = guidance.checklist(rows, facts)
+    out = store_of.assemble(judged, guidance.scenarios(rows), guidance.fixes(rows), lists, guidance.plan(rows, lists))
+    return out.select(
+        "project_id", "safety_score", F.col("deployment_gate.decision").alias("decision"),
+        F.coalesce(F.size("scenarios"), F.lit(0)).alias("n_scenarios"), F.coalesce(F.size("fixes"), F.lit(0)).alias("n_fixes"),
+        F.try_element_at("scenarios", F.lit(1))["scenario_title"].alias("first_scenario"),
+        F.try_element_at("fixes", F.lit(-1))["finding_id"].alias("last_fix"),
+        F.size("checklist").alias("n_checklist"), F.element_at("plan", 1).alias("first_step"), F.element_at("next_steps", 1).alias("next_step"),
+    )
+
+
+@query
+def common_categories(spark, sf_dir):
+    return score.common_categories(_findings(spark, sf_dir, brief=True), 3)
+
+
 # ------------------------------------------------------------------ comparison
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

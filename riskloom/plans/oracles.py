@@ -408,6 +408,18 @@ SELECT event_id, CASE WHEN event_id % 8 >= 4 THEN 'valid' ELSE 'quarantined' END
   CASE event_id % 8 WHEN 0 THEN 'not json' WHEN 1 THEN 'category is not a text' WHEN 2 THEN 'title is not a text' WHEN 3 THEN 'line is not a whole number' ELSE event_type END AS category,
   CASE WHEN event_id % 8 >= 4 THEN CAST(event_id AS INTEGER) END AS line_no FROM events"""
 
+    out["validated_reports"] = """
+SELECT c_custkey, CASE WHEN m = 0 THEN 'valid' ELSE 'quarantined' END AS outcome,
+  CASE m WHEN 0 THEN c_name WHEN 1 THEN 'status is not a text' WHEN 2 THEN 'safety_score is not a whole number' WHEN 3 THEN 'summary.low is not a whole number'
+    WHEN 4 THEN 'a finding is not valid' ELSE 'not json' END AS detail,
+  CASE WHEN m = 0 THEN CAST(c_custkey % 101 AS INTEGER) END AS safety_score, CASE WHEN m = 0 THEN 1 END AS n_findings
+FROM (SELECT *, c_custkey % 6 AS m FROM customer)"""
+    out["common_categories"] = P + f"""
+SELECT {unit}, CAST(r AS INTEGER) AS ord, category, findings FROM (
+  SELECT *, row_number() OVER (PARTITION BY unit ORDER BY findings DESC, seen) AS r FROM (
+    SELECT unit, category, count(*) AS findings, min(rn) AS seen FROM (
+      SELECT *, row_number() OVER (PARTITION BY unit ORDER BY {_ORDER}) AS rn FROM fnd) GROUP BY 1, 2)) WHERE r <= 3"""
+
     out["changed_findings"] = S + _pairs_cte() + _SIDES.format(key=_STABLE, src="fnd") + " SELECT pair_id, change, unit AS report_id, path, line_no, title, severity FROM ch"
     out["changed_by_id"] = S + _IDS + _pairs_cte() + _SIDES.format(key=f"id || '::' || {_STABLE}", src="idf") + " SELECT pair_id, change, id, path, line_no, title FROM ch"
     out["category_movement"] = S + F + _pairs_cte() + _MOVES + " SELECT * FROM mv"
@@ -478,6 +490,15 @@ SELECT i.{unit}, i.id, fix.patch_type, scn.kind AS simulation_type FROM idf i LE
 SELECT u.{unit}, attack_type, c.severity, c.category, count(f.unit) AS findings FROM units u CROSS JOIN (VALUES {cases}) AS c(attack_type, severity, category)
 LEFT JOIN fnd f ON f.unit = u.unit AND f.category = c.category GROUP BY ALL"""
 
+    plan_sql = out["remediation_plan"]
+    out["full_reports"] = one + _IDS + _scenario_cte() + _fix_cte() + plan_sql[len(P + F):].replace(
+        "\nSELECT " + unit, ", pln AS (\nSELECT unit", 1) + f""")
+SELECT j.{unit}, safety_score, decision, CAST(coalesce(ns, 0) AS INTEGER) AS n_scenarios, CAST(coalesce(nf, 0) AS INTEGER) AS n_fixes, first_scenario, last_fix,
+  CAST(len(checklist) AS INTEGER) AS n_checklist, split_part(plan, ' | ', 1) AS first_step,
+  (list_filter([{steps_list}], lambda x: x IS NOT NULL))[1] AS next_step
+FROM jdg j LEFT JOIN (SELECT unit, count(*) AS ns, arg_min(scenario_title, ord) AS first_scenario FROM scn GROUP BY 1) USING (unit)
+LEFT JOIN (SELECT unit, count(*) AS nf, arg_max(id, ord) AS last_fix FROM fix GROUP BY 1) USING (unit) LEFT JOIN chk USING (unit) LEFT JOIN pln USING (unit)"""
+
     ext = r"lower(regexp_extract(split_part(replace(name, '\', '/'), '/', -1), '^\.*[^.].*(\.[^.]*)$', 1))"
     skip = f"""CASE WHEN list_has_any(string_split(replace(name, '\\', '/'), '/'), [{", ".join(_q(d) for d in fv.BLOCKED_DIRS)}]) THEN 'blocked_dir'
   WHEN split_part(replace(name, '\\', '/'), '/', -1) IN {_in(fv.LOCK_FILES)} THEN 'lock_file' WHEN name LIKE '%/' THEN 'directory'

@@ -16,6 +16,7 @@ from pyspark.errors import AnalysisException
 
 from ..functions.rules import status_of
 from ..operators import gate, score
+from ..operators.guidance import next_steps
 
 BUCKETS = 64
 
@@ -34,6 +35,29 @@ def build(judged: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame
     )
 
 
+def _listed(rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """The at most eight rows of each unit as an array in rank order."""
+    rest = [c for c in rows.columns if c not in keys and c != "ord"]
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", *rest))).alias(name))
+
+
+def assemble(
+    judged: DataFrame, scenarios: DataFrame, fixes: DataFrame, checklists: DataFrame, plans: DataFrame,
+    keys: Sequence[str] = ("project_id",),
+) -> DataFrame:
+    """The whole report of a unit as one nested row.
+
+    Only lists with a fixed limit are nested (scenarios and fixes 8, checklist 8, plan 5, next steps
+    5). Findings, nodes and edges have no limit and stay tables of their own under the same key.
+    """
+    base = build(judged.withColumn("_steps", next_steps()), [*keys, "_steps"]).withColumnRenamed("_steps", "next_steps")
+    return (
+        base.join(_listed(scenarios, keys, "scenarios"), list(keys), "left")
+        .join(_listed(fixes, keys, "fixes"), list(keys), "left")
+        .join(checklists, list(keys), "left").join(plans, list(keys), "left")
+    )
+
+
 def stamped(reports: DataFrame, id_from: Sequence[str] | None = None) -> DataFrame:
     """Adds id, created_at and timestamp. With `id_from` the id is a hash, so a repeated write repeats it."""
     ident = F.sha2(F.concat_ws("\x1f", *id_from), 256) if id_from else F.uuid()
