@@ -71,7 +71,7 @@ def append(reports: DataFrame, store: str, batch: str | None = None) -> None:
     """Adds reports. A named batch that is written again replaces itself, so a retry adds nothing twice."""
     (
         reports.withColumn("batch", F.lit(batch or uuid.uuid4().hex)).withColumn("bucket", _bucket())
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch", "bucket").parquet(f"{store}/reports")
     )
 

@@ -44,8 +44,9 @@ def _bucketed(df: DataFrame, batch: int) -> DataFrame:
 
 
 def _keep_batch(df: DataFrame, path: str) -> None:
+    # Rows of a bucket meet before writing, so a batch leaves few files; hot buckets are split again.
     (
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        df.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket", "batch").parquet(path)
     )
 
