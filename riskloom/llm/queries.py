@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language_id, packing, simhash_groups, substring_dedup, toxicity, warc_store
+from . import decontaminate, language_id, packing, secret_owners, simhash_groups, substring_dedup, toxicity, warc_store
 from .common import remainder, table
 
 
@@ -33,6 +33,18 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_owners.secrets(table(spark, sf_dir, "documents"))
+    spans, base = F.col("spans"), len(secret_owners.BASE)
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["ord"] == secret_owners.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, secret_owners.BASE),
+        F.sha2(secret_owners.listed(F.filter(spans, lambda s: s["ord"] < base)), 256).alias("base_sha256"),
+        secret_owners.listed(spans).alias("spans"),
+        secret_owners.listed(F.filter(spans, lambda s: F.array_contains(F.col("live"), s["value"]))).alias("live_spans"),
+        F.size("live").cast("long").alias("n_live"), F.size("example").cast("long").alias("n_example"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc_store.round_trip(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", F.col("sha1").alias("payload_digest"), "record_type", "refers_to",
