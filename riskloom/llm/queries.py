@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language_id, packing, secret_owners, simhash_groups, substring_dedup, toxicity, warc_store
+from . import decontaminate, fingerprint, language_id, packing, secret_owners, simhash_groups, substring_dedup, toxicity, warc_store
 from .common import remainder, table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5) == 0
     model = toxicity.learned(docs, table(spark, sf_dir, "labels"), ~held_out)
