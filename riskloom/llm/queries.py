@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fingerprint, language_id, packing, secret_owners, simhash_groups, substring_dedup, toxicity, warc_store
+from . import decontaminate, fingerprint, language_id, packing, secret_owners, simhash_groups, substring_dedup, surrogates, toxicity, warc_store
 from .common import remainder, table
 
 
@@ -21,6 +21,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = surrogates.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_entities", F.length("text").cast("long").alias("n_chars"), "text")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.items(table(spark, sf_dir, "documents")))
 
