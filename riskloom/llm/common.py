@@ -21,3 +21,14 @@ def uniform(*columns: Column) -> Column:
 
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def sheltered(docs: DataFrame, needed: list[str]) -> DataFrame:
+    """The needed columns, and all others inside one column `_rest`, where their names meet no other."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*needed, F.struct(*(rest or [F.lit(0).alias("none")])).alias("_rest"))
+
+
+def restored(rows: DataFrame, docs: DataFrame, needed: list[str]) -> DataFrame:
+    """Columns of `docs`, in their order, out of what `sheltered` made."""
+    return rows.select(*(F.col(c) if c in needed else F.col("_rest").getField(c).alias(c) for c in docs.columns))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
 from . import bytewise as B
-from .common import text_of
+from .common import restored, sheltered, text_of
 
 MASKS = ("111001011", "1101010011")
 LENGTH = 13
@@ -162,6 +162,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Rows are told apart by id and text, so a repeated id loses only the rows that hold one.
     """
-    tagged = docs.withColumn("_tag", F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t")))
-    found = passages(tagged.select(F.to_json("_tag").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_found")).distinct()
-    return tagged.join(found, F.to_json("_tag") == F.col("_found"), "left_anti").select(*docs.columns)
+    tag = F.to_json(F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t")))
+    tagged = sheltered(docs, ["doc_id", "text"]).withColumn("_tag", tag)
+    found = passages(tagged.select(F.col("_tag").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_found")).distinct()
+    return restored(tagged.join(found, F.col("_tag") == F.col("_found"), "left_anti"), docs, ["doc_id", "text"])

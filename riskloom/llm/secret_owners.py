@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settle
-from .common import text_of
+from .common import restored, sheltered, text_of
 
 # Patterns of the kinds, the group that holds the value, the least length of it.
 BASE = {
@@ -118,10 +118,11 @@ def covered(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
     """`docs` with every live-looking value blanked out in the text, wherever it stands; n_chars follows."""
     judged = _judged(scanned(docs, owner, repository), most_owners).filter(F.size("live") > 0)
     longest = F.array_sort(F.col("live"), lambda a, b: F.length(b) - F.length(a))
-    own = docs.withColumn("_mark", F.xxhash64("doc_id", "text"))
+    needed = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+    own = sheltered(docs, needed).withColumn("_mark", F.xxhash64("doc_id", "text"))
     both = own.join(judged.select(F.col("mark").alias("_own"), longest.alias("_live")), F.col("_mark") == F.col("_own"), "left")
     text = F.when(F.col("_live").isNotNull(), F.aggregate("_live", F.col("text"), lambda t, v: F.replace(t, v, F.lit(COVER)))).otherwise(F.col("text"))
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_live").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return restored(out, docs, needed)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
-from .common import text_of
+from .common import restored, sheltered, text_of
 
 SHINGLE = 4
 DISTANCE = 4
@@ -360,6 +360,6 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     kept = grouped(settle(fingerprints(docs, F.xxhash64("text").alias("_text"))), distance)
     kept = kept.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), "_text").distinct()
-    own = docs.withColumn("_text", F.xxhash64("text"))
+    own = sheltered(docs, ["doc_id", "text"]).withColumn("_text", F.xxhash64("text"))
     both = own.join(kept.withColumnRenamed("_text", "_kept"), own["_text"].eqNullSafe(F.col("_kept")) & own["doc_id"].eqNullSafe(F.col("_id")))
-    return both.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    return restored(both.dropDuplicates(["doc_id", "_text"]), docs, ["doc_id", "text"])

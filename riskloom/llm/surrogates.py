@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settle
-from .common import text_of
+from .common import sheltered, text_of
 
 # What is looked for, in this order at one place.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -184,8 +184,8 @@ def rebuilt(value: Column, found: Column) -> Column:
             .when(kind == "name", name).otherwise(_filled(value, core, "[0-9]")))
 
 
-def replaced(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
-    """`docs` with surrogates in `text`, and n_entities: how many matches were replaced.
+def replaced(docs: DataFrame, key: str = "surrogate-key", name: str = "n_entities") -> DataFrame:
+    """doc_id, text with surrogates, how many matches were replaced (column `name`), and the other columns of docs.
 
     Whoever knows `key` can work out the surrogate of a guessed entity, so it is to be kept like a password.
     """
@@ -194,10 +194,12 @@ def replaced(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
                   .select("mark", F.array_distinct(F.flatten(F.transform("m", parts))).alias("entities")))
     each = seen.select("mark", F.explode("entities").alias("entity")).distinct()
     found = each.join(surrogates(each, key), "entity").groupBy("mark").agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("found"))
-    own = docs.withColumn("_mark", F.xxhash64("doc_id", "text"))
+    own = sheltered(docs, ["doc_id", "text"]).withColumn("_mark", F.xxhash64("doc_id", "text"))
     both = own.join(found.select(F.col("mark").alias("_own"), F.col("found").alias("_found")), F.col("_mark") == F.col("_own"), "left")
     gaps, all_ = F.split("text", ENTITY, -1), F.regexp_extract_all("text", F.lit(f"({ENTITY})"), F.lit(1))
     pieces = F.zip_with(gaps, all_, lambda gap, match: F.concat(gap, F.when(match.isNull(), "").otherwise(rebuilt(match, F.col("_found")))))
     has = F.col("_found").isNotNull()
-    both = both.withColumn("_n", F.when(has, F.size(all_)).otherwise(0).cast("long"))
-    return both.withColumn("text", F.when(has, F.array_join(pieces, "")).otherwise(F.col("text"))).select(*docs.columns, F.col("_n").alias("n_entities"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", name)]
+    return both.select(
+        "doc_id", F.when(has, F.array_join(pieces, "")).otherwise(F.col("text")).alias("text"),
+        F.when(has, F.size(all_)).otherwise(0).cast("long").alias(name), *(F.col("_rest").getField(c).alias(c) for c in rest))
