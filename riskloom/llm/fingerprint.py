@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.numbering import number_rows
+from ..session import settle
 from .common import text_of
 
 GRAM = 3
@@ -126,17 +127,20 @@ def edited(docs: DataFrame) -> DataFrame:
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("key"), text_of().alias("text"))
-    order = _neighbours(rows)
-    own = with_prints(rows, F.col("text")).repartition("key").join(order, "key")
-    nexts = own.filter(F.xxhash64("text") == F.col("rep")).select(
+    rows = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("key"), text_of().alias("text"))
+    order = settle(_neighbours(rows))
+    # Both uses of `own` need the same columns, so that texts are hashed and exchanged once for the two.
+    own = with_prints(rows.select("key", "text"), F.col("text")).repartition("key").join(order, "key")
+    # Written as a difference, or the planner would exchange texts by this hash too.
+    nexts = own.filter(F.xxhash64("text").bitwiseXOR(F.col("rep")) == 0).select(
         F.col("before").alias("key"), F.expr("left(text, take)").alias("start"), hash_set(F.col("prints")).alias("next_hashes"))
     both = own.drop("rep", "before", "take").join(nexts.dropDuplicates(["key"]), "key")
     both = both.withColumn("n", F.length("text")).withColumn("q", F.floor(F.col("n") / 4).cast("int"))
     both = both.withColumn("head", F.expr("left(text, n - q)")).withColumn("taken", F.expr("left(start, q)"))
     out = _edited_prints(both).withColumn("_own", hash_set(F.col("prints")))
+    doc_id = F.when(F.col("key") != "", F.expr("substring(key, 2)").cast(docs.schema["doc_id"].dataType))
     return out.select(
-        "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.concat("head", "taken"), 256).alias("edited_sha256"),
+        doc_id.alias("doc_id"), F.col("n").cast("long").alias("n_chars"), F.sha2(F.concat("head", "taken"), 256).alias("edited_sha256"),
         written(F.col("prints")).alias("fingerprint"), written(F.col("edited_prints")).alias("edited_fingerprint"),
         likeness(F.col("_own"), hash_set(F.col("edited_prints"))).alias("near_edited"),
         likeness(F.col("_own"), F.col("next_hashes")).alias("near_next"))
