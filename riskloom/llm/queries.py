@@ -56,8 +56,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc_store.round_trip(table(spark, sf_dir, "pages"))
-    return records.select("page_id", "payload_bytes", F.col("sha1").alias("payload_digest"), "record_type", "refers_to",
-                          "verified", F.octet_length("record").cast("long").alias("record_bytes"))
+    return records.select("page_id", "payload_bytes", F.col("sha1").alias("payload_digest"), "record_type", "refers_to", "verified")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ The first record of a payload (smallest page_id) is a `response`; later ones are
 without a body of their own. Payloads below `least` bytes are always responses. Header blocks give the bare
 base32 SHA-1 as WARC-Payload-Digest, as readers of such archives expect.
 
-Everything is DataFrame functions. Payload bytes are exchanged once, to find the row that is stored;
-the grouping by digest moves digests only and is combined before its exchange.
+Everything is DataFrame functions. Writing exchanges payload bytes once, folded inside each task before,
+so a payload that very many records share moves once from each; records are typed on digests alone.
 
 Cases: a null html is an empty payload; equal empty payloads are revisits like others; rows that repeat
 the page_id of the response are responses too, the bytes still stored once; a row without a page_id is a
@@ -72,16 +72,10 @@ def write(pages: DataFrame, path: str, least: int = LEAST, date: str = DATE) ->
     typed = joined.select("*", F.when(response, "response").otherwise("revisit").alias("record_type"),
                           F.when(~response, F.col("first")).alias("refers_to"))
     typed.select("page_id", "record_type", "refers_to", "digest", "payload_bytes", "sha1", header_block(date).alias("header")) \
-        .write.parquet(f"{path}/headers")
-    # The row to store is found by its id; rows that repeat the id with the same bytes are folded.
-    stored = first.select("digest", F.col("first").alias("page_id"))
-    own = rows.select("page_id", F.sha2("payload", 256).alias("digest"), "payload")
-    kept = own.join(stored.withColumnsRenamed({"digest": "_digest", "page_id": "_first"}),
-                    (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("_first")), "left_semi")
-    repeated = _read(pages.sparkSession, path, "headers").filter("record_type = 'response'").groupBy("digest").count().filter("count > 1")
-    once = kept.join(repeated, "digest", "left_anti").select("digest", "payload")
-    folded = kept.join(repeated, "digest", "left_semi").groupBy("digest").agg(F.first("payload").alias("payload"))
-    once.unionByName(folded).write.parquet(f"{path}/payloads")
+        .write.option("compression", "zstd").parquet(f"{path}/headers")
+    # Equal digests are equal bytes, so any row may be the one that is stored; tasks fold theirs before the exchange.
+    stored = rows.select(F.sha2("payload", 256).alias("digest"), "payload").dropDuplicates(["digest"])
+    stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -93,11 +87,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     `record` is the record as bytes; a revisit has no body, its payload comes from the record it refers to.
     """
-    rows = _read(spark, path, "headers").join(_read(spark, path, "payloads"), "digest")
-    holds = (F.sha2("payload", 256) == F.col("digest")) & (base32(F.sha1("payload")) == F.col("sha1"))
+    # Digests are worked out where the payloads are read, so bytes only move for a caller that wants them.
+    payloads = _read(spark, path, "payloads").select(
+        "digest", "payload", (F.sha2("payload", 256) == F.col("digest")).alias("_holds"), base32(F.sha1("payload")).alias("_sha1"),
+        F.octet_length("payload").alias("_bytes"))
+    rows = _read(spark, path, "headers").join(payloads, "digest")
+    holds = F.col("_holds") & (F.col("_sha1") == F.col("sha1")) & (F.col("_bytes") == F.col("payload_bytes"))
     body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     record = F.concat(F.encode("header", "utf-8"), body, F.lit(b"\r\n\r\n"))
-    return rows.select("*", holds.alias("verified"), record.alias("record"))
+    return rows.select(*(f.split()[0] for f in HEADERS.split(", ")), "payload", holds.alias("verified"), record.alias("record"))
 
 
 def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
