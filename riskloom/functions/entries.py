@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fv
 from .text import extension
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Sizes beyond which an archive or an entry is not read; None: no limit."""
+
+    archive_bytes: int | None = None
+    entries: int | None = None
+    depth: int | None = None
+    file_bytes: int | None = None
+    kept_bytes: int | None = None
+
+
+NONE = Limits()
+PUBLISHED = Limits(fv.MAX_ARCHIVE_BYTES, fv.MAX_ENTRIES, fv.MAX_DEPTH, fv.MAX_FILE_BYTES, fv.MAX_KEPT_BYTES)
+
+
+def _over(value: Column, limit: int | None) -> Column:
+    return F.lit(False) if limit is None else value > limit
+
+
 def leaves_target(name: Column) -> Column:
     """Does an entry name resolve outside (or onto) the folder it is unpacked into?"""
     step = lambda p: F.when(p.isin("", "."), 0).when(p == "..", -1).otherwise(1)
@@ -29,7 +50,7 @@ def depth(name: Column) -> Column:
     return F.length(trimmed) - F.length(F.replace(trimmed, F.lit("/"), F.lit(""))) + 1
 
 
-def skip_reason(name: Column, file_size: Column, external_attr: Column) -> Column:
+def skip_reason(name: Column, file_size: Column, external_attr: Column, limits: Limits = NONE) -> Column:
     """Why an entry is not read, null when it is kept. The first rule that applies is the reason."""
     parts = F.split(F.replace(name, F.lit("\\"), F.lit("/")), "/")
     last = F.element_at(parts, -1)
@@ -40,17 +61,19 @@ def skip_reason(name: Column, file_size: Column, external_attr: Column) -> Colum
         .when(last.isin(fv.LOCK_FILES), "lock_file")
         .when(name.endswith("/"), "directory")
         .when(symlink, "symlink")
-        .when(file_size > fv.MAX_FILE_BYTES, "too_large")
+        .when(_over(file_size, limits.file_bytes), "too_large")
         .when(~extension(last).isin(fv.SCANNED_EXTENSIONS), "extension")
     )
 
 
-def verdict(size: Column, entries: Column, deepest: Column, escapes: Column, kept_bytes: Column) -> Column:
+def verdict(
+    size: Column, entries: Column, deepest: Column, escapes: Column, kept_bytes: Column, limits: Limits = NONE
+) -> Column:
     """Why a whole archive is rejected, null when it is admitted."""
     return (
-        F.when(size > fv.MAX_ARCHIVE_BYTES, "archive_too_large")
-        .when(entries > fv.MAX_ENTRIES, "too_many_entries")
-        .when(deepest > fv.MAX_DEPTH, "too_deep")
+        F.when(_over(size, limits.archive_bytes), "archive_too_large")
+        .when(_over(entries, limits.entries), "too_many_entries")
+        .when(_over(deepest, limits.depth), "too_deep")
         .when(escapes, "path_traversal")
-        .when(kept_bytes > fv.MAX_KEPT_BYTES, "too_many_bytes")
+        .when(_over(kept_bytes, limits.kept_bytes), "too_many_bytes")
     )

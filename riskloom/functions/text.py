@@ -47,9 +47,9 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
 
 
-def evidence(line: Column) -> Column:
-    """A source line as evidence: trimmed, first 220 characters."""
-    return F.substring(trimmed(line), 1, fv.EVIDENCE_CHARS)
+def evidence(line: Column, limit: int | None = None) -> Column:
+    """A source line as evidence: trimmed; with `limit`, its first characters."""
+    return trimmed(line) if limit is None else F.substring(trimmed(line), 1, limit)
 
 
 def masked(line: Column) -> Column:

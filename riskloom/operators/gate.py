@@ -39,11 +39,11 @@ def under_requests(reports: DataFrame, requests: DataFrame, on: Sequence[str] =
 @built_once
 def _verdict_columns() -> list[dict[str, Column]]:
     score, minimum = F.col("safety_score"), F.col("minimum_safety_score")
-    critical = F.col("n_critical") > 0
+    critical = F.col("gate_critical") > 0
     checks = F.array(
         F.when(score < minimum, F.format_string(fv.BLOCKER_SCORE, minimum.cast("string"))),
         F.when(F.col("block_on_critical") & critical,
-               F.format_string(fv.BLOCKER_CRITICAL, F.col("n_critical").cast("string"))),
+               F.format_string(fv.BLOCKER_CRITICAL, F.col("gate_critical").cast("string"))),
         F.when(F.col("block_on_secrets") & (F.col("blocking_secrets") > 0), fv.BLOCKER_SECRETS),
         F.when(F.col("block_on_missing_approval") & (F.col("blocking_approvals") > 0), fv.BLOCKER_APPROVAL),
         F.when(F.col("block_on_unsafe_tools") & (F.col("blocking_tools") > 0), fv.BLOCKER_TOOLS),
@@ -51,7 +51,7 @@ def _verdict_columns() -> list[dict[str, Column]]:
     blockers, n = F.col("blockers"), F.size("blockers")
     decided = F.col("decision")
     decision = (
-        F.when(n > 0, "BLOCK").when((F.col("n_high") > 0) | (F.col("n_medium") > 0), "REVIEW").otherwise("ALLOW")
+        F.when(n > 0, "BLOCK").when((F.col("gate_high") > 0) | (F.col("gate_medium") > 0), "REVIEW").otherwise("ALLOW")
     )
     penalty = F.least(n * fv.BLOCKER_PENALTY, F.lit(fv.BLOCKER_PENALTY_CAP)) + F.when(critical, fv.CRITICAL_PENALTY).otherwise(0)
 
@@ -71,7 +71,7 @@ def _verdict_columns() -> list[dict[str, Column]]:
         when_blocked("approval", fv.BLOCK_ACTION_APPROVAL), when_blocked("tool", fv.BLOCK_ACTION_TOOL),
     )
     actions = (
-        F.when(decided == "BLOCK", F.slice(block_actions, 1, fv.ACTIONS_SHOWN))
+        F.when(decided == "BLOCK", block_actions)
         .when(decided == "REVIEW", words(*fv.REVIEW_ACTIONS)).otherwise(words(*fv.ALLOW_ACTIONS))
     )
     return [
@@ -105,7 +105,7 @@ def gate_document() -> Column:
             F.lit("secret_exposure"), "blocking_secrets", F.lit("human_approval"), "blocking_approvals",
             F.lit("tool_permission"), "blocking_tools",
         ).alias("category_blocker_counts"),
-        F.create_map(*[x for s in SEVERITIES for x in (F.lit(s), F.col(f"n_{s}"))]).alias("severity_counts"),
+        F.create_map(*[x for s in SEVERITIES for x in (F.lit(s), F.col(f"gate_{s}"))]).alias("severity_counts"),
     )
 
 

@@ -11,7 +11,7 @@ from ..functions import guidance as G
 from ..functions.reuse import built_once
 from ..functions.rules import severity_rank
 from ..functions.text import filled, language
-from .numbering import first_rows
+from .numbering import first_rows, number_rows
 from .scan import POSITION
 
 
@@ -56,22 +56,25 @@ def _scenario_columns() -> tuple[Column, Column, Column, dict[str, Column]]:
     )
 
 
-def scenarios(findings: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
-    """Risk triage: the first 8 findings of Medium or above, ranked by priority.
+def scenarios(
+    findings: DataFrame, keys: Sequence[str] = ("project_id",), limit: int | None = None, evidence_chars: int | None = None
+) -> DataFrame:
+    """Risk triage: findings of Medium or above, ranked by priority; with `limit`, of the first so many.
 
     Needs ids, evidence and texts. `ord` is the rank inside the unit: priority first, finding
     order on ties.
     """
     serious, kind, tool, rest = _scenario_columns()
     usable = findings.filter(serious).withColumn("simulation_type", kind).filter(F.col("simulation_type").isNotNull())
-    first = first_rows(usable, keys, [*POSITION, "title"], fv.SCENARIOS_KEPT, "_seq")
-    out = first.withColumn("tool", tool).withColumns(rest)
-    ranked = first_rows(out, keys, [F.desc("priority_score"), F.asc("_seq")], fv.SCENARIOS_KEPT, "ord")
+    first = _ranked(usable, keys, [*POSITION, "title"], limit, "_seq")
+    out = first.withColumn("tool", tool).withColumns(rest).withColumn("_least", -F.col("priority_score"))
+    ranked = _ranked(out, keys, ["_least", "_seq"], limit, "ord")
+    seen = F.col("evidence") if evidence_chars is None else F.substring("evidence", 1, evidence_chars)
     return ranked.select(
         *keys, "ord", F.col("id").alias("finding_id"), "scenario_title", "simulation_type",
         F.lower("severity").alias("risk_level"), "priority_score", "path", "line_no",
         F.concat_ws(":", "path", F.col("line_no").cast("string")).alias("location"),
-        F.substring("evidence", 1, fv.SCENARIO_EVIDENCE_CHARS).alias("evidence"), "tool", "capability",
+        seen.alias("evidence"), "tool", "capability",
         filled(F.col("suggested_fix"), "Add a clear guardrail before deployment.").alias("required_fix"),
         F.col("_t.t0").alias("guardrail"), F.col("_t.t1").alias("precondition"), F.col("_t.t2").alias("detection_signal"),
     )
@@ -95,11 +98,18 @@ def _fix_columns() -> tuple[Column, dict[str, Column], list]:
     return G.fix_type(F.col("category"), title), described, shown
 
 
-def fixes(findings: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
-    """The first 8 findings that call for a known kind of fix, with all that describes the fix."""
+def _ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | None, name: str) -> DataFrame:
+    """Rows numbered inside their unit; with `limit` the first so many."""
+    if limit is None:
+        return number_rows(rows, keys, order, name).withColumn(name, F.col(name).cast("int"))
+    return first_rows(rows, keys, order, limit, name)
+
+
+def fixes(findings: DataFrame, keys: Sequence[str] = ("project_id",), limit: int | None = None) -> DataFrame:
+    """Findings that call for a known kind of fix, with all that describes the fix; with `limit` the first so many."""
     kind, described, shown = _fix_columns()
     usable = findings.withColumn("patch_type", kind).filter(F.col("patch_type").isNotNull())
-    first = first_rows(usable, keys, [*POSITION, "title"], fv.FIXES_KEPT, "ord")
+    first = _ranked(usable, keys, [*POSITION, "title"], limit, "ord")
     return first.withColumns(described).select(*keys, *shown)
 
 
@@ -110,18 +120,24 @@ def _first_per(findings: DataFrame, keys: Sequence[str], item: Column, lead: Seq
     )
 
 
-def _listed(items: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
-    """The first k items of each unit as an array; no more than k rows of a unit meet."""
-    top = first_rows(items, keys, ["_seen"], k, "_n")
+def _listed(items: DataFrame, keys: Sequence[str], k: int | None) -> DataFrame:
+    """The items of each unit as an array, in order; with k only the first k, and no more rows of a unit meet."""
+    top = _ranked(items, keys, ["_seen"], k, "_n")
     return top.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_n", "_item"))), lambda s: s["_item"]).alias("_items")
     )
 
 
-def checklist(findings: DataFrame, unit_facts: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
-    """Fixes of Critical and High findings in first-seen order, then standing items; at most 8."""
+def _cut(items: Column, limit: int | None) -> Column:
+    return items if limit is None else F.slice(items, 1, limit)
+
+
+def checklist(
+    findings: DataFrame, unit_facts: DataFrame, keys: Sequence[str] = ("project_id",), limit: int | None = None
+) -> DataFrame:
+    """Fixes of Critical and High findings in first-seen order, then standing items; with `limit` at most so many."""
     urgent = _first_per(findings.filter(F.col("severity").isin("Critical", "High")), keys, F.col("suggested_fix"))
-    listed = _listed(urgent, keys, fv.CHECKLIST_SHOWN)
+    listed = _listed(urgent, keys, limit)
     none = _texts([])
     standing = F.concat(*[
         F.when(F.col(f"n_{key}") > 0, _texts([text])).otherwise(none) for key, text in fv.CHECKLIST_CONDITIONAL
@@ -129,34 +145,36 @@ def checklist(findings: DataFrame, unit_facts: DataFrame, keys: Sequence[str] =
     every = F.array_distinct(F.concat(F.coalesce("_items", none), standing))
     return (
         unit_facts.join(listed, list(keys), "left")
-        .select(*keys, F.when(F.size(every) > 0, F.slice(every, 1, fv.CHECKLIST_SHOWN))
+        .select(*keys, F.when(F.size(every) > 0, _cut(every, limit))
                 .otherwise(_texts(fv.CHECKLIST_DEFAULT)).alias("checklist"))
     )
 
 
-def plan(findings: DataFrame, checklists: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
+def plan(
+    findings: DataFrame, checklists: DataFrame, keys: Sequence[str] = ("project_id",), limit: int | None = None
+) -> DataFrame:
     """Short phrases for critical, then high, then medium findings; the checklist when there are none."""
     rank = severity_rank(F.col("severity"))
     phrases = _first_per(
         findings.filter(rank >= 2), keys, G.fix_phrase(F.col("category"), F.col("title")), [(-rank).alias("r")]
     )
-    listed = _listed(phrases, keys, fv.PLAN_SHOWN)
+    listed = _listed(phrases, keys, limit)
     closed = F.transform("checklist", lambda t: F.when(t.rlike(r"[.!?]$"), t).otherwise(F.concat(t, F.lit("."))))
     return checklists.join(listed, list(keys), "left").select(
-        *keys, F.coalesce("_items", F.slice(closed, 1, fv.PLAN_SHOWN)).alias("plan")
+        *keys, F.coalesce("_items", _cut(closed, limit)).alias("plan")
     )
 
 
-def next_steps() -> Column:
-    """Steps by category present, in fixed order, ended by the retest; at most 5."""
+def next_steps(limit: int | None = None) -> Column:
+    """Steps by category present, in any spelling, in fixed order, ended by the retest; with `limit` at most so many."""
     steps = F.array_compact(F.array(
-        *[F.when(F.col(f"n_{key}") > 0, text) for key, text in fv.NEXT_STEPS], F.lit(fv.NEXT_STEP_LAST)
+        *[F.when(F.col(f"says_{key}") > 0, text) for key, text in fv.NEXT_STEPS], F.lit(fv.NEXT_STEP_LAST)
     ))
-    return F.slice(steps, 1, fv.ACTIONS_SHOWN)
+    return _cut(steps, limit)
 
 
 def first_fix(findings: DataFrame, judged: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
-    """The one finding to fix first under each policy.
+    """The one finding to fix first under each policy; nulls for a unit without findings.
 
     Severity order decides; a finding that a blocker speaks of goes before all others. The best
     candidate per kind of blocker is a minimum over the findings, so the choice under any
@@ -179,7 +197,7 @@ def first_fix(findings: DataFrame, judged: DataFrame, keys: Sequence[str] = ("pr
         F.when(speaks("tool"), F.col("_tool")), F.when(speaks("critical"), F.col("_critical")),
     )
     return (
-        judged.join(best, list(keys)).withColumn("_first", F.coalesce(matched, F.col("_any")))
+        judged.join(best, list(keys), "left").withColumn("_first", F.coalesce(matched, F.col("_any")))
         .select(*keys, "policy_id", "decision", *[F.col(f"_first.{c}") for c in ("path", "line_no", "title", "severity", "category")])
     )
 

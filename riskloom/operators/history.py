@@ -39,7 +39,7 @@ def score_series(reports: DataFrame, by: Sequence[str] = ("project_name",)) -> D
 
 
 def score_changes(reports: DataFrame, by: Sequence[str] = ("user_id", "project_name")) -> DataFrame:
-    """Each report with its change against the project's previous one; null for the first."""
+    """Each report with its change against the project's previous one; null for the first and for one without a time."""
     out = with_previous(reports, by, "created_at", "id", "safety_score", "_before")
     return out.withColumn("score_delta", F.col("safety_score") - F.col("_before")).drop("_before")
 

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import evidence, lines_of
+from ..functions.text import evidence, masked, lines_of
 
 
 def explode_lines(files: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
@@ -84,10 +84,13 @@ def in_files(findings: DataFrame, files: DataFrame, keys: Sequence[str] = ("proj
     return findings.join(files.select(*keys, "path").distinct(), [*keys, "path"], "left_semi")
 
 
-def with_evidence(findings: DataFrame, lines: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
-    """Evidence looked up in a line table; '' when the line does not exist."""
-    found = lines.select(*keys, "path", "line_no", evidence(F.col("line")).alias("_evidence"))
+def with_evidence(
+    findings: DataFrame, lines: DataFrame, keys: Sequence[str] = ("project_id",), limit: int | None = None
+) -> DataFrame:
+    """Evidence looked up in a line table; '' when the line does not exist. Values of secrets are blanked out."""
+    found = lines.select(*keys, "path", "line_no", F.col("line").alias("_line"))
+    line = F.when(F.col("rule") == "secret", masked(F.col("_line"))).otherwise(F.col("_line"))
     return (
         findings.drop("evidence").join(found, [*keys, "path", "line_no"], "left")
-        .withColumn("evidence", F.coalesce("_evidence", F.lit(""))).drop("_evidence")
+        .withColumn("evidence", F.coalesce(evidence(line, limit), F.lit(""))).drop("_line")
     )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -28,7 +30,7 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name:
     )
     own = F.row_number().over(W.partitionBy(*part).orderBy(*order))
     return (
-        sliced.withColumn("_own", own).join(offsets, part)
+        _matched(sliced.withColumn("_own", own), offsets, part)
         .withColumn(name, (F.col("_own") + F.col("_offset")).cast("long"))
         .drop("_own", "_offset", "_slice")
     )
@@ -39,26 +41,34 @@ def first_rows(df: DataFrame, group: Sequence[str], order: Sequence, k: int, nam
     return df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col(name) <= k)
 
 
-def with_previous(
-    df: DataFrame, group: Sequence[str], time: str, tie: str, value: str, name: str, bucket: str = "hour"
-) -> DataFrame:
+def with_previous(df: DataFrame, group: Sequence[str], time: str, tie: str, value: str, name: str) -> DataFrame:
     """The value of the group's previous row in time order, without one task per group.
 
-    Rows look back inside their own time bucket; the first row of a bucket takes the last value of
-    the bucket before it. The window over buckets holds one row per bucket, so its length is set
-    by the calendar and not by the number of rows.
+    Rows are range-partitioned by (group, time, tie), so a large group spans slices; the first row of a slice takes
+    the last value of the group's slice before it. Rows without a time have no place in the order: they
+    stay, with null. A null in the group is a group of its own.
     """
-    slot = F.date_trunc(bucket, F.col(time))
-    rows = df.withColumn("_slot", slot)
+    timed = df.filter(F.col(time).isNotNull())
+    keys = [*group, time, tie]
+    sliced = settle(timed.repartitionByRange(*[F.col(k) for k in keys]).withColumn("_slice", F.spark_partition_id()))
     last = (
-        rows.groupBy(*group, "_slot").agg(F.max(F.struct(F.col(time), F.col(tie), F.col(value).alias("v"))).alias("_last"))
-        .withColumn("_carry", F.lag("_last").over(W.partitionBy(*group).orderBy("_slot")))
-        .select(*group, "_slot", F.col("_carry.v").alias("_carry"))
+        sliced.groupBy(*group, "_slice").agg(F.max(F.struct(F.col(time), F.col(tie), F.col(value).alias("v"))).alias("_last"))
+        .withColumn("_carry", F.lag("_last").over(W.partitionBy(*group).orderBy("_slice")))
+        .select(*group, "_slice", F.col("_carry.v").alias("_carry"))
     )
-    inside = W.partitionBy(*group, "_slot").orderBy(time, tie)
-    return (
-        rows.withColumn("_rank", F.row_number().over(inside)).withColumn("_lag", F.lag(value).over(inside))
-        .join(last, [*group, "_slot"])
+    inside = W.partitionBy(*group, "_slice").orderBy(time, tie)
+    ranked = sliced.withColumn("_rank", F.row_number().over(inside)).withColumn("_lag", F.lag(value).over(inside))
+    out = (
+        _matched(ranked, last, [*group, "_slice"])
         .withColumn(name, F.when(F.col("_rank") == 1, F.col("_carry")).otherwise(F.col("_lag")))
-        .drop("_slot", "_rank", "_lag", "_carry")
+        .drop("_slice", "_rank", "_lag", "_carry")
     )
+    none = F.lit(None).cast(df.schema[value].dataType)
+    return out.unionByName(df.filter(F.col(time).isNull()).withColumn(name, none))
+
+
+def _matched(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on equal columns; null equals null."""
+    named = other.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    match = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on))
+    return df.join(named, match).drop(*(f"_on_{c}" for c in on))

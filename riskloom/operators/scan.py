@@ -22,7 +22,7 @@ from ..functions import rules as R
 from ..functions.nearby import window
 from ..functions.reuse import built_once
 from ..functions.text import (
-    any_of, base_name, contains_any, evidence, extension, lines_of, squeezed, trimmed, whole_words,
+    any_of, base_name, contains_any, evidence, extension, lines_of, masked, squeezed, trimmed, whole_words,
 )
 
 ALL_RULES = ("secret", "prompt", "tool", "data", "json", "framework", "approval", "audit")
@@ -173,11 +173,48 @@ def sensitive_keys(text: Column) -> Column:
     # A local function travels to the executors by value, so they need no copy of this package.
     def keys_of(texts: pd.Series) -> pd.Series:
         import json
+        import re
+
+        string = re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*"')
+        other = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity")
+        space = re.compile(r"[ \t\n\r]*")
+
+        def deep(one):
+            """As below for a text nested too deeply for the parser: brackets are kept on a list."""
+            keys, open_, at, need = set(), [], space.match(one).end(), "value"
+            while at < len(one):
+                c = one[at]
+                if need in ("value", "value or end") and c in "{[":
+                    open_.append(c)
+                    need, at = ("key or end" if c == "{" else "value or end"), at + 1
+                elif c in "}]" and open_ and open_[-1] + c in ("{}", "[]") and need in ("more", "key or end", "value or end"):
+                    open_.pop()
+                    need, at = "more", at + 1
+                elif c == "," and need == "more" and open_:
+                    need, at = ("key" if open_[-1] == "{" else "value"), at + 1
+                elif need in ("key", "key or end", "value", "value or end"):
+                    found = string.match(one, at) or (other.match(one, at) if need.startswith("value") else None)
+                    if not found:
+                        return None
+                    at = space.match(one, found.end()).end()
+                    if need.startswith("key"):
+                        if one[at : at + 1] != ":":
+                            return None
+                        keys.add(json.loads(found[0]).lower())
+                        at, need = at + 1, "value"
+                    else:
+                        need = "more"
+                else:
+                    return None
+                at = space.match(one, at).end()
+            return [key for key in wanted if key in keys] if need == "more" and not open_ else None
 
         def walk(one):
             try:
                 todo, keys = [json.loads(one)], set()
-            except (TypeError, ValueError, RecursionError):
+            except RecursionError:
+                return deep(one)
+            except (TypeError, ValueError):
                 return None
             while todo:
                 node = todo.pop()
@@ -283,10 +320,14 @@ def _finding_columns(rules: frozenset[str], brief: bool) -> Column:
 
 
 def scan(
-    files: DataFrame, keys: Sequence[str] = ("project_id",), rules: Sequence[str] = ALL_RULES, brief: bool = False
+    files: DataFrame, keys: Sequence[str] = ("project_id",), rules: Sequence[str] = ALL_RULES, brief: bool = False,
+    evidence_chars: int | None = None,
 ) -> DataFrame:
     """All findings of all files.
 
+    Evidence is the whole line, or its first `evidence_chars` characters; in secret findings the values
+    are blanked out before any cut.
+
     Columns: keys, path, line_no, evidence, stage, sub_ord, rule, severity, category, title,
     subject, keyword, partial; the last four are left out when `brief`, which is enough for scores.
     A file yields at most one finding per (category, line, title), so with one row per (keys, path)
@@ -295,7 +336,8 @@ def scan(
     rows = facts(files, keys, rules)
     for columns in _line_columns("json" in rules, brief):
         rows = rows.withColumns(columns)
-    shown = [] if brief else [evidence(F.col("line")).alias("evidence")]
+    line = F.when(F.col("kind") == "secret", masked(F.col("line"))).otherwise(F.col("line"))
+    shown = [] if brief else [evidence(line, evidence_chars).alias("evidence")]
     return (
         rows.select(*keys, "path", "line_no", *shown, _finding_columns(frozenset(rules), brief))
         .filter(F.col("rule").isNotNull())

@@ -29,6 +29,9 @@ def _columns() -> tuple[list[Column], list[Column]]:
         total = F.coalesce(F.sum(F.when(F.col("_normal") == name, F.col("_weight"))), F.lit(0))
         aggs.append(F.least(total, F.lit(100)).cast("int").alias(f"score_{key}"))
         aggs.append(F.count_if(F.col("_exact") == name).alias(f"n_{key}"))
+    # Severities and categories in any spelling, for the gate and the next steps.
+    aggs += [F.count_if(F.col("_rank") == rank).alias(f"gate_{s}") for s, rank in fv.SEVERITY_RANKS.items()]
+    aggs += [F.count_if(F.col("_category").contains(word)).alias(f"says_{key}") for key, word in fv.CATEGORY_WORDS.items()]
     mentions, high = F.col("_category").contains, F.col("_rank") >= 3
     aggs += [
         F.count_if(mentions("secret exposure")).alias("blocking_secrets"),

@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .. import fixed_values as fv
 from ..functions import entries as E, guidance as G, rules as R
-from ..functions.text import extension, language, lines_of, masked
+from ..functions.text import extension, language, lines_of
 from ..functions.urls import repository
 from ..operators import compare, controls, findings as found, gate, graph, guidance, history, lines as L, score
 from ..operators.scan import ALL_RULES, definitions, scan, with_texts
-from ..session import scratch_path, settle, spread
+from ..session import scratch_path, settle
 from ..sources import archives, reports as store_of, schema, trees
 from ..streaming import scan_stream as streams
 from . import corpus
@@ -47,11 +47,11 @@ def _joined(items: Column) -> Column:
 
 
 def _findings(spark: SparkSession, sf_dir: str, rules=ALL_RULES, brief: bool = False) -> DataFrame:
-    return scan(corpus.files(spark, sf_dir), rules=rules, brief=brief)
+    return scan(corpus.files(spark, sf_dir), rules=rules, brief=brief, evidence_chars=fv.EVIDENCE_CHARS)
 
 
 def _snapshot(spark: SparkSession, sf_dir: str, brief: bool = False) -> DataFrame:
-    return scan(corpus.files(spark, sf_dir, "snapshot"), keys=["report_id"], brief=brief)
+    return scan(corpus.files(spark, sf_dir, "snapshot"), keys=["report_id"], brief=brief, evidence_chars=fv.EVIDENCE_CHARS)
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def document_lines(spark, sf_dir):
     """Lines of every document: how many, how many blank, the longest."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", lines_of(F.col("text")).alias("l"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").select("doc_id", lines_of(F.col("text")).alias("l"))
     return docs.select(
         "doc_id", F.size("l").alias("n_lines"), F.size(F.filter("l", lambda x: x == "")).alias("n_empty"),
         F.coalesce(F.array_max(F.transform("l", F.length)), F.lit(0)).alias("longest"),
@@ -122,9 +122,9 @@ def secret_findings(spark, sf_dir):
 @query
 def document_secrets(spark, sf_dir):
     """Secrets in free text: one project per source, one file per document; values are blanked out."""
-    docs = spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text")).select(
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text").select(
         F.col("source").alias("project_id"), F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("path"), "text")
-    return scan(docs, rules=["secret"]).select(*PLACE, "title", "severity", masked(F.col("evidence")).alias("evidence"))
+    return scan(docs, rules=["secret"], evidence_chars=fv.EVIDENCE_CHARS).select(*PLACE, "title", "severity", "evidence")
 
 
 @query
@@ -182,7 +182,8 @@ def finding_ids(spark, sf_dir):
 @query
 def finding_evidence(spark, sf_dir):
     """Evidence looked up in the line table."""
-    return L.with_evidence(_findings(spark, sf_dir), corpus.lines(spark, sf_dir)).select(*PLACE, "title", "evidence")
+    rows = L.with_evidence(_findings(spark, sf_dir), corpus.lines(spark, sf_dir), limit=fv.EVIDENCE_CHARS)
+    return rows.select(*PLACE, "title", "evidence")
 
 
 # ------------------------------------------------------------------ scores and gate
@@ -248,6 +249,28 @@ def gate_actions(spark, sf_dir):
     )
 
 
+def free_spelling_sql() -> tuple[str, str]:
+    """Severity and category of an event, in free spelling."""
+    return (
+        "CASE event_id % 6 WHEN 0 THEN CASE WHEN user_id % 3 = 0 THEN ' CRITICAL ' ELSE 'low ' END WHEN 1 THEN CASE WHEN user_id % 2 = 0 THEN ' High' ELSE 'Low' END "
+        "WHEN 2 THEN CASE WHEN user_id % 5 = 0 THEN 'medium ' ELSE 'low' END WHEN 3 THEN 'low' ELSE 'Info' END",
+        "CASE (event_id + user_id) % 7 WHEN 0 THEN 'prompt injection' WHEN 1 THEN CASE WHEN user_id % 4 = 0 THEN 'SECRET EXPOSURE' ELSE 'x' END WHEN 2 THEN 'Tool Permission Risk' "
+        "WHEN 3 THEN CASE WHEN user_id % 4 = 1 THEN 'Human Approval / Gate' ELSE 'y' END WHEN 4 THEN 'some data' WHEN 5 THEN 'audit trail' ELSE event_type END")
+
+
+@query
+def free_spelling_gate(spark, sf_dir):
+    """Findings in free spelling, made from events, judged per user; score limit off."""
+    severity, category = free_spelling_sql()
+    events = table(spark, sf_dir, "events")
+    rows = events.select("user_id", F.expr(severity).alias("severity"), F.expr(category).alias("category"))
+    facts = score.scored(score.facts(rows, events.select("user_id"), ["user_id"]))
+    judged = gate.judge(gate.under_policies(facts, {"free": {"minimum_safety_score": 0}}))
+    return judged.select(
+        "user_id", "decision", *[f"gate_{s}" for s in score.SEVERITIES], "n_critical", F.size("blockers").alias("n_blockers"),
+        _joined(guidance.next_steps()).alias("next_steps"))
+
+
 @query
 def gate_requests(spark, sf_dir):
     """Projects re-judged under a policy that comes with the request; unset parts use the defaults."""
@@ -299,20 +322,20 @@ def report_cards(spark, sf_dir):
 
 @query
 def history_figures(spark, sf_dir):
-    rows = _reports(spark, sf_dir).withColumn("created_at", F.col("timestamp"))
+    rows = _reports(spark, sf_dir)
     return history.key_figures(rows).select("user_id", "reports", "latest_score", "blocked")
 
 
 @query
 def score_series(spark, sf_dir):
-    rows = _reports(spark, sf_dir).withColumn("created_at", F.col("timestamp"))
+    rows = _reports(spark, sf_dir)
     return history.score_series(rows).select(
         "project_name", F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "safety_score")
 
 
 @query
 def score_changes(spark, sf_dir):
-    rows = settle(_reports(spark, sf_dir).withColumn("created_at", F.col("timestamp")))
+    rows = settle(_reports(spark, sf_dir))
     return history.score_changes(rows).select("id", "project_name", "safety_score", "score_delta")
 
 
@@ -352,6 +375,27 @@ def stored_reports(spark, sf_dir):
     return store_of.load(spark, clean).join(kept.select("id"), "id", "left_semi").select("id", "user_id", "safety_score")
 
 
+def _store(spark: SparkSession, sf_dir: str) -> str:
+    store = scratch_path(spark, "store")
+    store_of.append(_reports(spark, sf_dir), store, "first")
+    return store
+
+
+@query
+def user_reports(spark, sf_dir):
+    """The reports of two users, from the folders of their buckets."""
+    rows = store_of.load(spark, _store(spark, sf_dir), ["owner3", "owner7"])
+    return rows.select("user_id", "id", "safety_score")
+
+
+@query
+def one_report(spark, sf_dir):
+    """A report by its id: its owner gets it, somebody else gets no row."""
+    store = _store(spark, sf_dir)
+    own, foreign = store_of.one(spark, store, "owner3", "u3-w0"), store_of.one(spark, store, "owner4", "u3-w0")
+    return own.unionByName(foreign).select("user_id", "id", "safety_score")
+
+
 @query
 def exported_reports(spark, sf_dir):
     """Whole reports written as JSON documents and read back with their schema."""
@@ -422,8 +466,8 @@ def full_reports(spark, sf_dir):
     """Everything a report shows, nested per project."""
     rows, facts = _with_facts(spark, sf_dir, ids=True)
     judged = gate.judge(gate.under_policies(score.scored(facts), {"default": {}}))
-    lists = guidance.checklist(rows, facts)
-    out = store_of.assemble(judged, guidance.scenarios(rows), guidance.fixes(rows), lists, guidance.plan(rows, lists))
+    lists = guidance.checklist(rows, facts, limit=fv.CHECKLIST_SHOWN)
+    out = store_of.assemble(judged, _first_scenarios(rows), _first_fixes(rows), lists, guidance.plan(rows, lists, limit=fv.PLAN_SHOWN))
     return out.select(
         "project_id", "safety_score", F.col("deployment_gate.decision").alias("decision"),
         F.coalesce(F.size("scenarios"), F.lit(0)).alias("n_scenarios"), F.coalesce(F.size("fixes"), F.lit(0)).alias("n_fixes"),
@@ -500,18 +544,40 @@ def graph_nodes(spark, sf_dir):
     return graph.nodes(*_with_facts(spark, sf_dir))
 
 
+def _first_scenarios(rows: DataFrame) -> DataFrame:
+    return guidance.scenarios(rows, limit=fv.SCENARIOS_KEPT, evidence_chars=fv.SCENARIO_EVIDENCE_CHARS)
+
+
+def _first_fixes(rows: DataFrame) -> DataFrame:
+    return guidance.fixes(rows, limit=fv.FIXES_KEPT)
+
+
 @query
 def risk_scenarios(spark, sf_dir):
     rows, _ = _with_facts(spark, sf_dir, ids=True)
-    return guidance.scenarios(rows).select(
+    return _first_scenarios(rows).select(
         "project_id", "ord", "finding_id", "scenario_title", "simulation_type", "risk_level", "priority_score", "location",
         "tool", "capability", "guardrail", "precondition", "detection_signal")
 
 
+@query
+def all_scenarios(spark, sf_dir):
+    """As risk_scenarios, of every finding."""
+    rows, _ = _with_facts(spark, sf_dir, ids=True)
+    return guidance.scenarios(rows).select("project_id", "ord", "finding_id", "simulation_type", "priority_score")
+
+
+@query
+def all_fixes(spark, sf_dir):
+    """As fix_previews, of every finding."""
+    rows, _ = _with_facts(spark, sf_dir, ids=True)
+    return guidance.fixes(rows).select("project_id", "ord", "finding_id", "patch_type", "confidence")
+
+
 @query
 def fix_previews(spark, sf_dir):
     rows, _ = _with_facts(spark, sf_dir, ids=True)
-    return guidance.fixes(rows).select(
+    return _first_fixes(rows).select(
         "project_id", "ord", "finding_id", "fix_title", "patch_type", "language", "patch_filename", "confidence",
         "estimated_effort", _joined(F.col("affected_controls")).alias("affected_controls"), "risk_reduction",
         F.size("validation_steps").alias("n_steps"))
@@ -527,20 +593,20 @@ def remediation_texts(spark, sf_dir):
 
 @query
 def remediation_checklist(spark, sf_dir):
-    out = guidance.checklist(*_with_facts(spark, sf_dir))
+    out = guidance.checklist(*_with_facts(spark, sf_dir), limit=fv.CHECKLIST_SHOWN)
     return out.select("project_id", _joined(F.col("checklist")).alias("checklist"))
 
 
 @query
 def remediation_plan(spark, sf_dir):
     rows, facts = _with_facts(spark, sf_dir)
-    out = guidance.plan(rows, guidance.checklist(rows, facts))
+    out = guidance.plan(rows, guidance.checklist(rows, facts, limit=fv.CHECKLIST_SHOWN), limit=fv.PLAN_SHOWN)
     return out.select("project_id", _joined(F.col("plan")).alias("plan"))
 
 
 @query
 def next_steps(spark, sf_dir):
-    return _facts(spark, sf_dir).select("project_id", _joined(guidance.next_steps()).alias("next_steps"))
+    return _facts(spark, sf_dir).select("project_id", _joined(guidance.next_steps(fv.ACTIONS_SHOWN)).alias("next_steps"))
 
 
 @query
@@ -553,7 +619,7 @@ def first_fix(spark, sf_dir):
 @query
 def linked_artifacts(spark, sf_dir):
     rows, _ = _with_facts(spark, sf_dir, ids=True)
-    fixes, scenarios = guidance.fixes(rows), guidance.scenarios(rows)
+    fixes, scenarios = _first_fixes(rows), _first_scenarios(rows)
     out = guidance.linked(guidance.linked(rows, fixes, ["project_id"], ["patch_type"]), scenarios, ["project_id"], ["simulation_type"])
     return out.select("project_id", "id", "patch_type", "simulation_type")
 
@@ -564,7 +630,7 @@ def dangling_artifacts(spark, sf_dir):
     rows, _ = _with_facts(spark, sf_dir, ids=True)
     number = F.substring("project_id", 2, 20).cast("bigint")
     rest = rows.filter(~((number % 3 == 0) & (F.col("rule") == "secret")))
-    return guidance.dangling(guidance.fixes(rows), rest).select("project_id", "finding_id", "patch_type")
+    return guidance.dangling(_first_fixes(rows), rest).select("project_id", "finding_id", "patch_type")
 
 
 @query
@@ -578,7 +644,7 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as archive entries: an order is an archive."""
     name = F.expr(entry_name_sql())
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return spread(items).select(
+    return items.select(
         F.col("l_orderkey").alias("archive_id"), "l_linenumber", name.alias("name"),
         F.floor(F.col("l_extendedprice") * 8).cast("bigint").alias("file_size"),
         F.expr("CASE WHEN l_partkey % 29 = 0 THEN 2716663808 ELSE 2175008768 END").cast("bigint").alias("external_attr"),
@@ -600,18 +666,17 @@ def entry_filter(spark, sf_dir):
     rows = _entries(spark, sf_dir)
     name = F.col("name")
     return rows.select(
-        "archive_id", "l_linenumber", E.skip_reason(name, F.col("file_size"), F.col("external_attr")).alias("skip_reason"),
+        "archive_id", "l_linenumber", E.skip_reason(name, F.col("file_size"), F.col("external_attr"), E.PUBLISHED).alias("skip_reason"),
         E.leaves_target(name).alias("leaves_target"), E.depth(name).alias("depth"))
 
 
 @query
 def archive_admission(spark, sf_dir):
-    return archives.admit(_entries(spark, sf_dir)).select("archive_id", "n_entries", "kept_entries", "kept_bytes", "rejected")
+    return archives.admit(_entries(spark, sf_dir), limits=E.PUBLISHED).select("archive_id", "n_entries", "kept_entries", "kept_bytes", "rejected")
 
 
-@query
-def unpacked_archives(spark, sf_dir):
-    """Every document packed into a ZIP of its own (some with a blocked or broken archive), unpacked again."""
+def _zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into a ZIP of its own, some with a blocked or broken archive."""
     import pandas as pd
 
     def pack(ids, texts):
@@ -633,17 +698,75 @@ def unpacked_archives(spark, sf_dir):
 
     pack.__annotations__ = {"ids": pd.Series, "texts": pd.Series, "return": pd.Series}
     zipped = F.pandas_udf(pack, "binary")(F.col("doc_id"), F.col("text"))
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     packed = docs.select(F.col("doc_id").cast("string").alias("archive_id"), zipped.alias("content"))
-    sized = packed.withColumn("archive_bytes", F.length("content").cast("bigint"))
-    files = archives.files_of(archives.judged(archives.expand(sized)))
+    return packed.withColumn("archive_bytes", F.length("content").cast("bigint"))
+
+
+@query
+def unpacked_archives(spark, sf_dir):
+    """Documents packed and unpacked again."""
+    sized, limits = _zipped(spark, sf_dir), E.PUBLISHED
+    files = archives.files_of(archives.judged(archives.expand(sized, limits), limits), limits)
     return files.select(F.col("project_id").alias("archive_id"), "path", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
+@query
+def rejected_archives(spark, sf_dir):
+    """What of the packed documents gave no file, and why."""
+    limits = E.PUBLISHED
+    judged = archives.judged(archives.expand(_zipped(spark, sf_dir), limits), limits)
+    return archives.left_out(judged, limits)
+
+
+@query
+def tree_files(spark, sf_dir):
+    """Texts written as files below one folder per source, read back as trees: projects, lines, characters."""
+    root = f"{scratch_path(spark, 'tree')}/root"
+    rows = table(spark, sf_dir, "documents").select("source", F.regexp_replace("text", "[\\r\\n]", " ").alias("value"))
+    rows.write.partitionBy("source").text(root)
+    found = trees.read_trees(spark, root).select("project_id", lines_of(F.col("text")).alias("l"))
+    return found.select(F.substring_index("project_id", "=", -1).alias("source"), F.explode("l").alias("line")).groupBy("source").agg(
+        F.count("*").alias("lines"), F.sum(F.length("line")).cast("bigint").alias("characters"))
+
+
+@query
+def archive_reports(spark, sf_dir):
+    """Archives in folders, with equal names, read, scanned, scored, judged and stored in one run."""
+    root, store = scratch_path(spark, "zips"), scratch_path(spark, "store")
+    _write_zips(_zipped(spark, sf_dir), root)
+    limits = E.PUBLISHED
+    files = settle(archives.files_of(archives.judged(archives.expand(archives.read_archives(spark, root, limits), limits), limits), limits))
+    facts = score.facts(scan(files, brief=True), files)
+    rows = store_of.build(gate.judge(gate.under_policies(score.scored(facts), {"default": {}})))
+    owned = rows.withColumn("user_id", F.substring_index("project_id", "/", 1))
+    store_of.append(store_of.stamped(owned, ["project_id"]), store, "all")
+    return store_of.load(spark, store).select("user_id", "project_id", "safety_score", F.col("deployment_gate.decision").alias("decision"))
+
+
+def _write_zips(zipped: DataFrame, root: str) -> None:
+    """Each archive as <root>/<half>/a<id // 2>.zip, so each name stands in both folders."""
+    def put(batches):
+        from pyarrow import fs
+        from urllib.parse import urlparse
+
+        place = urlparse(root)
+        store, base = fs.FileSystem.from_uri(root) if place.scheme not in ("", "file") else (fs.LocalFileSystem(), place.path)
+        for batch in batches:
+            for i, content in zip(batch["archive_id"], batch["content"]):
+                number = int(i)
+                store.create_dir(f"{base}/{'even' if number % 2 == 0 else 'odd'}", recursive=True)
+                with store.open_output_stream(f"{base}/{'even' if number % 2 == 0 else 'odd'}/a{number // 2}.zip") as out:
+                    out.write(content)
+            yield batch[["archive_id"]]
+
+    zipped.select("archive_id", "content").mapInPandas(put, "archive_id string").count()
+
+
 @query
 def decoded_texts(spark, sf_dir):
     """Documents as bytes, every third in Latin-1, turned back into text."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").select(
         "doc_id",
         F.when(F.col("doc_id") % 3 == 0, F.encode(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), "ISO-8859-1"))
         .otherwise(F.encode("text", "UTF-8")).alias("content"))
@@ -670,7 +793,7 @@ def repository_addresses(spark, sf_dir):
 
 @query
 def question_routes(spark, sf_dir):
-    return spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select(
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").select(
         "conv_id", "turn", G.question_route(F.col("text")).alias("route"),
         G.question_route(F.col("text"), whole_word=True).alias("route_whole_word"))
 
@@ -696,7 +819,7 @@ def streamed_secrets(spark, sf_dir):
         F.col("source").alias("project_id"), F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("path"), "text")
     found_in = streams.scan_stream(docs, rules=["secret"]).select(*PLACE, "title", "severity")
     out = scratch_path(spark, "findings")
-    streams.write_findings(found_in, out).awaitTermination()
+    streams.write_findings(found_in, out, scratch_path(spark, "stream")).awaitTermination()
     return spark.read.schema(found_in.schema).parquet(out)
 
 
@@ -705,10 +828,16 @@ def streamed_reports(spark, sf_dir):
     """Projects arriving as files: each batch is scanned, scored and appended to a report store."""
     inbox, store = scratch_path(spark, "inbox"), scratch_path(spark, "store")
     files = corpus.files(spark, sf_dir)
-    files.write.parquet(inbox)
-    arriving = spark.readStream.schema(files.schema).parquet(inbox)
-    streams.start_reports(arriving, store).awaitTermination()
-    return store_of.load(spark, store).select("project_id", "safety_score", "status", F.col("deployment_gate.decision").alias("decision"))
+    # Four arrivals: nothing, older versions of some files, half of the rest, the whole.
+    older = files.filter(F.pmod(F.xxhash64("path", "project_id"), F.lit(3)) == 0).withColumn("text", F.lit("tools = [refund_tool]"))
+    half = files.filter(F.pmod(F.xxhash64("path", "project_id"), F.lit(2)) == 0)
+    for part in (files.limit(0), older, half, files):
+        part.coalesce(1).write.mode("append").parquet(inbox)
+    arriving = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    streams.start_reports(arriving, store, scratch_path(spark, "stream")).awaitTermination()
+    latest = W.partitionBy("project_id").orderBy(F.desc("created_at"))
+    reports = store_of.load(spark, store).withColumn("_n", F.row_number().over(latest)).filter("_n = 1")
+    return reports.select("project_id", "safety_score", "status", F.col("deployment_gate.decision").alias("decision"))
 
 
 @query

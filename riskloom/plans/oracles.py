@@ -10,7 +10,7 @@ import re
 
 from .. import fixed_values as fv
 from . import corpus
-from .catalog import POLICIES, entry_name_sql, phrase_sql, url_sql
+from .catalog import POLICIES, entry_name_sql, phrase_sql, url_sql, free_spelling_sql
 
 CODE = "('.py', '.js', '.jsx', '.ts', '.tsx')"
 
@@ -176,7 +176,8 @@ def _history_cte() -> str:
     return _base("snapshot") + _facts_cte() + _gate_cte(f"scr CROSS JOIN {_policy_rows({'default': {}})}") + f""", rep AS (
   SELECT unit AS id, 'owner' || ({user} % 10) AS user_id, 'p' || ({user} // 2) AS project_name, 'upload' AS scan_type,
     {user} AS usr, TIMESTAMP '{corpus.FIRST_DAY} 08:00:00' + to_minutes(CAST({week} * 8640 + {user} % 7 AS INTEGER)) AS seen_at, safety_score, status, decision,
-    n_critical || '/' || n_high || '/' || n_medium || '/' || n_low AS summary
+    n_critical || '/' || n_high || '/' || n_medium || '/' || n_low AS summary, CASE WHEN {user} % 9 <> 0 THEN
+    TIMESTAMP '{corpus.FIRST_DAY} 08:00:00' + to_minutes(CAST({week} * 8640 + {user} % 7 AS INTEGER)) END AS created_at
   FROM jdg
 )"""
 
@@ -195,7 +196,14 @@ _IDS = f""", idf AS (
   SELECT *, {_KEY} || '_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS id
   FROM (SELECT *, row_number() OVER (PARTITION BY unit, category ORDER BY {_ORDER}) AS n FROM fnd)
 )"""
-_EVIDENCE = "left(trim(line), 220)"
+def _blank(line: str) -> str:
+    """Values of secrets blanked out."""
+    return (
+        f"regexp_replace(regexp_replace(regexp_replace({line}, '([\"''])[^\"''\\s]{{8,}}[\"'']', '\\1***\\1', 'g'), "
+        f"'\\b(sk-|AIza)[A-Za-z0-9_-]{{16,}}', '\\1***', 'g'), '(://[^\\s:/@\"'']+):[^\\s:/@\"'']+@', '\\1:***@', 'g')")
+
+
+_EVIDENCE = f"left(trim(CASE WHEN rule = 'secret' THEN {_blank('line')} ELSE line END), 220)"
 
 _MOVES = ", mv AS (\n  " + "\n  UNION ALL ".join(
     f"SELECT pair_id, {i} AS category_ord, {_q(k)} AS category_key, b.score_{k} AS before_risk, a.score_{k} AS after_risk, "
@@ -258,7 +266,7 @@ def _case(expr: str, table: dict, i: int | None = None) -> str:
     return f"CASE {expr} " + " ".join(f"WHEN {_q(k)} THEN {_q(v if i is None else v[i])}" for k, v in table.items()) + " END"
 
 
-def _scenario_cte() -> str:
+def _scenario_cte(limit: int | None = 8) -> str:
     kinds = " ".join(f"WHEN contains(lower(category), {_q(n)}) THEN {_q(t)}" for n, t in fv.SCENARIO_TYPES)
     text = f"lower(title || ' ' || {_EVIDENCE})"
     risky = "refund|delete|email|shell|exec|execute|customer|payment|file|database|db"
@@ -273,7 +281,7 @@ def _scenario_cte() -> str:
     SELECT *, CASE severity WHEN 'Critical' THEN 100 WHEN 'High' THEN CASE WHEN bonus THEN 90 ELSE 80 END ELSE CASE WHEN bonus THEN 65 ELSE 55 END END AS priority_score,
       CASE WHEN kind IN ('tool_abuse', 'approval_bypass', 'audit_gap') THEN {tool} END AS tool, {secret} AS secret
     FROM (SELECT *, CASE {kinds} END AS kind, category IN ('Secret Exposure Risk', 'Tool Permission Risk', 'Human Approval Risk') AS bonus,
-            row_number() OVER (PARTITION BY unit ORDER BY {_ORDER}) AS seq FROM idf WHERE severity IN ('Critical', 'High', 'Medium')) WHERE seq <= 8)
+            row_number() OVER (PARTITION BY unit ORDER BY {_ORDER}) AS seq FROM idf WHERE severity IN ('Critical', 'High', 'Medium')) WHERE {'true' if limit is None else f'seq <= {limit}'})
 ), scn AS (
   SELECT *, CASE WHEN kind = 'tool_abuse' THEN {caps} END AS capability,
     CASE kind WHEN 'tool_abuse' THEN 'Unsafe ' || tool || ' tool path' WHEN 'secret_reuse' THEN secret || ' leakage path'
@@ -281,7 +289,7 @@ def _scenario_cte() -> str:
 )"""
 
 
-def _fix_cte() -> str:
+def _fix_cte(limit: int | None = 8) -> str:
     kinds = " ".join(f"WHEN contains(lower(category), {_q(n)}) OR {_any('lower(title)', ws)} THEN {_q(t)}" for n, ws, t in fv.FIX_TYPES)
     text = f"title || chr(10) || {_EVIDENCE}"
     tool = (
@@ -296,7 +304,7 @@ def _fix_cte() -> str:
 ), fix AS (
   SELECT *, {tool} AS tool, {secret} AS secret, {slug('id')} || '-' || {slug('patch_type')} || '.patch' AS patch_filename,
     CASE WHEN patch_type = 'tool_scope_guard' OR (patch_type = 'prompt_input_sanitization' AND path LIKE '%.txt') THEN 'low' ELSE 'medium' END AS confidence
-  FROM fx WHERE ord <= 8
+  FROM fx WHERE {'true' if limit is None else f'ord <= {limit}'}
 )"""
 
 
@@ -331,9 +339,7 @@ FROM words WHERE fn <> ''"""
         f"WHEN regexp_matches(line, {_q(p)}) THEN coalesce(nullif(upper(regexp_extract(line, {_q(p)}, 1)), ''), {_q(d)})" for p, _, d in fv.SECRET_RULES)
     ws = r"[\s\x1C-\x1F\x{85}\x{A0}\p{Z}]"
     trimmed = f"regexp_replace(line, '^{ws}+|{ws}+$', '', 'g')"
-    blank = (
-        f"regexp_replace(regexp_replace(regexp_replace(left({trimmed}, 220), '([\"''])[^\"''\\s]{{8,}}[\"'']', '\\1***\\1', 'g'), "
-        f"'\\b(sk-|AIza)[A-Za-z0-9_-]{{16,}}', '\\1***', 'g'), '(://[^\\s:/@\"'']+):[^\\s:/@\"'']+@', '\\1:***@', 'g')")
+    blank = f"left({_blank(trimmed)}, 220)"
     out["document_secrets"] = f"""
 WITH ln AS (SELECT source, doc_id, unnest(p) AS line, generate_subscripts(p, 1) AS line_no
             FROM (SELECT source, doc_id, string_split_regex(text, '{breaks}') AS p FROM documents)),
@@ -390,9 +396,10 @@ SELECT {unit}, CASE WHEN {number} % 4 = 0 THEN 'REVIEW' WHEN safety_score >= 80
   {band('tool_permission')} AS tool_band, {band('data_exposure')} AS data_band FROM scr"""
 
     out["report_cards"] = hist + " SELECT id, project_name, scan_type, safety_score, status, summary, strftime(seen_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM rep"
-    out["history_figures"] = hist + " SELECT user_id, count(*) AS reports, arg_max(safety_score, (seen_at, id)) AS latest_score, count(*) FILTER (decision = 'BLOCK') AS blocked FROM rep GROUP BY user_id"
-    out["score_series"] = hist + """ SELECT project_name, strftime(date_trunc('minute', seen_at), '%Y-%m-%d %H:%M') AS minute, arg_max(safety_score, (seen_at, id)) AS safety_score FROM rep GROUP BY 1, 2"""
-    out["score_changes"] = hist + " SELECT id, project_name, safety_score, safety_score - lag(safety_score) OVER (PARTITION BY user_id, project_name ORDER BY seen_at, id) AS score_delta FROM rep"
+    out["history_figures"] = hist + " SELECT user_id, count(*) AS reports, arg_max(safety_score, (coalesce(created_at, TIMESTAMP '1900-01-01'), id)) AS latest_score, count(*) FILTER (decision = 'BLOCK') AS blocked FROM rep GROUP BY user_id"
+    out["score_series"] = hist + """ SELECT project_name, strftime(date_trunc('minute', created_at), '%Y-%m-%d %H:%M') AS minute, arg_max(safety_score, id) AS safety_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_name, date_trunc('minute', created_at) ORDER BY created_at DESC, id DESC) AS r FROM rep) WHERE r = 1 GROUP BY 1, 2"""
+    out["score_changes"] = hist + " SELECT id, project_name, safety_score, CASE WHEN created_at IS NOT NULL THEN safety_score - lag(safety_score) OVER (PARTITION BY user_id, project_name, created_at IS NULL ORDER BY created_at, id) END AS score_delta FROM rep"
     out["grouped_reports"] = hist + """
 SELECT group_id, count(*) AS reports, CAST(sum(safety_score) AS BIGINT) AS score_sum FROM (
   SELECT 'g3' AS group_id, * FROM rep WHERE usr % 3 = 0 UNION ALL SELECT 'g5', * FROM rep WHERE usr % 5 = 0) GROUP BY 1"""
@@ -481,7 +488,7 @@ SELECT {unit}, policy_id, decision, path, line_no, title, severity, category FRO
       CASE WHEN ({speaks('secret')} AND lower(category) LIKE '%secret%') OR ({speaks('approval')} AND lower(category) LIKE '%approval%')
         OR ({speaks('tool')} AND lower(category) LIKE '%tool%') OR ({speaks('critical')} AND severity = 'Critical') THEN 0 ELSE 1 END,
       {rank} DESC, stage, path, line_no, sub_ord, title) AS r
-  FROM jdg j JOIN fnd f ON f.unit = j.unit) WHERE r = 1"""
+  FROM jdg j LEFT JOIN fnd f ON f.unit = j.unit) WHERE r = 1"""
     out["linked_artifacts"] = P + _IDS + _scenario_cte() + _fix_cte() + f"""
 SELECT i.{unit}, i.id, fix.patch_type, scn.kind AS simulation_type FROM idf i LEFT JOIN fix ON fix.unit = i.unit AND fix.id = i.id LEFT JOIN scn ON scn.unit = i.unit AND scn.id = i.id"""
     out["dangling_artifacts"] = P + _IDS + _fix_cte() + f" SELECT {unit}, id AS finding_id, patch_type FROM fix WHERE {number} % 3 = 0 AND rule = 'secret'"
@@ -514,6 +521,39 @@ FROM (SELECT archive_id, max(archive_bytes) AS bytes, count(*) AS n_entries, max
   CAST(coalesce(sum(file_size) FILTER (skip_reason IS NULL), 0) AS BIGINT) AS kept_bytes, count(*) FILTER (skip_reason IS NULL) AS kept_entries FROM ej GROUP BY archive_id)"""
     out["unpacked_archives"] = """SELECT CAST(doc_id AS VARCHAR) AS archive_id, 'src/body.txt' AS path, md5(text) AS digest FROM documents
 WHERE doc_id % 13 <> 0 AND doc_id % 7 <> 0 AND strlen(text) <= 512000"""
+    out["rejected_archives"] = """
+WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS archive_id, doc_id, strlen(text) AS n FROM documents)
+SELECT archive_id, CAST(NULL AS VARCHAR) AS name, CASE WHEN doc_id % 13 = 0 THEN 'not_a_zip' ELSE 'path_traversal' END AS reason FROM a WHERE doc_id % 13 = 0 OR doc_id % 7 = 0
+UNION ALL SELECT archive_id, 'node_modules/x.js', 'blocked_dir' FROM a WHERE doc_id % 13 <> 0 AND doc_id % 7 <> 0
+UNION ALL SELECT archive_id, 'src/body.txt', 'too_large' FROM a WHERE doc_id % 13 <> 0 AND doc_id % 7 <> 0 AND n > 512000"""
+    out["tree_files"] = r"""
+WITH t AS (SELECT source, unnest(string_split_regex(regexp_replace(text, '[\r\n]', ' ', 'g'), '[\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]')) AS line FROM documents)
+SELECT source, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS characters FROM t GROUP BY source"""
+    sev_docs = out["document_secrets"].split("SELECT source AS project_id")[0]
+    points = "CASE severity WHEN 'Critical' THEN 40 WHEN 'High' THEN 25 WHEN 'Medium' THEN 15 ELSE 5 END"
+    out["archive_reports"] = sev_docs + f""", per AS (
+  SELECT d.doc_id, least(100, coalesce(sum({points}) FILTER (severity IS NOT NULL), 0)) AS pts, count(severity) AS n, count(*) FILTER (severity = 'Critical') AS crit
+  FROM (SELECT * FROM documents WHERE doc_id % 13 <> 0 AND doc_id % 7 <> 0 AND strlen(text) <= 512000) d
+  LEFT JOIN (SELECT doc_id, severity FROM found WHERE severity IS NOT NULL) f USING (doc_id) GROUP BY 1
+), sc AS (SELECT *, CAST(greatest(0, least(100, round_even(100 - pts * {fv.CATEGORY_WEIGHTS['secret_exposure']}, 0))) AS INTEGER) AS safety_score FROM per)
+SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS user_id, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END || '/a' || (doc_id // 2) || '.zip' AS project_id,
+  safety_score, CASE WHEN n > 0 OR safety_score < {fv.DEFAULT_POLICY['minimum_safety_score']} THEN 'BLOCK' ELSE 'ALLOW' END AS decision FROM sc"""
+    severity, category = free_spelling_sql()
+    spelled = ", ".join(f"CASE WHEN says_{k} THEN {_q(t)} END" for k, t in fv.NEXT_STEPS) + f", {_q(fv.NEXT_STEP_LAST)}"
+    says = ", ".join(f"bool_or(contains(lower(c), {_q(w)})) AS says_{k}" for k, w in fv.CATEGORY_WORDS.items())
+    ranks = ", ".join(f"count(*) FILTER (trim(lower(s)) = '{n}') AS gate_{n}" for n in fv.SEVERITY_RANKS)
+    serious = "trim(lower(s)) IN ('critical', 'high')"
+    out["free_spelling_gate"] = f"""
+WITH e AS (SELECT user_id, {severity} AS s, {category} AS c FROM events), f AS (
+  SELECT user_id, {ranks}, count(*) FILTER (lower(s) = 'critical') AS n_critical, {says}, count(*) FILTER (lower(c) LIKE '%secret exposure%') AS bs,
+    count(*) FILTER (lower(c) LIKE '%human approval%' AND {serious}) AS ba, count(*) FILTER (lower(c) LIKE '%tool permission%' AND {serious}) AS bt FROM e GROUP BY user_id),
+g AS (SELECT *, CAST((gate_critical > 0)::INT + (bs > 0)::INT + (ba > 0)::INT + (bt > 0)::INT AS INTEGER) AS n_blockers FROM f)
+SELECT user_id, CASE WHEN n_blockers > 0 THEN 'BLOCK' WHEN gate_high > 0 OR gate_medium > 0 THEN 'REVIEW' ELSE 'ALLOW' END AS decision,
+  gate_critical, gate_high, gate_medium, gate_low, n_critical, n_blockers, array_to_string(list_filter([{spelled}], lambda x: x IS NOT NULL), ' | ') AS next_steps FROM g"""
+    out["all_scenarios"] = P + _IDS + _scenario_cte(None) + f" SELECT {unit}, CAST(ord AS INTEGER) AS ord, id AS finding_id, kind AS simulation_type, priority_score FROM scn"
+    out["all_fixes"] = P + _IDS + _fix_cte(None) + f" SELECT {unit}, CAST(ord AS INTEGER) AS ord, id AS finding_id, patch_type, confidence FROM fix"
+    out["user_reports"] = hist + " SELECT user_id, id, safety_score FROM rep WHERE user_id IN ('owner3', 'owner7')"
+    out["one_report"] = hist + " SELECT user_id, id, safety_score FROM rep WHERE user_id = 'owner3' AND id = 'u3-w0'"
     out["decoded_texts"] = r"SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '[^\x00-\x{FF}]', '?', 'g') ELSE text END) AS digest FROM documents"
     usable = "m IN (0, 1, 2)"
     owner = "CASE m WHEN 0 THEN 'own' || page_id WHEN 1 THEN 'own' WHEN 2 THEN 'own' END"

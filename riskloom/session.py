@@ -29,16 +29,6 @@ def build_session(master: str | None = None, app: str = "riskloom", **conf: str)
     return builder.getOrCreate()
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """A stored table dealt out over all cores when it has fewer parts than there are cores.
-
-    A small file is one part however many cores wait. A large table has parts enough and is
-    returned as it is, so no large table is ever exchanged here.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`, or a scratch one on a single machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -8,58 +8,66 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fv
-from ..functions.entries import depth, leaves_target, skip_reason, verdict
-from .trees import decoded
+from ..functions.entries import NONE, Limits, depth, leaves_target, skip_reason, verdict
+from .trees import below, decoded
 
 _ENTRY = "struct<ord:int,name:string,file_size:bigint,external_attr:bigint,content:binary>"
 _EXPANDED = f"archive_id string, archive_bytes bigint, readable boolean, n_entries int, entries array<{_ENTRY}>"
 
 
-def read_archives(spark: SparkSession, root: str) -> DataFrame:
+def read_archives(spark: SparkSession, root: str, limits: Limits = NONE) -> DataFrame:
     """archives(archive_id, archive_bytes, content) of all .zip files below a folder.
 
-    The source only opens files whose length passes; archives over the limit are listed with a null
-    content and their bytes are never read.
+    An archive is named by its path below the folder. The source only opens files whose length passes;
+    archives over a limit are listed with a null content and their bytes are never read.
     """
     found = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(root)
     )
-    shown = [F.substring_index("path", "/", -1).alias("archive_id"), F.col("length").alias("archive_bytes")]
-    small = found.filter(F.col("length") <= fv.MAX_ARCHIVE_BYTES).select(*shown, "content")
-    large = found.filter(F.col("length") > fv.MAX_ARCHIVE_BYTES).select(*shown, F.lit(None).cast("binary").alias("content"))
+    shown = [below(F.col("path"), root).alias("archive_id"), F.col("length").alias("archive_bytes")]
+    if limits.archive_bytes is None:
+        return found.select(*shown, "content")
+    small = found.filter(F.col("length") <= limits.archive_bytes).select(*shown, "content")
+    large = found.filter(F.col("length") > limits.archive_bytes).select(*shown, F.lit(None).cast("binary").alias("content"))
     return small.unionByName(large)
 
 
-def expand(archives: DataFrame) -> DataFrame:
+def expand(archives: DataFrame, limits: Limits = NONE) -> DataFrame:
     """One row per archive with its entries as an array.
 
-    The size limit is applied first, so an oversized archive is never sent to Python. Listing comes
-    before reading: entry contents are read only when the list is within the entry limit, and only
-    for entries within the file limit, so a row stays bounded. Results leave
-    Python as soon as 32 MB of contents are held.
+    The size limit is applied first, so an oversized archive is never sent to Python. All entries are listed; contents
+    are read only of those that would be kept, and of none when the archive has too many, so damage in an
+    entry that nobody reads harms nothing. Results leave Python as soon as 32 MB of contents are held.
     """
-    max_entries, max_bytes = fv.MAX_ENTRIES, fv.MAX_FILE_BYTES
     flush_bytes, flush_rows = 32 * 1024 * 1024, 1000
+    blocked, locks, extensions = set(fv.BLOCKED_DIRS), set(fv.LOCK_FILES), set(fv.SCANNED_EXTENSIONS)
+    max_entries, max_bytes = limits.entries, limits.file_bytes
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
+        import os
         import zipfile
         import zlib
 
         unreadable = (
             zipfile.BadZipFile, OSError, KeyError, ValueError, RuntimeError, NotImplementedError, zlib.error)
 
+        def wanted(info):
+            # What `skip_reason` keeps, known before the bytes are read.
+            parts = info.filename.replace("\\", "/").split("/")
+            ending = os.path.splitext(parts[-1])[1].lower()
+            return not (
+                blocked & set(parts) or parts[-1] in locks or info.filename.endswith("/") or info.external_attr >> 28 & 15 == 10
+                or (max_bytes is not None and info.file_size > max_bytes) or ending not in extensions)
+
         def entries_of(content):
             with zipfile.ZipFile(io.BytesIO(content)) as z:
                 infos = z.infolist()
-                listed = []
-                for i, info in enumerate(infos if len(infos) <= max_entries else []):
-                    fits = info.file_size <= max_bytes and not info.filename.endswith("/")
-                    listed.append({
-                        "ord": i, "name": info.filename, "file_size": info.file_size,
-                        "external_attr": info.external_attr, "content": z.read(info) if fits else None,
-                    })
-                return len(infos), listed
+                readable = max_entries is None or len(infos) <= max_entries
+                return len(infos), [
+                    {"ord": i, "name": info.filename, "file_size": info.file_size, "external_attr": info.external_attr,
+                     "content": z.read(info) if readable and wanted(info) else None}
+                    for i, info in enumerate(infos)]
 
         def table(rows):
             return pd.DataFrame(rows, columns=["archive_id", "archive_bytes", "readable", "n_entries", "entries"])
@@ -81,42 +89,56 @@ def expand(archives: DataFrame) -> DataFrame:
         if done:
             yield table(done)
 
-    small = F.when(F.col("archive_bytes") <= fv.MAX_ARCHIVE_BYTES, F.col("content"))
+    small = F.col("content")
+    if limits.archive_bytes is not None:
+        small = F.when(F.col("archive_bytes") <= limits.archive_bytes, small)
     return archives.select("archive_id", "archive_bytes", small.alias("content")).mapInPandas(unpack, _EXPANDED)
 
 
-def judged(expanded: DataFrame) -> DataFrame:
+def _skipped(entry: Column, limits: Limits) -> Column:
+    return skip_reason(entry["name"], entry["file_size"], entry["external_attr"], limits)
+
+
+def judged(expanded: DataFrame, limits: Limits = NONE) -> DataFrame:
     """Adds `rejected` (a reason or null), worked out inside each archive's own row."""
-    kept = F.filter("entries", lambda e: skip_reason(e["name"], e["file_size"], e["external_attr"]).isNull())
+    kept = F.filter("entries", lambda e: _skipped(e, limits).isNull())
     kept_bytes = F.aggregate(kept, F.lit(0).cast("bigint"), lambda acc, e: acc + e["file_size"])
     deepest = F.coalesce(F.array_max(F.transform("entries", lambda e: depth(e["name"]))), F.lit(0))
     escapes = F.exists("entries", lambda e: leaves_target(e["name"]))
-    reason = verdict(F.col("archive_bytes"), F.col("n_entries"), deepest, escapes, kept_bytes)
+    reason = verdict(F.col("archive_bytes"), F.col("n_entries"), deepest, escapes, kept_bytes, limits)
     return expanded.withColumn("rejected", F.when(~F.col("readable"), "not_a_zip").otherwise(reason))
 
 
-def files_of(judged_archives: DataFrame) -> DataFrame:
+def files_of(judged_archives: DataFrame, limits: Limits = NONE) -> DataFrame:
     """files(project_id, path, text) of admitted archives; nothing is exchanged between tasks."""
     entry: Column = F.col("e")
     rows = judged_archives.filter(F.col("rejected").isNull()).select(
         F.col("archive_id").alias("project_id"), F.explode("entries").alias("e")
     )
-    return rows.filter(
-        skip_reason(entry["name"], entry["file_size"], entry["external_attr"]).isNull()
-    ).select("project_id", entry["name"].alias("path"), decoded(entry["content"]).alias("text"))
+    return rows.filter(_skipped(entry, limits).isNull()).select(
+        "project_id", entry["name"].alias("path"), decoded(entry["content"]).alias("text"))
+
+
+def left_out(judged_archives: DataFrame, limits: Limits = NONE) -> DataFrame:
+    """What gave no file and why: archive_id, name (null for a whole archive), reason."""
+    whole = judged_archives.filter(F.col("rejected").isNotNull()).select(
+        "archive_id", F.lit(None).cast("string").alias("name"), F.col("rejected").alias("reason"))
+    rows = judged_archives.filter(F.col("rejected").isNull()).select("archive_id", F.explode("entries").alias("e"))
+    each = rows.select("archive_id", F.col("e.name").alias("name"), _skipped(F.col("e"), limits).alias("reason"))
+    return whole.unionByName(each.filter(F.col("reason").isNotNull()))
 
 
-def admit(entries: DataFrame, by: str = "archive_id") -> DataFrame:
+def admit(entries: DataFrame, by: str = "archive_id", limits: Limits = NONE) -> DataFrame:
     """Verdict per archive when entries are rows of a table: one aggregation.
 
     entries: archive id, archive_bytes, name, file_size, external_attr.
     """
-    kept = skip_reason(F.col("name"), F.col("file_size"), F.col("external_attr")).isNull()
+    kept = skip_reason(F.col("name"), F.col("file_size"), F.col("external_attr"), limits).isNull()
     per = entries.groupBy(by).agg(
         F.max("archive_bytes").alias("archive_bytes"), F.count("*").alias("n_entries"),
         F.max(depth(F.col("name"))).alias("deepest"), F.bool_or(leaves_target(F.col("name"))).alias("escapes"),
         F.coalesce(F.sum(F.when(kept, F.col("file_size"))), F.lit(0)).alias("kept_bytes"),
         F.count_if(kept).alias("kept_entries"),
     )
-    reason = verdict(*[F.col(c) for c in ("archive_bytes", "n_entries", "deepest", "escapes", "kept_bytes")])
+    reason = verdict(*[F.col(c) for c in ("archive_bytes", "n_entries", "deepest", "escapes", "kept_bytes")], limits)
     return per.withColumn("rejected", reason)

@@ -1,7 +1,8 @@
 """Saved reports: append, read, delete, compact, export.
 
 A store is a folder with two Parquet tables: `reports`, partitioned by batch and a hash bucket of the user
-(one folder per user would not scale), and `deleted`, a list of (user, report) pairs. Deleting
+(one folder per user would not scale), and `deleted`, a list of (user, report) pairs that is made with the store,
+so a list that cannot be read is an error and never brings deleted reports back. Deleting
 appends to the list and rewrites nothing; reading takes the listed rows out; `compact` writes
 a clean store elsewhere now and then.
 """
@@ -12,13 +13,15 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.errors import AnalysisException
 
+from .. import fixed_values as fv
 from ..functions.rules import status_of
 from ..operators import gate, score
 from ..operators.guidance import next_steps
 
 BUCKETS = 64
+DELETED = "user_id string, id string"
+SOURCE_FIELDS = ("project_name", "scan_type", "repo_url", "owner", "repo_name", "branch")
 
 
 def _bucket() -> Column:
@@ -26,12 +29,17 @@ def _bucket() -> Column:
 
 
 def build(judged: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
-    """Report rows from judged units: scores, summary and gate as nested values."""
+    """Report rows from judged units: scores, summary and gate as nested values.
+
+    Where the code came from (project, repository, branch) is carried over if `judged` has it, else null.
+    """
     return judged.select(
         *keys, "safety_score", status_of(F.col("safety_score")).alias("status"),
         F.struct(*[F.col(f"n_{s}").cast("int").alias(s) for s in score.SEVERITIES]).alias("summary"),
         F.struct(*[F.col(f"score_{k}").alias(k) for k in score.KEYS]).alias("category_scores"),
-        gate.gate_document().alias("deployment_gate"), F.lit(None).cast("int").alias("score_delta"),
+        gate.gate_document().alias("deployment_gate"), gate.policy_json().alias("policy_json"),
+        F.lit(None).cast("int").alias("score_delta"),
+        *(F.col(c) if c in judged.columns else F.lit(None).cast("string").alias(c) for c in SOURCE_FIELDS if c not in keys),
     )
 
 
@@ -47,10 +55,10 @@ def assemble(
 ) -> DataFrame:
     """The whole report of a unit as one nested row.
 
-    Only lists with a fixed limit are nested (scenarios and fixes 8, checklist 8, plan 5, next steps
-    5). Findings, nodes and edges have no limit and stay tables of their own under the same key.
+    The lists are to be cut to what a report shows before. Findings, nodes and edges have no limit and stay
+    tables of their own under the same key.
     """
-    base = build(judged.withColumn("_steps", next_steps()), [*keys, "_steps"]).withColumnRenamed("_steps", "next_steps")
+    base = build(judged.withColumn("_steps", next_steps(fv.ACTIONS_SHOWN)), [*keys, "_steps"]).withColumnRenamed("_steps", "next_steps")
     return (
         base.join(_listed(scenarios, keys, "scenarios"), list(keys), "left")
         .join(_listed(fixes, keys, "fixes"), list(keys), "left")
@@ -68,12 +76,13 @@ def stamped(reports: DataFrame, id_from: Sequence[str] | None = None) -> DataFra
 
 
 def append(reports: DataFrame, store: str, batch: str | None = None) -> None:
-    """Adds reports. A named batch that is written again replaces itself, so a retry adds nothing twice."""
+    """Adds reports. A named batch that is written again replaces itself whole, so a retry adds nothing twice."""
+    # Rows of a bucket meet before writing, so a batch leaves few files; hot buckets are split again.
     (
-        reports.withColumn("batch", F.lit(batch or uuid.uuid4().hex)).withColumn("bucket", _bucket())
-        .hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch", "bucket").parquet(f"{store}/reports")
+        reports.withColumn("bucket", _bucket()).hint("rebalance", "bucket")
+        .write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/reports/batch={batch or uuid.uuid4().hex}")
     )
+    reports.sparkSession.createDataFrame([], DELETED).write.mode("append").parquet(f"{store}/deleted")
 
 
 def delete(requests: DataFrame, store: str) -> None:
@@ -81,13 +90,20 @@ def delete(requests: DataFrame, store: str) -> None:
     requests.select("user_id", "id").write.mode("append").parquet(f"{store}/deleted")
 
 
-def load(spark: SparkSession, store: str) -> DataFrame:
-    reports = spark.read.parquet(f"{store}/reports").drop("batch", "bucket")
-    try:
-        deleted = spark.read.schema("user_id string, id string").parquet(f"{store}/deleted")
-    except AnalysisException:
-        return reports
-    return reports.join(deleted, ["user_id", "id"], "left_anti")
+def load(spark: SparkSession, store: str, users: Sequence[str] | None = None) -> DataFrame:
+    """All reports, or those of some users: then only the folders of their buckets are read."""
+    reports = spark.read.parquet(f"{store}/reports")
+    deleted = spark.read.schema(DELETED).parquet(f"{store}/deleted")
+    if users is not None:
+        buckets = [F.pmod(F.xxhash64(F.lit(u)), F.lit(BUCKETS)).cast("int") for u in users]
+        reports = reports.filter(F.col("bucket").isin(*buckets) & F.col("user_id").isin(*users))
+        deleted = deleted.filter(F.col("user_id").isin(*users))
+    return reports.drop("batch", "bucket").join(deleted, ["user_id", "id"], "left_anti")
+
+
+def one(spark: SparkSession, store: str, user_id: str, report_id: str) -> DataFrame:
+    """A report of a user by its id; no row for somebody else's."""
+    return load(spark, store, [user_id]).filter(F.col("id") == report_id)
 
 
 def compact(spark: SparkSession, store: str, target: str) -> None:

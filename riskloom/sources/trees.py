@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fv
@@ -15,30 +17,53 @@ def decoded(content: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def read_trees(spark: SparkSession, root: str) -> DataFrame:
-    """files(project_id, path, text) below root/<project_id>/...
+_PLACE = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
 
-    Unreadable and vanished files are passed over, and so are files of no bytes (the source does not
-    list them; they can hold no finding). The extension test runs on the listed path and
-    the content column is the only one that is read.
+
+def below(path: Column, root: str) -> Column:
+    """A listed path without the root it was listed under, whatever the root's scheme and host.
+
+    An absolute root is cut off once, by its length, so its name may come again further down. A relative
+    one was completed by the reader; there the first place where it stands counts.
     """
-    found = (
+    base = re.sub(_PLACE, "", root).rstrip("/")
+    plain = F.regexp_replace(path, _PLACE, "")
+    if base.startswith("/") or not base:
+        return F.when(plain.startswith(base + "/"), F.substring(plain, len(base) + 2, 1 << 30)).otherwise(plain)
+    at = F.locate(f"/{base}/", plain)
+    return F.when(at > 0, F.substring(plain, at + F.lit(len(base) + 2), F.length(plain))).otherwise(plain)
+
+
+def _found(spark: SparkSession, root: str) -> DataFrame:
+    return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root)
     )
-    return from_binary(found, root)
+
+
+def read_trees(spark: SparkSession, root: str) -> DataFrame:
+    """files(project_id, path, text) below root/<project_id>/...
+
+    Unreadable and vanished files do not stop the job; `lost_files` lists them. Files of no bytes are not
+    listed by the source; they can hold no finding. The extension test runs on the listed path and
+    the content column is the only one that is read.
+    """
+    return from_binary(_found(spark, root), root)
+
+
+def lost_files(spark: SparkSession, root: str) -> DataFrame:
+    """project_id, path of the files to scan that were listed but gave no content."""
+    listed = _found(spark, root).select("path", F.lit(None).cast("binary").alias("content"))
+    read = _found(spark, root).filter(F.col("content").isNotNull()).select("path")
+    return from_binary(listed.join(read, "path", "left_anti"), root).drop("text")
 
 
 def from_binary(found: DataFrame, root: str) -> DataFrame:
     """Project, relative path and text of rows of the binaryFile source (batch or stream)."""
-    base = root.split("://", 1)[-1].removeprefix("file:").rstrip("/")
     path = F.col("path")
-    below = F.substring_index(path, base + "/", -1)
     return (
         found.filter(extension(path).isin(fv.SCANNED_EXTENSIONS))
-        .select(
-            F.substring_index(below, "/", 1).alias("project_id"),
-            below.alias("_below"), decoded(F.col("content")).alias("text"),
-        )
+        .select(below(path, root).alias("_below"), decoded(F.col("content")).alias("text"))
+        .select(F.substring_index("_below", "/", 1).alias("project_id"), "_below", "text")
         .select("project_id", F.expr("substring(_below, length(project_id) + 2)").alias("path"), "text")
     )

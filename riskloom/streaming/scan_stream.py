@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import gate, score
 from ..operators.scan import ALL_RULES, scan
-from ..session import scratch_path
 from ..sources import reports as store_of
 from ..sources.trees import from_binary
 
@@ -29,26 +28,26 @@ def scan_stream(files: DataFrame, keys: Sequence[str] = ("project_id",), rules:
     return scan(files, keys, rules)
 
 
-def write_findings(findings: DataFrame, path: str, checkpoint: str | None = None, **trigger) -> StreamingQuery:
-    """Findings appended to a Parquet table, each file's exactly once."""
-    where = checkpoint or scratch_path(findings.sparkSession, "stream")
+def write_findings(findings: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Findings appended to a Parquet table, each file's exactly once; `checkpoint` must outlive the stream."""
     return (
-        findings.writeStream.format("parquet").option("path", path).option("checkpointLocation", where)
+        findings.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
-def _bucketed(df: DataFrame, batch: int) -> DataFrame:
-    bucket = F.pmod(F.xxhash64("project_id"), F.lit(store_of.BUCKETS)).cast("int")
-    return df.withColumn("bucket", bucket).withColumn("batch", F.lit(batch))
-
+def _keep_batch(df: DataFrame, path: str, batch: int) -> DataFrame:
+    """Stores the rows of a batch by project bucket and gives back the whole table.
 
-def _keep_batch(df: DataFrame, path: str) -> None:
+    A batch that is written again replaces its folder. A table whose batches had no rows so far is an empty
+    table of the same columns.
+    """
+    bucket = F.pmod(F.xxhash64("project_id"), F.lit(store_of.BUCKETS)).cast("int")
     # Rows of a bucket meet before writing, so a batch leaves few files; hot buckets are split again.
-    (
-        df.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket", "batch").parquet(path)
-    )
+    rows = df.withColumn("bucket", bucket)
+    rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch}")
+    schema = T.StructType([*df.schema, T.StructField("batch", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def report_batches(
@@ -65,16 +64,14 @@ def report_batches(
     seen, held = f"{store}/files", f"{store}/findings"
 
     def step(files: DataFrame, batch: int) -> None:
-        spark = files.sparkSession
-        _keep_batch(_bucketed(files.select("project_id", "path"), batch), seen)
-        _keep_batch(_bucketed(scan(files, brief=True), batch), held)
-        known = spark.read.parquet(seen).filter(F.col("batch") <= batch)
+        known = _keep_batch(files.select("project_id", "path"), seen, batch).filter(F.col("batch") <= batch)
+        kept = _keep_batch(scan(files, brief=True), held, batch)
         touched = known.filter(F.col("batch") == batch).select("bucket", "project_id").distinct()
         file = ["bucket", "project_id", "path"]
         latest = (
             known.join(touched, ["bucket", "project_id"], "left_semi").groupBy(*file).agg(F.max("batch").alias("batch"))
         )
-        findings = spark.read.parquet(held).join(latest, [*file, "batch"], "left_semi")
+        findings = kept.join(latest, [*file, "batch"], "left_semi")
         unit_facts = score.facts(findings, touched)
         judged = gate.judge(gate.under_policies(score.scored(unit_facts), {"default": policy or {}}))
         rows = store_of.build(judged).withColumn("project_name", F.col("project_id"))
@@ -85,9 +82,8 @@ def report_batches(
     return step
 
 
-def start_reports(files: DataFrame, store: str, checkpoint: str | None = None, **trigger) -> StreamingQuery:
-    where = checkpoint or scratch_path(files.sparkSession, "stream")
+def start_reports(files: DataFrame, store: str, checkpoint: str, **trigger) -> StreamingQuery:
     return (
-        files.writeStream.foreachBatch(report_batches(store)).option("checkpointLocation", where)
+        files.writeStream.foreachBatch(report_batches(store)).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom import fixed_values as fv
-from riskloom.functions.entries import depth, leaves_target, skip_reason
+from riskloom.functions.entries import PUBLISHED, depth, leaves_target, skip_reason
 from riskloom.functions.urls import repository
 from riskloom.sources import archives, reports, schema, trees
 from riskloom.streaming import scan_stream
@@ -65,25 +65,25 @@ ARCHIVES = {
 
 def test_archives(spark, tmp_path):
     write_tree(tmp_path, {f"in/{k}.zip": v for k, v in ARCHIVES.items()})
-    judged = archives.judged(archives.expand(archives.read_archives(spark, str(tmp_path))))
-    reasons = {r.archive_id[:-4]: r.rejected for r in judged.collect()}
+    judged = archives.judged(archives.expand(archives.read_archives(spark, str(tmp_path), PUBLISHED), PUBLISHED), PUBLISHED)
+    reasons = {r.archive_id[3:-4]: r.rejected for r in judged.collect()}
     assert reasons == {"good": None, "slip": "path_traversal", "absolute": "path_traversal", "deep": "too_deep", "n300": None,
                        "n301": "too_many_entries", "broken": "not_a_zip", "empty": None}
-    files = archives.files_of(judged).filter("project_id = 'good.zip'").collect()
+    files = archives.files_of(judged, PUBLISHED).filter("project_id = 'in/good.zip'").collect()
     assert {r.path: len(r.text) for r in files} == {"src/a.py": 5, "fits.py": fv.MAX_FILE_BYTES, "a/b/c/d/e/f.py": 4}
 
 
 def test_archive_size_limit(spark):
     rows = [("at", fv.MAX_ARCHIVE_BYTES, make_zip([("a.py", "x")])), ("over", fv.MAX_ARCHIVE_BYTES + 1, make_zip([("a.py", "x")]))]
     df = spark.createDataFrame(rows, "archive_id string, archive_bytes bigint, content binary")
-    got = {r.archive_id: r.rejected for r in archives.judged(archives.expand(df)).collect()}
+    got = {r.archive_id: r.rejected for r in archives.judged(archives.expand(df, PUBLISHED), PUBLISHED).collect()}
     assert got == {"at": None, "over": "archive_too_large"}
 
 
 def test_admission_of_entry_tables(spark):
     rows = [("kept", 10, f"f{i}.py", 500 * 1024, 0) for i in range(300)] + [("deep", 10, "a/b/c/d/e/f/g", 1, 0), ("ok", 10, "a/b/c/d/e/f", 1, 0)]
     df = spark.createDataFrame(rows, "archive_id string, archive_bytes bigint, name string, file_size bigint, external_attr bigint")
-    got = {r.archive_id: (r.rejected, r.kept_entries) for r in archives.admit(df).collect()}
+    got = {r.archive_id: (r.rejected, r.kept_entries) for r in archives.admit(df, limits=PUBLISHED).collect()}
     assert got == {"kept": (None, 300), "deep": ("too_deep", 0), "ok": (None, 0)}
 
 
@@ -99,7 +99,7 @@ def test_entry_reasons(spark):
     rows = [("x/dist/", 0, 0, "blocked_dir"), ("win\\dist\\a.js", 0, 0, "blocked_dir"), ("a/package-lock.json", 0, 0, "lock_file"), ("a/", 0, 0, "directory"),
             ("l.py", 0, 0xA1ED0000, "symlink"), ("l.py", 512001, 0, "too_large"), ("l.py", 512000, 0, None), (".env", 1, 0, "extension"), ("x.ENV", 1, 0, None)]
     df = spark.createDataFrame(rows, "n string, s bigint, a bigint, want string")
-    for r in df.select("*", skip_reason(F.col("n"), F.col("s"), F.col("a")).alias("got"), depth(F.col("n")).alias("d")).collect():
+    for r in df.select("*", skip_reason(F.col("n"), F.col("s"), F.col("a"), PUBLISHED).alias("got"), depth(F.col("n")).alias("d")).collect():
         assert r.got == r.want, r
 
 
