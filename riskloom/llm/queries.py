@@ -72,4 +72,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
 
-SQL: dict[str, str] = {}
+def _windows_sql(window: int) -> str:
+    return rf"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + {window - 1}], ' ') AS k FROM (SELECT *, unnest(range(1, len(ws) - {window - 2})) AS i FROM w)),
+again AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + {window})) AS p FROM win JOIN again USING (k)) GROUP BY doc_id),
+kept AS (SELECT w.doc_id, len(ws) AS n, CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END AS ks
+  FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n AS n_words, n - len(ks) AS n_removed, sha256(array_to_string(ks, ' ')) AS kept_sha256 FROM kept"""
+
+
+def _secrets_sql() -> str:
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    kinds = secret_owners.BASE | secret_owners.ADDED
+    found = " UNION ALL ".join(f"""
+SELECT doc_id, source, {i} AS o, unnest(range(1, len(m) + 1)) AS i, g, m, v, {least} AS least FROM (
+  SELECT doc_id, source, string_split_regex(t, {quoted(p)}) AS g, regexp_extract_all(t, {quoted(p)}, 0) AS m, regexp_extract_all(t, {quoted(p)}, {group}) AS v
+  FROM d WHERE regexp_matches(t, {quoted(p)}))""" for i, (p, group, least) in enumerate(kinds.values()))
+    names = "[" + ", ".join(f"'{k}'" for k in kinds) + "]"
+    listed = lambda where: f"coalesce(string_agg({names}[o + 1] || ':' || a || ':' || b, ',' ORDER BY a, o) FILTER ({where}), '')"
+    counts = ", ".join(f"count(*) FILTER (o = {i}) AS n_{k}" for i, k in enumerate(secret_owners.BASE))
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), e AS ({found}),
+sp AS (SELECT doc_id, source, o, v[i] AS v, a, a + length(m[i]) AS b FROM (
+  SELECT *, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM e)
+  WHERE length(v[i]) >= least),
+own AS (SELECT v, CASE WHEN count(DISTINCT source) > {secret_owners.MOST_OWNERS} THEN 'example' WHEN length(v) >= 16 AND (starts_with(v, 'AKIA')
+    OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 8)) THEN 'live' ELSE 'weak' END AS c FROM sp GROUP BY v)
+SELECT d.doc_id, {counts}, sha256({listed(f'o < {len(secret_owners.BASE)}')}) AS base_sha256, {listed('o IS NOT NULL')} AS spans, {listed("c = 'live'")} AS live_spans,
+  count(DISTINCT v) FILTER (c = 'live') AS n_live, count(DISTINCT v) FILTER (c = 'example') AS n_example
+FROM d LEFT JOIN (SELECT * FROM sp JOIN own USING (v)) s USING (doc_id) GROUP BY d.doc_id"""
+
+
+def _warc_sql() -> str:
+    letters = " || ".join(
+        f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {1 + 5 * i}, 5) AS BIGINT) >> {shift}) & 31 AS BIGINT) + 1, 1)"
+        for i in range(8) for shift in (15, 10, 5, 0))
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages), q AS (SELECT *, sha1(x) AS h, min(page_id) OVER (PARTITION BY x) AS first FROM p)
+SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes, {letters} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, true AS verified FROM q"""
+
+
+#: Where SQL can say the same. The others hash with XXH64 or a key, are trained, or iterate; tests hold them against plain Python.
+SQL: dict[str, str] = {"op5_substring_dedup": _windows_sql(substring_dedup.WINDOW), "op7_secrets": _secrets_sql(), "op8_warc": _warc_sql()}
