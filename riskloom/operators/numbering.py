@@ -12,23 +12,30 @@ from ..session import settle
 
 
 def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """`row_number() over (partition by group order by order)`, with no task holding a whole group.
+    """`row_number() over (partition by group order by order)`, with no task holding a whole group."""
+    counted = total_before(df.withColumn("_one", F.lit(1)), group, order, "_one", name)
+    return counted.withColumn(name, F.col(name) + 1).drop("_one")
+
+
+def total_before(df: DataFrame, group: Sequence[str], order: Sequence[str], weight: str, name: str) -> DataFrame:
+    """Sum of `weight` over the earlier rows of the group, with no task holding a whole group.
 
     A plain window puts a group into one task, and one group may be a third of the table. Here the
     rows are range-partitioned by (group, order), so a large group spans many slices. The slice
     number is written down with the rows (it must not change if work is repeated), each slice is
-    numbered on its own, and the count of the group's earlier slices is added. The offset window
-    sees one row per group and slice, never more per group than there are slices.
+    summed on its own, and the total of the group's earlier slices is added. The offset window
+    sees one row per group and slice, never more per group than there are slices. A null in the group is a group.
     """
     keys = [*group, *order]
     sliced = settle(df.repartitionByRange(*[F.col(k) for k in keys]).withColumn("_slice", F.spark_partition_id()))
     part = [*group, "_slice"]
     earlier = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        sliced.groupBy(*part).agg(F.count("*").alias("_rows"))
-        .select(*part, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+        sliced.groupBy(*part).agg(F.sum(weight).alias("_total"))
+        .select(*part, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
     )
-    own = F.row_number().over(W.partitionBy(*part).orderBy(*order))
+    inside = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(weight).over(inside), F.lit(0))
     return (
         _matched(sliced.withColumn("_own", own), offsets, part)
         .withColumn(name, (F.col("_own") + F.col("_offset")).cast("long"))
