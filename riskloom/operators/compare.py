@@ -19,23 +19,23 @@ def identity(stable: bool = False) -> Column:
     return F.coalesce(F.nullif(F.concat_ws("::", *present), F.lit("")), F.col("title"))
 
 
-def _sides(findings: DataFrame, pairs: DataFrame, stable: bool) -> tuple[DataFrame, DataFrame]:
-    keyed = findings.withColumn("finding_key", identity(stable))
-    before = keyed.join(pairs.select("pair_id", F.col("before_id").alias("report_id")), "report_id")
-    after = keyed.join(pairs.select("pair_id", F.col("after_id").alias("report_id")), "report_id")
-    return before, after
+def _sided(findings: DataFrame, pairs: DataFrame, stable: bool) -> DataFrame:
+    """Findings once for each pair and side their report stands on: `_before` is the side."""
+    side = lambda column, before: F.struct(F.col(column).alias("report_id"), F.lit(before).alias("_before"))
+    sides = pairs.select("pair_id", F.inline(F.array(side("before_id", True), side("after_id", False))))
+    return findings.withColumn("finding_key", identity(stable)).join(sides, "report_id")
 
 
 def changed(findings: DataFrame, pairs: DataFrame, stable: bool = False) -> DataFrame:
     """Findings only in the before report ('fixed') or only in the after report ('new'); repeats kept.
 
-    pairs: pair_id, before_id, after_id.
+    pairs: pair_id, before_id, after_id. Findings meet the pairs once; which keys stand on one side only comes
+    out of one grouping that is combined before its exchange.
     """
-    before, after = _sides(findings, pairs, stable)
-    key = ["pair_id", "finding_key"]
-    fixed = before.join(after.select(*key).distinct(), key, "left_anti").withColumn("change", F.lit("fixed"))
-    added = after.join(before.select(*key).distinct(), key, "left_anti").withColumn("change", F.lit("new"))
-    return fixed.unionByName(added)
+    rows, key = _sided(findings, pairs, stable), ["pair_id", "finding_key"]
+    lone = rows.groupBy(*key).agg(F.min("_before").alias("a"), F.max("_before").alias("b")).filter("a = b").select(*key)
+    change = F.when(F.col("_before"), "fixed").otherwise("new")
+    return rows.join(lone, key, "left_semi").withColumn("change", change).drop("_before")
 
 
 def movement(unit_facts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -69,10 +69,8 @@ def metrics(findings: DataFrame, scored: DataFrame, pairs: DataFrame, stable: bo
 
     Counts need no anti join: findings are first counted per (pair, key) on both sides at once.
     """
-    before, after = _sides(findings, pairs, stable)
-    mark = lambda df, b: df.select("pair_id", "finding_key", F.lower("severity").alias("s"), F.lit(b).alias("b"))
-    both = mark(before, 1).unionByName(mark(after, 0))
-    b, s = F.col("b") == 1, F.col("s")
+    both = _sided(findings, pairs, stable).select("pair_id", "finding_key", F.lower("severity").alias("s"), F.col("_before").alias("b"))
+    b, s = F.col("b"), F.col("s")
     per_key = both.groupBy("pair_id", "finding_key").agg(
         F.count_if(b).alias("nb"), F.count_if(~b).alias("na"),
         F.count_if(b & (s == "critical")).alias("cb"), F.count_if(~b & (s == "critical")).alias("ca"),

@@ -58,6 +58,12 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.facts(_findings(spark, sf_dir, brief=True), corpus.units(spark, sf_dir))
 
 
+def _settled_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The line table, written once, and the files put together from it."""
+    lines = settle(corpus.lines(spark, sf_dir))
+    return lines, corpus.joined(lines, ["project_id"])
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.scored(_facts(spark, sf_dir))
 
@@ -154,15 +160,15 @@ def mitigation_flags(spark, sf_dir):
 @query
 def missing_approval(spark, sf_dir):
     """Table form of the approval check: findings and lines are separate tables."""
-    tools = _findings(spark, sf_dir, ["tool", "framework"])
-    out = controls.missing_approval(tools, corpus.lines(spark, sf_dir))
+    lines, files = _settled_corpus(spark, sf_dir)
+    out = controls.missing_approval(scan(files, rules=["tool", "framework"]), lines)
     return out.select(*PLACE, "stage", "title", "severity", "category")
 
 
 @query
 def missing_audit(spark, sf_dir):
-    tools = _findings(spark, sf_dir, ["tool", "framework"])
-    out = controls.missing_audit(tools, corpus.lines(spark, sf_dir))
+    lines, files = _settled_corpus(spark, sf_dir)
+    out = controls.missing_audit(scan(files, rules=["tool", "framework"]), lines)
     return out.select(*PLACE, "stage", "title", "severity", "category")
 
 
@@ -182,7 +188,8 @@ def finding_ids(spark, sf_dir):
 @query
 def finding_evidence(spark, sf_dir):
     """Evidence looked up in the line table."""
-    rows = L.with_evidence(_findings(spark, sf_dir), corpus.lines(spark, sf_dir), limit=fv.EVIDENCE_CHARS)
+    lines, files = _settled_corpus(spark, sf_dir)
+    rows = L.with_evidence(scan(files), lines, limit=fv.EVIDENCE_CHARS)
     return rows.select(*PLACE, "title", "evidence")
 
 
@@ -497,7 +504,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def changed_findings(spark, sf_dir):
     rows = settle(_snapshot(spark, sf_dir))
-    return compare.changed(rows, _pairs(spark, sf_dir), stable=True).select(
+    return compare.changed(rows, settle(_pairs(spark, sf_dir)), stable=True).select(
         "pair_id", "change", "report_id", "path", "line_no", "title", "severity")
 
 
@@ -505,7 +512,7 @@ def changed_findings(spark, sf_dir):
 def changed_by_id(spark, sf_dir):
     """As changed_findings, but with the scan-local id in the key."""
     rows = found.with_ids(_snapshot(spark, sf_dir), ["report_id"])
-    return compare.changed(settle(rows), _pairs(spark, sf_dir)).select("pair_id", "change", "id", "path", "line_no", "title")
+    return compare.changed(settle(rows), settle(_pairs(spark, sf_dir))).select("pair_id", "change", "id", "path", "line_no", "title")
 
 
 @query
@@ -521,7 +528,7 @@ def largest_reduction(spark, sf_dir):
 @query
 def comparison_metrics(spark, sf_dir):
     rows = settle(_snapshot(spark, sf_dir))
-    out = compare.metrics(rows, _scored_snapshots(spark, sf_dir, rows), _pairs(spark, sf_dir), stable=True)
+    out = compare.metrics(rows, _scored_snapshots(spark, sf_dir, rows), settle(_pairs(spark, sf_dir)), stable=True)
     return out.select("pair_id", "before_score", "after_score", "score_delta", "verdict", "fixed", "added",
                       "critical_fixed", "high_fixed", "critical_added", "high_added")
 

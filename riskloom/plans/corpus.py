@@ -122,9 +122,12 @@ def keys_of(layout: str) -> list[str]:
 
 def files(spark: SparkSession, sf_dir: str, layout: str = "project") -> DataFrame:
     """files(project_id | report_id, path, text): the lines of a file joined to its text."""
-    keys = keys_of(layout)
+    return joined(lines(spark, sf_dir, layout), keys_of(layout))
+
+
+def joined(line_table: DataFrame, keys: list[str]) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return lines(spark, sf_dir, layout).groupBy(*keys, "path").agg(
+    return line_table.groupBy(*keys, "path").agg(
         F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("text")
     )
 
