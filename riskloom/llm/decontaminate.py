@@ -127,8 +127,8 @@ def _verify(batches):
                 for column, value in zip(out, (i, item_id, *found[item_id])):
                     column.append(value)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id").take(pa.array(out[0], pa.int64())), *(pa.array(c, pa.int64()) for c in out[1:])],
-            names=["id", "item_id", "start", "words", "equal"])
+            [*(batch.column(c).take(pa.array(out[0], pa.int64())) for c in ("id", "doc_id")), *(pa.array(c, pa.int64()) for c in out[1:])],
+            names=["id", "doc_id", "item_id", "start", "words", "equal"])
 
 
 def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -136,7 +136,12 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     docs(doc_id, text), benchmark(item_id, text). Positions count words of the text.
     """
-    rows = docs.select(F.col("doc_id").alias("id"), F.lower(text_of()).alias("text"))
+    return _passages(docs, benchmark).drop("id")
+
+
+def _passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """As `passages`, with id: the hash of doc_id and text by which rows are told apart."""
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("id"), "doc_id", F.lower(text_of()).alias("text"))
     plain = F.trim(F.regexp_replace(F.lower(text_of()), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
     items = benchmark.select("item_id", plain.alias("text")).groupBy("text").agg(F.min("item_id").cast("long").alias("id"))
     items = settle(items.filter("id is not null").withColumn("n", F.size(F.split("text", " "))).filter(F.col("n") >= SHORTEST))
@@ -152,9 +157,9 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     places = places.join(items.select(F.col("id").alias("item_id"), F.col("text").alias("item")), "item_id")
     lists = places.groupBy("id").agg(F.collect_list(F.struct("item_id", "shift", "item")).alias("hits"))
     lists = lists.withColumnRenamed("id", "own")
-    both = rows.join(lists, rows["id"].eqNullSafe(F.col("own"))).select("id", "text", "hits")
-    kind = rows.schema["id"].dataType.simpleString()
-    return both.mapInArrow(_verify, f"id {kind}, item_id long, start long, words long, equal long").withColumnRenamed("id", "doc_id")
+    both = rows.join(lists, rows["id"] == F.col("own")).select("id", "doc_id", "text", "hits")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return both.mapInArrow(_verify, f"id long, doc_id {kind}, item_id long, start long, words long, equal long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -162,7 +167,6 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Rows are told apart by id and text, so a repeated id loses only the rows that hold one.
     """
-    tag = F.to_json(F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t")))
-    tagged = sheltered(docs, ["doc_id", "text"]).withColumn("_tag", tag)
-    found = passages(tagged.select(F.col("_tag").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_found")).distinct()
+    found = _passages(docs, benchmark).select(F.col("id").alias("_found")).distinct()
+    tagged = sheltered(docs, ["doc_id", "text"]).withColumn("_tag", F.xxhash64("doc_id", "text"))
     return restored(tagged.join(found, F.col("_tag") == F.col("_found"), "left_anti"), docs, ["doc_id", "text"])

@@ -179,7 +179,7 @@ def learned(docs: DataFrame, usable: Column | None = None, per_language: int = P
     share = F.lit(0.0)
     for row in counts:
         share = F.when(F.col("lang") == row["lang"], min(1.0, per_language / row["n"])).otherwise(share)
-    rows = known.filter(uniform(F.col("doc_id")) < share).select("lang", F.lower("text").alias("text"))
+    rows = known.filter(uniform(F.col("doc_id"), F.col("text")) < share).select("lang", F.lower("text").alias("text"))
     rows = rows.mapInArrow(_shares, "lang string, shares binary").orderBy("lang", "shares").toArrow()
     x = np.stack([np.frombuffer(v.as_py(), np.float16) for v in rows.column("shares")]).astype(np.float32)
     model = fit(x / np.float32(1024), rows.column("lang").to_pylist())

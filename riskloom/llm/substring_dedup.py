@@ -183,7 +183,7 @@ def _marked(window: int, known: np.ndarray, keep: list[str], schema: pa.Schema):
 def common_windows(docs: DataFrame, window: int = WINDOW, sample: int = 4000, seen: int = 4, most: int = 1 << 17) -> np.ndarray:
     """Sorted hashes of windows that occur `seen` times in about `sample` documents; `most` at the utmost."""
     n = docs.count()
-    some = docs.filter(uniform(F.col("doc_id")) < min(1.0, sample / max(n, 1))).select(text_of().alias("text"))
+    some = docs.filter(uniform(F.col("doc_id"), F.col("text")) < min(1.0, sample / max(n, 1))).select(text_of().alias("text"))
     found = some.mapInArrow(_frequent(window), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     rows = found.filter(F.col("n") >= max(seen, 2)).orderBy(F.desc("n"), "h").limit(most).collect()
     return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
@@ -201,7 +201,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...]
     known = common_windows(docs, window)
     own = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
     names = [f"_{i}" for i in range(len(keep))]
-    rows = docs.select(*own, text_of().alias("text"), F.pmod(F.xxhash64(*keep), F.lit(shards)).alias("shard"))
+    rows = docs.select(*own, text_of().alias("text"), F.pmod(F.xxhash64(*keep, "text"), F.lit(shards)).alias("shard"))
     packs = rows.select("shard", "text").mapInArrow(_packs(window, buckets, known), "bucket long, shard long, once binary, twice binary")
     found = packs.groupBy("bucket").applyInArrow(_repeated, "shard long, hashes binary")
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.select(*keep).schema))

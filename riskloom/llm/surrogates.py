@@ -30,7 +30,7 @@ IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"
 CARD = r"\b[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}\b"
 SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
-PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|\b[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b"
+PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|\b[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b|\b0[0-9]{2,4}[ /-][0-9]{6,8}\b"
 MALE = "Mr Herr Monsieur Señor Sr Sir Господин".split()
 FEMALE = "Mrs Ms Miss Frau Madame Mme Señora Sra Госпожа".split()
 MALE_NAMES = "James John Robert Michael David William Thomas Peter Hans Klaus Jürgen Pierre Jean Luis Carlos José Иван Сергей".split()
