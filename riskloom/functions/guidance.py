@@ -33,7 +33,7 @@ def scenario_tool(title: Column, evidence: Column) -> Column:
     """The tool a scenario is about: a defined name, a risky-looking name, or a hint word."""
     text = F.lower(F.concat_ws(" ", title, evidence))
     defined = F.regexp_extract(text, rf"(?:function|def){SPACE}+['\"]?({_IDENT})", 1)
-    risky = "refund|delete|email|shell|exec|execute|customer|payment|file|database|db"
+    risky = "|".join(fv.RISKY_NAME_PARTS)
     named = F.regexp_extract(text, rf"(?<!{WORD})({_IDENT}(?:{risky})[a-zA-Z_\p{{Nd}}]*)(?!{WORD})", 1)
     return F.coalesce(
         F.nullif(defined, F.lit("")), F.nullif(named, F.lit("")), first_word(text, fv.TOOL_HINTS), F.lit(fv.TOOL_HINT_DEFAULT)

@@ -112,16 +112,9 @@ def severity_weight(severity: Column) -> Column:
 
 def normal_category(category: Column) -> Column:
     """One of the six category names when the text mentions it, else the text itself."""
-    value = F.lower(category)
-    out = F.when(value.contains("prompt injection"), "Prompt Injection Risk")
-    for needle, name in [
-        ("secret exposure", "Secret Exposure Risk"),
-        ("tool permission", "Tool Permission Risk"),
-        ("human approval", "Human Approval Risk"),
-        ("data exposure", "Data Exposure Risk"),
-        ("audit", "Auditability Risk"),
-    ]:
-        out = out.when(value.contains(needle), name)
+    value, out = F.lower(category), None
+    for mention, name in fv.CATEGORY_MENTIONS.items():
+        out = F.when(value.contains(mention), name) if out is None else out.when(value.contains(mention), name)
     return out.otherwise(category)
 
 
@@ -139,4 +132,7 @@ def status_of(score: Column) -> Column:
 
 def risk_band(score: Column) -> Column:
     """Band of a category score: lower risk, watch and review, fix first."""
-    return F.when(score <= 39, "lower_risk").when(score <= 69, "watch_and_review").otherwise("fix_first")
+    out = None
+    for top, name in fv.RISK_BANDS:
+        out = F.when(score <= top, name) if out is None else out.when(score <= top, name)
+    return out.otherwise(fv.RISK_BAND_TOP)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .. import fixed_values as fv
 from .score import KEYS
 
 
@@ -91,7 +92,7 @@ def metrics(findings: DataFrame, scored: DataFrame, pairs: DataFrame, stable: bo
         .withColumn("score_delta", F.col("after_score") - F.col("before_score"))
     )
     verdict = (
-        F.when(F.col("score_delta") > 0, "Security posture improved")
-        .when(F.col("score_delta") < 0, "Security posture regressed").otherwise("No material score change")
+        F.when(F.col("score_delta") > 0, fv.VERDICTS["better"])
+        .when(F.col("score_delta") < 0, fv.VERDICTS["worse"]).otherwise(fv.VERDICTS["same"])
     )
     return out.withColumn("verdict", verdict)

@@ -75,7 +75,7 @@ def scenarios(
         F.lower("severity").alias("risk_level"), "priority_score", "path", "line_no",
         F.concat_ws(":", "path", F.col("line_no").cast("string")).alias("location"),
         seen.alias("evidence"), "tool", "capability",
-        filled(F.col("suggested_fix"), "Add a clear guardrail before deployment.").alias("required_fix"),
+        filled(F.col("suggested_fix"), fv.SCENARIO_FIX_DEFAULT).alias("required_fix"),
         F.col("_t.t0").alias("guardrail"), F.col("_t.t1").alias("precondition"), F.col("_t.t2").alias("detection_signal"),
     )
 
@@ -210,6 +210,17 @@ def linked(findings: DataFrame, artifacts: DataFrame, keys: Sequence[str], colum
     return findings.join(first, [*keys, "id"], "left")
 
 
+def unidentified(findings: DataFrame) -> DataFrame:
+    """Findings without an id, which no artifact can point at; must be empty."""
+    return findings.filter(F.coalesce(F.trim("id"), F.lit("")) == "")
+
+
+def by_severity(findings: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
+    """Findings with `ord`: the most severe first, finding order on ties."""
+    ranked = findings.withColumn("_least", -severity_rank(F.col("severity")))
+    return number_rows(ranked, keys, ["_least", *POSITION, "title"], "ord").drop("_least")
+
+
 def dangling(artifacts: DataFrame, findings: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
     """Artifacts that point at no finding of their unit; must be empty."""
     ids = findings.select(*keys, F.col("id").alias("finding_id"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .numbering import with_previous
+from .numbering import number_rows, with_previous
 
 CARD = ("id", "project_name", "scan_type", "repo_url", "upload_name", "safety_score", "status", "summary")
 
@@ -21,6 +21,17 @@ def newest_first(reports: DataFrame) -> DataFrame:
     return reports.orderBy(F.desc_nulls_last("created_at"), "id")
 
 
+def numbered_newest_first(reports: DataFrame, by: Sequence[str] = ("user_id",)) -> DataFrame:
+    """`ord` inside each owner's list: newest first, reports without a time last."""
+    late = reports.withColumn("_late", -F.unix_micros("created_at")).withColumn("_none", F.col("created_at").isNull())
+    return number_rows(late, by, ["_none", "_late", "id"], "ord").drop("_late", "_none")
+
+
+def moment(text: Column) -> Column:
+    """The time that an ISO 8601 text of a saved report names; null when it names none."""
+    return F.try_to_timestamp(text)
+
+
 def key_figures(reports: DataFrame, by: Sequence[str] = ("user_id",)) -> DataFrame:
     """Number of reports, latest score, number of blocked reports."""
     latest = F.max(F.struct("created_at", "id", "safety_score"))

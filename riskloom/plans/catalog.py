@@ -327,6 +327,25 @@ def report_cards(spark, sf_dir):
         F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
 
 
+@query
+def ranked_cards(spark, sf_dir):
+    """The order of each owner's list of reports."""
+    return history.numbered_newest_first(_reports(spark, sf_dir)).select("user_id", "id", "ord")
+
+
+def saved_time_sql(text: str) -> str:
+    """An event's time as a saved report may write it, from `text`, the plain ISO form."""
+    return f"CASE event_id % 5 WHEN 0 THEN {text} || 'Z' WHEN 1 THEN {text} || '+02:00' WHEN 2 THEN {text} WHEN 3 THEN {text} || '.250Z' ELSE 'on ' || {text} END"
+
+
+@query
+def saved_times(spark, sf_dir):
+    """Times of saved documents, written in several ways, as times again."""
+    text = F.expr(saved_time_sql("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")"))
+    events = table(spark, sf_dir, "events").select("event_id", text.alias("saved"))
+    return events.select("event_id", F.date_format(history.moment(F.col("saved")), "yyyy-MM-dd HH:mm:ss").alias("moment"))
+
+
 @query
 def history_figures(spark, sf_dir):
     rows = _reports(spark, sf_dir)
@@ -410,7 +429,7 @@ def exported_reports(spark, sf_dir):
     judged = gate.judge(gate.under_policies(_scored(spark, sf_dir), {"default": {}}))
     full = store_of.build(judged)
     store_of.export_json(full, path)
-    back = spark.read.schema(full.schema).json(path)
+    back = store_of.read_json(spark, path, full.schema, whole_files=False).filter("_corrupt_record is null")
     return back.select(
         "project_id", "safety_score", "status", F.col("summary.critical").alias("critical"),
         F.col("category_scores.tool_permission").alias("tool_permission"),
@@ -640,6 +659,32 @@ def dangling_artifacts(spark, sf_dir):
     return guidance.dangling(_first_fixes(rows), rest).select("project_id", "finding_id", "patch_type")
 
 
+@query
+def dangling_scenarios(spark, sf_dir):
+    """As dangling_artifacts, of scenarios; and findings whose id was taken away."""
+    rows, _ = _with_facts(spark, sf_dir, ids=True)
+    number = F.substring("project_id", 2, 20).cast("bigint")
+    secret = F.col("rule") == "secret"
+    rest = rows.filter(~((number % 3 == 0) & secret))
+    lost = guidance.dangling(guidance.scenarios(rows), rest).select("project_id", "finding_id", F.lit("scenario").alias("what"))
+    bare = guidance.unidentified(rows.withColumn("id", F.when(~((number % 5 == 0) & secret), F.col("id"))))
+    return lost.unionByName(bare.select("project_id", F.lit(None).cast("string").alias("finding_id"), F.lit("finding").alias("what")))
+
+
+@query
+def findings_by_severity(spark, sf_dir):
+    rows = guidance.by_severity(_findings(spark, sf_dir))
+    return rows.select(*PLACE, "title", "severity", "ord")
+
+
+@query
+def present_findings(spark, sf_dir):
+    """Findings whose file is still there, after every fourth file of a project went."""
+    files = corpus.files(spark, sf_dir)
+    gone = (F.length("path") + F.substring("project_id", 2, 20).cast("bigint")) % 4 == 0
+    return L.in_files(_findings(spark, sf_dir), files.filter(~gone)).select(*PLACE, "title", "severity")
+
+
 @query
 def case_coverage(spark, sf_dir):
     return graph.case_coverage(_facts(spark, sf_dir))

@@ -551,6 +551,14 @@ g AS (SELECT *, CAST((gate_critical > 0)::INT + (bs > 0)::INT + (ba > 0)::INT +
 SELECT user_id, CASE WHEN n_blockers > 0 THEN 'BLOCK' WHEN gate_high > 0 OR gate_medium > 0 THEN 'REVIEW' ELSE 'ALLOW' END AS decision,
   gate_critical, gate_high, gate_medium, gate_low, n_critical, n_blockers, array_to_string(list_filter([{spelled}], lambda x: x IS NOT NULL), ' | ') AS next_steps FROM g"""
     out["all_scenarios"] = P + _IDS + _scenario_cte(None) + f" SELECT {unit}, CAST(ord AS INTEGER) AS ord, id AS finding_id, kind AS simulation_type, priority_score FROM scn"
+    out["dangling_scenarios"] = P + _IDS + _scenario_cte(None) + f"""
+SELECT {unit}, id AS finding_id, 'scenario' AS what FROM scn WHERE {number} % 3 = 0 AND rule = 'secret'
+UNION ALL SELECT {unit}, CAST(NULL AS VARCHAR), 'finding' FROM idf WHERE {number} % 5 = 0 AND rule = 'secret'"""
+    out["findings_by_severity"] = P + f" SELECT {place}, title, severity, row_number() OVER (PARTITION BY unit ORDER BY {rank} DESC, {_ORDER}) AS ord FROM fnd"
+    out["present_findings"] = P + f" SELECT {place}, title, severity FROM fnd WHERE (length(path) + {number}) % 4 <> 0"
+    out["ranked_cards"] = hist + " SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC NULLS LAST, id) AS ord FROM rep"
+    out["saved_times"] = """
+SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL WHEN 1 THEN strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS moment FROM events"""
     out["all_fixes"] = P + _IDS + _fix_cte(None) + f" SELECT {unit}, CAST(ord AS INTEGER) AS ord, id AS finding_id, patch_type, confidence FROM fix"
     out["user_reports"] = hist + " SELECT user_id, id, safety_score FROM rep WHERE user_id IN ('owner3', 'owner7')"
     out["one_report"] = hist + " SELECT user_id, id, safety_score FROM rep WHERE user_id = 'owner3' AND id = 'u3-w0'"

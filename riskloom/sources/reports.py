@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import fixed_values as fv
 from ..functions.rules import status_of
@@ -120,9 +121,14 @@ def pretty(report_columns: Sequence[str]) -> Column:
     return F.to_json(F.struct(*report_columns), {"pretty": "true"})
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Saved documents, one per file or line; broken ones keep their text in `_corrupt_record`."""
+def read_json(spark: SparkSession, path: str, schema: StructType | str, whole_files: bool = True) -> DataFrame:
+    """Saved documents, one per file or (`whole_files=False`) line; broken ones keep their text in `_corrupt_record`."""
+    fields = schema if isinstance(schema, StructType) else _parsed(spark, schema)
     return (
-        spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record").option("multiLine", "true").json(path)
+        spark.read.schema(StructType([*fields, StructField("_corrupt_record", StringType())])).option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_corrupt_record").option("multiLine", str(whole_files).lower()).json(path)
     )
+
+
+def _parsed(spark: SparkSession, schema: str) -> StructType:
+    return spark.createDataFrame([], schema).schema
