@@ -2,8 +2,9 @@
 
 Spans of several kinds are found in every text. Each span's value is hashed, and the hashes are counted
 over the corpus by distinct owners and repositories. A value that more than `most_owners` owners hold
-is an example that was copied around; one of few owners that looks random is a live-looking credential
-(`live`); the rest is `weak`.
+is an example that was copied around; one of few owners that looks like a credential of its kind is `live`;
+the rest is `weak`. Keys with a body and tokens of a known form always look so; a value assigned to a
+password-like name, or the password of an address, does by its place, unless it is a placeholder.
 
 Everything is DataFrame functions. A text is split at the matches of a kind, and lengths of the pieces
 give the positions, so each kind costs one pass over texts without a match. Only spans leave
@@ -28,14 +29,19 @@ BASE = {
     "access": (r"(AKIA[A-Z0-9]{16,})", 1, 20),
     "hex": (r"([0-9a-f]{24,})", 1, 24),
 }
+_KEY = r"(?:[A-Z]{1,12} ){0,3}PRIVATE KEY(?: BLOCK)?-----"
 ADDED = {
-    "key": (r"(-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----)", 1, 1),
+    # Up to its END marker; where the text breaks off before, the lines of key letters that follow.
+    "key": (rf"(-----BEGIN {_KEY}(?:[^-]*(?:-[^-]+){{0,16}}-----END {_KEY}|(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{{12,}}){{0,80}}))", 1, 1),
     "jwt": (r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 1),
     "vendor": (r"((?:ghp_|gho_|glpat-|xox[bap]-|sk_live_|AIza)[A-Za-z0-9_-]{16,})", 1, 1),
     "address": (r"""(://[^\s:/@"']{1,64}:[^\s:/@"']{6,64}@)""", 1, 1),
 }
 KINDS = list(BASE) + list(ADDED)
+PLACEHOLDER = (r"(?i)change.?(?:me|it)|example|placeholder|redacted|dummy|^your|^insert|^replace|"
+               r"^(?:null|none|true|false|undefined|required|optional|string|password|passwd|secret|token|default|value|text)$")
 MOST_OWNERS = 2
+WHOLE_WORD = 16
 COVER = "[SECRET]"
 
 
@@ -69,13 +75,26 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["ord"]), s["start"], s["end"])), ",")
 
 
-def live_looking(value: Column) -> Column:
+def _random(value: Column) -> Column:
     """Long enough, of letters and digits, and of many different characters."""
     letters = F.size(F.array_distinct(F.split(value, "")))
     random = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (letters >= 8)
     return (F.length(value) >= 16) & (random | value.startswith("AKIA"))
 
 
+def _by_place(value: Column) -> Column:
+    """No placeholder, and not one or few characters repeated."""
+    return ~value.rlike(PLACEHOLDER) & (F.size(F.array_distinct(F.split(F.lower(value), ""))) >= 5)
+
+
+def live_looking(value: Column, kind: Column) -> Column:
+    """Whether a value looks like a credential of its kind (number in KINDS)."""
+    of = lambda *names: kind.isin([KINDS.index(n) for n in names])
+    body = F.length(F.regexp_replace(value, rf"-----(?:BEGIN|END) {_KEY}|\s", "")) > 0
+    return _random(value) | of("jwt", "vendor") | (of("key") & body) | (of("assign") & _by_place(value)) | (
+        of("address") & _by_place(F.regexp_extract(value, ":([^:@]*)@$", 1)))
+
+
 def scanned(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """doc_id, mark (of the row's id and text), owner, repository and the spans of every text; written once."""
     return settle(docs.select(
@@ -85,8 +104,9 @@ def scanned(docs: DataFrame, owner: str = "source", repository: str = "doc_id")
 
 def ownership(scan: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
     """digest, n_owners, n_repositories and class of each value found in a scan."""
-    values = scan.select("owner", "repository", F.explode(F.array_distinct(F.col("spans.value"))).alias("value"))
-    values = values.select("owner", "repository", F.sha2("value", 256).alias("digest"), live_looking(F.col("value")).alias("looks"))
+    each = F.array_distinct(F.transform("spans", lambda s: F.struct(s["value"].alias("value"), s["ord"].alias("ord"))))
+    values = scan.select("owner", "repository", F.explode(each).alias("s")).select("owner", "repository", "s.value", "s.ord")
+    values = values.select("owner", "repository", F.sha2("value", 256).alias("digest"), live_looking(F.col("value"), F.col("ord")).alias("looks"))
     one = values.groupBy("digest", "owner", "repository").agg(F.max("looks").alias("looks"))
     by_owner = one.groupBy("digest", "owner").agg(F.count("*").alias("n"), F.max("looks").alias("looks"))
     out = by_owner.groupBy("digest").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"), F.max("looks").alias("looks"))
@@ -114,6 +134,12 @@ def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
         "doc_id", "spans", *(F.coalesce(c, none).alias(c) for c in ("live", "example")))
 
 
+def _without(text: Column, value: Column) -> Column:
+    """`text` with `value` blanked out; a short one only where it is no part of a longer word."""
+    quoted = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+    return F.when(F.length(value) < WHOLE_WORD, F.regexp_replace(text, quoted, F.lit(COVER))).otherwise(F.replace(text, value, F.lit(COVER)))
+
+
 def covered(docs: DataFrame, owner: str = "source", repository: str = "doc_id", most_owners: int = MOST_OWNERS) -> DataFrame:
     """`docs` with every live-looking value blanked out in the text, wherever it stands; n_chars follows."""
     judged = _judged(scanned(docs, owner, repository), most_owners).filter(F.size("live") > 0)
@@ -121,7 +147,7 @@ def covered(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
     needed = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
     own = sheltered(docs, needed).withColumn("_mark", F.xxhash64("doc_id", "text"))
     both = own.join(judged.select(F.col("mark").alias("_own"), longest.alias("_live")), F.col("_mark") == F.col("_own"), "left")
-    text = F.when(F.col("_live").isNotNull(), F.aggregate("_live", F.col("text"), lambda t, v: F.replace(t, v, F.lit(COVER)))).otherwise(F.col("text"))
+    text = F.when(F.col("_live").isNotNull(), F.aggregate("_live", F.col("text"), _without)).otherwise(F.col("text"))
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_live").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
