@@ -10,9 +10,9 @@ in `LENGTH` aligned words (all words, if the item has fewer) at most `CHANGES` d
 Before the join, seeds of the texts pass a bit table made from the benchmark's seeds. Its size is
 bounded (8 MB); for a benchmark of any size it only lets more seeds through, never fewer.
 
-Words are runs of letters and digits in lower case (all that is not ASCII counts as a letter). An item of
-fewer than `LENGTH` words is looked for as a whole, without replacements; one of fewer than `SHORTEST`
-words says nothing and is not looked for. Items of the same words count once, under their smallest id.
+Words are runs of letters, marks and digits in lower case; in scripts that put no spaces between words every
+character is one. An item of fewer than `LENGTH` words is looked for as a whole, without replacements, down to
+a single word. Items of the same words count once, under their smallest id; one without an id is looked for too.
 
 Cases: null and empty texts hold nothing; repeated rows and ids each hold what their texts hold, a
 null id included; empty tables give no rows; other columns are ignored.
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settle
 from . import bytewise as B
@@ -31,7 +31,8 @@ from .common import restored, sheltered, text_of
 MASKS = ("111001011", "1101010011")
 LENGTH = 13
 CHANGES = 2
-SHORTEST = 5
+SHORTEST = 1
+UNSPACED = "".join(rf"\p{{Is{script}}}" for script in "Han Hiragana Katakana Thai Lao Khmer Myanmar".split())
 BASE = 0xD6E8FEB86659FD93
 BITS = (16, 26)
 _MARKS = B.separators("marks")
@@ -66,6 +67,10 @@ def _seeds(batches, masks: tuple[str, ...], bits: np.ndarray | None, whole: bool
                     good &= np.diff(words.bounds)[words.doc[:n]] == len(mask)
                 at = np.flatnonzero(good)
                 doc = words.doc[at]
+                if bits is not None and "0" not in mask:
+                    # A whole item is found once; its first place in a text is enough.
+                    _, one = np.unique(np.stack([doc, h[at].view(np.int64)]), axis=1, return_index=True)
+                    at, doc = at[np.sort(one)], doc[np.sort(one)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").take(pa.array(doc + first)), pa.array(h[at].view(np.int64)), pa.array(at - words.bounds[doc])],
                     names=["id", "h", "at"])
@@ -76,6 +81,12 @@ def seeds(rows: DataFrame, masks: tuple[str, ...], bits: np.ndarray | None = Non
     return rows.select("id", "text").mapInArrow(lambda b: _seeds(b, masks, bits, whole), f"id {kind}, h long, at long")
 
 
+def plain(text: Column) -> Column:
+    """Lower case, with ASCII between words wherever one ends; ASCII texts are so already."""
+    parted = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " "), f"([{UNSPACED}])", " $1 ")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), parted).otherwise(F.lower(text))
+
+
 def bit_table(keys: DataFrame, n: int) -> np.ndarray:
     """One bit for each value of h modulo the size, 64 times as many as there are keys within the bounds."""
     size = 1 << min(max(int(64 * max(n, 1) - 1).bit_length(), BITS[0]), BITS[1])
@@ -121,10 +132,11 @@ def _verify(batches):
             text, found = _word_hashes(batch.column("text")[i].as_py()), {}
             for hit in batch.column("hits")[i].as_py():
                 start, words, equal = aligned(text, _word_hashes(hit["item"]), hit["shift"])
-                if words and words > found.get(hit["item_id"], (0, 0, 0))[1]:
-                    found[hit["item_id"]] = (start, words, equal)
-            for item_id in sorted(found):
-                for column, value in zip(out, (i, item_id, *found[item_id])):
+                item = hit["item_id"], hit["item"]
+                if words and words > found.get(item, (0, 0, 0))[1]:
+                    found[item] = (start, words, equal)
+            for item in sorted(found, key=lambda k: (k[0] is None, k[0] or 0, k[1])):
+                for column, value in zip(out, (i, item[0], *found[item])):
                     column.append(value)
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c).take(pa.array(out[0], pa.int64())) for c in ("id", "doc_id")), *(pa.array(c, pa.int64()) for c in out[1:])],
@@ -141,10 +153,10 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """As `passages`, with id: the hash of doc_id and text by which rows are told apart."""
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("id"), "doc_id", F.lower(text_of()).alias("text"))
-    plain = F.trim(F.regexp_replace(F.lower(text_of()), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
-    items = benchmark.select("item_id", plain.alias("text")).groupBy("text").agg(F.min("item_id").cast("long").alias("id"))
-    items = settle(items.filter("id is not null").withColumn("n", F.size(F.split("text", " "))).filter(F.col("n") >= SHORTEST))
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("id"), "doc_id", plain(text_of()).alias("text"))
+    bare = F.trim(F.regexp_replace(plain(text_of()), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
+    items = benchmark.select("item_id", bare.alias("text")).filter("text <> ''").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
+    items = settle(items.withColumn("id", F.xxhash64("text")).withColumn("n", F.size(F.split("text", " "))).filter(F.col("n") >= SHORTEST))
     short = [r["n"] for r in items.filter(F.col("n") < LENGTH).select("n").distinct().orderBy("n").collect()]
     wholes = tuple("1" * n for n in short)
     keys = seeds(items.filter(F.col("n") >= LENGTH), MASKS)
@@ -152,10 +164,10 @@ def _passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         keys = keys.unionByName(seeds(items.filter(F.col("n") < LENGTH), wholes, whole=True))
     keys = settle(keys)
     near = seeds(rows, MASKS + wholes, bit_table(keys, keys.count()))
-    hits = near.join(keys.withColumnsRenamed({"id": "item_id", "at": "item_at"}), "h")
-    places = hits.select("id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    places = places.join(items.select(F.col("id").alias("item_id"), F.col("text").alias("item")), "item_id")
-    lists = places.groupBy("id").agg(F.collect_list(F.struct("item_id", "shift", "item")).alias("hits"))
+    hits = near.join(keys.withColumnsRenamed({"id": "item", "at": "item_at"}), "h")
+    places = hits.select("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    places = places.join(items.select(F.col("id").alias("item"), "item_id", F.col("text").alias("words")), "item")
+    lists = places.groupBy("id").agg(F.collect_list(F.struct("item_id", "shift", F.col("words").alias("item"))).alias("hits"))
     lists = lists.withColumnRenamed("id", "own")
     both = rows.join(lists, rows["id"] == F.col("own")).select("id", "doc_id", "text", "hits")
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -74,3 +74,13 @@ def test_awkward_rows(spark, awkward, nothing):
     assert D.clean(awkward, bench.limit(0)).count() == awkward.count()
     assert D.clean(nothing, bench).count() == 0
     assert sorted(D.passages(awkward, bench).select("doc_id", "item_id").collect()) == [(1, 1), (1, 1)]
+
+
+def test_every_item_is_looked_for(spark):
+    bench = spark.createDataFrame(
+        [(1, "白日依山尽黄河入海流欲穷千里目更上一层楼"), (2, "two words"), (3, "curly quotes mark these seven plain words"), (None, "an item that has no id at all"), (5, "ทดสอบ")],
+        "item_id long, text string")
+    texts = ["前 白日依山尽，黄河入海流。欲穷千X目，更上一层楼 后", "just two, words", "“Curly quotes” mark—these seven plain words…", "an item that has no id at all", "นี่คือทดสอบ", "nothing here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in D.passages(docs, bench).collect()} == {(0, 1), (1, 2), (2, 3), (3, None), (4, 5)}
+    assert [r["doc_id"] for r in D.clean(docs, bench).collect()] == [5]
