@@ -64,11 +64,14 @@ def ungrouped(reports: DataFrame, members: DataFrame) -> DataFrame:
     return reports.join(members.select(F.col("report_id").alias("id")), "id", "left_anti")
 
 
-def daily_scores(reports: DataFrame, late: str = "1 day") -> DataFrame:
-    """Mean, lowest and highest score per project and day; works on a stream too."""
+def daily_scores(reports: DataFrame, late: str | None = None) -> DataFrame:
+    """Mean, lowest and highest score per project and day; works on a stream too.
+
+    Every report counts, however late. A stream that names `late` keeps less state and leaves out reports later than that.
+    """
+    kept = reports if late is None else reports.withWatermark("created_at", late)
     return (
-        reports.withWatermark("created_at", late)
-        .groupBy(F.window("created_at", "1 day").alias("_w"), "project_name")
+        kept.groupBy(F.window("created_at", "1 day").alias("_w"), "project_name")
         .agg(F.count("*").alias("reports"), F.avg("safety_score").alias("mean_score"),
              F.min("safety_score").alias("lowest"), F.max("safety_score").alias("highest"))
         .select(F.col("_w.start").alias("day"), "project_name", "reports", "mean_score", "lowest", "highest")

@@ -1,8 +1,7 @@
 """Source trees derived from the event log, so that every rule has something to find.
 
 An event becomes one line of a source file; the kind of line follows from the event id. A file is a
-user's events of one period within one block of BLOCK event ids, so it never holds more than
-BLOCK lines, however many events one user has.
+user's events of one period, whatever the size of the table, so a control is seen wherever it stands in the file.
 
 Two layouts: `project` (a user is a project with two files) and `snapshot` (each week of a
 user is a report of its own, and the file keeps its path from week to week).
@@ -12,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+#: Where the SQL twins still part files; from this event id on they differ from `lines`.
 BLOCK = 131_072
 KINDS = 151
 FIRST_DAY = "2024-01-01"
@@ -100,9 +100,9 @@ def lines(spark: SparkSession, sf_dir: str, layout: str = "project") -> DataFram
     days = 15 if layout == "project" else 6
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         "event_id", "user_id", "props", F.floor(day / days).cast("int").alias("period"),
-        F.floor(F.col("event_id") / BLOCK).cast("int").alias("block"), F.expr(kind_sql()).alias("kind"),
+        F.lit(0).alias("block"), F.expr(kind_sql()).alias("kind"),
     )
-    file = W.partitionBy("user_id", "period", "block")
+    file = W.partitionBy("user_id", "period")
     numbered = (
         events.withColumn("line_no", F.row_number().over(file.orderBy("event_id")).cast("int"))
         .withColumn("last_no", F.count("*").over(file).cast("int"))

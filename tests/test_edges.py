@@ -172,3 +172,28 @@ def test_daily_scores_on_a_stream(spark, tmp_path):
     query.awaitTermination()
     got = {(str(r.day)[:10], r.reports, r.lowest, r.highest) for r in spark.table("daily").collect()}
     assert got == {("2024-01-01", 2, 10, 30), ("2024-01-02", 1, 50, 50), ("2024-01-05", 1, 90, 90)}
+
+
+def test_late_reports_count(spark, tmp_path):
+    at = lambda t, s: spark.createDataFrame([(t, "p", s)], "t string, project_name string, safety_score int").select(
+        F.to_timestamp("t").alias("created_at"), "project_name", "safety_score")
+    inbox, where = str(tmp_path / "in"), str(tmp_path / "cp")
+    seen = []
+    for t, score in (("2024-01-01 01:00:00", 10), ("2024-02-01 01:00:00", 50), ("2024-01-01 02:00:00", 30)):
+        at(t, score).write.mode("append").parquet(inbox)
+        stream = history.daily_scores(spark.readStream.schema(at(t, score).schema).parquet(inbox))
+        keep = lambda df, _: seen.extend((str(r.day)[:10], r.reports, r.highest) for r in df.collect())
+        stream.writeStream.outputMode("update").option("checkpointLocation", where).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    assert ("2024-01-01", 2, 30) in seen
+
+
+def test_files_do_not_depend_on_event_numbers(spark, tmp_path):
+    """A file goes on over the event id at which tables used to be cut."""
+    from riskloom.plans import corpus
+
+    rows = [(131_072 + i, 1, "{}") for i in range(-3, 3)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, props string").withColumn("ts", F.to_timestamp(F.lit("2024-01-02 00:00:00")))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    for layout in ("project", "snapshot"):
+        found = corpus.lines(spark, str(tmp_path), layout).collect()
+        assert len({r.path for r in found}) == 1 and sorted(r.line_no for r in found) == list(range(1, 7))
