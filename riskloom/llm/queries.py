@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fingerprint, language_id, packing, secret_owners, simhash_groups, substring_dedup, surrogates, toxicity, warc_store
-from .common import remainder, table
+from . import (
+    decontaminate, external_shuffle, fingerprint, language_id, packing, periodic_runs, secret_owners, simhash_groups, spelling_variants, substring_dedup,
+    surrogates, toxicity, warc_store,
+)
+from .common import checksum, remainder, table, text_of
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +71,48 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _with_letters_lost(runs: DataFrame) -> DataFrame:
+    """The edit that the query makes: of one run in 97, by document and run, a code point is deleted."""
+    h, at = checksum(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "word")), F.col("_at")
+    runs = runs.withColumn("_h", h).withColumn("_at", F.when(F.col("_h") % 97 == 0, (F.col("_h") % F.length("word")).cast("int")))
+    lost = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.length("word")))
+    return runs.select(F.when(at.isNull(), F.col("word")).otherwise(lost).alias("word"))
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling_variants.words_of(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return spelling_variants.grouped(spelling_variants.vocabulary(_with_letters_lost(runs)))
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """The edit that the query makes: one document in ten, by its id, goes round in its words from some word on."""
+    h, text = checksum(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), text_of()
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    docs = docs.select("doc_id", text.alias("text"), h.alias("_h"), F.when(h % 10 == 0, words).alias("_w"))
+    docs = docs.withColumn("_n", F.size("_w")).withColumn("_g", F.floor(F.col("_h") / 10))
+    docs = docs.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    docs = docs.withColumn("_p", F.floor((F.col("_n") - F.col("_a")) / (F.col("_g") % 8 + 3)) + 1)
+    place = lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int")
+    turned = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.get("_w", place(i)))
+    return docs.select("doc_id", F.when(F.col("_a").isNotNull(), F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.runs(_with_periods(table(spark, sf_dir, "documents")))
+    best = F.col("best")
+    return found.withColumn("best", periodic_runs.strongest(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*", F.floor(best["length"] * 1000 / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of equal numbers of documents, in a random order."""
+    out = external_shuffle.shuffled(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", (F.octet_length(text_of()) + 1).cast("long").alias("size"), checksum(text_of()).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
