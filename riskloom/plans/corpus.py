@@ -11,8 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-#: Where the SQL twins still part files; from this event id on they differ from `lines`.
-BLOCK = 131_072
 KINDS = 151
 FIRST_DAY = "2024-01-01"
 
@@ -60,8 +58,8 @@ def extension_sql(layout: str) -> str:
 
 def path_sql(layout: str) -> str:
     if layout == "snapshot":
-        return "CASE WHEN ext = '.txt' THEN 'prompts/base_prompt_b' ELSE 'src/main_b' END || block || ext"
-    return "CASE WHEN ext = '.txt' THEN 'prompts/system_prompt_h' ELSE 'src/h' END || period || '_b' || block || ext"
+        return "CASE WHEN ext = '.txt' THEN 'prompts/base_prompt' ELSE 'src/main' END || ext"
+    return "CASE WHEN ext = '.txt' THEN 'prompts/system_prompt_h' ELSE 'src/h' END || period || ext"
 
 
 def report_sql() -> str:
@@ -100,7 +98,7 @@ def lines(spark: SparkSession, sf_dir: str, layout: str = "project") -> DataFram
     days = 15 if layout == "project" else 6
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         "event_id", "user_id", "props", F.floor(day / days).cast("int").alias("period"),
-        F.lit(0).alias("block"), F.expr(kind_sql()).alias("kind"),
+        F.expr(kind_sql()).alias("kind"),
     )
     file = W.partitionBy("user_id", "period")
     numbered = (

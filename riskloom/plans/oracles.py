@@ -56,10 +56,10 @@ def _base(layout: str = "project") -> str:
     return f"""
 WITH ev AS (
   SELECT event_id, user_id, props, CAST(date_diff('day', DATE '{corpus.FIRST_DAY}', CAST(ts AS DATE)) // {days} AS INTEGER) AS period,
-         CAST(event_id // {corpus.BLOCK} AS INTEGER) AS block, {corpus.kind_sql()} AS kind FROM events
+         {corpus.kind_sql()} AS kind FROM events
 ), nu AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY user_id, period, block ORDER BY event_id) AS INTEGER) AS line_no,
-         count(*) OVER (PARTITION BY user_id, period, block) AS last_no, {corpus.extension_sql(layout)} AS ext FROM ev
+  SELECT *, CAST(row_number() OVER (PARTITION BY user_id, period ORDER BY event_id) AS INTEGER) AS line_no,
+         count(*) OVER (PARTITION BY user_id, period) AS last_no, {corpus.extension_sql(layout)} AS ext FROM ev
 ), ln AS (
   SELECT {unit} AS unit, period, ext, {corpus.path_sql(layout)} AS path, line_no, {corpus.line_sql()} AS line FROM nu
 ), hit AS (
@@ -489,9 +489,9 @@ SELECT {unit}, policy_id, decision, path, line_no, title, severity, category FRO
         OR ({speaks('tool')} AND lower(category) LIKE '%tool%') OR ({speaks('critical')} AND severity = 'Critical') THEN 0 ELSE 1 END,
       {rank} DESC, stage, path, line_no, sub_ord, title) AS r
   FROM jdg j LEFT JOIN fnd f ON f.unit = j.unit) WHERE r = 1"""
-    out["linked_artifacts"] = P + _IDS + _scenario_cte() + _fix_cte() + f"""
+    out["linked_artifacts"] = P + _IDS + _scenario_cte(None) + _fix_cte(None) + f"""
 SELECT i.{unit}, i.id, fix.patch_type, scn.kind AS simulation_type FROM idf i LEFT JOIN fix ON fix.unit = i.unit AND fix.id = i.id LEFT JOIN scn ON scn.unit = i.unit AND scn.id = i.id"""
-    out["dangling_artifacts"] = P + _IDS + _fix_cte() + f" SELECT {unit}, id AS finding_id, patch_type FROM fix WHERE {number} % 3 = 0 AND rule = 'secret'"
+    out["dangling_artifacts"] = P + _IDS + _fix_cte(None) + f" SELECT {unit}, id AS finding_id, patch_type FROM fix WHERE {number} % 3 = 0 AND rule = 'secret'"
     cases = ", ".join(f"({_q(a)}, {_q(s)}, {_q(c)})" for a, s, c in fv.ATTACK_CASES)
     out["case_coverage"] = P + f"""
 SELECT u.{unit}, attack_type, c.severity, c.category, count(f.unit) AS findings FROM units u CROSS JOIN (VALUES {cases}) AS c(attack_type, severity, category)
