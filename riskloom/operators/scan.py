@@ -12,7 +12,7 @@ not matter here, and the same code runs on a streaming DataFrame.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import partial
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -24,6 +24,7 @@ from ..functions.reuse import built_once
 from ..functions.text import (
     any_of, base_name, contains_any, evidence, extension, lines_of, masked, squeezed, trimmed, whole_words,
 )
+from .lines import near_by_window
 
 ALL_RULES = ("secret", "prompt", "tool", "data", "json", "framework", "approval", "audit")
 # Order of findings inside one project: rule stage, path, line, position on the line.
@@ -73,12 +74,14 @@ def _candidates() -> Column:
             ),
         )
 
-    def relevant(c: Column) -> Column:
-        risky_fn = squeezed(c["fn"]).rlike(R.RISKY_NAME) | F.lower(c["fn"]).rlike(R.DATA_NAME)
-        risky_tool = c["framework"].isNotNull() & squeezed(c["line"]).rlike(R.FRAMEWORK_RISK)
-        return c.isNotNull() & (((c["fn"] != "") & risky_fn) | risky_tool)
+    return F.filter(F.transform("_lower", candidate), lambda c: c.isNotNull() & _risky(c["fn"], c["framework"], c["line"]))
 
-    return F.filter(F.transform("_lower", candidate), relevant)
+
+def _risky(fn: Column, framework: Column, line: Column) -> Column:
+    """Is the name of a definition, or what a line registers, one that a rule speaks of?"""
+    risky_fn = squeezed(fn).rlike(R.RISKY_NAME) | F.lower(fn).rlike(R.DATA_NAME)
+    risky_tool = framework.isNotNull() & squeezed(line).rlike(R.FRAMEWORK_RISK)
+    return ((fn != "") & risky_fn) | risky_tool
 
 
 def _line_bits() -> Column:
@@ -333,9 +336,13 @@ def scan(
     A file yields at most one finding per (category, line, title), so with one row per (keys, path)
     the result is already free of repeats.
     """
-    rows = facts(files, keys, rules)
+    return _found(facts(files, keys, rules), keys, rules, brief, evidence_chars)
+
+
+def _found(rows: DataFrame, keys: Sequence[str], rules: Sequence[str], brief: bool, evidence_chars: int | None) -> DataFrame:
+    """Findings of facts; those of a line table bring their `near_` columns with them."""
     for columns in _line_columns("json" in rules, brief):
-        rows = rows.withColumns(columns)
+        rows = rows.withColumns({name: column for name, column in columns.items() if name not in rows.columns})
     line = F.when(F.col("kind") == "secret", masked(F.col("line"))).otherwise(F.col("line"))
     shown = [] if brief else [evidence(line, evidence_chars).alias("evidence")]
     return (
@@ -344,6 +351,46 @@ def scan(
     )
 
 
+def scan_lines(
+    lines: DataFrame, keys: Sequence[str] = ("project_id",), rules: Sequence[str] = ALL_RULES, brief: bool = False,
+    evidence_chars: int | None = None,
+) -> DataFrame:
+    """As `scan`, of a line table (keys, path, line_no, line), so a file may be longer than a row.
+
+    Controls around a risky line are looked up in blocks of lines (`lines.near_by_window`), secrets on each line for
+    itself. Of .json files only those with a sensitive word are put together again: whether a text is JSON
+    is known of the whole only, so such a file must fit into a row.
+    """
+    line, ext = F.col("line"), extension(F.col("path"))
+    rows = lines.select(*keys, "path", "line_no", "line").withColumn("_lower", F.lower("line"))
+    lower, odd = F.col("_lower"), contains_any(line, fv.ODD_LETTERS)
+    parts = []
+    if {"tool", "data", "framework", "approval", "audit"} & set(rules):
+        code = rows.filter(ext.isin(fv.CODE_EXTENSIONS)).withColumn("_try", odd | contains_any(lower, fv.CANDIDATE_ROOTS))
+        code = code.withColumns({"fn": F.when(F.col("_try"), R.definition_name(line, ext)), "framework": F.when(F.col("_try"), R.framework_of(line))})
+        shows = odd | contains_any(lower, fv.CONTROL_ROOTS)
+        flags = {name: (shows & (lower if lowered else line).rlike(pattern), k) for name, (pattern, k, lowered) in _CONTROLS.items()}
+        near = near_by_window(code, keys, flags, F.coalesce(_risky(F.col("fn"), F.col("framework"), line), F.lit(False)))
+        parts.append(near.withColumns({"kind": F.lit("code"), "json_text": F.lit(None).cast("string")}))
+    none = {f"near_{name}": F.lit(False) for name in _CONTROLS} | {c: F.lit(None).cast("string") for c in ("fn", "framework", "json_text")}
+    if "secret" in rules:
+        secret = rows.filter((odd | contains_any(lower, fv.SECRET_ROOTS)) & line.rlike(_SECRET))
+        parts.append(secret.withColumns(none | {"kind": F.lit("secret")}))
+    if "prompt" in rules:
+        named = rows.filter(ext.isin(".txt", ".md") & F.lower(base_name(F.col("path"))).contains("prompt"))
+        first = named.groupBy(*keys, "path").agg(F.max(trimmed(line) != "").alias("_said"), F.min_by("line", "line_no").alias("line"))
+        parts.append(first.filter("_said").withColumns(none | {"kind": F.lit("prompt"), "line_no": F.lit(1)}))
+    if "json" in rules:
+        json_lines = rows.filter(ext == ".json")
+        suspect = json_lines.filter(line.rlike(_JSON_HINT)).select(*keys, "path").distinct()
+        ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+        text = F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("json_text")
+        whole = json_lines.join(suspect, [*keys, "path"], "left_semi").groupBy(*keys, "path").agg(text, F.min_by("line", "line_no").alias("line"))
+        parts.append(whole.withColumns(none | {"kind": F.lit("json"), "line_no": F.lit(1), "json_text": F.col("json_text")}))
+    shown = [*keys, "path", "kind", "line_no", "line", "fn", "framework", *(f"near_{name}" for name in _CONTROLS), "json_text"]
+    return _found(reduce(DataFrame.unionByName, (part.select(*shown) for part in parts)), keys, rules, brief, evidence_chars)
+
+
 @built_once
 def _text_columns() -> dict[str, Column]:
     subject, keyword, rule = F.col("subject"), F.col("keyword"), F.col("rule")

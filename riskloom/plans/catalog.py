@@ -15,9 +15,9 @@ from ..functions import entries as E, guidance as G, rules as R
 from ..functions.text import extension, language, lines_of
 from ..functions.urls import repository
 from ..operators import compare, controls, findings as found, gate, graph, guidance, history, lines as L, score
-from ..operators.scan import ALL_RULES, definitions, scan, with_texts
+from ..operators.scan import ALL_RULES, definitions, scan, scan_lines, with_texts
 from ..session import scratch_path, settle
-from ..sources import archives, reports as store_of, schema, trees
+from ..sources import archives, long_files, reports as store_of, schema, trees
 from ..streaming import scan_stream as streams
 from . import corpus
 
@@ -89,6 +89,49 @@ def document_lines(spark, sf_dir):
     )
 
 
+def _write_files(files: DataFrame, root: str) -> None:
+    """Rows (name, content) as files below `root`."""
+    def put(batches):
+        from urllib.parse import urlparse
+
+        from pyarrow import fs
+
+        place = urlparse(root)
+        store, base = fs.FileSystem.from_uri(root) if place.scheme not in ("", "file") else (fs.LocalFileSystem(), place.path)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"]):
+                store.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{base}/{name}") as out:
+                    out.write(content)
+            yield batch[["name"]]
+
+    files.select("name", "content").mapInPandas(put, "name string").count()
+
+
+@query
+def split_lines(spark, sf_dir):
+    """As document_lines, of documents written as files and read back in splits of 16 kB."""
+    root = scratch_path(spark, "files")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    _write_files(docs.select(F.format_string("d/%d.txt", "doc_id").alias("name"), F.encode("text", "UTF-8").alias("content")), root)
+    lines = long_files.read_lines(spark, root, split_bytes=1 << 14)
+    counts = lines.groupBy(F.substring_index("path", ".", 1).cast("long").alias("doc_id")).agg(
+        F.count("*").cast("int").alias("n_lines"), F.count_if(F.col("line") == "").cast("int").alias("n_empty"), F.max(F.length("line")).alias("longest"))
+    none = F.lit(0)
+    return docs.select("doc_id").join(counts, "doc_id", "left").select(
+        "doc_id", *(F.coalesce(c, none).alias(c) for c in ("n_lines", "n_empty", "longest")))
+
+
+@query
+def split_scan(spark, sf_dir):
+    """As scan_findings, of files that are read in splits of 2 kB and scanned as lines."""
+    root = scratch_path(spark, "files")
+    files = corpus.files(spark, sf_dir)
+    _write_files(files.select(F.concat_ws("/", "project_id", "path").alias("name"), F.encode("text", "UTF-8").alias("content")), root)
+    lines = settle(long_files.read_lines(spark, root, split_bytes=1 << 11))
+    return scan_lines(lines, evidence_chars=fv.EVIDENCE_CHARS).select(*PLACE, "stage", "sub_ord", "rule", "title", "severity", "category")
+
+
 @query
 def function_definitions(spark, sf_dir):
     return definitions(corpus.files(spark, sf_dir)).select(*PLACE, "fn", "tool_word", "tool_tier", "data_word")
@@ -798,21 +841,9 @@ def archive_reports(spark, sf_dir):
 
 def _write_zips(zipped: DataFrame, root: str) -> None:
     """Each archive as <root>/<half>/a<id // 2>.zip, so each name stands in both folders."""
-    def put(batches):
-        from pyarrow import fs
-        from urllib.parse import urlparse
-
-        place = urlparse(root)
-        store, base = fs.FileSystem.from_uri(root) if place.scheme not in ("", "file") else (fs.LocalFileSystem(), place.path)
-        for batch in batches:
-            for i, content in zip(batch["archive_id"], batch["content"]):
-                number = int(i)
-                store.create_dir(f"{base}/{'even' if number % 2 == 0 else 'odd'}", recursive=True)
-                with store.open_output_stream(f"{base}/{'even' if number % 2 == 0 else 'odd'}/a{number // 2}.zip") as out:
-                    out.write(content)
-            yield batch[["archive_id"]]
-
-    zipped.select("archive_id", "content").mapInPandas(put, "archive_id string").count()
+    number = F.col("archive_id").cast("long")
+    half = F.when(number % 2 == 0, "even").otherwise("odd")
+    _write_files(zipped.select(F.format_string("%s/a%d.zip", half, F.floor(number / 2)).alias("name"), "content"), root)
 
 
 @query

@@ -346,6 +346,7 @@ WITH ln AS (SELECT source, doc_id, unnest(p) AS line, generate_subscripts(p, 1)
 found AS (SELECT *, CASE {sev} END AS severity, CASE {name} END AS name FROM ln)
 SELECT source AS project_id, 'd' || doc_id || '.txt' AS path, CAST(line_no AS INTEGER) AS line_no, 'Hardcoded ' || name || ' detected' AS title, severity, {blank} AS evidence
 FROM found WHERE severity IS NOT NULL"""
+    out["split_lines"], out["split_scan"] = out["document_lines"], out["scan_findings"]
     out["streamed_secrets"] = out["document_secrets"].replace(f", severity, {blank} AS evidence", ", severity")
     out["finding_texts"] = P + _texts_cte() + f" SELECT {place}, title, why_it_matters, suggested_fix FROM txt"
     out["mitigation_flags"] = P + f"""
