@@ -27,6 +27,8 @@ from ..functions.text import (
 from .lines import near_by_window
 
 ALL_RULES = ("secret", "prompt", "tool", "data", "json", "framework", "approval", "audit")
+# Asked for beside the rules, it gives a row without severity and category for every file, so files without findings are seen too.
+FILE = "file"
 # Order of findings inside one project: rule stage, path, line, position on the line.
 POSITION = ("stage", "path", "line_no", "sub_ord")
 
@@ -140,6 +142,8 @@ def _file_columns(rules: frozenset[str]) -> tuple[list[Column], list[Column], di
         named = ext.isin(".txt", ".md") & F.lower(base_name(F.col("path"))).contains("prompt") & (trimmed(text) != "")
         fact = _fact(kind=F.lit("prompt"), line_no=F.lit(1), line=first_line)
         parts.append(F.when(named, F.array(fact)).otherwise(_none()))
+    if FILE in rules:
+        parts.append(F.array(_fact(kind=F.lit(FILE))))
     return (
         [extension(F.col("path")).alias("_ext"), F.lower("text").alias("_low"),
          contains_any(text, fv.ODD_LETTERS).alias("_odd")],
@@ -318,8 +322,9 @@ def _finding_columns(rules: frozenset[str], brief: bool) -> Column:
                  severity=R.audit_severity(F.col("_tool")), subject=fn, **audits),
             make(has_fw & no_trail, stage=6, title=_title("audit", fw_title),
                  severity=R.audit_severity(F.col("_fw")), subject=framework, **audits)],
+        FILE: lambda: [make(F.col("kind") == FILE, stage=-1, sub_ord=0, rule=FILE)],
     }
-    return F.inline(F.array(*[struct for rule in ALL_RULES if rule in rules for struct in made[rule]()]))
+    return F.inline(F.array(*[struct for rule in made if rule in rules for struct in made[rule]()]))
 
 
 def scan(

@@ -16,30 +16,51 @@ KEYS = list(fv.CATEGORY_WEIGHTS)
 SEVERITIES = list(fv.SEVERITY_RANKS)
 
 
-@built_once
-def _columns() -> tuple[list[Column], list[Column]]:
+def _per_finding() -> list[Column]:
     category, severity = F.col("category"), F.col("severity")
-    per_finding = [
+    return [
         R.normal_category(category).alias("_normal"), F.lower(category).alias("_category"), category.alias("_exact"),
         F.lower(severity).alias("_severity"), R.severity_rank(severity).alias("_rank"),
         R.severity_weight(severity).alias("_weight"),
     ]
-    aggs: list[Column] = [F.count_if(F.col("_severity") == s).alias(f"n_{s}") for s in SEVERITIES]
+
+
+def _aggregates(count, total, prompt_rank: Column) -> list[Column]:
+    """What is known about a unit, given how findings are counted and their weights summed."""
+    aggs: list[Column] = [count(F.col("_severity") == s).alias(f"n_{s}") for s in SEVERITIES]
     for name, key in fv.CATEGORY_KEYS.items():
-        total = F.coalesce(F.sum(F.when(F.col("_normal") == name, F.col("_weight"))), F.lit(0))
-        aggs.append(F.least(total, F.lit(100)).cast("int").alias(f"score_{key}"))
-        aggs.append(F.count_if(F.col("_exact") == name).alias(f"n_{key}"))
+        weight = F.coalesce(total(F.col("_normal") == name), F.lit(0))
+        aggs.append(F.least(weight, F.lit(100)).cast("int").alias(f"score_{key}"))
+        aggs.append(count(F.col("_exact") == name).alias(f"n_{key}"))
     # Severities and categories in any spelling, for the gate and the next steps.
-    aggs += [F.count_if(F.col("_rank") == rank).alias(f"gate_{s}") for s, rank in fv.SEVERITY_RANKS.items()]
-    aggs += [F.count_if(F.col("_category").contains(word)).alias(f"says_{key}") for key, word in fv.CATEGORY_WORDS.items()]
+    aggs += [count(F.col("_rank") == rank).alias(f"gate_{s}") for s, rank in fv.SEVERITY_RANKS.items()]
+    aggs += [count(F.col("_category").contains(word)).alias(f"says_{key}") for key, word in fv.CATEGORY_WORDS.items()]
     mentions, high = F.col("_category").contains, F.col("_rank") >= 3
     aggs += [
-        F.count_if(mentions("secret exposure")).alias("blocking_secrets"),
-        F.count_if(mentions("human approval") & high).alias("blocking_approvals"),
-        F.count_if(mentions("tool permission") & high).alias("blocking_tools"),
-        F.coalesce(F.max(F.when(F.col("_exact") == "Prompt Injection Risk", F.col("_rank"))), F.lit(0)).alias("prompt_rank"),
+        count(mentions("secret exposure")).alias("blocking_secrets"),
+        count(mentions("human approval") & high).alias("blocking_approvals"),
+        count(mentions("tool permission") & high).alias("blocking_tools"),
+        prompt_rank.alias("prompt_rank"),
     ]
-    return per_finding, aggs
+    return aggs
+
+
+_PROMPT = "Prompt Injection Risk"
+
+
+@built_once
+def _columns() -> tuple[list[Column], list[Column]]:
+    prompt = F.coalesce(F.max(F.when(F.col("_exact") == _PROMPT, F.col("_rank"))), F.lit(0))
+    return _per_finding(), _aggregates(F.count_if, lambda of: F.sum(F.when(of, F.col("_weight"))), prompt)
+
+
+@built_once
+def _running_columns() -> tuple[list[Column], list[Column]]:
+    count = lambda of: F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)).cast("long")
+    prompt = F.lit(0)
+    for rank in sorted(fv.SEVERITY_RANKS.values()):
+        prompt = F.when(count((F.col("_exact") == _PROMPT) & (F.col("_rank") == rank)) > 0, rank).otherwise(prompt)
+    return _per_finding(), _aggregates(count, lambda of: F.sum(F.when(of, F.col("_weight") * F.col("n"))), prompt)
 
 
 def facts(findings: DataFrame, units: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
@@ -54,6 +75,16 @@ def facts(findings: DataFrame, units: DataFrame, keys: Sequence[str] = ("project
     return rows.groupBy(*keys).agg(*aggs)
 
 
+def running(deltas: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
+    """As `facts`, of rows (keys, category, severity, n) that add n findings or, with n below 0, take them back.
+
+    All sums, so on a stream the state of a unit is one row and an update costs what has changed. A row
+    without category only names its unit.
+    """
+    per_finding, aggs = _running_columns()
+    return deltas.select(*keys, "n", *per_finding).groupBy(*keys).agg(*aggs)
+
+
 def overall_risk(prefix: str = "score_") -> Column:
     """Weighted risk as a double, summed in category order."""
     total = F.lit(0.0)

@@ -17,7 +17,7 @@ from ..functions.urls import repository
 from ..operators import compare, controls, findings as found, gate, graph, guidance, history, lines as L, score
 from ..operators.scan import ALL_RULES, definitions, scan, scan_lines, with_texts
 from ..session import scratch_path, settle
-from ..sources import archives, long_files, reports as store_of, schema, trees
+from ..sources import archives, long_files, reports as store_of, schema, snapshots, trees
 from ..streaming import scan_stream as streams
 from . import corpus
 
@@ -90,7 +90,7 @@ def document_lines(spark, sf_dir):
 
 
 def _write_files(files: DataFrame, root: str) -> None:
-    """Rows (name, content) as files below `root`."""
+    """Rows (name, content) as files below `root`; a null content removes the file."""
     def put(batches):
         from urllib.parse import urlparse
 
@@ -100,6 +100,9 @@ def _write_files(files: DataFrame, root: str) -> None:
         store, base = fs.FileSystem.from_uri(root) if place.scheme not in ("", "file") else (fs.LocalFileSystem(), place.path)
         for batch in batches:
             for name, content in zip(batch["name"], batch["content"]):
+                if content is None:
+                    store.delete_file(f"{base}/{name}")
+                    continue
                 store.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
                 with store.open_output_stream(f"{base}/{name}") as out:
                     out.write(content)
@@ -908,21 +911,41 @@ def streamed_secrets(spark, sf_dir):
 
 @query
 def streamed_reports(spark, sf_dir):
-    """Projects arriving as files: each batch is scanned, scored and appended to a report store."""
-    inbox, store = scratch_path(spark, "inbox"), scratch_path(spark, "store")
-    files = corpus.files(spark, sf_dir)
+    """Projects arriving as files: every arrival is scanned, added to what is known and reported."""
+    inbox, store, where = scratch_path(spark, "inbox"), scratch_path(spark, "store"), scratch_path(spark, "stream")
+    files = settle(corpus.files(spark, sf_dir))
     # Four arrivals: nothing, older versions of some files, half of the rest, the whole.
     older = files.filter(F.pmod(F.xxhash64("path", "project_id"), F.lit(3)) == 0).withColumn("text", F.lit("tools = [refund_tool]"))
     half = files.filter(F.pmod(F.xxhash64("path", "project_id"), F.lit(2)) == 0)
-    for part in (files.limit(0), older, half, files):
-        part.coalesce(1).write.mode("append").parquet(inbox)
-    arriving = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    streams.start_reports(arriving, store, scratch_path(spark, "stream")).awaitTermination()
+    for number, part in enumerate((files.limit(0), older, half, files)):
+        part.withColumn("version", F.lit(number).cast("long")).write.parquet(f"{inbox}/arrival={number}")
+        arriving = spark.readStream.schema("project_id string, path string, text string, version long").parquet(inbox)
+        streams.start_reports(arriving, store, where).awaitTermination()
+    return _latest_reports(spark, store)
+
+
+def _latest_reports(spark: SparkSession, store: str) -> DataFrame:
     latest = W.partitionBy("project_id").orderBy(F.desc("created_at"))
     reports = store_of.load(spark, store).withColumn("_n", F.row_number().over(latest)).filter("_n = 1")
     return reports.select("project_id", "safety_score", "status", F.col("deployment_gate.decision").alias("decision"))
 
 
+@query
+def tree_changes(spark, sf_dir):
+    """Documents as files in a folder that is looked at twice: what was added, changed and removed in between."""
+    root, store = scratch_path(spark, "tree"), scratch_path(spark, "looks")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("m", F.col("doc_id") % 4)
+    named = lambda text: [F.format_string("s%d/d%d.txt", F.col("doc_id") % 7, "doc_id").alias("name"), F.encode(text, "UTF-8").alias("content")]
+    body = F.concat("text", F.lit("."))
+    _write_files(docs.filter("m <> 0").select(*named(body)), root)
+    snapshots.look(spark, root, store)
+    # New files, edited ones, and some that are written again as they were.
+    _write_files(docs.filter("m <> 3").select(*named(F.when(F.col("m") == 1, F.concat(body, F.lit(" v2"))).otherwise(body))), root)
+    _write_files(docs.filter("doc_id % 8 = 3").select(*named(F.lit(None).cast("string"))), root)
+    return snapshots.look(spark, root, store).select(
+        F.regexp_extract("path", r"d(\d+)", 1).cast("long").alias("doc_id"), "change", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
 @query
 def daily_scores(spark, sf_dir):
     rows = _reports(spark, sf_dir).withColumn("created_at", F.col("timestamp"))

@@ -410,6 +410,10 @@ SELECT group_id, count(*) AS reports, CAST(sum(safety_score) AS BIGINT) AS score
     out["exported_reports"] = one + f"""
 SELECT {unit}, safety_score, status, CAST(n_critical AS INTEGER) AS critical, score_tool_permission AS tool_permission, decision, CAST(len(blockers) AS INTEGER) AS n_blockers FROM jdg"""
     out["streamed_reports"] = one + f" SELECT {unit}, safety_score, status, decision FROM jdg"
+    out["tree_changes"] = """
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'changed' ELSE 'removed' END AS change,
+  CASE doc_id % 4 WHEN 0 THEN md5(text || '.') WHEN 1 THEN md5(text || '. v2') END AS digest
+FROM documents WHERE doc_id % 4 < 2 OR doc_id % 8 = 3"""
     out["daily_scores"] = hist + " SELECT strftime(seen_at, '%Y-%m-%d') AS day, project_name, count(*) AS reports, min(safety_score) AS lowest, max(safety_score) AS highest FROM rep GROUP BY 1, 2"
     out["validated_findings"] = """
 SELECT event_id, CASE WHEN event_id % 8 >= 4 THEN 'valid' ELSE 'quarantined' END AS outcome, CASE WHEN event_id % 8 >= 4 THEN 't' || event_id END AS title,

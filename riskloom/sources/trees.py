@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -58,12 +59,12 @@ def lost_files(spark: SparkSession, root: str) -> DataFrame:
     return from_binary(listed.join(read, "path", "left_anti"), root).drop("text")
 
 
-def from_binary(found: DataFrame, root: str) -> DataFrame:
-    """Project, relative path and text of rows of the binaryFile source (batch or stream)."""
+def from_binary(found: DataFrame, root: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Project, relative path and text of rows of the binaryFile source (batch or stream), and the columns `keep`."""
     path = F.col("path")
     return (
         found.filter(extension(path).isin(fv.SCANNED_EXTENSIONS))
-        .select(below(path, root).alias("_below"), decoded(F.col("content")).alias("text"))
-        .select(F.substring_index("_below", "/", 1).alias("project_id"), "_below", "text")
-        .select("project_id", F.expr("substring(_below, length(project_id) + 2)").alias("path"), "text")
+        .select(below(path, root).alias("_below"), decoded(F.col("content")).alias("text"), *keep)
+        .select(F.substring_index("_below", "/", 1).alias("project_id"), "_below", "text", *keep)
+        .select("project_id", F.expr("substring(_below, length(project_id) + 2)").alias("path"), "text", *keep)
     )

@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import gate, score
-from ..operators.scan import ALL_RULES, scan
+from ..operators.scan import ALL_RULES, FILE, scan
 from ..sources import reports as store_of
 from ..sources.trees import from_binary
 
+DELTAS = "project_id string, category string, severity string, n long"
+
 
 def stream_trees(spark: SparkSession, root: str, files_per_trigger: int = 10_000) -> DataFrame:
-    """files(project_id, path, text) of new files below a folder."""
+    """files(project_id, path, text, version) of new files below a folder; `version` is the time of the file."""
     found = (
         spark.readStream.format("binaryFile").schema(
             "path string, modificationTime timestamp, length bigint, content binary"
         ).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", str(files_per_trigger)).load(root)
     )
-    return from_binary(found, root)
+    return from_binary(found.withColumn("version", F.unix_micros("modificationTime")), root, ["version"])
 
 
 def scan_stream(files: DataFrame, keys: Sequence[str] = ("project_id",), rules: Sequence[str] = ALL_RULES) -> DataFrame:
@@ -36,44 +38,54 @@ def write_findings(findings: DataFrame, path: str, checkpoint: str, **trigger) -
     )
 
 
-def _keep_batch(df: DataFrame, path: str, batch: int) -> DataFrame:
-    """Stores the rows of a batch by project bucket and gives back the whole table.
+def _replaced(key, frames, state):
+    """Of one file: what its latest version adds to the findings, less what the version before it had."""
+    import collections
+    import json
+
+    import pandas as pd
+
+    rows = pd.concat(list(frames))
+    version = int(rows["version"].max())
+    known, before = state.get if state.exists else (None, "[]")
+    if known is not None and version < known:
+        return
+    rows = rows[(rows["version"] == version) & ~rows["removed"] & rows["category"].notna()]
+    now = collections.Counter(zip(rows["category"], rows["severity"]))
+    change = collections.Counter(now)
+    change.subtract({(c, s): n for c, s, n in json.loads(before)})
+    state.update((version, json.dumps([[c, s, n] for (c, s), n in sorted(now.items())])))
+    # A row without category tells that the project was touched, whatever was found.
+    out = [(key[0], None, None, 0), *((key[0], c, s, n) for (c, s), n in sorted(change.items()) if n)]
+    yield pd.DataFrame(out, columns=["project_id", "category", "severity", "n"])
+
 
-    A batch that is written again replaces its folder. A table whose batches had no rows so far is an empty
-    table of the same columns.
+def changed_counts(files: DataFrame) -> DataFrame:
+    """Of a stream of files: rows (project_id, category, severity, n) by which the findings of projects change.
+
+    `files` has project_id, path and text, and may have `version` (the greatest of a file counts, an earlier one that comes later
+    does not; without it the last to arrive) and `removed`. The state holds one short row for each file: the
+    counts of its latest version, which the next version takes back.
     """
-    bucket = F.pmod(F.xxhash64("project_id"), F.lit(store_of.BUCKETS)).cast("int")
-    # Rows of a bucket meet before writing, so a batch leaves few files; hot buckets are split again.
-    rows = df.withColumn("bucket", bucket)
-    rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch}")
-    schema = T.StructType([*df.schema, T.StructField("batch", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
-    return df.sparkSession.read.schema(schema).parquet(path)
+    if "version" not in files.columns:
+        files = files.withColumn("version", F.lit(0).cast("long"))
+    if "removed" not in files.columns:
+        files = files.withColumn("removed", F.lit(False))
+    files = files.withColumn("text", F.coalesce("text", F.lit("")))
+    found = scan(files, ["project_id", "version", "removed"], [*ALL_RULES, FILE], brief=True)
+    rows = found.select("project_id", "path", F.col("version").cast("long").alias("version"), "removed", "category", "severity")
+    return rows.groupBy("project_id", "path").applyInPandasWithState(_replaced, DELTAS, "version long, counts string", "append", "NoTimeout")
 
 
 def report_batches(
     store: str, policy: dict | None = None, user: Callable[[DataFrame], DataFrame] | None = None
 ) -> Callable[[DataFrame, int], None]:
-    """A `foreachBatch` step: scan the arriving files and report every project they touch.
+    """A `foreachBatch` step: a report for every project whose facts arrive.
 
-    The store keeps what was found in every file, by project bucket and batch. A touched project is
-    scored from all its files so far, the latest version of each, so a project may arrive in any
-    number of batches. Reading back joins on the bucket, which prunes the folders of untouched
-    projects. Everything is stored under the batch number: a batch that is repeated after a failure
-    replaces itself.
+    Reports are stored under the batch number: a batch that is repeated after a failure replaces itself.
     """
-    seen, held = f"{store}/files", f"{store}/findings"
-
-    def step(files: DataFrame, batch: int) -> None:
-        known = _keep_batch(files.select("project_id", "path"), seen, batch).filter(F.col("batch") <= batch)
-        kept = _keep_batch(scan(files, brief=True), held, batch)
-        touched = known.filter(F.col("batch") == batch).select("bucket", "project_id").distinct()
-        file = ["bucket", "project_id", "path"]
-        latest = (
-            known.join(touched, ["bucket", "project_id"], "left_semi").groupBy(*file).agg(F.max("batch").alias("batch"))
-        )
-        findings = kept.join(latest, [*file, "batch"], "left_semi")
-        unit_facts = score.facts(findings, touched)
-        judged = gate.judge(gate.under_policies(score.scored(unit_facts), {"default": policy or {}}))
+    def step(facts: DataFrame, batch: int) -> None:
+        judged = gate.judge(gate.under_policies(score.scored(facts), {"default": policy or {}}))
         rows = store_of.build(judged).withColumn("project_name", F.col("project_id"))
         rows = user(rows) if user else rows.withColumn("user_id", F.lit("stream"))
         named = rows.withColumn("_batch", F.lit(batch))
@@ -83,7 +95,22 @@ def report_batches(
 
 
 def start_reports(files: DataFrame, store: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Reports of the projects that arriving files touch, from all their files so far.
+
+    Two streams, one behind the other. The first scans the files and writes by how much the counts of projects
+    change (`changed_counts`); the second adds that to a running sum for each project and reports those that moved. Both keep
+    their state by key, so a batch costs what its files hold, whatever came before. Returned is the second;
+    with `availableNow` the first has ended by then.
+    """
+    trigger, deltas = trigger or {"availableNow": True}, f"{store}/deltas"
+    first = (
+        changed_counts(files).writeStream.format("parquet").option("path", deltas).option("checkpointLocation", f"{checkpoint}/files")
+        .outputMode("append").trigger(**trigger).start()
+    )
+    if trigger.get("availableNow") or trigger.get("once"):
+        first.awaitTermination()
+    moved = score.running(files.sparkSession.readStream.schema(DELTAS).parquet(deltas))
     return (
-        files.writeStream.foreachBatch(report_batches(store)).option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True})).start()
+        moved.writeStream.outputMode("update").foreachBatch(report_batches(store)).option("checkpointLocation", f"{checkpoint}/projects")
+        .trigger(**trigger).start()
     )
