@@ -17,7 +17,7 @@ from ..functions.urls import repository
 from ..operators import compare, controls, findings as found, gate, graph, guidance, history, lines as L, score
 from ..operators.scan import ALL_RULES, definitions, scan, scan_lines, with_texts
 from ..session import scratch_path, settle
-from ..sources import archives, long_files, reports as store_of, schema, snapshots, trees
+from ..sources import archive_entries, archives, long_files, reports as store_of, schema, snapshots, trees
 from ..streaming import scan_stream as streams
 from . import corpus
 
@@ -803,10 +803,11 @@ def _zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unpacked_archives(spark, sf_dir):
-    """Documents packed and unpacked again."""
-    sized, limits = _zipped(spark, sf_dir), E.PUBLISHED
-    files = archives.files_of(archives.judged(archives.expand(sized, limits), limits), limits)
-    return files.select(F.col("project_id").alias("archive_id"), "path", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+    """Documents packed into archive files and unpacked again, entry by entry."""
+    root = scratch_path(spark, "zips")
+    _write_files(_zipped(spark, sf_dir).select(F.concat("archive_id", F.lit(".zip")).alias("name"), "content"), root)
+    files, _ = archive_entries.read(spark, root, E.PUBLISHED)
+    return files.select(F.substring_index("project_id", ".", 1).alias("archive_id"), "path", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
 @query
@@ -833,8 +834,7 @@ def archive_reports(spark, sf_dir):
     """Archives in folders, with equal names, read, scanned, scored, judged and stored in one run."""
     root, store = scratch_path(spark, "zips"), scratch_path(spark, "store")
     _write_zips(_zipped(spark, sf_dir), root)
-    limits = E.PUBLISHED
-    files = settle(archives.files_of(archives.judged(archives.expand(archives.read_archives(spark, root, limits), limits), limits), limits))
+    files, _ = archive_entries.read(spark, root, E.PUBLISHED)
     facts = score.facts(scan(files, brief=True), files)
     rows = store_of.build(gate.judge(gate.under_policies(score.scored(facts), {"default": {}})))
     owned = rows.withColumn("user_id", F.substring_index("project_id", "/", 1))

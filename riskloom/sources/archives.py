@@ -131,12 +131,13 @@ def left_out(judged_archives: DataFrame, limits: Limits = NONE) -> DataFrame:
 def admit(entries: DataFrame, by: str = "archive_id", limits: Limits = NONE) -> DataFrame:
     """Verdict per archive when entries are rows of a table: one aggregation.
 
-    entries: archive id, archive_bytes, name, file_size, external_attr.
+    entries: archive id, archive_bytes, name, file_size, external_attr; a row without a name is no entry.
     """
-    kept = skip_reason(F.col("name"), F.col("file_size"), F.col("external_attr"), limits).isNull()
+    kept = F.col("name").isNotNull() & skip_reason(F.col("name"), F.col("file_size"), F.col("external_attr"), limits).isNull()
     per = entries.groupBy(by).agg(
-        F.max("archive_bytes").alias("archive_bytes"), F.count("*").alias("n_entries"),
-        F.max(depth(F.col("name"))).alias("deepest"), F.bool_or(leaves_target(F.col("name"))).alias("escapes"),
+        F.max("archive_bytes").alias("archive_bytes"), F.count("name").alias("n_entries"),
+        F.coalesce(F.max(depth(F.col("name"))), F.lit(0)).alias("deepest"),
+        F.coalesce(F.bool_or(leaves_target(F.col("name"))), F.lit(False)).alias("escapes"),
         F.coalesce(F.sum(F.when(kept, F.col("file_size"))), F.lit(0)).alias("kept_bytes"),
         F.count_if(kept).alias("kept_entries"),
     )
