@@ -6,8 +6,9 @@ hinge, trained in numpy) tell the families apart, one against the rest; inside a
 for each pair of languages votes. A text's margins are sums of table rows over its bytes, so a
 whole batch is scored with a few numpy passes.
 
-The sample is bounded: about `per_language` texts of each of at most `LANGUAGES` languages, of up to
-`longest` characters each. Prediction reads every text whole.
+Every language that occurs is learned. The sample is bounded: about `per_language` texts of each, fewer where that makes more than
+`most` in all (but `LEAST` of each), of up to `longest` characters; of a text only its shares, 12 kB, reach
+the driver. Prediction reads every text whole.
 
 Cases: a null text and one without a letter are `und` with score 0; so is every text when nothing
 could be learned; with one language learned, all others are that language with score 1; rows with a
@@ -39,7 +40,7 @@ FAMILIES = {
 }
 RUNS, BITS = (2, 3, 4), 11
 SIZE = len(RUNS) << BITS
-PER_LANGUAGE, LONGEST, LANGUAGES = 800, 200_000, 64
+PER_LANGUAGE, LONGEST, MOST, LEAST = 800, 200_000, 6400, 20
 _FOLD = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], np.uint8)
 
 
@@ -133,7 +134,7 @@ def machine(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, steps: int = 150)
 
 
 def fit(x: np.ndarray, langs: list[str]) -> Model:
-    """A model from (texts, buckets) shares and the language of each."""
+    """A model from (texts, buckets) shares, which are changed in place, and the language of each."""
     model = Model(languages=sorted(set(langs)))
     if len(model.languages) < 2:
         return model
@@ -141,7 +142,8 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
     model.families = sorted({family(g) for g in model.languages})
     of = np.array([model.families.index(family(g)) for g in model.languages])
     mean, spread = x.mean(axis=0), np.sqrt(x.var(axis=0).mean()) + 1e-9
-    x = (x - mean) / (spread * np.sqrt(x.shape[1]))
+    x -= mean
+    x /= spread * np.sqrt(x.shape[1])
     found = []
     for f in range(len(model.families)):
         found.append(machine(x, np.where(of[number] == f, 1, -1).astype(np.float32)) if len(model.families) > 1 else (np.zeros(x.shape[1], np.float32), 0.0))
@@ -168,22 +170,26 @@ def _shares(batches):
                 names=["lang", "shares"])
 
 
-def learned(docs: DataFrame, usable: Column | None = None, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> Model:
+def learned(docs: DataFrame, usable: Column | None = None, per_language: int = PER_LANGUAGE, longest: int = LONGEST, most: int = MOST) -> Model:
     """A model from docs(doc_id, text, lang); `usable` says which rows may be learned from."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= longest))
     if usable is not None:
         known = known.filter(usable)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return Model()
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col("lang") == row["lang"], min(1.0, per_language / row["n"])).otherwise(share)
-    rows = known.filter(uniform(F.col("doc_id"), F.col("text")) < share).select("lang", F.lower("text").alias("text"))
-    rows = rows.mapInArrow(_shares, "lang string, shares binary").orderBy("lang", "shares").toArrow()
-    x = np.stack([np.frombuffer(v.as_py(), np.float16) for v in rows.column("shares")]).astype(np.float32)
-    model = fit(x / np.float32(1024), rows.column("lang").to_pylist())
-    return model
+    each = min(per_language, max(most // len(counts), LEAST))
+    shares = F.create_map(*(F.lit(x) for row in counts for x in (row["lang"], min(1.0, each / row["n"]))))
+    rows = known.filter(uniform(F.col("doc_id"), F.col("text")) < F.element_at(shares, F.col("lang"))).select("lang", F.lower("text").alias("text"))
+    # In one order whatever task a row came from; the sample is small, so the driver sorts it.
+    rows = rows.mapInArrow(_shares, "lang string, shares binary").toArrow().sort_by([("lang", "ascending"), ("shares", "ascending")])
+    x = np.empty((len(rows), SIZE), np.float32)
+    for i, v in enumerate(rows.column("shares")):
+        x[i] = np.frombuffer(v.as_buffer(), np.float16)
+    langs = rows.column("lang").to_pylist()
+    del rows
+    x /= 1024
+    return fit(x, langs)
 
 
 def predicted(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

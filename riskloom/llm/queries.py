@@ -130,22 +130,31 @@ SELECT doc_id, n AS n_words, n - len(ks) AS n_removed, sha256(array_to_string(ks
 
 def _secrets_sql() -> str:
     quoted = lambda text: "'" + text.replace("'", "''") + "'"
-    kinds = secret_owners.BASE | secret_owners.ADDED
+    S = secret_owners
+    kinds, number = S.BASE | S.ADDED, S.KINDS.index
+    body = f"coalesce(nullif(regexp_extract(g[i + 1], {quoted(S.KEY_END)}, 1), ''), regexp_extract(g[i + 1], {quoted(S.KEY_LINES)}, 1))"
     found = " UNION ALL ".join(f"""
 SELECT doc_id, source, {i} AS o, unnest(range(1, len(m) + 1)) AS i, g, m, v, {least} AS least FROM (
   SELECT doc_id, source, string_split_regex(t, {quoted(p)}) AS g, regexp_extract_all(t, {quoted(p)}, 0) AS m, regexp_extract_all(t, {quoted(p)}, {group}) AS v
   FROM d WHERE regexp_matches(t, {quoted(p)}))""" for i, (p, group, least) in enumerate(kinds.values()))
     names = "[" + ", ".join(f"'{k}'" for k in kinds) + "]"
     listed = lambda where: f"coalesce(string_agg({names}[o + 1] || ':' || a || ':' || b, ',' ORDER BY a, o) FILTER ({where}), '')"
-    counts = ", ".join(f"count(*) FILTER (o = {i}) AS n_{k}" for i, k in enumerate(secret_owners.BASE))
+    counts = ", ".join(f"count(*) FILTER (o = {i}) AS n_{k}" for i, k in enumerate(S.BASE))
+    letters = lambda v: f"len(list_distinct(string_split({v}, '')))"
+    by_place = lambda v: f"(NOT regexp_matches({v}, {quoted(S.PLACEHOLDER)}) AND {letters(f'lower({v})')} >= 5)"
+    bare = f"regexp_replace(v, {quoted(f'-----(?:BEGIN|END) {S._KEY}|[[:space:]]')}, '', 'g')"
+    word = "regexp_extract(v, ':([^:@]*)@$', 1)"
+    looks = f"""(length(v) >= 16 AND (starts_with(v, 'AKIA') OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND {letters('v')} >= 8)))
+    OR o IN ({number('jwt')}, {number('vendor')}) OR (o = {number('key')} AND {bare} <> '') OR (o = {number('assign')} AND {by_place('v')})
+    OR (o = {number('address')} AND {by_place(word)})"""
     return f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), e AS ({found}),
-sp AS (SELECT doc_id, source, o, v[i] AS v, a, a + length(m[i]) AS b FROM (
-  SELECT *, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM e)
+sp AS (SELECT doc_id, source, o, w AS v, a, a + length(m[i]) + length(w) - length(v[i]) AS b FROM (
+  SELECT *, CASE WHEN o = {number('key')} THEN v[i] || {body} ELSE v[i] END AS w,
+    CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM e)
   WHERE length(v[i]) >= least),
-own AS (SELECT v, CASE WHEN count(DISTINCT source) > {secret_owners.MOST_OWNERS} THEN 'example' WHEN length(v) >= 16 AND (starts_with(v, 'AKIA')
-    OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 8)) THEN 'live' ELSE 'weak' END AS c FROM sp GROUP BY v)
-SELECT d.doc_id, {counts}, sha256({listed(f'o < {len(secret_owners.BASE)}')}) AS base_sha256, {listed('o IS NOT NULL')} AS spans, {listed("c = 'live'")} AS live_spans,
+own AS (SELECT v, CASE WHEN count(DISTINCT coalesce('s' || source, '')) > {S.MOST_OWNERS} THEN 'example' WHEN bool_or({looks}) THEN 'live' ELSE 'weak' END AS c FROM sp GROUP BY v)
+SELECT d.doc_id, {counts}, sha256({listed(f'o < {len(S.BASE)}')}) AS base_sha256, {listed('o IS NOT NULL')} AS spans, {listed("c = 'live'")} AS live_spans,
   count(DISTINCT v) FILTER (c = 'live') AS n_live, count(DISTINCT v) FILTER (c = 'example') AS n_example
 FROM d LEFT JOIN (SELECT * FROM sp JOIN own USING (v)) s USING (doc_id) GROUP BY d.doc_id"""
 

@@ -31,12 +31,17 @@ BASE = {
 }
 _KEY = r"(?:[A-Z]{1,12} ){0,3}PRIVATE KEY(?: BLOCK)?-----"
 ADDED = {
-    # Up to its END marker; where the text breaks off before, the lines of key letters that follow.
-    "key": (rf"(-----BEGIN {_KEY}(?:[^-]*(?:-[^-]+){{0,16}}-----END {_KEY}|(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{{12,}}){{0,80}}))", 1, 1),
+    # The marker; what belongs to it is found in the text up to the next one (`_body`).
+    "key": (rf"(-----BEGIN {_KEY})", 1, 1),
     "jwt": (r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 1),
     "vendor": (r"((?:ghp_|gho_|glpat-|xox[bap]-|sk_live_|AIza)[A-Za-z0-9_-]{16,})", 1, 1),
-    "address": (r"""(://[^\s:/@"']{1,64}:[^\s:/@"']{6,64}@)""", 1, 1),
+    "address": (r"""(://[^\s:/@"']+:[^\s:/@"']{6,}@)""", 1, 1),
 }
+#: A key goes up to its END marker; where the text breaks off before, so do the lines of at least 12 key letters that follow.
+KEY_END = rf"(?s)^(.*?-----END {_KEY})"
+KEY_LINES = r"^((?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{12,})*)"
+# What `KEY_LINES` finds, said by where it stops: a repeated group would need a deeper stack for each line.
+_STOP = r"(?:\s|\\[nr])(?!\s|\\[nr]|[A-Za-z0-9+/=]{12})|(?!\\[nr])[^A-Za-z0-9+/=\s]"
 KINDS = list(BASE) + list(ADDED)
 PLACEHOLDER = (r"(?i)change.?(?:me|it)|example|placeholder|redacted|dummy|^your|^insert|^replace|"
                r"^(?:null|none|true|false|undefined|required|optional|string|password|passwd|secret|token|default|value|text)$")
@@ -45,18 +50,27 @@ WHOLE_WORD = 16
 COVER = "[SECRET]"
 
 
+def _body(rest: Column) -> Column:
+    """What belongs to a key marker, of the text after it."""
+    whole = F.regexp_extract(rest, KEY_END, 1)
+    lines = F.when(rest.rlike(r"^(?:\s|\\[nr])"), F.regexp_extract(rest, rf"(?s)^(.*?)(?:{_STOP}|$)", 1)).otherwise("")
+    return F.when(whole != "", whole).otherwise(F.regexp_replace(lines, r"(?:\s|\\[nr])+$", ""))
+
+
 def _spans(text: Column, kind: str) -> Column:
     """start, ord, end, value of every span of one kind, by position."""
     pattern, group, least = (BASE | ADDED)[kind]
     gaps = F.split(text, pattern, -1)
     empty = F.expr("cast(array() as array<struct<start: bigint, ord: int, end: bigint, value: string>>)")
+    bodies = F.transform(F.slice(gaps, 2, F.size(gaps)), _body) if kind == "key" else F.array().cast("array<string>")
     parts = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"),
-                         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+                         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"), bodies.alias("body"))
 
     def add(state, part):
-        start = state["at"] + F.length(part["gap"])
+        start, body = state["at"] + F.length(part["gap"]), F.coalesce(part["body"], F.lit(""))
         end = start + F.length(part["all"])
-        span = F.struct(start.cast("long").alias("start"), F.lit(KINDS.index(kind)).alias("ord"), end.cast("long").alias("end"), part["value"].alias("value"))
+        span = F.struct(start.cast("long").alias("start"), F.lit(KINDS.index(kind)).alias("ord"), (end + F.length(body)).cast("long").alias("end"),
+                        F.concat(part["value"], body).alias("value"))
         kept = F.when(F.length(part["value"]) >= least, F.concat(state["out"], F.array(span))).otherwise(state["out"])
         return F.struct(F.coalesce(end, start).cast("long").alias("at"), kept.alias("out"))
 

@@ -3,14 +3,19 @@
 Every window of `window` words gets a Rabin-Karp hash. Windows are counted across the whole corpus;
 each word under a repeated window goes, and overlapping windows merge into maximal intervals.
 
-Counting moves 64-bit hashes only. Tasks sort the hashes of their texts, fold repeats, and pack them,
-as differences of sorted numbers, by (bucket of hashes, shard of documents); a bucket is small enough for
-one task and finds what two of its packs share; what is repeated goes back to the shards that hold
-it, where the texts are read again and marked. Texts are exchanged once. Windows that very many documents share
+Counting moves hashes of 80 bits only: 64 of one polynomial, which are sorted, and 16 of another. A task sorts some four million
+windows at a time, folds repeats, and packs them by bucket of hashes as differences of sorted numbers,
+each with the shard of its document, so a pack holds windows of all shards and its bytes a window do not grow with the
+table. A bucket is small enough for one task, which finds the windows that its packs share; they go back to
+the shards that hold them, where the texts are read again and marked. Texts are exchanged once. Windows that very many documents share
 are found first in a bounded sample (a window seen twice there is repeated for certain) and are then
 never packed, so no bucket fills with one window; which windows the sample holds changes the work, not the result.
 
-Two different windows are taken for equal with a chance of n^2 / 2^65 in a corpus of n windows.
+Two different windows are taken for equal with a chance of n^2 / 2^81 in a corpus of n windows: 1 in 100,000 at five
+thousand million windows, some 30 GB of files.
+
+Rows that agree in `keep` and text share a shard; a batch of rows is folded before it is exchanged, so a row that is there
+a million times moves once from each batch.
 
 Cases: words are runs of anything but space and \\x09-\\x0D; a null text has no words; texts shorter than a
 window lose nothing; windows overlap freely inside one text and count there too; repeated rows are
@@ -25,6 +30,8 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import bytewise as B
 from .common import text_of, uniform
@@ -32,130 +39,188 @@ from .common import text_of, uniform
 WINDOW = 35
 SHARD_BYTES = 8 << 20
 BUCKET_WINDOWS = 1 << 20
+#: Beyond so many buckets they grow instead, up to BUCKET_MOST windows, so packs do not get short.
+BUCKETS = 1 << 15
+BUCKET_MOST = 1 << 23
+EMIT_WINDOWS = 1 << 22
 _SPACES = B.separators("spaces")
+_SECOND = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Numbers as byte planes, the first bytes of all, then the second; equal planes compress away."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
+
+
+def unplaned(data: memoryview, kind, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size).reshape(size, n).T).view(kind).ravel()
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers as the byte planes of their differences; the high planes compress away."""
-    steps = values.copy()
-    steps[1:] -= values[:-1]
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+def packed(first: np.ndarray, second: np.ndarray, mark: np.ndarray | None = None) -> bytes:
+    """Windows in order of `first`, which is kept as differences, and with `mark` a number for each."""
+    steps = first.copy()
+    steps[1:] -= first[:-1]
+    return planes(steps) + planes(second) + (planes(mark) if mark is not None else b"")
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+def unpacked(data: bytes, marked: bool = False) -> tuple[np.ndarray, ...]:
+    data = memoryview(data)
+    n = len(data) // (14 if marked else 10)
     with np.errstate(over="ignore"):
-        return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+        first = np.cumsum(unplaned(data, np.uint64, n), dtype=np.uint64)
+    second = unplaned(data[8 * n :], np.uint16, n)
+    return (first, second, unplaned(data[10 * n :], np.uint32, n)) if marked else (first, second)
+
+
+def _joined(parts) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def found_in(first: np.ndarray, second: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which windows are in the table, which is sorted by its first numbers."""
+    out = np.zeros(len(first), bool)
+    at, left = np.searchsorted(table[0], first), np.arange(len(first))
+    # More than one step only where windows of the table agree in their first number.
+    while len(left):
+        left = left[at[left] < len(table[0])]
+        left = left[table[0][at[left]] == first[left]]
+        out[left] |= table[1][at[left]] == second[left]
+        at[left] += 1
+    return out
 
 
-def found_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Which values are in the sorted table."""
-    if not len(table):
-        return np.zeros(len(values), bool)
-    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+def _ordered(first: np.ndarray, second: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """The order by first, second and mark. Most windows differ in the first number, so only ties are sorted by all three."""
+    order = np.argsort(first)
+    at = first[order]
+    tied = np.zeros(len(at), bool)
+    tied[1:] = at[1:] == at[:-1]
+    tied[:-1] |= tied[1:].copy()
+    some = order[tied]
+    order[tied] = some[np.lexsort((mark[some], second[some], first[some]))]
+    return order
 
 
 def _windows(data, offsets, window):
-    """Words, window hashes, and for each window the text it lies in (-1: it crosses a border)."""
+    """Words, both numbers of each window, and for each window the text it lies in (-1: it crosses a border)."""
     words = B.words_of(data, offsets, _SPACES)
-    hashes = B.rolled(words.hashes(), window)
-    n = len(hashes)
+    own = words.hashes()
+    first = B.rolled(own, window)
+    second = (B.mixed(B.rolled(B.mixed(own ^ np.uint64(_SECOND[0])), window, _SECOND[1])) >> np.uint64(48)).astype(np.uint16)
+    n = len(first)
     doc = np.where(words.doc[:n] == words.doc[window - 1 :], words.doc[:n], -1) if n else np.zeros(0, np.int64)
-    return words, hashes, doc
+    return words, first, second, doc
 
 
 def _frequent(window: int):
     def run(batches):
         for batch in batches:
             for _, _, data, offsets in B.blocks(batch.column("text")):
-                _, hashes, doc = _windows(data, offsets, window)
-                values, counts = np.unique(hashes[doc >= 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["h", "n"])
+                _, first, second, doc = _windows(data, offsets, window)
+                first, second = first[doc >= 0], second[doc >= 0]
+                order = _ordered(first, second, second)
+                first, second = first[order], second[order]
+                new = np.ones(len(first), bool)
+                new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+                counts = np.diff(np.append(np.flatnonzero(new), len(first)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first[new].view(np.int64)), pa.array(second[new].astype(np.int32)), pa.array(counts.astype(np.int64))], names=["h", "g", "n"])
     return run
 
 
-def _packs(window: int, buckets: int, known: np.ndarray, most: int = 1 << 22):
-    """(bucket, shard, once, twice): sorted distinct hashes, and those of them that repeat inside."""
-
-    def emit(hashes, shards):
-        hashes, shards = np.concatenate(hashes), np.concatenate(shards)
-        order = np.argsort(shards, kind="stable")
-        hashes, shards = hashes[order], shards[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(shards)) + 1, [len(shards)]])
-        out = [[], [], [], []]
-        for low, high in zip(cuts, cuts[1:]):
-            if low == high:
-                continue
-            run = np.sort(hashes[low:high])
-            new = np.concatenate([[True], run[1:] != run[:-1]])
-            again = np.zeros(int(new.sum()), bool)
-            again[(np.cumsum(new) - 1)[~new]] = True
-            run = run[new]
-            if len(known):
-                at = np.searchsorted(run, known)
-                at = at[at < len(run)]
-                at = at[found_in(run[at], known)]
-                free = np.ones(len(run), bool)
-                free[at] = False
-                run, again = run[free], again[free]
-            bucket = ((run >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(run)]])
-            for a, b in zip(edges, edges[1:]):
-                if a < b:
-                    part = run[a:b]
-                    out[0].append(int(bucket[a]))
-                    out[1].append(int(shards[low]))
-                    out[2].append(packed(part))
-                    out[3].append(packed(part[again[a:b]]))
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        for at in range(0, len(out[0]), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 4096], k) for c, k in zip(out, kinds)], names=["bucket", "shard", "once", "twice"])
+def packs_of(first: np.ndarray, second: np.ndarray, shards: np.ndarray, buckets: int, known) -> list[tuple[int, bytes]]:
+    """(bucket, windows with twice their shard, one more if they repeat there) of some windows."""
+    order = _ordered(first, second, shards)
+    first, second, shards = first[order], second[order], shards[order]
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (shards[1:] != shards[:-1])
+    again = np.zeros(int(new.sum()), np.uint32)
+    again[np.cumsum(new)[~new] - 1] = 1
+    first, second, mark = first[new], second[new], shards[new].astype(np.uint32) * np.uint32(2) + again
+    free = ~found_in(first, second, known)
+    first, second, mark = first[free], second[free], mark[free]
+    bucket = ((first >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    edges = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(first)]]).tolist() if len(first) else []
+    return [(int(bucket[a]), packed(first[a:b], second[a:b], mark[a:b])) for a, b in zip(edges, edges[1:])]
+
+
+def _packs(window: int, buckets: int, known):
+    def emit(parts):
+        rows = packs_of(*_joined(parts), buckets, known)
+        for at in range(0, len(rows), 4096):
+            some = list(zip(*rows[at : at + 4096]))
+            yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.int64()), pa.array(some[1], pa.binary())], names=["bucket", "windows"])
 
     def run(batches):
-        hashes, shards, held = [], [], 0
+        parts, held = [], 0
         for batch in batches:
             of = batch.column("shard").to_numpy()
-            for first, _, data, offsets in B.blocks(batch.column("text")):
-                _, own, doc = _windows(data, offsets, window)
+            for at, _, data, offsets in B.blocks(batch.column("text")):
+                _, first, second, doc = _windows(data, offsets, window)
                 inside = doc >= 0
-                hashes.append(own[inside])
-                shards.append(of[doc[inside] + first].astype(np.int32))
-                held += len(hashes[-1])
-                if held >= most:
-                    yield from emit(hashes, shards)
-                    hashes, shards, held = [], [], 0
+                parts.append((first[inside], second[inside], of[doc[inside] + at].astype(np.uint32)))
+                held += len(parts[-1][0])
+                if held >= EMIT_WINDOWS:
+                    yield from emit(parts)
+                    parts, held = [], 0
         if held:
-            yield from emit(hashes, shards)
+            yield from emit(parts)
 
     return run
 
 
 def _repeated(group: pa.Table) -> pa.Table:
-    """Of one bucket: for each shard its hashes that are repeated anywhere."""
-    shards = group.column("shard").to_numpy()
-    once = [unpacked(x.as_py()) for x in group.column("once")]
-    twice = [unpacked(x.as_py()) for x in group.column("twice")]
-    every = np.sort(np.concatenate(once))
-    same = every[1:][every[1:] == every[:-1]]
-    table = np.unique(np.concatenate([same, *twice]))
-    out = []
-    for shard in np.unique(shards):
-        values = np.unique(np.concatenate([once[i] for i in np.flatnonzero(shards == shard)]))
-        values = values[found_in(values, table)]
-        if len(values):
-            out.append((int(shard), packed(values)))
-    return pa.table({"shard": pa.array([s for s, _ in out], pa.int64()), "hashes": pa.array([h for _, h in out], pa.binary())})
-
-
-def _marked(window: int, known: np.ndarray, keep: list[str], schema: pa.Schema):
+    """Of one bucket: for each shard its windows that are repeated anywhere."""
+    first, second, mark = _joined([unpacked(x.as_buffer(), True) for x in group.column("windows")])
+    order = _ordered(first, second, mark)
+    first, second, mark = first[order], second[order], mark[order]
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    number = np.cumsum(new) - 1
+    some = (np.bincount(number) > 1) | (np.bincount(number, mark & np.uint32(1)) > 0)
+    stays = some[number]
+    first, second, shard = first[stays], second[stays], (mark[stays] >> np.uint32(1)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    first, second, shard = first[order], second[order], shard[order]
+    edges = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]).tolist() if len(shard) else []
+    out = [(int(shard[a]), packed(first[a:b], second[a:b])) for a, b in zip(edges, edges[1:])]
+    return pa.table({"shard": pa.array([x for x, _ in out], pa.int64()), "windows": pa.array([x for _, x in out], pa.binary())})
+
+
+def _folded(names: list[str], schema: pa.Schema):
+    """Rows of a batch that agree in all they keep and in text as one, with their number."""
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(c) for c in (*names, "key", "text")]
+            n = np.ones(len(batch), np.int64)
+            if len(batch.column("key").unique()) < len(batch):
+                place, first = {}, []
+                for at, key in enumerate(zip(*(c.to_pylist() for c in columns))):
+                    key = repr(key[:-1]), key[-1]
+                    if key in place:
+                        n[place[key]] += 1
+                    else:
+                        place[key] = at
+                        first.append(at)
+                columns, n = [c.take(pa.array(first)) for c in columns], n[first]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], schema=schema)
+
+    return run
+
+
+def _marked(window: int, known, keep: list[str], schema: pa.Schema):
     """Texts of one shard without the words under repeated windows."""
 
-    def run(texts: pa.Table, hashes: pa.Table) -> pa.Table:
-        table = np.unique(np.concatenate([known, *[unpacked(x.as_py()) for x in hashes.column("hashes")]]))
+    def run(texts: pa.Table, windows: pa.Table) -> pa.Table:
+        table = _joined([known, *(unpacked(x.as_buffer()) for x in windows.column("windows"))])
+        order = np.argsort(table[0])
+        table = table[0][order], table[1][order]
         n_words, n_removed, kept, spans = [], [], [], []
         for _, _, data, offsets in B.blocks(texts.column("text")):
-            words, own, doc = _windows(data, offsets, window)
-            hit = np.flatnonzero((doc >= 0) & found_in(own, table))
+            words, first, second, doc = _windows(data, offsets, window)
+            hit = np.flatnonzero((doc >= 0) & found_in(first, second, table))
             depth = np.zeros(len(words.start) + 1, np.int32)
             depth[hit] += 1
             np.subtract.at(depth, hit + window, 1)
@@ -172,7 +237,7 @@ def _marked(window: int, known: np.ndarray, keep: list[str], schema: pa.Schema):
                 else:
                     spans.append([])
                 kept.append(b" ".join(own_words))
-        columns = [texts.column(c) for c in keep]
+        columns = [texts.column(c) for c in (*keep, "_n")]
         columns += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                     pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, schema.field("removed").type)]
         return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], schema=schema)
@@ -180,13 +245,19 @@ def _marked(window: int, known: np.ndarray, keep: list[str], schema: pa.Schema):
     return run
 
 
-def common_windows(docs: DataFrame, window: int = WINDOW, sample: int = 4000, seen: int = 4, most: int = 1 << 17) -> np.ndarray:
-    """Sorted hashes of windows that occur `seen` times in about `sample` documents; `most` at the utmost."""
+def common_windows(docs: DataFrame, window: int = WINDOW, sample: int = 4000, seen: int = 4, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """Both numbers of windows that occur `seen` times in about `sample` documents; `most` at the utmost."""
     n = docs.count()
     some = docs.filter(uniform(F.col("doc_id"), F.col("text")) < min(1.0, sample / max(n, 1))).select(text_of().alias("text"))
-    found = some.mapInArrow(_frequent(window), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = found.filter(F.col("n") >= max(seen, 2)).orderBy(F.desc("n"), "h").limit(most).collect()
-    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
+    found = some.mapInArrow(_frequent(window), "h long, g int, n long").groupBy("h", "g").agg(F.sum("n").alias("n"))
+    rows = found.filter(F.col("n") >= max(seen, 2)).orderBy(F.desc("n"), "h", "g").limit(most).collect()
+    first, second = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["g"] for r in rows], np.uint16)
+    order = np.argsort(first, kind="stable")
+    return first[order], second[order]
+
+
+def buckets_of(windows: int) -> int:
+    return max(min(math.ceil(windows / BUCKET_WINDOWS), BUCKETS), math.ceil(windows / BUCKET_MOST), 1)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -197,18 +268,17 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...]
     if window < 1:
         raise ValueError("a window has a word at least")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards, buckets = math.ceil(max(size, 1) / SHARD_BYTES), math.ceil(max(size, 1) / 6 / BUCKET_WINDOWS)
+    shards, buckets = math.ceil(max(size, 1) / SHARD_BYTES), buckets_of(math.ceil(size / 6))
     known = common_windows(docs, window)
-    own = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
     names = [f"_{i}" for i in range(len(keep))]
-    rows = docs.select(*own, text_of().alias("text"), F.pmod(F.xxhash64(*keep, "text"), F.lit(shards)).alias("shard"))
-    packs = rows.select("shard", "text").mapInArrow(_packs(window, buckets, known), "bucket long, shard long, once binary, twice binary")
-    found = packs.groupBy("bucket").applyInArrow(_repeated, "shard long, hashes binary")
-    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.select(*keep).schema))
-    schema = f"{kinds}, n_words long, n_removed long, kept string, removed array<struct<start: long, end: long>>"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-    out = rows.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(_marked(window, known, names, arrow), schema)
-    return out.withColumnsRenamed(dict(zip(names, keep)))
+    own = [F.col(c).alias(n) for c, n in zip(keep, names)]
+    rows = docs.select(*own, F.xxhash64(*keep, "text").alias("key"), text_of().alias("text"))
+    shard = F.pmod("key", F.lit(shards)).alias("shard")
+    packs = rows.select(shard, "text").mapInArrow(_packs(window, buckets, known), "bucket long, windows binary")
+    found = packs.groupBy("bucket").applyInArrow(_repeated, "shard long, windows binary")
+    texts = StructType([*rows.schema, StructField("_n", LongType())])
+    rows = rows.mapInArrow(_folded(names, to_arrow_schema(texts)), texts).select(*names, "_n", shard, "text")
+    schema = StructType([*rows.select(*names, "_n").schema, *StructType.fromDDL("n_words long, n_removed long, kept string, removed array<struct<start: long, end: long>>")])
+    out = rows.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(_marked(window, known, [*names], to_arrow_schema(schema)), schema)
+    out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int"))))
+    return out.drop("_n", "_copy").withColumnsRenamed(dict(zip(names, keep)))

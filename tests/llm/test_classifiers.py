@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -123,3 +124,51 @@ def test_folding_keeps_texts_apart():
     body, starts = L._folded(data, offsets)
     got = [body[a:b].tobytes().decode() for a, b in zip(starts, starts[1:])]
     assert got == [" ab cd ", " ", " x ", " é é ", " z "]
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(7)
+    rows = []
+    for g in range(70):
+        bits = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(6)]
+        rows += [(100 * g + i, " ".join(rng.choices(bits, k=25)), f"q{g}") for i in range(4 if g else 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.learned(docs, most=70)
+    assert len(model.languages) == 70
+    right = [r["lang_pred"] == r["lang"] for r in L.predicted(docs, model).collect()]
+    assert sum(right) / len(right) > 0.97
+
+
+def test_margins_by_definition(spark):
+    """Scores of a batch against sums over the runs of each text, one byte at a time."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdé fg1-", k=rng.randint(0, 60))) for _ in range(40)]
+    langs = [["en", "de", "fr", "xx"][i % 4] for i in range(40)]
+
+    def runs(text):
+        plain = re.sub(rb"[^a-zA-Z\x80-\xff]+", b" ", b" " + text.encode() + b" ")
+        for number, k in enumerate(L.RUNS):
+            for i in range(len(plain) - k + 1):
+                key = int.from_bytes(plain[i : i + k], "big") & 0xFFFFFFFF
+                yield (key * 0x9E3779B1 % (1 << 32) >> (32 - L.BITS)) + (number << L.BITS)
+
+    x = np.zeros((40, L.SIZE), np.float32)
+    for i, text in enumerate(texts):
+        for bucket in runs(text):
+            x[i, bucket] += 1
+    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
+    model = L.fit(x.copy(), langs)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    got, _ = model.predicted(data, offsets)
+    margins = x.astype(np.float64) @ model.table + model.bias
+    assert np.allclose(model.margins(data, offsets), margins, atol=1e-4)
+    for i in range(40):
+        # By hand: the family with the largest margin, then most votes of its pairs.
+        best = max(range(len(model.families)), key=lambda f: margins[i, f])
+        members = [g for g in range(len(model.languages)) if L.family(model.languages[g]) == model.families[best]]
+        votes = {g: 0 for g in members}
+        for p, (a, b) in enumerate(model.pairs):
+            if a in votes:
+                votes[a if margins[i, len(model.families) + p] > 0 else b] += 1
+        assert got[i] in members and votes[got[i]] == max(votes.values())
