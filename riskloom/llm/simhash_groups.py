@@ -33,6 +33,8 @@ from .common import restored, sheltered, text_of
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
+#: Fingerprints of a key that are compared at a time; what a key has beyond goes into another round.
+MOST = 1 << 16
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
@@ -278,28 +280,55 @@ def _link_batches(distance: int, most: int):
     def later(points, key, block):
         """Rows after the first `most` of a key: their links into that block, and themselves again."""
         heads = _labels(block, distance)
-        for at in range(0, len(points), 256):
-            part = points[at : at + 256]
-            near = np.bitwise_count(part[:, None] ^ block[None, :]) <= distance
-            i, j = np.nonzero(near)
-            pairs = np.unique(np.stack([part[i], heads[j]]), axis=1) if len(i) else np.zeros((2, 0), np.uint64)
-            if pairs.shape[1]:
-                yield rows(np.ascontiguousarray(pairs[1]), np.ascontiguousarray(pairs[0]))
+        for i, j in _near(points, block, distance):
+            pairs = np.unique(np.stack([points[i], heads[j]]), axis=1)
+            yield rows(np.ascontiguousarray(pairs[1]), np.ascontiguousarray(pairs[0]))
         yield rows(points, points, key)
 
     return run
 
 
+def _near(points: np.ndarray, block: np.ndarray, distance: int, cells: int = 1 << 20):
+    """Places (in points, in block) of all that differ in `distance` bits at most, a bounded number at a time.
+
+    Only those are compared that agree in one of distance + 1 stretches of bits.
+    """
+    edges = np.linspace(0, 64, distance + 2).astype(int)
+    for low, high in zip(edges, edges[1:]):
+        stretch = lambda x: (x >> np.uint64(low)) & np.uint64((1 << int(high - low)) - 1)  # noqa: B023, E731
+        order = np.argsort(stretch(block), kind="stable")
+        held, own = stretch(block)[order], stretch(points)
+        first, last = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
+        ends = np.cumsum(last - first)
+        at = 0
+        while at < len(points):
+            stop = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + cells, "right")), at + 1)
+            n = (last - first)[at:stop]
+            i = np.repeat(np.arange(at, stop), n)
+            j = order[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at:stop], n)]
+            near = np.bitwise_count(points[i] ^ block[j]) <= distance
+            if near.any():
+                yield i[near], j[near]
+            at = stop
+
+
 def _labels(block: np.ndarray, distance: int) -> np.ndarray:
     """A member of its component inside the block for each point."""
-    name = {int(p): int(p) for p in block}
-    a, b = forest(block, distance)
-    for x, y in zip(a.tolist(), b.tolist()):
-        name[y] = x
-    return np.array([name[int(p)] for p in block], np.uint64)
+    points, number = np.unique(block, return_inverse=True)
+    up = list(range(len(points)))
+
+    def root(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in _finer(points, distance):
+        for x, y in zip(np.searchsorted(points, a).tolist(), np.searchsorted(points, b).tolist()):
+            up[root(x)] = root(y)
+    return points[[root(x) for x in range(len(points))]][number]
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, most: int = 1 << 20) -> DataFrame:
+def links(prints: DataFrame, distance: int = DISTANCE, most: int = MOST) -> DataFrame:
     """a, b: enough links between distinct fingerprints of `prints` (fp) to connect all that link."""
     if not 0 <= distance <= 4:
         raise ValueError("the keys find differences of up to four bits")
@@ -337,7 +366,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def grouped(rows: DataFrame, distance: int = DISTANCE, most: int = 1 << 20) -> DataFrame:
+def grouped(rows: DataFrame, distance: int = DISTANCE, most: int = MOST) -> DataFrame:
     """`rows` (doc_id, fp, ...) with component_id: the smallest doc_id that each row reaches."""
     prints = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(prints.select("fp"), distance, most)).withColumnRenamed("node", "fp")

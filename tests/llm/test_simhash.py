@@ -110,3 +110,25 @@ def test_majority_in_pieces():
         own = hashes[at : at + size].tolist()
         at += size
         assert got == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > size)
+
+
+def test_long_keys_in_bounded_blocks():
+    """As many points as one round takes of a key, and more: found are all pairs, memory and time stay small."""
+    import time
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    block = rng.integers(0, 1 << 64, S.MOST, dtype=np.uint64)
+    flips = lambda x, n: x ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (n, len(x)), dtype=np.uint64), axis=0)
+    points = np.concatenate([flips(block[:3000], 4), rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)])
+    block[-2000:] = flips(block[:2000], 3)
+    tracemalloc.start()
+    began = time.perf_counter()
+    found = {(int(i), int(j)) for a, b in S._near(points, block, 4) for i, j in zip(a, b)}
+    heads = S._labels(block, 4)
+    assert time.perf_counter() - began < 120 and tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+    some = np.concatenate([np.arange(500), np.arange(3000, 3100)])
+    for i in some:
+        assert {j for k, j in found if k == i} == set(np.flatnonzero(np.bitwise_count(points[i] ^ block) <= 4).tolist())
+    assert (heads[-2000:] == heads[:2000]).all() and len(np.unique(heads)) <= S.MOST - 2000
