@@ -328,10 +328,10 @@ def _finding_columns(rules: frozenset[str], brief: bool) -> Column:
 
 
 def scan(
-    files: DataFrame, keys: Sequence[str] = ("project_id",), rules: Sequence[str] = ALL_RULES, brief: bool = False,
+    files: DataFrame, keys: Sequence[str] = ("project_id",), rules: Sequence[str] | DataFrame = ALL_RULES, brief: bool = False,
     evidence_chars: int | None = None,
 ) -> DataFrame:
-    """All findings of all files.
+    """All findings of all files; with a table as `rules`, those of its rules (see `custom_rules`).
 
     Evidence is the whole line, or its first `evidence_chars` characters; in secret findings the values
     are blanked out before any cut.
@@ -341,6 +341,10 @@ def scan(
     A file yields at most one finding per (category, line, title), so with one row per (keys, path)
     the result is already free of repeats.
     """
+    if isinstance(rules, DataFrame):
+        from .custom_rules import find_in_files
+
+        return find_in_files(files, rules, keys, evidence_chars)
     return _found(facts(files, keys, rules), keys, rules, brief, evidence_chars)
 
 

@@ -89,34 +89,12 @@ def document_lines(spark, sf_dir):
     )
 
 
-def _write_files(files: DataFrame, root: str) -> None:
-    """Rows (name, content) as files below `root`; a null content removes the file."""
-    def put(batches):
-        from urllib.parse import urlparse
-
-        from pyarrow import fs
-
-        place = urlparse(root)
-        store, base = fs.FileSystem.from_uri(root) if place.scheme not in ("", "file") else (fs.LocalFileSystem(), place.path)
-        for batch in batches:
-            for name, content in zip(batch["name"], batch["content"]):
-                if content is None:
-                    store.delete_file(f"{base}/{name}")
-                    continue
-                store.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
-                with store.open_output_stream(f"{base}/{name}") as out:
-                    out.write(content)
-            yield batch[["name"]]
-
-    files.select("name", "content").mapInPandas(put, "name string").count()
-
-
 @query
 def split_lines(spark, sf_dir):
     """As document_lines, of documents written as files and read back in splits of 16 kB."""
     root = scratch_path(spark, "files")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    _write_files(docs.select(F.format_string("d/%d.txt", "doc_id").alias("name"), F.encode("text", "UTF-8").alias("content")), root)
+    trees.write_files(docs.select(F.format_string("d/%d.txt", "doc_id").alias("name"), F.encode("text", "UTF-8").alias("content")), root)
     lines = long_files.read_lines(spark, root, split_bytes=1 << 14)
     counts = lines.groupBy(F.substring_index("path", ".", 1).cast("long").alias("doc_id")).agg(
         F.count("*").cast("int").alias("n_lines"), F.count_if(F.col("line") == "").cast("int").alias("n_empty"), F.max(F.length("line")).alias("longest"))
@@ -130,11 +108,23 @@ def split_scan(spark, sf_dir):
     """As scan_findings, of files that are read in splits of 2 kB and scanned as lines."""
     root = scratch_path(spark, "files")
     files = corpus.files(spark, sf_dir)
-    _write_files(files.select(F.concat_ws("/", "project_id", "path").alias("name"), F.encode("text", "UTF-8").alias("content")), root)
+    trees.write_files(files.select(F.concat_ws("/", "project_id", "path").alias("name"), F.encode("text", "UTF-8").alias("content")), root)
     lines = settle(long_files.read_lines(spark, root, split_bytes=1 << 11))
     return scan_lines(lines, evidence_chars=fv.EVIDENCE_CHARS).select(*PLACE, "stage", "sub_ord", "rule", "title", "severity", "category")
 
 
+@query
+def custom_rules(spark, sf_dir):
+    """Rules that come as a table, one for each customer, over all files."""
+    given = table(spark, sf_dir, "customer").selectExpr(*[
+        "CAST(c_custkey AS STRING) AS rule_id",
+        "CASE c_custkey % 3 WHEN 0 THEN 'SK-Demo-' || c_custkey || '-Value' WHEN 1 THEN 'jwt-demo-' || c_custkey || '-' ELSE 'pw' || c_custkey || '@' END AS phrase",
+        "CASE c_custkey % 3 WHEN 0 THEN 'Critical' ELSE 'High' END AS severity", "'Secret Exposure Risk' AS category",
+        "'Known key ' || c_custkey || ' in use' AS title", "CASE WHEN c_custkey % 2 = 0 THEN 10 END AS reach",
+        "CASE WHEN c_custkey % 2 = 0 THEN array('MASK_fields', 'sanitize') END AS unless"])
+    return scan(corpus.files(spark, sf_dir), rules=given).select(*PLACE, "rule", "severity", "title", "keyword")
+
+
 @query
 def function_definitions(spark, sf_dir):
     return definitions(corpus.files(spark, sf_dir)).select(*PLACE, "fn", "tool_word", "tool_tier", "data_word")
@@ -484,6 +474,17 @@ def exported_reports(spark, sf_dir):
     )
 
 
+@query
+def report_documents(spark, sf_dir):
+    """One indented document for each report, among them some with awkward ids, read back file by file."""
+    root = scratch_path(spark, "documents")
+    judged = gate.judge(gate.under_policies(_scored(spark, sf_dir), {"default": {}}))
+    full = store_of.build(judged).withColumn("id", F.concat(F.lit("u/ä "), "project_id")).withColumn("user_id", F.lit("a b/c"))
+    store_of.export_documents(full, root)
+    back = store_of.read_json(spark, root, full.schema).filter("_corrupt_record is null")
+    return back.select("project_id", "id", "safety_score", F.col("deployment_gate.decision").alias("decision"))
+
+
 @query
 def validated_findings(spark, sf_dir):
     """Findings as JSON, some broken on purpose; valid and quarantined rows are told apart."""
@@ -805,7 +806,7 @@ def _zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unpacked_archives(spark, sf_dir):
     """Documents packed into archive files and unpacked again, entry by entry."""
     root = scratch_path(spark, "zips")
-    _write_files(_zipped(spark, sf_dir).select(F.concat("archive_id", F.lit(".zip")).alias("name"), "content"), root)
+    trees.write_files(_zipped(spark, sf_dir).select(F.concat("archive_id", F.lit(".zip")).alias("name"), "content"), root)
     files, _ = archive_entries.read(spark, root, E.PUBLISHED)
     return files.select(F.substring_index("project_id", ".", 1).alias("archive_id"), "path", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
@@ -846,7 +847,7 @@ def _write_zips(zipped: DataFrame, root: str) -> None:
     """Each archive as <root>/<half>/a<id // 2>.zip, so each name stands in both folders."""
     number = F.col("archive_id").cast("long")
     half = F.when(number % 2 == 0, "even").otherwise("odd")
-    _write_files(zipped.select(F.format_string("%s/a%d.zip", half, F.floor(number / 2)).alias("name"), "content"), root)
+    trees.write_files(zipped.select(F.format_string("%s/a%d.zip", half, F.floor(number / 2)).alias("name"), "content"), root)
 
 
 @query
@@ -937,11 +938,11 @@ def tree_changes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("m", F.col("doc_id") % 4)
     named = lambda text: [F.format_string("s%d/d%d.txt", F.col("doc_id") % 7, "doc_id").alias("name"), F.encode(text, "UTF-8").alias("content")]
     body = F.concat("text", F.lit("."))
-    _write_files(docs.filter("m <> 0").select(*named(body)), root)
+    trees.write_files(docs.filter("m <> 0").select(*named(body)), root)
     snapshots.look(spark, root, store)
     # New files, edited ones, and some that are written again as they were.
-    _write_files(docs.filter("m <> 3").select(*named(F.when(F.col("m") == 1, F.concat(body, F.lit(" v2"))).otherwise(body))), root)
-    _write_files(docs.filter("doc_id % 8 = 3").select(*named(F.lit(None).cast("string"))), root)
+    trees.write_files(docs.filter("m <> 3").select(*named(F.when(F.col("m") == 1, F.concat(body, F.lit(" v2"))).otherwise(body))), root)
+    trees.write_files(docs.filter("doc_id % 8 = 3").select(*named(F.lit(None).cast("string"))), root)
     return snapshots.look(spark, root, store).select(
         F.regexp_extract("path", r"d(\d+)", 1).cast("long").alias("doc_id"), "change", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 

@@ -346,6 +346,13 @@ WITH ln AS (SELECT source, doc_id, unnest(p) AS line, generate_subscripts(p, 1)
 found AS (SELECT *, CASE {sev} END AS severity, CASE {name} END AS name FROM ln)
 SELECT source AS project_id, 'd' || doc_id || '.txt' AS path, CAST(line_no AS INTEGER) AS line_no, 'Hardcoded ' || name || ' detected' AS title, severity, {blank} AS evidence
 FROM found WHERE severity IS NOT NULL"""
+    out["custom_rules"] = P + f""", given AS (
+  SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'sk-demo-' || c_custkey || '-value' WHEN 1 THEN 'jwt-demo-' || c_custkey || '-' ELSE 'pw' || c_custkey || '@' END AS phrase,
+    CASE c_custkey % 3 WHEN 0 THEN 'Critical' ELSE 'High' END AS severity FROM customer
+), shown AS (SELECT unit, path, line_no, lower(line) AS low,
+  coalesce(bool_or(contains(lower(line), 'mask_fields') OR contains(lower(line), 'sanitize')) OVER (PARTITION BY unit, path ORDER BY line_no ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), false) AS excused FROM ln)
+SELECT {place}, CAST(k AS VARCHAR) AS rule, severity, 'Known key ' || k || ' in use' AS title, phrase AS keyword
+FROM (SELECT * FROM shown WHERE contains(low, '-demo-') OR contains(low, 'pw')) s JOIN given ON contains(low, phrase) WHERE NOT (k % 2 = 0 AND excused)"""
     out["split_lines"], out["split_scan"] = out["document_lines"], out["scan_findings"]
     out["streamed_secrets"] = out["document_secrets"].replace(f", severity, {blank} AS evidence", ", severity")
     out["finding_texts"] = P + _texts_cte() + f" SELECT {place}, title, why_it_matters, suggested_fix FROM txt"
@@ -409,6 +416,7 @@ SELECT group_id, count(*) AS reports, CAST(sum(safety_score) AS BIGINT) AS score
     one = P + F + _gate_cte(f"scr CROSS JOIN {_policy_rows({'default': {}})}")
     out["exported_reports"] = one + f"""
 SELECT {unit}, safety_score, status, CAST(n_critical AS INTEGER) AS critical, score_tool_permission AS tool_permission, decision, CAST(len(blockers) AS INTEGER) AS n_blockers FROM jdg"""
+    out["report_documents"] = one + f" SELECT {unit}, 'u/ä ' || unit AS id, safety_score, decision FROM jdg"
     out["streamed_reports"] = one + f" SELECT {unit}, safety_score, status, decision FROM jdg"
     out["tree_changes"] = """
 SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'changed' ELSE 'removed' END AS change,

@@ -1,7 +1,7 @@
 """Saved reports: append, read, delete, compact, export.
 
-A store is a folder with two Parquet tables: `reports`, partitioned by batch and a hash bucket of the user
-(one folder per user would not scale), and `deleted`, a list of (user, report) pairs that is made with the store,
+A store is a folder with three Parquet tables: `reports`, partitioned by batch and a hash bucket of the user
+(one folder per user would not scale), `schemas`, the columns that its batches have, and `deleted`, a list of (user, report) pairs that is made with the store,
 so a list that cannot be read is an error and never brings deleted reports back. Deleting
 appends to the list and rewrites nothing; reading takes the listed rows out; `compact` writes
 a clean store elsewhere now and then.
@@ -9,16 +9,19 @@ a clean store elsewhere now and then.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from .. import fixed_values as fv
 from ..functions.rules import status_of
 from ..operators import gate, score
 from ..operators.guidance import next_steps
+from .trees import write_files
 
 BUCKETS = 64
 DELETED = "user_id string, id string"
@@ -76,8 +79,36 @@ def stamped(reports: DataFrame, id_from: Sequence[str] | None = None) -> DataFra
     return out.withColumn("timestamp", F.col("created_at"))
 
 
+def _schemas(spark: SparkSession, store: str) -> list[str]:
+    """The different columns that batches of a store have had; none for a store from before they were kept."""
+    try:
+        return sorted(r[0] for r in spark.read.schema("schema string").parquet(f"{store}/schemas").distinct().collect())
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def _keep_columns(reports: DataFrame, store: str) -> None:
+    own = StructType([StructField(f.name, f.dataType) for f in reports.schema if f.name not in ("batch", "bucket")]).json()
+    if own not in _schemas(reports.sparkSession, store):
+        reports.sparkSession.createDataFrame([(own,)], "schema string").write.mode("append").parquet(f"{store}/schemas")
+
+
+def _stored(spark: SparkSession, store: str) -> DataFrame:
+    """All rows ever appended. The columns are the store's own, so it is read alike whether it has rows or not."""
+    known = _schemas(spark, store)
+    if not known:
+        return spark.read.parquet(f"{store}/reports")
+    fields = {}
+    for schema in known:
+        fields |= {f.name: f for f in StructType.fromJson(json.loads(schema)) if f.name not in fields}
+    return spark.read.schema(StructType([*fields.values(), StructField("batch", StringType()), StructField("bucket", IntegerType())])).parquet(f"{store}/reports")
+
+
 def append(reports: DataFrame, store: str, batch: str | None = None) -> None:
     """Adds reports. A named batch that is written again replaces itself whole, so a retry adds nothing twice."""
+    _keep_columns(reports, store)
     # Rows of a bucket meet before writing, so a batch leaves few files; hot buckets are split again.
     (
         reports.withColumn("bucket", _bucket()).hint("rebalance", "bucket")
@@ -93,7 +124,7 @@ def delete(requests: DataFrame, store: str) -> None:
 
 def load(spark: SparkSession, store: str, users: Sequence[str] | None = None) -> DataFrame:
     """All reports, or those of some users: then only the folders of their buckets are read."""
-    reports = spark.read.parquet(f"{store}/reports")
+    reports = _stored(spark, store)
     deleted = spark.read.schema(DELETED).parquet(f"{store}/deleted")
     if users is not None:
         buckets = [F.pmod(F.xxhash64(F.lit(u)), F.lit(BUCKETS)).cast("int") for u in users]
@@ -118,7 +149,14 @@ def export_json(reports: DataFrame, path: str) -> None:
 
 def pretty(report_columns: Sequence[str]) -> Column:
     """A report as an indented JSON document."""
-    return F.to_json(F.struct(*report_columns), {"pretty": "true"})
+    return F.to_json(F.struct(*(F.col(f"`{c}`") for c in report_columns)), {"pretty": "true"})
+
+
+def export_documents(reports: DataFrame, path: str) -> int:
+    """Each report as an indented JSON file <user_id>/<id>.json, its names encoded as in addresses; returns their number."""
+    encoded = lambda c: F.replace(F.url_encode(F.coalesce(F.col(c).cast("string"), F.lit("none"))), F.lit("+"), F.lit("%20"))
+    name = F.concat(encoded("user_id"), F.lit("/"), encoded("id"), F.lit(".json"))
+    return write_files(reports.select(name.alias("name"), F.encode(pretty(reports.columns), "UTF-8").alias("content")), path)
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str, whole_files: bool = True) -> DataFrame:
@@ -126,7 +164,7 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str, whole_fi
     fields = schema if isinstance(schema, StructType) else _parsed(spark, schema)
     return (
         spark.read.schema(StructType([*fields, StructField("_corrupt_record", StringType())])).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record").option("multiLine", str(whole_files).lower()).json(path)
+        .option("recursiveFileLookup", "true").option("columnNameOfCorruptRecord", "_corrupt_record").option("multiLine", str(whole_files).lower()).json(path)
     )
 
 

@@ -68,3 +68,34 @@ def from_binary(found: DataFrame, root: str, keep: Sequence[str] = ()) -> DataFr
         .select(F.substring_index("_below", "/", 1).alias("project_id"), "_below", "text", *keep)
         .select("project_id", F.expr("substring(_below, length(project_id) + 2)").alias("path"), "text", *keep)
     )
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Rows (name, content) as files below `root`, a null content removes the file; returns the number of rows.
+
+    A file appears under its name when it is complete, so a task that is repeated or runs twice leaves whole files.
+    """
+    def put(batches):
+        import uuid
+        from urllib.parse import urlparse
+
+        from pyarrow import fs
+
+        place = urlparse(root)
+        store, base = fs.FileSystem.from_uri(root) if place.scheme not in ("", "file") else (fs.LocalFileSystem(), place.path)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"]):
+                target = f"{base}/{name}"
+                if content is None:
+                    if store.get_file_info(target).type != fs.FileType.NotFound:
+                        store.delete_file(target)
+                    continue
+                folder, own = target.rsplit("/", 1)
+                store.create_dir(folder, recursive=True)
+                part = f"{folder}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content)
+                store.move(part, target)
+            yield batch[["name"]]
+
+    return files.select("name", "content").mapInPandas(put, "name string").count()

@@ -1,6 +1,7 @@
 """Trees, archives, addresses, documents, report store, streams."""
 
 import io
+import json
 import os
 import zipfile
 
@@ -146,6 +147,36 @@ def test_report_store(spark, tmp_path):
     assert [(r.user_id, r.safety_score) for r in back if r.user_id] == [("u2", 60)]
 
 
+def test_store_without_rows(spark, tmp_path):
+    store = str(tmp_path / "store")
+    rows = spark.createDataFrame([("u1", "p", 50)], "user_id string, project_name string, safety_score int")
+    none = reports.stamped(rows.limit(0), ["user_id"])
+    reports.append(none, store, "b0")
+    assert reports.load(spark, store).count() == 0 and set(reports.load(spark, store).columns) == set(none.columns)
+    assert reports.load(spark, store, ["u1"]).count() == 0
+    clean = str(tmp_path / "clean")
+    reports.compact(spark, store, clean)
+    assert reports.load(spark, clean).count() == 0
+    # A batch with one more column: earlier rows have it null.
+    reports.append(reports.stamped(rows, ["user_id"]), store, "b1")
+    reports.append(reports.stamped(rows.withColumn("user_id", F.lit("u2")).withColumn("note", F.lit("n")), ["user_id"]), store, "b2")
+    assert {(r.user_id, r.note) for r in reports.load(spark, store).collect()} == {("u1", None), ("u2", "n")}
+    assert spark.read.parquet(f"{store}/schemas").count() == 2
+
+
+def test_documents(spark, tmp_path):
+    rows = [("a b/c", "x/../y", 1, ["q"]), ("ä+%", "1", 2, []), (None, "2", None, None)]
+    df = spark.createDataFrame(rows, "user_id string, id string, `safety score` int, list array<string>")
+    assert reports.export_documents(df, str(tmp_path / "out")) == 3
+    assert reports.export_documents(df, str(tmp_path / "out")) == 3
+    found = sorted(os.path.relpath(os.path.join(d, f), tmp_path / "out") for d, _, names in os.walk(tmp_path / "out") for f in names if not f.endswith(".crc"))
+    assert found == ["%C3%A4%2B%25/1.json", "a%20b%2Fc/x%2F..%2Fy.json", "none/2.json"]
+    text = (tmp_path / "out" / found[1]).read_text()
+    assert text.startswith('{\n  "user_id" : "a b/c"') and json.loads(text) == {"user_id": "a b/c", "id": "x/../y", "safety score": 1, "list": ["q"]}
+    back = reports.read_json(spark, str(tmp_path / "out"), df.schema)
+    assert sorted((r["id"], r["safety score"]) for r in back.collect()) == [("1", 2), ("2", None), ("x/../y", 1)]
+
+
 def test_stream_of_trees(spark, tmp_path):
     inbox, store = str(tmp_path / "inbox"), str(tmp_path / "store")
     where = str(tmp_path / "ckpt")
