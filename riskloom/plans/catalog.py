@@ -17,7 +17,7 @@ from ..functions.urls import repository
 from ..operators import compare, controls, findings as found, gate, graph, guidance, history, lines as L, score
 from ..operators.scan import ALL_RULES, definitions, scan, scan_lines, with_texts
 from ..session import scratch_path, settle
-from ..sources import archive_entries, archives, long_files, reports as store_of, schema, snapshots, trees
+from ..sources import archive_entries, archives, long_files, reports as store_of, schema, snapshots, trees, versions
 from ..streaming import scan_stream as streams
 from . import corpus
 
@@ -534,6 +534,37 @@ def validated_reports(spark, sf_dir):
         "c_custkey", F.lit("quarantined").alias("outcome"), F.col("reason").alias("detail"), none.alias("safety_score"), none.alias("n_findings")))
 
 
+def versioned_json_sql() -> str:
+    """Report documents made from customers: four versions, a document of no version, and a broken one."""
+    finding = lambda place, line: '{"title": "t", "severity": "High", "category": "c", "%s": "f", "%s": \' || c_custkey || \', "cwe": 79}' % (place, line)
+    scan = (
+        """'{"project_name": "' || c_name || '", "scan_type": "upload", "status": "Strong", "safety_score": ' || (c_custkey % 101) || ', """
+        """"summary": {"critical": 0, "high": 1, "info": 2}, "findings": [""" + finding("file", "line") + "], "
+    )
+    gate_of = '"deployment_gate": {"decision": "REVIEW", "blockers": []}, '
+    return (
+        f"""CASE c_custkey % 6 WHEN 0 THEN {scan}"sector": 1}}' WHEN 1 THEN {scan}{gate_of}"report_id": "r1"}}' """
+        f"""WHEN 2 THEN {scan}{gate_of}"user_id": "u", "timestamp": "2024"}}' """
+        f"""WHEN 3 THEN '{{"project_id": "' || c_name || '", "safety_score": ' || (c_custkey % 101) || '.0, "findings": [{finding("path", "line_no")}, 5]}}' """
+        """WHEN 4 THEN '{"project_name": "' || c_name || '"}' ELSE '{"safety_score": ' || c_custkey END"""
+    )
+
+
+@query
+def versioned_reports(spark, sf_dir):
+    """Saved documents of four versions in one shape, with what no field takes; one row for each document."""
+    docs = table(spark, sf_dir, "customer").select("c_custkey", F.expr(versioned_json_sql()).alias("body"))
+    lifted, rejected = versions.lift(docs)
+    names = lambda entries: _joined(F.transform(entries, lambda e: e["name"]))
+    first = F.element_at("report.findings", 1)
+    text = F.lit(None).cast("string")
+    return lifted.select(
+        "c_custkey", "report.version", "report.id", "report.user_id", "report.project_name", "report.safety_score", "report.decision", "report.created_at",
+        F.col("report.summary.high").alias("high"), F.size("report.findings").alias("n_findings"), first["path"].alias("path"), first["line_no"].alias("line_no"),
+        names(F.col("report.unknown")).alias("unknown"), names(F.flatten(F.transform("report.findings", lambda f: f["unknown"]))).alias("unknown_of_findings"),
+    ).unionByName(rejected.select("c_custkey", text.alias("version"), F.col("reason").alias("unknown")), allowMissingColumns=True)
+
+
 @query
 def full_reports(spark, sf_dir):
     """Everything a report shows, nested per project."""

@@ -434,6 +434,16 @@ SELECT c_custkey, CASE WHEN m = 0 THEN 'valid' ELSE 'quarantined' END AS outcome
     WHEN 4 THEN 'a finding is not valid' ELSE 'not json' END AS detail,
   CASE WHEN m = 0 THEN CAST(c_custkey % 101 AS INTEGER) END AS safety_score, CASE WHEN m = 0 THEN 1 END AS n_findings
 FROM (SELECT *, c_custkey % 6 AS m FROM customer)"""
+    out["versioned_reports"] = f"""
+SELECT c_custkey, CASE m WHEN 0 THEN 'plain' WHEN 1 THEN 'gated' WHEN 2 THEN 'saved' WHEN 3 THEN 'table' END AS version,
+  CASE WHEN m = 1 THEN 'r1' END AS id, CASE WHEN m = 2 THEN 'u' END AS user_id, CASE WHEN m < 4 THEN c_name END AS project_name,
+  CASE WHEN m < 4 THEN s END AS safety_score,
+  CASE WHEN m IN (1, 2) THEN 'REVIEW' WHEN m IN (0, 3) THEN CASE WHEN s >= {fv.FALLBACK_ALLOW_SCORE} THEN 'ALLOW' WHEN s >= {fv.FALLBACK_REVIEW_SCORE} THEN 'REVIEW' ELSE 'BLOCK' END END AS decision,
+  CASE WHEN m = 2 THEN '2024' END AS created_at, CASE WHEN m < 3 THEN 1 END AS high, CASE WHEN m < 3 THEN 1 WHEN m = 3 THEN 2 END AS n_findings,
+  CASE WHEN m < 4 THEN 'f' END AS path, CASE WHEN m < 4 THEN CAST(c_custkey AS INTEGER) END AS line_no,
+  CASE m WHEN 0 THEN 'sector | summary.info' WHEN 3 THEN '' WHEN 4 THEN 'no known version' WHEN 5 THEN 'not json' ELSE 'deployment_gate.blockers | summary.info' END AS unknown,
+  CASE WHEN m < 3 THEN 'cwe' WHEN m = 3 THEN 'cwe | ' END AS unknown_of_findings
+FROM (SELECT *, c_custkey % 6 AS m, CAST(c_custkey % 101 AS INTEGER) AS s FROM customer)"""
     out["common_categories"] = P + f"""
 SELECT {unit}, CAST(r AS INTEGER) AS ord, category, findings FROM (
   SELECT *, row_number() OVER (PARTITION BY unit ORDER BY findings DESC, seen) AS r FROM (
