@@ -10,7 +10,7 @@ import re
 
 from .. import fixed_values as fv
 from . import corpus
-from .catalog import POLICIES, entry_name_sql, phrase_sql, url_sql, free_spelling_sql
+from .catalog import POLICIES, arrival_sql, entry_name_sql, phrase_sql, url_sql, free_spelling_sql
 
 CODE = "('.py', '.js', '.jsx', '.ts', '.tsx')"
 
@@ -423,6 +423,11 @@ SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'changed' ELSE 'r
   CASE doc_id % 4 WHEN 0 THEN md5(text || '.') WHEN 1 THEN md5(text || '. v2') END AS digest
 FROM documents WHERE doc_id % 4 < 2 OR doc_id % 8 = 3"""
     out["daily_scores"] = hist + " SELECT strftime(seen_at, '%Y-%m-%d') AS day, project_name, count(*) AS reports, min(safety_score) AS lowest, max(safety_score) AS highest FROM rep GROUP BY 1, 2"
+    arrival = arrival_sql(f"date_diff('day', DATE '{corpus.FIRST_DAY}', CAST(ts AS DATE))")
+    out["late_reports"] = f"""
+WITH a AS (SELECT event_id, ts, {arrival} AS k FROM events), m AS (SELECT k, max(ts) AS m FROM a GROUP BY k),
+c AS (SELECT x.k, max(y.m) AS mark FROM m x JOIN m y ON y.k < x.k GROUP BY 1)
+SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM a JOIN c USING (k) WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= mark - INTERVAL 6 DAY"""
     out["validated_findings"] = """
 SELECT event_id, CASE WHEN event_id % 8 >= 4 THEN 'valid' ELSE 'quarantined' END AS outcome, CASE WHEN event_id % 8 >= 4 THEN 't' || event_id END AS title,
   CASE event_id % 8 WHEN 0 THEN 'not json' WHEN 1 THEN 'category is not a text' WHEN 2 THEN 'title is not a text' WHEN 3 THEN 'line is not a whole number' ELSE event_type END AS category,
