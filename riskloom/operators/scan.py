@@ -414,6 +414,7 @@ def _text_columns() -> dict[str, Column]:
         .when(rule == "audit", fv.AUDIT_WHY)
         .when(rule == "secret", fv.SECRET_WHY)
         .when(rule == "prompt", fv.PROMPT_WHY)
+        .when(rule == "input", F.format_string(fv.INPUT_WHY, keyword, subject))
     )
     fix = (
         F.when(whole_tool, F.format_string(fv.TOOL_FIX, subject))
@@ -425,6 +426,7 @@ def _text_columns() -> dict[str, Column]:
         .when(rule == "audit", fv.AUDIT_FIX)
         .when(rule == "secret", fv.SECRET_FIX)
         .when(rule == "prompt", fv.PROMPT_FIX)
+        .when(rule == "input", F.format_string(fv.INPUT_FIX, subject))
     )
     return {"why_it_matters": why, "suggested_fix": fix}
 

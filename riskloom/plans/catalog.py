@@ -16,6 +16,7 @@ from ..functions import entries as E, guidance as G, rules as R
 from ..functions.text import extension, language, lines_of
 from ..functions.urls import repository
 from ..operators import compare, controls, findings as found, gate, graph, guidance, history, lines as L, score
+from ..operators.reach import input_reaches_action as reached
 from ..operators.scan import ALL_RULES, definitions, scan, scan_lines, with_texts
 from ..session import scratch_path, settle
 from ..sources import archive_entries, archives, long_files, reports as store_of, schema, snapshots, trees, versions
@@ -152,6 +153,12 @@ def framework_findings(spark, sf_dir):
     return _findings(spark, sf_dir, ["framework"]).select(*PLACE, "title", "severity", "keyword")
 
 
+@query
+def input_reaches_action(spark, sf_dir):
+    """Calls that a function's input reaches, in files made of all documents."""
+    return reached(corpus.flow_files(spark, sf_dir)).select(*PLACE, "input_line", "title", "severity", "subject", "keyword")
+
+
 @query
 def json_key_findings(spark, sf_dir):
     return _findings(spark, sf_dir, ["json"]).select(*PLACE, "title", "severity", "keyword")

@@ -139,3 +139,46 @@ def units(spark: SparkSession, sf_dir: str, layout: str = "project") -> DataFram
     return events.select(
         F.concat(F.lit("u"), "user_id", F.lit("-w"), F.floor(day / 6).cast("int")).alias("report_id")
     )
+
+
+# Statements of the files made of documents, by length of a sentence modulo FLOWS: Python, then script. {i}: its number.
+FLOWS = 23
+FLOW_LINES = {
+    0: ("def task_{i}(request, who: str = None):", "function task_{i}(request, who) {"),
+    1: ("    order = parse(request)", "  const order = parse(request)"),
+    2: ("    issue_refund(order)", "  issue_refund(order)"),
+    3: ("    api.delete_user(id=who)  # who", "  api.deleteUser({id: who})  // who"),
+    4: ("    order = 5", "  order = 5"),
+    5: ("    order = sanitize(order)", "  order = sanitize(order)"),
+    6: ("if ready:", "}"),
+    7: ("    if order:", "  if (order) {"),
+    8: ("        send_email(to=order.address)", "    sendEmail(order.address)"),
+    9: ("    issue_refund('order', x.order)", "  issue_refund('order', x.order)"),
+    10: ("    run_shell(f'rm {who}')", "  runShell(`rm ${who}`)"),
+    11: ("    total += order", "  total += order"),
+    12: ("    execute_code(total)", "  execute_code(total)"),
+    13: ("    def inner_{i}(order):", "  const inner_{i} = async order => {"),
+    14: ("", "}"),
+    15: ("        issue_refund(order, total)", "  }"),
+}
+
+
+def flow_sql(number: str, kind: str, python: str) -> str:
+    """The statement of a sentence from SQL for its number, its kind and whether the file is Python."""
+    said = lambda t: " || ".join([_q(t.split("{i}")[0]), number, _q(t.split("{i}")[1])]) if "{i}" in t else _q(t)
+    whens = " ".join(f"WHEN {k} THEN CASE WHEN {python} THEN {said(a)} ELSE {said(b)} END" for k, (a, b) in FLOW_LINES.items())
+    return f"CASE {kind} {whens} ELSE '    x = step(' || {number} || ')' END"
+
+
+def _q(text: str) -> str:
+    # Parted, or SQL would read it as a variable of its own.
+    return "'" + text.replace("'", "''").replace("${", "$' || '{") + "'"
+
+
+def flow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files(project_id, path, text): every document as a source file with one statement for each sentence."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(
+        "concat('d', doc_id) AS project_id", "CASE WHEN doc_id % 2 = 0 THEN 'src/flow.py' ELSE 'src/flow.ts' END AS path",
+        "doc_id % 2 = 0 AS python", "split(coalesce(text, ''), '[.] ') AS parts")
+    statement = flow_sql("CAST(i + 1 AS STRING)", f"length(part) % {FLOWS}", "python")
+    return docs.selectExpr("project_id", "path", f"array_join(transform(parts, (part, i) -> {statement}), '\n') AS text")

@@ -353,6 +353,28 @@ FROM found WHERE severity IS NOT NULL"""
   coalesce(bool_or(contains(lower(line), 'mask_fields') OR contains(lower(line), 'sanitize')) OVER (PARTITION BY unit, path ORDER BY line_no ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), false) AS excused FROM ln)
 SELECT {place}, CAST(k AS VARCHAR) AS rule, severity, 'Known key ' || k || ' in use' AS title, phrase AS keyword
 FROM (SELECT * FROM shown WHERE contains(low, '-demo-') OR contains(low, 'pw')) s JOIN given ON contains(low, phrase) WHERE NOT (k % 2 = 0 AND excused)"""
+    said = lambda script: " ".join(
+        f"WHEN {k} THEN {_q(re.search(r'([A-Za-z_]+)[(]', t[script].replace('api.', ''))[1])}" for k, t in corpus.FLOW_LINES.items() if k in (2, 3, 8, 10, 12, 15) and "(" in t[script])
+    out["input_reaches_action"] = f"""
+WITH ln AS (
+  SELECT doc_id, doc_id % 2 = 0 AS py, unnest(range(len(p))) + 1 AS line_no, length(unnest(p)) % {corpus.FLOWS} AS k
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), '. ') AS p FROM documents)
+), lv AS (
+  SELECT *, CASE WHEN py THEN CASE WHEN k IN (0, 6) THEN 0 WHEN k IN (8, 15) THEN 8 ELSE 4 END
+    ELSE coalesce(sum(CASE WHEN k IN (0, 7, 13) THEN 1 WHEN k IN (6, 14, 15) THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS level
+  FROM ln
+), st AS (SELECT * FROM lv WHERE NOT (py AND k = 14)),
+df AS (SELECT doc_id, line_no AS begun, level AS base, k AS opener FROM st WHERE k IN (0, 13)),
+ends AS (SELECT df.doc_id, begun, min(line_no) AS past FROM df JOIN st ON df.doc_id = st.doc_id AND line_no > begun AND level <= base GROUP BY ALL),
+blocks AS (SELECT df.*, coalesce(past, 1 << 30) AS past FROM df LEFT JOIN ends USING (doc_id, begun)),
+inn AS (SELECT b.begun, b.opener, s.* FROM blocks b JOIN st s ON b.doc_id = s.doc_id AND s.line_no > b.begun AND s.line_no < b.past),
+o AS (SELECT *, coalesce(last_value(CASE WHEN k = 1 THEN opener = 0 WHEN k IN (4, 5) THEN false END IGNORE NULLS) OVER (PARTITION BY doc_id, begun ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), opener = 13) AS ordered FROM inn),
+t AS (SELECT *, coalesce(bool_or(k = 11 AND ordered) OVER (PARTITION BY doc_id, begun ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS totalled,
+    CASE WHEN py THEN CASE k {said(0)} END ELSE CASE k {said(1)} END END AS subject,
+    CASE opener WHEN 0 THEN 'task_' ELSE 'inner_' END || begun AS keyword FROM o)
+SELECT 'd' || doc_id AS project_id, CASE WHEN py THEN 'src/flow.py' ELSE 'src/flow.ts' END AS path, CAST(line_no AS INTEGER) AS line_no, CAST(begun AS INTEGER) AS input_line,
+  'Input of ''' || keyword || ''' reaches privileged call ''' || subject || '''' AS title, CASE WHEN k = 8 THEN 'High' ELSE 'Critical' END AS severity, subject, keyword
+FROM t WHERE CASE WHEN k IN (2, 8) THEN ordered WHEN k IN (3, 10) THEN opener = 0 WHEN k = 12 THEN totalled WHEN k = 15 AND py THEN ordered OR totalled ELSE false END"""
     out["split_lines"], out["split_scan"] = out["document_lines"], out["scan_findings"]
     out["streamed_secrets"] = out["document_secrets"].replace(f", severity, {blank} AS evidence", ", severity")
     out["finding_texts"] = P + _texts_cte() + f" SELECT {place}, title, why_it_matters, suggested_fix FROM txt"
