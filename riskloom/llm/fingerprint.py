@@ -1,10 +1,12 @@
 """Winnowed fingerprints of texts.
 
-Words are runs of letters and digits in lower case; every run of `GRAM` words is hashed. In each window
+Words are runs of letters, marks and digits in lower case; in scripts that put no spaces between words every character
+is one. Each word has a hash, and every run of `GRAM` words the polynomial of its words' hashes in `BASE` modulo a prime,
+the value that a rolling hash takes there; with three words it is worked out in place. In each window
 of `WINDOW` neighbouring hashes the smallest is chosen, the rightmost of equals, and kept with its position. Two
 texts that share WINDOW + GRAM - 1 words in a row share a chosen hash there.
 
-A hash and its position are one number, 32 bits of hash above 31 bits that fall with the position,
+A hash and its position are one number, 31 bits of hash above 31 bits that fall with the position,
 so a plain minimum chooses the smallest hash and among equals the rightmost.
 
 Everything is DataFrame functions. `edited` exchanges texts once, by id; the next text's beginning and hashes
@@ -23,17 +25,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.numbering import number_rows
 from ..session import settle
-from .common import text_of
+from .common import UNSPACED, text_of
 
 GRAM = 3
 WINDOW = 8
-_GAP = r"[^\p{L}\p{N}]+"
+BASE = 1_540_483_477
+MODULUS = (1 << 31) - 1
+_GAP = r"[^\p{L}\p{M}\p{N}]+"
+# The first of the scripts without spaces begins here; a cheap test before that for the scripts.
+_HIGH = "[\u0E00-\\x{10FFFF}]"
 _PLACES = (1 << 31) - 1
 
 
 def spaced(text: Column) -> Column:
     """Lower case, everything between words as one space."""
-    return F.regexp_replace(F.lower(text), _GAP, " ")
+    words = F.regexp_replace(F.lower(text), _GAP, " ")
+    alone = F.regexp_replace(F.regexp_replace(words, f"([{UNSPACED}])", " $1 "), " +", " ")
+    return F.when(text.rlike(_HIGH) & text.rlike(f"[{UNSPACED}]"), alone).otherwise(words)
 
 
 def n_words(spaced_text: Column) -> Column:
@@ -41,20 +49,21 @@ def n_words(spaced_text: Column) -> Column:
     return F.when(spaced_text == "", 0).otherwise(F.length(spaced_text) - F.length(F.replace(spaced_text, F.lit(" "), F.lit(""))) + 1)
 
 
-def grams(words: Column) -> Column:
-    """Every run of GRAM words of a trimmed, spaced text."""
-    run = " ".join(["[^ ]+"] * GRAM)
-    return (
-        F.when(words == "", F.array().cast("array<string>"))
-        .when(n_words(words) < GRAM, F.array(words))
-        .otherwise(F.regexp_extract_all(words, F.lit(f"(?=({run}))[^ ]+"), F.lit(1)))
-    )
+def word_hashes(words: Column) -> Column:
+    """A hash of each word of a trimmed, spaced text, below MODULUS."""
+    each = F.transform(F.split(words, " "), lambda w: F.pmod(F.xxhash64(w), F.lit(MODULUS)))
+    return F.when(words == "", F.array().cast("array<bigint>")).otherwise(each)
+
 
+def hashed(words: Column, first: Column) -> Column:
+    """Hash and position of each run of GRAM words (fewer: of all); `first` is the position of the first."""
+    def run(h, i):
+        for j in range(1, GRAM):
+            word = F.get(words, i + j)
+            h = F.when(word.isNull(), h).otherwise((h * BASE + word) % MODULUS)
+        return F.shiftleft(h, 31) + F.lit(_PLACES) - (i + first).cast("long")
 
-def hashed(runs: Column, first: Column) -> Column:
-    """Hash and position of each run; `first` is the position of the first."""
-    place = lambda i: F.lit(_PLACES) - (i + first).cast("long")
-    return F.transform(runs, lambda run, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(run), 32), 31) + place(i))
+    return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - (GRAM - 1), F.lit(1))), run)
 
 
 def chosen(hashes: Column) -> Column:
@@ -85,8 +94,8 @@ def written(prints: Column) -> Column:
 def with_prints(docs: DataFrame, text: Column, name: str = "prints") -> DataFrame:
     """`docs` with the chosen hashes of a text column; each step is a projection of its own."""
     return (
-        docs.withColumn("_runs", grams(F.trim(spaced(text)))).withColumn("_hashes", hashed(F.col("_runs"), F.lit(0)))
-        .withColumn(name, chosen(F.col("_hashes"))).drop("_runs", "_hashes")
+        docs.withColumn("_words", word_hashes(F.trim(spaced(text)))).withColumn("_hashes", hashed(F.col("_words"), F.lit(0)))
+        .withColumn(name, chosen(F.col("_hashes"))).drop("_words", "_hashes")
     )
 
 
@@ -116,10 +125,10 @@ def _edited_prints(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_from", F.greatest(F.col("_same") - (2 * WINDOW - 2), F.lit(0)))
     tail = F.when(F.col("_from") == 0, F.col("_head")).otherwise(F.expr("substring_index(_head, ' ', -(_count - _from + _open))"))
     rows = rows.withColumn("_tail", F.trim(F.regexp_replace(F.concat(tail, spaced(F.col("taken"))), " +", " ")))
-    rows = rows.withColumn("_runs", grams(F.col("_tail"))).withColumn("_hashes", hashed(F.col("_runs"), F.col("_from")))
+    rows = rows.withColumn("_words", word_hashes(F.col("_tail"))).withColumn("_hashes", hashed(F.col("_words"), F.col("_from")))
     kept = F.filter("prints", lambda x: position(x) <= F.col("_same") - WINDOW)
     return rows.withColumn("edited_prints", F.array_distinct(F.concat(kept, chosen(F.col("_hashes"))))).drop(
-        "_head", "_open", "_count", "_same", "_from", "_tail", "_runs", "_hashes")
+        "_head", "_open", "_count", "_same", "_from", "_tail", "_words", "_hashes")
 
 
 def edited(docs: DataFrame) -> DataFrame:
