@@ -2,16 +2,17 @@
 
 A seed is a fixed mask over neighbouring words: words under a 1 are hashed, words under a 0 are ignored,
 so a seed still matches when an ignored word was replaced. The two masks are chosen such that in
-`LENGTH` aligned words with up to `CHANGES` replaced, wherever these are, one mask fits at some place
+`LENGTH` aligned words with up to `CHANGES` replaced, wherever these are, one mask fits at some place. Items of `SHORT`
+words and more but under `LENGTH` have four shorter masks that find any one replaced word in the item as a whole
 (a test tries all cases). Seeds of texts and of benchmark items are joined by hash; a join gives a pair
 and an offset between the two, and there the words are compared: a text holds an item's passage if
-in `LENGTH` aligned words (all words, if the item has fewer) at most `CHANGES` differ.
+in `LENGTH` aligned words at most `CHANGES` differ, or one of all words of an item that has `SHORT` and more.
 
 Before the join, seeds of the texts pass a bit table made from the benchmark's seeds. Its size is
 bounded (8 MB); for a benchmark of any size it only lets more seeds through, never fewer.
 
 Words are runs of letters, marks and digits in lower case; in scripts that put no spaces between words every
-character is one. An item of fewer than `LENGTH` words is looked for as a whole, without replacements, down to
+character is one. An item of fewer than `SHORT` words is looked for as it is, without replacements, down to
 a single word. Items of the same words count once, under their smallest id; one without an id is looked for too.
 
 Cases: null and empty texts hold nothing; repeated rows and ids each hold what their texts hold, a
@@ -26,13 +27,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settle
 from . import bytewise as B
-from .common import restored, sheltered, text_of
+from .common import UNSPACED, restored, sheltered, text_of
 
 MASKS = ("111001011", "1101010011")
 LENGTH = 13
 CHANGES = 2
+SHORT_MASKS = ("1111", "10111", "11011", "11101")
+SHORT = 5
 SHORTEST = 1
-UNSPACED = "".join(rf"\p{{Is{script}}}" for script in "Han Hiragana Katakana Thai Lao Khmer Myanmar".split())
 BASE = 0xD6E8FEB86659FD93
 BITS = (16, 26)
 _MARKS = B.separators("marks")
@@ -67,7 +69,7 @@ def _seeds(batches, masks: tuple[str, ...], bits: np.ndarray | None, whole: bool
                     good &= np.diff(words.bounds)[words.doc[:n]] == len(mask)
                 at = np.flatnonzero(good)
                 doc = words.doc[at]
-                if bits is not None and "0" not in mask:
+                if bits is not None and mask in _wholes(range(SHORT - 1)):
                     # A whole item is found once; its first place in a text is enough.
                     _, one = np.unique(np.stack([doc, h[at].view(np.int64)]), axis=1, return_index=True)
                     at, doc = at[np.sort(one)], doc[np.sort(one)]
@@ -76,6 +78,15 @@ def _seeds(batches, masks: tuple[str, ...], bits: np.ndarray | None, whole: bool
                     names=["id", "h", "at"])
 
 
+def _wholes(lengths) -> tuple[str, ...]:
+    return tuple("1" * n for n in lengths if n)
+
+
+def allowed(n: int) -> int:
+    """Words that may be replaced in a passage of an item of n words."""
+    return CHANGES if n >= LENGTH else int(n >= SHORT)
+
+
 def seeds(rows: DataFrame, masks: tuple[str, ...], bits: np.ndarray | None = None, whole: bool = False) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
     return rows.select("id", "text").mapInArrow(lambda b: _seeds(b, masks, bits, whole), f"id {kind}, h long, at long")
@@ -110,7 +121,7 @@ def aligned(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, i
         return 0, 0, 0
     same = (text[shift + low : shift + high] == item[low:high]).astype(np.int64)
     sums = np.concatenate([[0], np.cumsum(same)])
-    good = sums[length:] - sums[:-length] >= length - (CHANGES if len(item) >= LENGTH else 0)
+    good = sums[length:] - sums[:-length] >= length - allowed(len(item))
     if not good.any():
         return 0, 0, 0
     edge = np.diff(np.concatenate([[0], good.astype(np.int8), [0]]))
@@ -158,12 +169,15 @@ def _passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", bare.alias("text")).filter("text <> ''").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
     items = settle(items.withColumn("id", F.xxhash64("text")).withColumn("n", F.size(F.split("text", " "))).filter(F.col("n") >= SHORTEST))
     short = [r["n"] for r in items.filter(F.col("n") < LENGTH).select("n").distinct().orderBy("n").collect()]
-    wholes = tuple("1" * n for n in short)
-    keys = seeds(items.filter(F.col("n") >= LENGTH), MASKS)
+    n = F.col("n")
+    keys, masks = seeds(items.filter(n >= LENGTH), MASKS), MASKS
+    if any(k >= SHORT for k in short):
+        keys, masks = keys.unionByName(seeds(items.filter((n >= SHORT) & (n < LENGTH)), SHORT_MASKS)), masks + SHORT_MASKS
+    wholes = _wholes(k for k in short if k < SHORT)
     if wholes:
-        keys = keys.unionByName(seeds(items.filter(F.col("n") < LENGTH), wholes, whole=True))
+        keys = keys.unionByName(seeds(items.filter(n < SHORT), wholes, whole=True))
     keys = settle(keys)
-    near = seeds(rows, MASKS + wholes, bit_table(keys, keys.count()))
+    near = seeds(rows, tuple(dict.fromkeys(masks + wholes)), bit_table(keys, keys.count()))
     hits = near.join(keys.withColumnsRenamed({"id": "item", "at": "item_at"}), "h")
     places = hits.select("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     places = places.join(items.select(F.col("id").alias("item"), "item_id", F.col("text").alias("words")), "item")
