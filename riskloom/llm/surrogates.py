@@ -3,8 +3,12 @@
 Addresses, numbers and names are found in every text. Each entity is brought to a normal form (digits of a
 number, lower case), and a keyed hash of that form makes its surrogate, so an entity has the same surrogate in every
 text and spelling. Digits stay digits and keep their grouping, a card number that passes the check digit
-still does, names keep script, gender and capitals, mail domains end in a reserved name, and mails of one
-domain share one.
+still does, and so does an account number that passes its own; names keep script, gender, particles and capitals, mail
+domains end in a reserved name, and mails of one domain share one.
+
+Persons are found by a title or a given name of the lists below; a Chinese name by its surname and the title after it.
+Every name found in a text is then replaced wherever it stands in that text as a word with a capital, so a later
+mention keeps to the person. A name that no title, given name or other mention shows is not found.
 
 Surrogates are checked across the corpus: two entities never share one and none is an entity itself. Whoever
 loses such a meeting tries again with the next hash until all differ; names grow by a syllable each time.
@@ -33,14 +37,27 @@ SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
 PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|\b[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b|\b0[0-9]{2,4}[ /-][0-9]{6,8}\b"
 MALE = "Mr Herr Monsieur Señor Sr Sir Господин".split()
 FEMALE = "Mrs Ms Miss Frau Madame Mme Señora Sra Госпожа".split()
-MALE_NAMES = "James John Robert Michael David William Thomas Peter Hans Klaus Jürgen Pierre Jean Luis Carlos José Иван Сергей".split()
-FEMALE_NAMES = "Mary Anna Linda Susan Sarah Emma Julia Ursula Monika Marie Sophie Carmen María Lucía Анна Мария".split()
-_CAPITAL = r"\p{Lu}[\p{L}'-]+"
+MALE_NAMES = (
+    "James John Robert Michael David William Thomas Peter Hans Klaus Jürgen Pierre Jean Luis Carlos José Иван Сергей "
+    "Paul George Daniel Matthew Andrew Stephen Steven Kevin Brian Richard Charles Joseph Martin Wolfgang Stefan Andreas Michel François "
+    "Philippe Alain Antonio Manuel Javier Miguel Pedro Marco Giovanni Giuseppe Ahmed Mohammed Omar Александр Дмитрий Алексей Николай Владимир").split()
+FEMALE_NAMES = (
+    "Mary Anna Linda Susan Sarah Emma Julia Ursula Monika Marie Sophie Carmen María Lucía Анна Мария "
+    "Olga Patricia Jennifer Elizabeth Barbara Jessica Karen Nancy Lisa Laura Helen Ruth Maria Elena Isabel Claire Camille Nathalie Petra "
+    "Sabine Claudia Giulia Francesca Chiara Fatima Aisha Ольга Елена Наталья Татьяна Екатерина").split()
+PARTICLES = "van der|van den|van|von der|von|zu|de la|del|della|de|di|da|dos|du|ter|ten|bin|ibn|al|el".split("|")
+HAN_SURNAMES = "王 李 张 刘 陈 杨 赵 黄 周 吴 徐 孙 胡 朱 高 林 何 郭 马 罗 梁 宋 郑 谢 韩 唐".split()
+HAN_TITLES = "先生 女士 小姐 太太".split()
+# A name may hold hyphens and apostrophes, but for the one of a possessive.
+_CAPITAL = r"\p{Lu}(?:[\p{L}\p{M}]|[-'’](?!s(?!\p{L}))(?=\p{L}))+"
+_FAMILY = rf"(?:(?:{'|'.join(PARTICLES)}) )?{_CAPITAL}"
 _TITLES = "|".join(w for t in MALE + FEMALE for w in (t, t.upper()))
 _GIVEN = "|".join(w for n in MALE_NAMES + FEMALE_NAMES for w in (n, n.upper()))
-NAME = rf"(?<![\p{{L}}])(?:(?:{_TITLES})\.? {_CAPITAL}(?: {_CAPITAL})?|(?:{_GIVEN}) {_CAPITAL})"
-ENTITY = "|".join([EMAIL, IBAN, IP, CARD, SSN, PHONE, NAME])
+NAME = rf"(?<![\p{{L}}])(?=\p{{Lu}})(?:(?:{_TITLES})\.? (?:{_CAPITAL} )?{_FAMILY}|(?:{_GIVEN})(?: {_FAMILY})?(?!\p{{L}}))"
+HAN_NAME = rf"[{''.join(HAN_SURNAMES)}]\p{{IsHan}}{{0,2}}?(?={'|'.join(HAN_TITLES)})"
+ENTITY = "|".join([EMAIL, IBAN, IP, CARD, SSN, PHONE, NAME, HAN_NAME])
 LATIN = "ba be bi bo bu da de di do du fa fe fi fo ga ge go ha he ho ka ke ki ko la le li lo lu ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va vi".split()
+HAN = "伟 芳 娜 敏 静 丽 强 磊 军 洋 勇 艳 杰 娟 涛 明 超 霞 平 刚 玲 桂 英 华 文 建 红 春 玉 兰".split()
 CYRILLIC = "ба бе би бо да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те ти то ва ви".split()
 ENDINGS = {"latin": {"m": "rik", "f": "lina", "n": "len", "surname": "mer"}, "cyrillic": {"m": "мир", "f": "лина", "n": "лен", "surname": "дов"}}
 
@@ -50,10 +67,15 @@ def _title(value: Column) -> Column:
 
 
 def _names(value: Column) -> Column:
-    """The names of a match without its title: given and family name, or the family name alone."""
+    """The words of a match without its title: given and family name, or one alone, particles with them."""
     return F.split(F.substring(value, F.length(_title(value)) + F.lit(1), F.length(value)), " ")
 
 
+def _capitals(value: Column) -> Column:
+    """The words of `_names` without particles."""
+    return F.filter(_names(value), lambda w: ~w.rlike(r"^\p{Ll}"))
+
+
 def kind_of(value: Column) -> Column:
     digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
     return (
@@ -68,11 +90,11 @@ def _gender(value: Column) -> Column:
 
 def parts(value: Column) -> Column:
     """kind|normal form of everything in a match that gets a surrogate."""
-    kind, names = kind_of(value), _names(value)
-    name = F.when(
-        F.size(names) > 1,
-        F.array(F.concat(F.lit("given-"), _gender(value), F.lit("|"), F.lower(names[0])), F.concat(F.lit("surname|"), F.lower(F.get(names, F.lit(1))))),
-    ).otherwise(F.array(F.concat(F.lit("surname|"), F.lower(names[0]))))
+    kind, names = kind_of(value), _capitals(value)
+    given = F.concat(F.lit("given-"), _gender(value), F.lit("|"), F.lower(names[0]))
+    surname = F.concat(F.lit("surname|"), F.lower(F.element_at(names, -1)))
+    alone = (_title(value) == "") & value.rlike(rf"^(?:{_GIVEN})$")
+    name = F.when(F.size(names) > 1, F.array(given, surname)).when(alone, F.array(given)).otherwise(F.array(surname))
     plain = (
         F.when(kind.isin("email", "ip"), F.lower(value)).when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
         .otherwise(F.regexp_replace(value, "[^0-9]", "")))
@@ -112,6 +134,22 @@ def _checked(old: Column, new: Column) -> Column:
     return F.when(_luhn(old) % 10 == 0, F.concat(body, last)).otherwise(new)
 
 
+def _mod97(text: Column) -> Column:
+    """Remainder of an account number's rule, letters read as 10 to 35."""
+    def add(total, c):
+        return F.when(c.rlike("[0-9]"), (total * 10 + F.ascii(c) - 48) % 97).otherwise((total * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.split(text, ""), F.lit(0), add)
+
+
+def _account(old: Column) -> Column:
+    """The new account number (column _core) with the check digits that make it valid, if the old one was valid."""
+    body, country = F.expr("substring(_core, 5)"), F.expr("left(_core, 2)")
+    digits = F.lpad((F.lit(98) - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
+    valid = _mod97(F.concat(F.substring(old, F.lit(5), F.length(old)), F.substring(old, 1, 4))) == 1
+    return F.when(valid, F.concat(country, digits, body)).otherwise(F.col("_core"))
+
+
 def _syllable(digest: Column, syllables: list[str]):
     options = F.array(*map(F.lit, syllables))
     return lambda i: F.get(options, F.pmod(_byte(digest, i), F.lit(len(syllables))))
@@ -126,7 +164,8 @@ def _name(digest: Column, kind: Column, form: Column, tries: Column) -> Column:
             end = F.when(kind == f"given-{g}", ENDINGS[script][g]).otherwise(end)
         made = F.concat(body, end)
         out = made if out is None else F.when(form.rlike(r"\p{IsCyrillic}"), out).otherwise(made)
-    return out
+    han = F.concat(_syllable(digest, HAN_SURNAMES)(F.lit(0)), F.array_join(F.transform(F.sequence(F.lit(1), tries + 2), _syllable(digest, HAN)), ""))
+    return F.when(form.rlike(r"\p{IsHan}"), han).otherwise(out)
 
 
 def with_surrogates(entities: DataFrame, key: str, rounds: int) -> DataFrame:
@@ -141,7 +180,7 @@ def with_surrogates(entities: DataFrame, key: str, rounds: int) -> DataFrame:
     kept = F.when(kind == "iban", 2).when(kind.isin("card", "phone"), 1).otherwise(0)
     core = F.when(kind == "email", mail).when(kind == "ip", address).when(kind.isin("iban", "card", "ssn", "phone"), _mapped(form, digest, kept))
     rows = rows.withColumn("_core", core.otherwise(_name(digest, kind, form, F.col("tries"))))
-    done = F.when(kind == "card", _checked(form, F.col("_core"))).otherwise(F.col("_core"))
+    done = F.when(kind == "card", _checked(form, F.col("_core"))).when(kind == "iban", _account(form)).otherwise(F.col("_core"))
     done = F.when(F.col("tries") >= rounds, F.concat(done, F.lit("-"), F.substring(digest, 1, 16))).otherwise(done)
     return rows.withColumn("surrogate", done).drop("_kind", "_form", "_digest", "_core")
 
@@ -175,17 +214,34 @@ def _filled(value: Column, core: Column, chars: str) -> Column:
 
 def rebuilt(value: Column, found: Column) -> Column:
     """A match in the words of its surrogates; `found` maps kind|form to surrogate."""
-    kind, own = kind_of(value), parts(value)
-    core = F.element_at(found, own[0])
-    cased = lambda c: F.when(_names(value)[0] == F.upper(_names(value)[0]), F.upper(c)).otherwise(F.initcap(c))
-    name = F.concat(_title(value), F.array_join(F.transform(own, lambda p: cased(F.element_at(found, p))), " "))
+    kind, own, words, n = kind_of(value), parts(value), _names(value), F.size(_capitals(value))
+    core = F.try_element_at(found, own[0])
+
+    def word(w, i):
+        """A family name goes before a given one of the same letters where a word stands alone."""
+        known = [F.try_element_at(found, F.concat(F.lit(f"{k}|"), F.lower(w))) for k in ("surname", "given-m", "given-f", "given-n")]
+        new = F.when(n == 1, F.coalesce(*known)).when(i == 0, core).otherwise(F.try_element_at(found, F.element_at(own, -1)))
+        return F.when(w.rlike(r"^\p{Ll}"), w).when(w == F.upper(w), F.upper(new)).otherwise(F.initcap(new))
+
+    name = F.concat(_title(value), F.array_join(F.transform(words, word), " "))
     mail = F.when(value == F.upper(value), F.upper(core)).otherwise(core)
     return (F.when(kind == "email", mail).when(kind == "ip", core).when(kind == "iban", _filled(value, core, "[A-Z0-9]"))
             .when(kind == "name", name).otherwise(_filled(value, core, "[0-9]")))
 
 
+def _pattern(found: Column) -> Column:
+    """ENTITY, and every name of a text wherever it stands in it."""
+    names = F.transform(F.filter(F.map_keys(found), lambda k: k.rlike("^(?:surname|given-.)[|]")), lambda k: F.substring_index(k, "|", -1))
+    # Falling order, so that a name comes before its own beginning.
+    some = lambda han: F.array_join(F.sort_array(F.filter(names, lambda w: w.rlike(r"\p{IsHan}") == F.lit(han)), asc=False), "|")
+    words, signs = some(False), some(True)
+    return F.concat(
+        F.lit(ENTITY), F.when(words != "", F.concat(F.lit(r"|(?<![\p{L}])(?=\p{Lu})(?iu:"), words, F.lit(r")(?!\p{L})"))).otherwise(""),
+        F.when(signs != "", F.concat(F.lit("|"), signs)).otherwise(""))
+
+
 def replaced(docs: DataFrame, key: str = "surrogate-key", name: str = "n_entities") -> DataFrame:
-    """doc_id, text with surrogates, how many matches were replaced (column `name`), and the other columns of docs.
+    """doc_id, text with surrogates, how many matches were replaced (column `name`, in place of one of docs), and the other columns of docs.
 
     Whoever knows `key` can work out the surrogate of a guessed entity, so it is to be kept like a password.
     """
@@ -196,7 +252,9 @@ def replaced(docs: DataFrame, key: str = "surrogate-key", name: str = "n_entitie
     found = each.join(surrogates(each, key), "entity").groupBy("mark").agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("found"))
     own = sheltered(docs, ["doc_id", "text"]).withColumn("_mark", F.xxhash64("doc_id", "text"))
     both = own.join(found.select(F.col("mark").alias("_own"), F.col("found").alias("_found")), F.col("_mark") == F.col("_own"), "left")
-    gaps, all_ = F.split("text", ENTITY, -1), F.regexp_extract_all("text", F.lit(f"({ENTITY})"), F.lit(1))
+    both = both.withColumn("_pattern", F.when(F.col("_found").isNotNull(), _pattern(F.col("_found"))))
+    both = both.withColumn("_all", F.regexp_extract_all("text", F.concat(F.lit("("), "_pattern", F.lit(")")), F.lit(1)))
+    gaps, all_ = F.split("text", F.col("_pattern"), -1), F.col("_all")
     pieces = F.zip_with(gaps, all_, lambda gap, match: F.concat(gap, F.when(match.isNull(), "").otherwise(rebuilt(match, F.col("_found")))))
     has = F.col("_found").isNotNull()
     rest = [c for c in docs.columns if c not in ("doc_id", "text", name)]
