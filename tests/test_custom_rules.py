@@ -73,3 +73,16 @@ def test_a_line_meets_few_of_many_rules(spark):
         # The common beginning is no rule's run.
         assert index.filter(F.col("run").isin("ste", "tep", "ep_")).count() == 0
         assert C.find(lines, rules.filter(F.col("rule_id").cast("int") < n), sampled=1.0).count() == found
+
+
+def test_what_excuses_many_rules_is_looked_for_once(spark):
+    """A line with a phrase that excuses every rule is one row, not one for each rule."""
+    lines = spark.range(1, 401).selectExpr("'p' AS project_id", "'a.py' AS path", "CAST(id AS INT) AS line_no",
+                                           "CASE WHEN id % 4 = 0 THEN 'row = mask_fields(row)' ELSE 'key = pw' || id || '@' END AS line")
+    rules = spark.range(1, 501).selectExpr("CAST(id AS STRING) AS rule_id", "'PW' || id || '@' AS phrase", "'High' AS severity", "'c' AS category", "'t' AS title",
+                                           "array('Mask_Fields', 'sanitize') AS unless", "CAST(id % 2 AS INT) AS reach")
+    given = rules.withColumn("extensions", F.lit(None).cast("array<string>"))
+    assert C.matches(lines, given).count() == 100 + 300
+    # Next to a masked line are those before and after every fourth; of these, odd rules reach so far.
+    want = {i for i in range(1, 401) if i % 4 and not (i % 2 and (i + 1) % 4 in (0, 2))}
+    assert {r.line_no for r in C.find(lines, rules).collect()} == want
