@@ -95,8 +95,8 @@ def matches(lines: DataFrame, rules: DataFrame, keys: Sequence[str] = ("project_
     shapes = index.select("run", "at", F.length("low").alias("n")).distinct().select(F.col("run").alias("_run"), F.col("at").alias("_at"), "n")
     begin = F.col("_met.at") - F.col("_at") + 1
     met = met.join(shapes, F.col("_met.run") == F.col("_run")).filter((begin >= 1) & (begin + F.col("n") - 1 <= F.length("_low")))
-    texts = met.select(*keys, "path", "line_no", "line", F.substring(F.col("_low"), begin, F.col("n")).alias("low"))
-    return texts.join(index.select("low"), "low").select(*keys, "path", "line_no", "line", "low")
+    texts = met.select(*keys, "path", "line_no", "line", F.substring(F.col("_low"), begin, F.col("n")).alias("low"), F.col("_run").alias("run"), F.col("_at").alias("at"))
+    return texts.join(index, ["low", "run", "at"]).select(*keys, "path", "line_no", "line", "low")
 
 
 def _fits(extensions: Column) -> Column:
