@@ -9,33 +9,27 @@ splits report: invalid rows, and bytes that are missing to the file's length.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .. import fixed_values as fv
 from ..functions.text import LINE_BREAK, extension
 from ..operators.numbering import total_before
-from ..session import settle
+from ..session import configured, settle
 from .trees import below
 
 # Line breaks other than the line feed that parts the rows.
 _BREAK = LINE_BREAK.replace(r"\r\n|[\n\r", r"[\r")
-_SPLIT = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+# With small splits, at most so many tasks for each core; a task reads as many splits as that takes.
+TASKS_PER_CORE = 32
 
 
-@contextmanager
-def _splits_of(spark: SparkSession, size: int | None):
-    before = {name: spark.conf.get(name) for name in _SPLIT}
-    if size is not None:
-        # Small splits of many files still share a task.
-        spark.conf.set(_SPLIT[0], str(size))
-        spark.conf.set(_SPLIT[1], "0")
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+def _splits_of(spark: SparkSession, size: int | None) -> dict[str, str]:
+    if size is None:
+        return {}
+    # A split stays as small as asked for. Splits share a task, or there would be a task for each few kB.
+    return {
+        "spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0",
+        "spark.sql.files.maxPartitionNum": str(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)}
 
 
 def _rows(spark: SparkSession, root: str, split_bytes: int | None) -> DataFrame:
@@ -46,7 +40,7 @@ def _rows(spark: SparkSession, root: str, split_bytes: int | None) -> DataFrame:
     found = found.filter(extension(path).isin(fv.SCANNED_EXTENSIONS)).select(
         path.alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.col("_metadata.file_size").alias("_size"),
         F.col("value").cast("binary").alias("_value"), F.monotonically_increasing_id().alias("_row"))
-    with _splits_of(spark, split_bytes):
+    with configured(spark, _splits_of(spark, split_bytes)):
         return settle(found)
 
 

@@ -69,3 +69,13 @@ def test_controls_reach_across_blocks_of_lines(spark):
     whole = scan(spark.createDataFrame([("p", "a.py", text)], "project_id string, path string, text string"))
     plain = lambda df: sorted(map(repr, df.select(*whole.columns).collect()))
     assert plain(scan_lines(lines)) == plain(whole) and whole.count() > 4
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    """Tasks follow from cores, however many splits there are."""
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.py").write_text("x = 1\n" * 40_000)
+    rows = long_files._rows(spark, str(tmp_path), 64)
+    assert rows.select("_start").distinct().count() > 3000
+    assert len(rows.inputFiles()) <= 2 * long_files.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.files.maxPartitionNum", None) is None
