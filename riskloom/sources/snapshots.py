@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fv
 from ..functions.text import extension
-from ..session import settle
+from ..session import MANY_FILES, configured, settle
 from .trees import from_binary
 
 SNAPSHOT = "path string, size long, time timestamp, digest string"
@@ -50,7 +50,8 @@ def look(spark: SparkSession, root: str, store: str) -> DataFrame:
         before = spark.read.schema(SNAPSHOT).parquet(f"{store}/snapshots/number={number}")
     else:
         before = spark.createDataFrame([], SNAPSHOT)
-    now = settle(_files(spark, root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("time")))
+    with configured(spark, MANY_FILES):
+        now = settle(_files(spark, root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("time")))
     same = now.join(before, ["path", "size", "time"], "left_semi")
     suspects = now.join(before, ["path", "size", "time"], "left_anti")
     contents = _files(spark, root)
@@ -59,7 +60,8 @@ def look(spark: SparkSession, root: str, store: str) -> DataFrame:
         least = suspects.agg(F.min("time")).first()[0]
         contents = contents.filter(F.col("modificationTime") >= F.lit(least)).join(suspects.select("path"), "path", "left_semi")
     facts = [F.col("path").alias("_path"), F.col("length").alias("size"), F.col("modificationTime").alias("time"), F.sha2("content", 256).alias("digest")]
-    read = settle(from_binary(contents.select("path", "content", F.struct(*facts).alias("_fact")), root, ["_fact"]))
+    with configured(spark, MANY_FILES):
+        read = settle(from_binary(contents.select("path", "content", F.struct(*facts).alias("_fact")), root, ["_fact"]))
     known = before.select(F.col("path").alias("_known"), F.col("digest").alias("_digest"))
     held = read.join(known, F.col("_fact._path") == F.col("_known"), "left")
     change = F.when(F.col("_known").isNull(), "added").when(F.col("_digest") != F.col("_fact.digest"), "changed")

@@ -82,6 +82,7 @@ def write_files(files: DataFrame, root: str) -> int:
         from pyarrow import fs
 
         place = urlparse(root)
+        made = set()
         store, base = fs.FileSystem.from_uri(root) if place.scheme not in ("", "file") else (fs.LocalFileSystem(), place.path)
         for batch in batches:
             for name, content in zip(batch["name"], batch["content"]):
@@ -91,7 +92,9 @@ def write_files(files: DataFrame, root: str) -> int:
                         store.delete_file(target)
                     continue
                 folder, own = target.rsplit("/", 1)
-                store.create_dir(folder, recursive=True)
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
                 part = f"{folder}/.{uuid.uuid4().hex}"
                 with store.open_output_stream(part) as out:
                     out.write(content)
