@@ -119,3 +119,16 @@ def test_columns_kept_beside_the_text(spark, tmp_path):
     write_tree(str(tmp_path), {"p/a.py": "x"})
     found = trees.from_binary(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)), str(tmp_path), ["length"])
     assert [(r.project_id, r.path, r.text, r.length) for r in found.collect()] == [("p", "a.py", "x", 1)]
+
+
+def test_many_small_files_share_tasks(spark, tmp_path, monkeypatch):
+    from riskloom.sources import snapshots
+
+    root = tmp_path / "root" / "p"
+    root.mkdir(parents=True)
+    for i in range(400):
+        (root / f"f{i}.py").write_text(f"x = {i}")
+    parts, settle = [], snapshots.settle
+    monkeypatch.setattr(snapshots, "settle", lambda df: parts.append(df.rdd.getNumPartitions()) or settle(df))
+    assert snapshots.look(spark, str(tmp_path / "root"), str(tmp_path / "store")).count() == 400
+    assert parts and max(parts) <= spark.sparkContext.defaultParallelism
