@@ -89,3 +89,30 @@ def test_no_archives(spark, tmp_path):
     write_tree(str(tmp_path), {"note.txt": "x"})
     files, left = A.read(spark, str(tmp_path))
     assert files.count() == 0 and left.count() == 0
+
+
+def test_small_entries_leave_together(spark, tmp_path):
+    """300 small entries are few batches, and a large one does not wait for others."""
+    import zipfile
+
+    import pyarrow as pa
+
+    from riskloom.sources import archive_entries as A
+
+    texts = [f"x = {i}" if i != 280 else "y" * (2 << 20) for i in range(300)]
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for i, text in enumerate(texts):
+            z.writestr(f"f{i}.py", text)
+    rows = A.manifest(A.list_archives(spark, str(tmp_path))).orderBy("ord").toArrow().to_batches()
+    out = list(A._unpack(rows))
+    assert [b.num_rows for b in out] == [256, 25, 19]
+    assert [c.decode() for c in pa.Table.from_batches(out).column("content").to_pylist()] == texts
+
+
+def test_archives_are_expanded_from_arrow(spark, tmp_path, capsys):
+    """A batch of archives is not turned into Python objects as a whole."""
+    from riskloom.sources import archives
+
+    archives.expand(spark.createDataFrame([("a", 1, bytearray(b"x"))], "archive_id string, archive_bytes long, content binary")).explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
