@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fv
@@ -43,7 +43,7 @@ def expand(archives: DataFrame, limits: Limits = NONE) -> DataFrame:
     blocked, locks, extensions = set(fv.BLOCKED_DIRS), set(fv.LOCK_FILES), set(fv.SCANNED_EXTENSIONS)
     max_entries, max_bytes = limits.entries, limits.file_bytes
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import io
         import os
         import zipfile
@@ -69,12 +69,17 @@ def expand(archives: DataFrame, limits: Limits = NONE) -> DataFrame:
                      "content": z.read(info) if readable and wanted(info) else None}
                     for i, info in enumerate(infos)]
 
+        entry = pa.struct([("ord", pa.int32()), ("name", pa.string()), ("file_size", pa.int64()), ("external_attr", pa.int64()), ("content", pa.binary())])
+        kinds = {"archive_id": pa.string(), "archive_bytes": pa.int64(), "readable": pa.bool_(), "n_entries": pa.int32(), "entries": pa.list_(entry)}
+
         def table(rows):
-            return pd.DataFrame(rows, columns=["archive_id", "archive_bytes", "readable", "n_entries", "entries"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
 
         done, held = [], 0
         for batch in batches:
-            for archive_id, size, content in zip(batch["archive_id"], batch["archive_bytes"], batch["content"]):
+            # One row at a time: the batch itself stays in Arrow's memory, without a second copy as Python objects.
+            for at in range(batch.num_rows):
+                archive_id, size, content = (batch.column(c)[at].as_py() for c in ("archive_id", "archive_bytes", "content"))
                 readable, count, entries = True, 0, []
                 if content is not None:
                     try:
@@ -92,7 +97,7 @@ def expand(archives: DataFrame, limits: Limits = NONE) -> DataFrame:
     small = F.col("content")
     if limits.archive_bytes is not None:
         small = F.when(F.col("archive_bytes") <= limits.archive_bytes, small)
-    return archives.select("archive_id", "archive_bytes", small.alias("content")).mapInPandas(unpack, _EXPANDED)
+    return archives.select("archive_id", "archive_bytes", small.alias("content")).mapInArrow(unpack, _EXPANDED)
 
 
 def _skipped(entry: Column, limits: Limits) -> Column:
