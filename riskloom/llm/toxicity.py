@@ -1,32 +1,39 @@
-"""A convolutional text classifier for toxicity, trained in numpy.
+"""A convolutional text classifier for toxicity, trained in numpy inside Spark's tasks on all labelled texts.
 
 A word is the sum of four hashed embeddings: of the word, of its first four and five bytes, and of its
 last four. Filters of one, two and three words slide over the text, each keeps its maximum (at
 least 0), and a logistic layer reads these. Embeddings start from the shrunken log odds of their
-bucket in the sample, so filters begin near useful words; training then moves all weights (Adagrad).
+bucket, so filters begin near useful words; training then moves all weights (Adagrad).
 
-Thresholds are calibrated by language: part of the sample is kept out of training, its texts are split
-by the language that the text itself looks like (a word-start model learned from the sample), and
-the score of a language is shifted so that its best threshold is 0.5.
+Every labelled text is learned from, whole. Counts of buckets are sums over all tasks. In a round each task trains on
+its own texts, from the weights that the round before left; the changes are averaged, those of a bucket by how often
+each task moved it. What a task or the driver holds is the size of the weights, whatever the number of texts.
 
-The sample is bounded: at most about `positives` and `negatives` labelled texts of up to `longest`
-characters. Scoring reads every text whole; for that, embeddings and filters are multiplied out
-beforehand, so a word costs a few table rows.
+Thresholds are calibrated by language: one labelled text in five is kept out of training, its texts are split
+by the language that the text itself looks like (a word-start model learned from all labelled texts), and
+the score of a language is shifted so that its best threshold is 0.5. Thresholds lie between scores that are counted
+in steps of 1 / 256 (of the logit).
+
+Scoring reads every text whole; for that, embeddings and filters are multiplied out beforehand, so a word costs a few
+table rows.
 
 Cases: null and empty texts are scored like texts without words; labels without a document, with a null label
 or a null id are not learned from; several labels of one id count as toxic if one is; without toxic labels
 every score is 0, without others every score is 1, without any labels 0; repeated rows score alike;
-columns of any name pass through.
+columns of any name pass through. Where a class is missing among the texts kept out, or among the others, all texts serve.
 """
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import settle
 from . import bytewise as B
 from .common import text_of, uniform
 
@@ -35,9 +42,19 @@ CHANNELS = ((None, False, 17), (4, False, 15), (5, False, 15), (4, True, 15))
 STARTS = 1
 DIM = 8
 FILTERS = {1: 4, 2: 2, 3: 2}
-POSITIVES, NEGATIVES, LONGEST = 2500, 4000, 200_000
+#: Rounds over all texts: as many as show some 52,000 texts, within these bounds.
+LEAST, MOST, SHOWN = 4, 8, 52_000
+#: Texts and bytes that a task trains on at least, where there are as many.
+TEXTS, BYTES = 2000, 16 << 20
+BATCH = 64
+#: Steps of the logit between which thresholds lie.
+STEPS = 256
 _MARKS = B.separators("marks")
 _BASES = np.cumsum([0, *(1 << bits for _, _, bits in CHANNELS)])
+_SIZE = int(_BASES[-1])
+#: Changes are added up as whole numbers of this unit, so that their order does not matter.
+_UNIT = float(1 << 20)
+_CHANGES = ["key", "n", "seen", *(f"v{i}" for i in range(DIM))]
 
 
 def buckets(words: B.Words) -> np.ndarray:
@@ -113,39 +130,87 @@ def _sigmoid(x):
 
 # ------------------------------------------------------------------ training
 
-def _log_odds(tokens, bounds, labels, rows, shrink=10.0) -> np.ndarray:
-    """Per bucket: how much likelier a text (of `rows`) that holds it is toxic; rare buckets stay near 0."""
-    size, rate = int(_BASES[-1]), labels[rows].mean()
-    toxic, all_ = np.zeros(size), np.zeros(size)
-    for i in rows:
-        held = np.unique(tokens[bounds[i] : bounds[i + 1]])
-        all_[held] += 1
-        toxic[held] += labels[i]
-    share = (toxic + shrink * rate) / (all_ + shrink)
+def _held(tokens, bounds, labels) -> tuple[np.ndarray, np.ndarray]:
+    """Per bucket: how many texts hold it, and how many toxic ones."""
+    doc = np.repeat(np.arange(len(labels)), np.diff(bounds))
+    pairs = np.unique(doc[:, None] * _SIZE + tokens)
+    bucket = pairs % _SIZE
+    return np.bincount(bucket, minlength=_SIZE), np.bincount(bucket, labels[pairs // _SIZE], _SIZE).astype(np.int64)
+
+
+def _log_odds(held, toxic, rate, shrink=10.0) -> np.ndarray:
+    """Per bucket: how much likelier a text that holds it is toxic; rare buckets stay near 0."""
+    share = (toxic + shrink * rate) / (held + shrink)
     return np.log(share / (1 - share)) - np.log(rate / (1 - rate))
 
 
+def _picked(tokens, bounds, rows):
+    """Tokens and bounds of some of the texts."""
+    sizes = np.diff(bounds)[rows]
+    at = np.repeat(bounds[:-1][rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    return tokens[at], np.concatenate([[0], np.cumsum(sizes)])
+
+
 class _Trainer:
     """Embeddings and filters as they are trained, before they are multiplied out."""
 
-    def __init__(self, tokens, bounds, labels, rng, rows=None):
-        rows = np.arange(len(labels)) if rows is None else rows
-        self.embed = rng.normal(0, 0.05, (int(_BASES[-1]), DIM)).astype(np.float32)
-        self.embed[:, 0] = _log_odds(tokens, bounds, labels, rows) / len(CHANNELS)
+    def __init__(self, tokens, bounds, labels, rng):
+        self._start(*_held(tokens, bounds, labels), labels.mean(), rng)
+
+    @classmethod
+    def of_counts(cls, held, toxic, rate, rng) -> _Trainer:
+        net = cls.__new__(cls)
+        net._start(held, toxic, rate, rng)
+        return net
+
+    def _start(self, held, toxic, rate, rng):
+        self.embed = rng.normal(0, 0.05, (_SIZE, DIM)).astype(np.float32)
+        self.embed[:, 0] = _log_odds(held, toxic, rate) / len(CHANNELS)
         self.filters = {w: rng.normal(0, 0.1, (w, DIM, n)).astype(np.float32) for w, n in FILTERS.items()}
         for w, f in self.filters.items():
             f[:, 0, :] += 1 / w
         total = sum(FILTERS.values())
         self.filter_bias, self.out = np.zeros(total, np.float32), np.full(total, 1 / total, np.float32)
-        rate = labels[rows].mean()
-        self.bias = np.float32(np.log(rate / (1 - rate)))
-        self.seen = {k: np.full_like(v, 1e-3) for k, v in (("filter_bias", self.filter_bias), ("out", self.out))}
-        self.seen |= {"embed": np.full(len(self.embed), 1e-3, np.float32), "bias": np.float32(1e-3)}
+        self.bias = np.array([np.log(rate / (1 - rate))], np.float32)
+        self.seen = {k: np.full_like(getattr(self, k), 1e-3) for k in ("filter_bias", "out", "bias")}
+        self.seen["embed"] = np.full(_SIZE, 1e-3, np.float32)
         self.seen_filters = {w: np.full_like(f, 1e-3) for w, f in self.filters.items()}
+        self.moved = np.zeros(_SIZE, np.int32)  # batches that moved a bucket
+
+    def _small(self) -> list[np.ndarray]:
+        """All weights but the embeddings."""
+        return [*self.filters.values(), self.filter_bias, self.out, self.bias, *self.seen_filters.values(),
+                *(self.seen[k] for k in ("filter_bias", "out", "bias"))]
+
+    def changes(self, before: _Trainer, n: int) -> pa.RecordBatch:
+        """What n texts changed, times its weight: rows of moved buckets, then all other weights in rows of the same width."""
+        key = np.flatnonzero(self.moved)
+        small = np.concatenate([(a - b).ravel() for a, b in zip(self._small(), before._small())])
+        small = np.pad(small, (0, -len(small) % DIM)).reshape(-1, DIM)
+        values = np.concatenate([self.embed[key] - before.embed[key], small]).astype(np.float64)
+        seen = np.concatenate([self.seen["embed"][key] - before.seen["embed"][key], np.zeros(len(small))]).astype(np.float64)
+        weight = np.concatenate([self.moved[key], np.full(len(small), n)]).astype(np.int64)
+        whole = lambda x: pa.array(np.rint(x * weight * _UNIT).astype(np.int64))
+        key = np.concatenate([key, _SIZE + np.arange(len(small))]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(weight), whole(seen), *map(whole, values.T)], names=_CHANGES)
+
+    def add(self, key, seen, values):
+        """Averaged changes, as rows of `changes`."""
+        order = np.argsort(key)
+        key, seen, values = key[order], seen[order], values[order]
+        big = key < _SIZE
+        self.embed[key[big]] += values[big]
+        self.seen["embed"][key[big]] += seen[big]
+        small, at = values[~big].ravel(), 0
+        for part in self._small():
+            part += small[at : at + part.size].reshape(part.shape)
+            at += part.size
 
     def step(self, tokens, bounds, labels, rate=0.05):
         """One batch; only the word that won a filter in a text gets a gradient from it."""
-        x = self.embed[tokens].sum(axis=1)
+        x = self.embed[tokens[:, 0]]
+        for channel in range(1, tokens.shape[1]):
+            x += self.embed[tokens[:, channel]]
         n, wins, pooled = len(labels), {}, []
         for w, f in self.filters.items():
             best = np.full((n, f.shape[2]), -np.inf, np.float32)
@@ -189,88 +254,158 @@ class _Trainer:
             np.add.at(move, back_to, np.concatenate(moves).reshape(-1, DIM))
             self.seen["embed"][row] += (move**2).mean(axis=1)
             self.embed[row] -= rate * move / np.sqrt(self.seen["embed"][row])[:, None]
+            self.moved[row] += 1
 
     def model(self) -> Model:
         columns = [self.embed @ f[j] for f in self.filters.values() for j in range(f.shape[0])]
         return Model(table=np.ascontiguousarray(np.concatenate(columns, axis=1)), filter_bias=self.filter_bias,
-                     out=self.out.astype(np.float64), bias=float(self.bias))
+                     out=self.out.astype(np.float64), bias=float(self.bias[0]))
 
 
-def _threshold(logits: np.ndarray, labels: np.ndarray, care: float = 3.0) -> float:
-    """The middle of the best gap: most toxic texts above, few others; a wrong rejection weighs `care` times.
+def _cut(low, high, toxic, others, care: float = 3.0) -> float:
+    """The middle of the best gap between ascending steps: most toxic texts above, few others; a wrong rejection weighs `care` times.
 
-    Of equally good gaps the highest.
+    `low` and `high` are the least and largest logit of a step. Of equally good gaps the highest.
     """
-    order = np.argsort(logits)
-    z, y = logits[order], labels[order]
-    gain = np.concatenate([[0], np.cumsum(np.where(y == 1, -1 / y.sum(), care / (len(y) - y.sum())))])
+    gain = np.concatenate([[0], np.cumsum(care * others / others.sum() - toxic / toxic.sum())])
     best = np.flatnonzero(gain >= gain.max() - 1e-9)[-1]
-    edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
-    return float((edges[best] + edges[best + 1]) / 2)
+    below, above = np.concatenate([[low[0] - 1], high]), np.concatenate([low, [high[-1] + 1]])
+    return float((below[best] + above[best]) / 2)
 
 
-def fit(texts: pa.ChunkedArray, labels: np.ndarray, langs: list, rounds: int = 8, batch: int = 64, seed: int = 7) -> Model:
-    """A model of lower-cased texts, their labels (0, 1) and their languages (None: unknown)."""
-    if not len(labels) or labels.min() == labels.max():
-        return Model(fixed=float(labels[0]) if len(labels) else 0.0)
-    rng = np.random.default_rng(seed)
-    tokens, bounds = _tokens(texts)
-    order = rng.permutation(len(labels))
-    aside = np.sort(order[: len(order) // 5])
-    own = np.sort(order[len(order) // 5 :])
-    if labels[own].min() == labels[own].max():
-        own = np.arange(len(labels))
-
-    def pick(rows):
-        sizes = np.diff(bounds)[rows]
-        at = np.repeat(bounds[:-1][rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        return tokens[at], np.concatenate([[0], np.cumsum(sizes)])
-
-    train = _Trainer(tokens, bounds, labels, rng, own)
-    for _ in range(rounds):
-        for rows in np.array_split(rng.permutation(own), max(1, len(own) // batch)):
-            train.step(*pick(rows), labels[rows].astype(np.float32))
-    model = train.model()
-    names, counts = np.unique([g for g in langs if g is not None] or [""], return_counts=True)
-    model.languages = [str(n) for n in names[np.argsort(-counts, kind="stable")]]
-    seen = np.full((1 << CHANNELS[STARTS][2], len(model.languages)), 0.01)
-    where = {g: i for i, g in enumerate(model.languages)}
-    for i, g in enumerate(langs):
-        if g in where:
-            np.add.at(seen[:, where[g]], tokens[bounds[i] : bounds[i + 1], STARTS] - _BASES[STARTS], 1)
-    model.starts = np.log(seen / seen.sum(axis=0)).astype(np.float32)
-    # A few texts at a time: filter responses of all words at once would be the largest thing on the driver.
-    parts = np.array_split(np.arange(len(labels)), max(1, len(labels) // 128))
-    logits = np.concatenate([model.logits(*pick(rows)) for rows in parts])
-    looks = np.concatenate([model.language(*pick(rows)) for rows in parts])
-    enough = min(labels[aside].sum(), len(aside) - labels[aside].sum()) >= 10
-    sure = aside if enough else np.arange(len(labels))
-    common = _threshold(logits[sure], labels[sure])
-    model.shift = np.full(len(model.languages), common)
-    for g in range(len(model.languages)):
-        rows = sure[looks[sure] == g]
-        if 10 <= labels[rows].sum() <= len(rows) - 10:
-            model.shift[g] = _threshold(logits[rows], labels[rows])
-    return model
+def _threshold(logits: np.ndarray, labels: np.ndarray, care: float = 3.0) -> float:
+    """`_cut` where every logit is a step."""
+    order = np.argsort(logits)
+    z, y = logits[order], labels[order] == 1
+    return _cut(z, z, y.astype(float), (~y).astype(float), care)
+
 
+def _counted(rows: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Over all rows: texts of training that hold a bucket, toxic ones of them; words by start bucket and language."""
 
-def learned(docs: DataFrame, labels: DataFrame, usable: Column | None = None,
-            positives: int = POSITIVES, negatives: int = NEGATIVES, longest: int = LONGEST) -> Model:
-    """A model from labels(doc_id, toxic) of docs(doc_id, text, lang); `usable` says which rows may be learned from."""
+    where = {g: i for i, g in enumerate(names)}
+
+    def run(batches):
+        held, toxic, starts = np.zeros(_SIZE, np.int64), np.zeros(_SIZE, np.int64), {}
+
+        def out(group, n, of):
+            at = np.flatnonzero(n).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array([group] * len(at), pa.int32()), pa.array(at), pa.array(n[at]), pa.array(of[at])], names=["lang", "bucket", "n", "toxic"])
+
+        for batch in batches:
+            labels, train = batch.column("toxic").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
+            langs = np.array([where.get(g, -1) for g in batch.column("lang").to_pylist()])
+            for first, last, data, offsets in B.blocks(batch.column("text"), 1 << 19):
+                words = B.words_of(data, offsets, _MARKS)
+                tokens, own = buckets(words), np.flatnonzero(train[first:last])
+                for total, more in zip((held, toxic), _held(*_picked(tokens, words.bounds, own), labels[first:last][own])):
+                    total += more
+                lang = langs[first:last][words.doc]
+                for g in np.unique(lang[lang >= 0]):
+                    n = np.bincount(tokens[lang == g, STARTS] - _BASES[STARTS], minlength=1 << CHANNELS[STARTS][2])
+                    starts[g] = starts.get(g, 0) + n
+                if len(starts) > 64:  # many languages: what is held stays small
+                    yield from (out(int(g), n, np.zeros_like(n)) for g, n in starts.items())
+                    starts = {}
+        yield from (out(int(g), n, np.zeros_like(n)) for g, n in starts.items())
+        yield out(-1, held, toxic)
+
+    counts = rows.mapInArrow(run, "lang int, bucket int, n long, toxic long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()
+    lang, bucket, n, of = (counts.column(c).to_numpy() for c in counts.column_names)
+    held, toxic = np.zeros(_SIZE, np.int64), np.zeros(_SIZE, np.int64)
+    starts = np.full((1 << CHANNELS[STARTS][2], len(names)), 0.01)
+    held[bucket[lang < 0]], toxic[bucket[lang < 0]] = n[lang < 0], of[lang < 0]
+    starts[bucket[lang >= 0], lang[lang >= 0]] += n[lang >= 0]
+    return held, toxic, starts
+
+
+def _trained(rows: DataFrame, net: _Trainer, number: int, seed: int) -> None:
+    """One round: every task trains on its rows from the same weights, the averaged changes are added to them."""
+    start = rows.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches):
+        own, n = copy.deepcopy(start.value), 0
+        rng = np.random.default_rng([seed, number, TaskContext.get().partitionId()])
+        for batch in batches:
+            labels = batch.column("toxic").to_numpy().astype(np.float32)
+            for first, last, data, offsets in B.blocks(batch.column("text")):
+                words = B.words_of(data, offsets, _MARKS)
+                tokens = buckets(words)
+                for some in np.array_split(rng.permutation(last - first), max(1, (last - first) // BATCH)):
+                    own.step(*_picked(tokens, words.bounds, some), labels[first:last][some])
+                n += last - first
+        if n:
+            yield own.changes(start.value, n)
+
+    changes = rows.select("text", "toxic").mapInArrow(run, ", ".join(f"{c} {'int' if c == 'key' else 'long'}" for c in _CHANGES))
+    sums = changes.groupBy("key").agg(*(F.sum(c).alias(c) for c in _CHANGES[1:]))
+    mean = sums.select("key", *((F.col(c) / (F.col("n") * F.lit(_UNIT))).cast("float").alias(c) for c in _CHANGES[2:])).toArrow()
+    net.add(mean.column(0).to_numpy(), mean.column(1).to_numpy(), np.stack([mean.column(c).to_numpy() for c in _CHANGES[3:]], axis=1))
+    start.destroy()
+
+
+def _calibrated(rows: DataFrame, model: Model) -> np.ndarray:
+    """By language, the logit that parts toxic texts best; where a class has under 10 texts of a language, that of all languages."""
+
+    def run(batches):
+        for batch in batches:
+            labels = batch.column("toxic").to_numpy()
+            for first, last, data, offsets in B.blocks(batch.column("text")):
+                words = B.words_of(data, offsets, _MARKS)
+                tokens = buckets(words)
+                logits = model.logits(tokens, words.bounds)
+                columns = model.language(tokens, words.bounds).astype(np.int32), np.floor(logits * STEPS).astype(np.int64), labels[first:last], logits
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["lang", "step", "toxic", "logit"])
+
+    looks = rows.select("text", "toxic").mapInArrow(run, "lang int, step long, toxic int, logit double")
+    is_toxic = F.col("toxic") == 1
+    steps = looks.groupBy("lang", "step").agg(
+        F.count_if(is_toxic).alias("toxic"), F.count_if(~is_toxic).alias("others"), F.min("logit").alias("low"), F.max("logit").alias("high")).toArrow()
+    lang, step, toxic, others, low, high = (steps.column(c).to_numpy() for c in steps.column_names)
+    order = np.lexsort((lang, step))
+    lang, step, toxic, others, low, high = (x[order] for x in (lang, step, toxic, others, low, high))
+    first = np.flatnonzero(np.diff(step, prepend=step[0] - 1))
+    common = _cut(np.minimum.reduceat(low, first), np.maximum.reduceat(high, first), np.add.reduceat(toxic, first), np.add.reduceat(others, first))
+    shift = np.full(len(model.languages), common)
+    for g in np.unique(lang):
+        own = lang == g
+        if min(toxic[own].sum(), others[own].sum()) >= 10:
+            shift[g] = _cut(low[own], high[own], toxic[own], others[own])
+    return shift
+
+
+def learned(docs: DataFrame, labels: DataFrame, usable: Column | None = None, seed: int = 7) -> Model:
+    """A model from all labels(doc_id, toxic) of docs(doc_id, text, lang); `usable` says which rows may be learned from."""
     known = labels.filter("toxic is not null and doc_id is not null")
     if usable is not None:
         known = known.filter(usable)
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("toxic") == 1, min(1.0, positives / max(counts.get(1, 0), 1))).otherwise(min(1.0, negatives / max(counts.get(0, 0), 1)))
-    some = known.filter(uniform(F.col("doc_id")) < share)
-    # Only ids of the sample pass, and the sample is bounded, so no text is exchanged for the join.
-    most = max([min(1.0, positives / max(counts.get(1, 0), 1)), min(1.0, negatives / max(counts.get(0, 0), 1))])
-    own = docs.filter((uniform(F.col("doc_id")) < most) & (F.length(text_of()) <= longest))
-    own = own.select("doc_id", F.lower(text_of()).alias("text"), "lang")
-    rows = own.join(F.broadcast(some), "doc_id").orderBy("doc_id", "text").select("text", "lang", F.col("toxic").cast("int").alias("toxic")).toArrow()
-    model = fit(rows.column("text"), rows.column("toxic").to_numpy(), rows.column("lang").to_pylist())
-    del rows
+    known = known.groupBy("doc_id").agg((F.max("toxic").cast("int") == 1).cast("int").alias("toxic"))
+    own = docs.select("doc_id", F.lower(text_of()).alias("text"), "lang")
+    rows = own.join(known, "doc_id").select("text", "lang", "toxic", (uniform(F.col("doc_id"), F.lit(seed)) < 0.2).alias("aside"))
+    rows = settle(rows)
+    sums = F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")
+    parts = {r["aside"]: (r["n"], r["toxic"], r["size"]) for r in rows.groupBy("aside").agg(*sums).collect()}
+    nothing = (0, 0, 0)
+    n, n_toxic, size = (sum(x) for x in zip(nothing, *parts.values()))
+    if n_toxic in (0, n):
+        return Model(fixed=float(n_toxic > 0))
+    least = {side: min(t, all_ - t) for side, (all_, t, _) in parts.items()}
+    train = F.lit(True) if not least.get(False) else ~F.col("aside")
+    sure = F.col("aside") if least.get(True, 0) >= 10 else F.lit(True)
+    n_train, train_toxic, _ = parts[False] if least.get(False) else (n, n_toxic, size)
+
+    langs = rows.filter("lang is not null").groupBy("lang").count().collect()
+    names = [r["lang"] for r in sorted(langs, key=lambda r: (-r["count"], r["lang"]))] or [""]
+    held, toxic, starts = _counted(rows.withColumn("train", train), names)
+    rng = np.random.default_rng(seed)
+    net = _Trainer.of_counts(held, toxic, train_toxic / n_train, rng)
+    dealt = rows.filter(train).coalesce(max(1, n // TEXTS, size // BYTES))
+    for number in range(min(MOST, max(LEAST, SHOWN // n_train))):
+        _trained(dealt, net, number, seed)
+    model = net.model()
+    model.languages = [str(x) for x in names]
+    model.starts = np.log(starts / starts.sum(axis=0)).astype(np.float32)
+    model.shift = _calibrated(rows.filter(sure), model)
     pa.default_memory_pool().release_unused()
     return model
 

@@ -65,6 +65,65 @@ def test_threshold_takes_the_best_gap():
     assert T._threshold(np.array([0.0, 1, 2, 5]), np.array([0, 0, 0, 1])) == 3.5
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    """Texts of over 200,000 characters are labelled texts like others; all toxic ones are that long here."""
+    rows = [(i, "calm words here " * 3, "en") for i in range(30)] + [(100 + i, "calm words here " * 13_000 + "scum", "en") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = T.learned(docs, docs.selectExpr("doc_id", "int(doc_id >= 100) as toxic"))
+    assert model.fixed is None
+    assert {r["doc_id"] for r in T.scored(docs, model).filter("score >= 0.5").collect()} == {100, 101, 102}
+
+
+def test_toxicity_counts_all_texts(spark):
+    """Counts of 9,000 texts in several parts, 3,000 of them toxic, against counts of all at once."""
+    rows = [(f"w{i % 7} " * (i % 4) + f"x{i}", [None, "en", "fr"][i % 3], int(i % 3 == 0), i % 5 > 0) for i in range(9000)]
+    table = spark.createDataFrame(rows, "text string, lang string, toxic int, train boolean").repartition(5)
+    held, toxic, starts = T._counted(table, ["fr", "en"])
+    own = [r for r in rows if r[3]]
+    tokens, bounds = T._tokens(pa.array([r[0] for r in own]))
+    want = T._held(tokens, bounds, np.array([r[2] for r in own]))
+    assert (held == want[0]).all() and (toxic == want[1]).all()
+    for g, lang in enumerate(["fr", "en"]):
+        tokens, _ = T._tokens(pa.array([r[0] for r in rows if r[1] == lang]))
+        n = np.bincount(tokens[:, T.STARTS] - T._BASES[T.STARTS], minlength=len(starts))
+        assert np.allclose(starts[:, g], n + 0.01)
+
+
+def test_toxicity_rounds_average_the_changes(spark, tables):
+    """One round over two parts: what each part changes, from the same weights, averaged by how often it moved a bucket."""
+    rows = spark.createDataFrame([(r[1], r[3]) for r in made(120, 5)], "text string, toxic int").repartition(2)
+    texts, labels = zip(*((r["text"], r["toxic"]) for r in rows.collect()))
+    tokens, bounds = T._tokens(pa.array(texts))
+    net = T._Trainer(tokens, bounds, np.array(labels), np.random.default_rng(1))
+    parts, start = rows.rdd.glom().collect(), T.copy.deepcopy(net)
+    T._trained(rows, net, 0, 7)
+    top, below, bias, n = np.zeros_like(net.embed, dtype=float), np.zeros(len(net.embed)), 0.0, 0
+    for number, part in enumerate(parts):
+        own, rng = T.copy.deepcopy(start), np.random.default_rng([7, 0, number])
+        tokens, bounds = T._tokens(pa.array([r["text"] for r in part]))
+        for some in np.array_split(rng.permutation(len(part)), max(1, len(part) // T.BATCH)):
+            own.step(*T._picked(tokens, bounds, some), np.array([part[i]["toxic"] for i in some], np.float32))
+        top += (own.embed - start.embed).astype(float) * own.moved[:, None]
+        below += own.moved
+        bias, n = bias + float(own.bias[0] - start.bias[0]) * len(part), n + len(part)
+    want = start.embed + top / np.maximum(below, 1)[:, None]
+    assert len(parts) == 2 and below.any() and np.allclose(net.embed, want, atol=1e-5)
+    assert abs(net.bias[0] - start.bias[0] - bias / n) < 1e-5
+
+
+def test_toxicity_thresholds_of_all_texts(spark, tables):
+    """Thresholds of counted steps against those of the sorted logits, to the width of a step."""
+    model = T.learned(*tables[:2])
+    rows = spark.createDataFrame([(r[1], r[3]) for r in made(600, 6)], "text string, toxic int").repartition(3)
+    got = T._calibrated(rows, model)
+    texts, labels = zip(*rows.collect())
+    tokens, bounds = T._tokens(pa.array(texts))
+    logits, looks, labels = model.logits(tokens, bounds), model.language(tokens, bounds), np.array(labels)
+    for g in range(len(model.languages)):
+        own = looks == g
+        assert abs(got[g] - T._threshold(logits[own], labels[own])) <= 1 / T.STEPS
+
+
 def test_toxicity_without_labels(awkward, nothing, spark):
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     model = T.learned(awkward, labels)
