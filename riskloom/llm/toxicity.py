@@ -9,6 +9,9 @@ Every labelled text is learned from, whole. Counts of buckets are sums over all
 its own texts, from the weights that the round before left; the changes are averaged, those of a bucket by how often
 each task moved it. What a task or the driver holds is the size of the weights, whatever the number of texts.
 
+Texts meet their labels where they are read: ids, not texts, are joined with the labels, and what that gives goes to all tasks as a
+table of bits of bounded size (`_labelled`). Only texts whose bit another id shares, with another label or none, are exchanged.
+
 Thresholds are calibrated by language: one labelled text in five is kept out of training, its texts are split
 by the language that the text itself looks like (a word-start model learned from all labelled texts), and
 the score of a language is shifted so that its best threshold is 0.5. Thresholds lie between scores that are counted
@@ -54,6 +57,8 @@ _BASES = np.cumsum([0, *(1 << bits for _, _, bits in CHANNELS)])
 _SIZE = int(_BASES[-1])
 #: Changes are added up as whole numbers of this unit, so that their order does not matter.
 _UNIT = float(1 << 20)
+#: Ids are told apart by 2 ** SLOTS slots, 64 to a row of a broadcast table; that has 524,288 rows at most (38 MB as Spark holds them).
+SLOTS = 25
 _CHANGES = ["key", "n", "seen", *(f"v{i}" for i in range(DIM))]
 
 
@@ -374,6 +379,25 @@ def _calibrated(rows: DataFrame, model: Model) -> np.ndarray:
     return shift
 
 
+def _labelled(docs: DataFrame, known: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Rows of docs(doc_id, ...) that known(doc_id, toxic) has, one for an id, with their label; as a join by id gives them.
+
+    An id belongs to one of 2 ** slots slots. Where all ids that docs has in a slot have the same label, a bit says so, and their rows get it in
+    the task that reads them. Rows of slots that several labels, or a label and none, share are joined by id.
+    """
+    docs, columns = docs.filter("doc_id is not null"), docs.columns
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << slots))
+    word, at = F.shiftright(slot, 6), (slot % 64).cast("int")
+    some = lambda which: F.coalesce(F.bit_or(F.when(which, F.call_function("shiftleft", F.lit(1).cast("long"), at))), F.lit(0))
+    ids, toxic = docs.select("doc_id").join(known, "doc_id", "left"), F.col("toxic")
+    words = ids.groupBy(word.alias("_word")).agg(some(toxic.isNull()).alias("none"), some(toxic == 0).alias("other"), some(toxic == 1).alias("toxic"))
+    words = words.filter("(other | toxic) != 0").withColumn("sure", F.expr("(other ^ toxic) & ~none"))
+    words = settle(words.select("_word", "sure", "toxic", F.expr("(other | toxic) & ~sure").alias("shared")))
+    docs = docs.withColumn("_word", word)
+    of = lambda name: docs.join(F.broadcast(words.filter(F.col(name) != 0)), "_word").filter(F.bit_get(name, at) == 1)
+    return of("sure").select(*columns, F.bit_get("toxic", at).cast("int").alias("toxic")).unionByName(of("shared").select(*columns).join(known, "doc_id"))
+
+
 def learned(docs: DataFrame, labels: DataFrame, usable: Column | None = None, seed: int = 7) -> Model:
     """A model from all labels(doc_id, toxic) of docs(doc_id, text, lang); `usable` says which rows may be learned from."""
     known = labels.filter("toxic is not null and doc_id is not null")
@@ -381,7 +405,7 @@ def learned(docs: DataFrame, labels: DataFrame, usable: Column | None = None, se
         known = known.filter(usable)
     known = known.groupBy("doc_id").agg((F.max("toxic").cast("int") == 1).cast("int").alias("toxic"))
     own = docs.select("doc_id", F.lower(text_of()).alias("text"), "lang")
-    rows = own.join(known, "doc_id").select("text", "lang", "toxic", (uniform(F.col("doc_id"), F.lit(seed)) < 0.2).alias("aside"))
+    rows = _labelled(own, known).select("text", "lang", "toxic", (uniform(F.col("doc_id"), F.lit(seed)) < 0.2).alias("aside"))
     rows = settle(rows)
     sums = F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")
     parts = {r["aside"]: (r["n"], r["toxic"], r["size"]) for r in rows.groupBy("aside").agg(*sums).collect()}

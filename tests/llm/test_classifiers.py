@@ -124,6 +124,29 @@ def test_toxicity_thresholds_of_all_texts(spark, tables):
         assert abs(got[g] - T._threshold(logits[own], labels[own])) <= 1 / T.STEPS
 
 
+@pytest.mark.parametrize("slots", [6, 9, 25])
+def test_toxicity_labels_meet_their_texts(spark, slots):
+    """Ids that share no slot, some or all: the rows and labels that a join by id gives, repeated and null ids included."""
+    rows = [(i % 500 if i % 50 else None, f"text {i}", "en") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = {i: int(i % 4 == 0) for i in range(0, 900, 3)}
+    got = T._labelled(docs, spark.createDataFrame([*known.items()], "doc_id int, toxic int"), slots).collect()
+    assert sorted(map(tuple, got)) == sorted((*r, known[r[0]]) for r in rows if r[0] in known)
+
+
+def test_toxicity_exchanges_ids_not_texts(spark):
+    """Labels too large to broadcast: with ids in slots of their own, the plan that ran exchanges no row with a text."""
+    from riskloom.session import configured
+
+    docs = spark.createDataFrame([(i, f"text {i}", "en") for i in range(400)], "doc_id long, text string, lang string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(0, 400, 3)], "doc_id long, toxic int")
+    with configured(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        rows = T._labelled(docs, known)
+        assert len(rows.collect()) == 134
+        plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_toxicity_without_labels(awkward, nothing, spark):
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     model = T.learned(awkward, labels)
