@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import fixed_values as fv
 from ..functions.text import extension
 from ..session import MANY_FILES, configured, settle
+from .listing import address, contents, listed
 from .trees import from_binary
 
 SNAPSHOT = "path string, size long, time timestamp, digest string"
@@ -26,7 +27,12 @@ CHANGES = "project_id string, path string, change string, removed boolean, versi
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
+    """path, size, time and content of a place that only Spark can list."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root)
+    return _to_scan(found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("time"), "content"))
+
+
+def _to_scan(found: DataFrame) -> DataFrame:
     return found.filter(extension(F.col("path")).isin(fv.SCANNED_EXTENSIONS))
 
 
@@ -50,18 +56,22 @@ def look(spark: SparkSession, root: str, store: str) -> DataFrame:
         before = spark.read.schema(SNAPSHOT).parquet(f"{store}/snapshots/number={number}")
     else:
         before = spark.createDataFrame([], SNAPSHOT)
+    place = address(spark, root)
     with configured(spark, MANY_FILES):
-        now = settle(_files(spark, root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("time")))
+        now = settle(_files(spark, root).drop("content") if place is None else _to_scan(listed(spark, place)))
     same = now.join(before, ["path", "size", "time"], "left_semi")
     suspects = now.join(before, ["path", "size", "time"], "left_anti")
-    contents = _files(spark, root)
-    if number:
-        # The source opens no file older than this; the join takes out the rest.
-        least = suspects.agg(F.min("time")).first()[0]
-        contents = contents.filter(F.col("modificationTime") >= F.lit(least)).join(suspects.select("path"), "path", "left_semi")
-    facts = [F.col("path").alias("_path"), F.col("length").alias("size"), F.col("modificationTime").alias("time"), F.sha2("content", 256).alias("digest")]
+    if place is not None:
+        found = contents(suspects)
+    else:
+        found = _files(spark, root)
+        if number:
+            # The source opens no file older than this; the join takes out the rest.
+            least = suspects.agg(F.min("time")).first()[0]
+            found = found.filter(F.col("time") >= F.lit(least)).join(suspects.select("path"), "path", "left_semi")
+    facts = [F.col("path").alias("_path"), "size", "time", F.sha2("content", 256).alias("digest")]
     with configured(spark, MANY_FILES):
-        read = settle(from_binary(contents.select("path", "content", F.struct(*facts).alias("_fact")), root, ["_fact"]))
+        read = settle(from_binary(found.select("path", "content", F.struct(*facts).alias("_fact")), root, ["_fact"]))
     known = before.select(F.col("path").alias("_known"), F.col("digest").alias("_digest"))
     held = read.join(known, F.col("_fact._path") == F.col("_known"), "left")
     change = F.when(F.col("_known").isNull(), "added").when(F.col("_digest") != F.col("_fact.digest"), "changed")
