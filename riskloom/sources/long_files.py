@@ -9,18 +9,22 @@ splits report: invalid rows, and bytes that are missing to the file's length.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .. import fixed_values as fv
 from ..functions.text import LINE_BREAK, extension
 from ..operators.numbering import total_before
 from ..session import configured, settle
+from .listing import OUT_BYTES, address, listed, opened, tasks
 from .trees import below
 
 # Line breaks other than the line feed that parts the rows.
 _BREAK = LINE_BREAK.replace(r"\r\n|[\n\r", r"[\r")
 # With small splits, at most so many tasks for each core; a task reads as many splits as that takes.
 TASKS_PER_CORE = 32
+OUT_ROWS = 1 << 13
+_ROWS = "_path string, _start long, _size long, _value binary, _row long"
 
 
 def _splits_of(spark: SparkSession, size: int | None) -> dict[str, str]:
@@ -32,8 +36,72 @@ def _splits_of(spark: SparkSession, size: int | None) -> dict[str, str]:
         "spark.sql.files.maxPartitionNum": str(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)}
 
 
+def _split_rows(batches):
+    open_ = opened()
+
+    def rows_of(file, start, end):
+        """What stands between line feeds, of the rows that begin from `start` to before `end`."""
+        place = max(start - 1, 0)
+        file.seek(place)
+        # Before its first line feed a split has the end of a row that began earlier.
+        skipped, at, held = start > 0, place, []
+        while piece := file.read(min(max(end - place, 1 << 12), 1 << 20)):
+            place += len(piece)
+            first, *more = piece.split(b"\n")
+            held.append(first)
+            for following in more:
+                row = b"".join(held)
+                if not skipped:
+                    yield row
+                skipped, at, held = False, at + len(row) + 1, [following]
+                if at >= end:
+                    return
+        row = b"".join(held)
+        if row and not skipped:
+            yield row
+
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in _ROWS.split(", ")])
+
+    done, held = [], 0
+    for batch in batches:
+        for path, size, start, end in zip(*(batch.column(c).to_pylist() for c in ("path", "size", "start", "end"))):
+            with open_(path) as file:
+                for number, row in enumerate(rows_of(file, start, end)):
+                    done.append((path, start, size, row, number))
+                    held += len(row)
+                    if held > OUT_BYTES or len(done) >= OUT_ROWS:
+                        yield table(done)
+                        done, held = [], 0
+    if done:
+        yield table(done)
+
+
+def _split_size(spark: SparkSession, size: int, wanted: int | None) -> int:
+    """As Spark parts files of `size` bytes in all."""
+    if wanted is not None:
+        return wanted
+    conf = spark._jsparkSession.sessionState().conf()
+    return min(conf.filesMaxPartitionBytes(), max(conf.filesOpenCostInBytes(), size // spark.sparkContext.defaultParallelism))
+
+
 def _rows(spark: SparkSession, root: str, split_bytes: int | None) -> DataFrame:
     """What stands between line feeds, as bytes, with the split it was read in and its order there; written once."""
+    place = address(spark, root)
+    if place is None:
+        return _rows_by_spark(spark, root, split_bytes)
+    files = listed(spark, place).filter(extension(F.col("path")).isin(fv.SCANNED_EXTENSIONS))
+    total = files.agg(F.sum("size")).first()[0] or 0
+    step = F.lit(_split_size(spark, total, split_bytes)).cast("long")
+    splits = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, step)).alias("start"))
+    splits = splits.withColumn("end", F.least(F.col("start") + step, F.col("size")))
+    return settle(splits.repartition(tasks(spark, splits.count(), total)).mapInArrow(_split_rows, _ROWS))
+
+
+def _rows_by_spark(spark: SparkSession, root: str, split_bytes: int | None) -> DataFrame:
+    """As `_rows`, of a place that only Spark can read; the driver holds its files."""
     # The listed path is an encoded address, in which a plus sign stands for itself.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     found = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(root)

@@ -79,3 +79,32 @@ def test_small_splits_share_tasks(spark, tmp_path):
     assert rows.select("_start").distinct().count() > 3000
     assert len(rows.inputFiles()) <= 2 * long_files.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
     assert spark.conf.get("spark.sql.files.maxPartitionNum", None) is None
+
+
+def test_the_driver_holds_no_list_of_the_files(spark, root, monkeypatch):
+    read, settle = [], long_files.settle
+    monkeypatch.setattr(long_files, "settle", lambda df: read.extend(df.inputFiles()) or settle(df))
+    long_files._rows(spark, root, 100)
+    assert read and not [x for x in read if not x.endswith(".parquet")]
+
+
+def test_lines_of_a_place_that_only_spark_can_read(spark, root, monkeypatch):
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    want = plain(long_files.read_lines(spark, root, 300))
+    monkeypatch.setattr(long_files, "address", lambda *_: None)
+    assert plain(long_files.read_lines(spark, root, 300)) == want
+
+
+@pytest.mark.parametrize("size", [1, 7, 5000, 1 << 30])
+def test_each_row_is_read_in_one_split(tmp_path, size):
+    import pyarrow as pa
+
+    rows = [b"", b"a", b"b" * 9000, b"", b"", b"c" * 11, b"d" * 4096, b"\r", b"e" * 12_000] * (1 if size < 100 else 150)
+    for end in (b"", b"\n"):
+        (tmp_path / "a.txt").write_bytes(data := b"\n".join(rows) + end)
+        starts = range(0, len(data), size)
+        splits = pa.RecordBatch.from_pydict({
+            "path": [f"file:{tmp_path}/a.txt"] * len(starts), "size": [len(data)] * len(starts), "start": list(starts), "end": [min(s + size, len(data)) for s in starts]})
+        found = pa.Table.from_batches(long_files._split_rows([splits])).to_pylist()
+        assert [x["_value"] for x in found] == rows
+        assert sorted(found, key=lambda x: (x["_start"], x["_row"])) == found
