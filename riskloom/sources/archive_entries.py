@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.entries import NONE, Limits, skip_reason
 from ..session import MANY_FILES, configured, settle
 from .archives import admit
+from .listing import address, listed, opened
 from .trees import below, decoded
 
 #: A row holds no more; larger entries are left out.
@@ -38,53 +39,19 @@ _READ = "archive_id string, ord int, name string, content binary"
 
 def list_archives(spark: SparkSession, root: str) -> DataFrame:
     """archive_id, file, archive_bytes of all .zip files below a folder; nothing is opened."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(root)
-    return found.select(below(F.col("path"), root).alias("archive_id"), F.col("path").alias("file"), F.col("length").alias("archive_bytes"))
-
-
-def _opened():
-    """A function that opens a listed path; file systems are made once for each place."""
-    from urllib.parse import quote, urlparse
-
-    from pyarrow import fs
-
-    stores = {}
-
-    class File:
-        """An Arrow file with the error that others raise for a place before its start."""
-
-        def __init__(self, file):
-            self.file, self.read, self.tell, self.close, self.seekable = file, file.read, file.tell, file.close, file.seekable
-
-        def seek(self, at, whence=0):
-            try:
-                return self.file.seek(at, whence)
-            except ValueError as e:
-                raise OSError(str(e)) from e
-
-        def __enter__(self):
-            return self
-
-        def __exit__(self, *_):
-            self.close()
-
-    def open_(path):
-        place = urlparse(path)
-        if place.scheme in ("", "file"):
-            return File(fs.LocalFileSystem().open_input_file(path.split(":", 1)[1] if place.scheme else path))
-        key = (place.scheme, place.netloc)
-        if key not in stores:
-            stores[key] = fs.FileSystem.from_uri(f"{place.scheme}://{place.netloc}/")[0]
-        return File(stores[key].open_input_file(fs.FileSystem.from_uri(quote(path, safe=":/"))[1]))
-
-    return open_
+    place = address(spark, root)
+    if place is None:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(root).withColumnRenamed("length", "size")
+    else:
+        found = listed(spark, place).filter(F.col("path").endswith(".zip"))
+    return found.select(below(F.col("path"), root).alias("archive_id"), F.col("path").alias("file"), F.col("size").alias("archive_bytes"))
 
 
 def _directories(batches):
     import zipfile
 
     unreadable = (zipfile.BadZipFile, OSError, KeyError, ValueError, RuntimeError, NotImplementedError)
-    open_ = _opened()
+    open_ = opened()
     names = [f.split()[0] for f in _MANIFEST.split(", ")]
 
     def rows_of(archive, path, size):
@@ -128,7 +95,7 @@ def _unpack(batches):
     import zlib
 
     unreadable = (zipfile.BadZipFile, OSError, KeyError, ValueError, RuntimeError, NotImplementedError, zlib.error, struct.error, EOFError)
-    open_ = _opened()
+    open_ = opened()
 
     def plain(file, row):
         """Bytes of a stored or deflated entry, read piece by piece up to the stated size."""

@@ -116,3 +116,14 @@ def test_archives_are_expanded_from_arrow(spark, tmp_path, capsys):
     archives.expand(spark.createDataFrame([("a", 1, bytearray(b"x"))], "archive_id string, archive_bytes long, content binary")).explain()
     plan = capsys.readouterr().out
     assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
+def test_the_driver_holds_no_list_of_the_archives(spark, root):
+    listed = A.list_archives(spark, root)
+    assert listed.inputFiles() and not [x for x in listed.inputFiles() if not x.endswith(".parquet")]
+
+
+def test_archives_of_a_place_that_only_spark_can_list(spark, root, monkeypatch):
+    want = sorted(A.list_archives(spark, root).collect())
+    monkeypatch.setattr(A, "address", lambda *_: None)
+    assert sorted(A.list_archives(spark, root).collect()) == want and len(want) > 8
