@@ -127,3 +127,17 @@ def test_archives_of_a_place_that_only_spark_can_list(spark, root, monkeypatch):
     want = sorted(A.list_archives(spark, root).collect())
     monkeypatch.setattr(A, "address", lambda *_: None)
     assert sorted(A.list_archives(spark, root).collect()) == want and len(want) > 8
+
+
+def test_reports_of_archives_in_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """archive_reports: no archive is in a plan of the driver, and archives of equal names keep apart."""
+    from riskloom.plans import catalog
+
+    docs = [(i, f"text {i}. API_KEY = 'sk-0123456789abcdefgh{i}'") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    read, settle = [], A.settle
+    monkeypatch.setattr(A, "settle", lambda df: read.extend(df.inputFiles()) or settle(df))
+    rows = catalog.archive_reports(spark, str(tmp_path)).collect()
+    kept = [i for i in range(40) if i % 13 and i % 7]
+    assert sorted((r.user_id, r.project_id) for r in rows) == sorted((h := "odd" if i % 2 else "even", f"{h}/a{i // 2}.zip") for i in kept)
+    assert read and not [x for x in read if not x.endswith(".parquet")]
